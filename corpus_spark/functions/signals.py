@@ -64,9 +64,11 @@ def _count(arr: Column, pred) -> Column:
 
 
 def entropy(arr: Column) -> Column:
-    """Shannon entropy (bits) of the values of an array, computed per row
-    without a shuffle: sort, fold runs of equal values, H = log2 N - sum c log2 c / N.
-    Empty arrays give 0.0."""
+    """Shannon entropy (bits) of the values of an array, per row, no shuffle:
+    sort once, fold runs of equal values in a single ``aggregate`` pass
+    (state: previous value, run length, sum of c*log2 c), then
+    H = log2 N - sum(c log2 c) / N.  The sorted array is referenced exactly
+    once, so nothing is re-evaluated per element.  Empty arrays give 0.0."""
     def xlogx(c):
         return F.when(c > 1, c.cast("double") * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 

@@ -104,8 +104,15 @@ def pre_filter(df: DataFrame, scripts: Sequence[str] | None = None, c4: bool = F
         before = F.length(F.col(text_col))
         df = df.withColumn("removed_frac", F.when(before > 0, (before - F.length(cleaned)) / before)
                            .otherwise(F.lit(0.0)))
-    df = df.withColumn(text_col, cleaned)
-    return df.filter(~is_blank(F.col(text_col)))
+    return drop_empty_docs(_materialize(df, text_col, cleaned), text_col)
+
+
+def _materialize(df: DataFrame, col: str, expr: Column) -> DataFrame:
+    """Replace ``col`` by ``expr`` behind a Generate.  A later filter on the
+    column is then not pushed below the projection with the expression
+    inlined, so the line pipeline runs once per document, not once per use."""
+    others = [c for c in df.columns if c != col]
+    return df.select(*others, F.explode(F.array(expr)).alias(col)).select(*df.columns)
 
 
 def flag_removed_chars(df: DataFrame, warn_fraction: float) -> DataFrame:
@@ -136,4 +143,4 @@ def pre_filter_by_language(df: DataFrame, lang_scripts: dict[str, Sequence[str]]
         expr = F.when(cond, branch) if expr is None else expr.when(cond, branch)
     default = clean_lines(text, None, c4) if c4 else text
     expr = default if expr is None else expr.otherwise(default)
-    return df.withColumn(text_col, expr).filter(~is_blank(F.col(text_col)))
+    return drop_empty_docs(_materialize(df, text_col, expr), text_col)

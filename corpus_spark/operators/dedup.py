@@ -202,11 +202,18 @@ def greedy_keep(buckets: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return out
 
 
+HASH_COL = "exact_hash"
+
+
 def exact_duplicate_ids(df: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=None) -> DataFrame:
-    """Ids of documents whose exact hash was already seen at a smaller id."""
-    src = df.select(id_col, "tokens") if "tokens" in df.columns else df.select(id_col, text_col)
-    h = with_tokens(src, text_col, tokenizer).select(F.col(id_col).alias("id"),
-                                                    exact_hash(F.col("tokens")).alias("hash"))
+    """Ids of documents whose exact hash was already seen at a smaller id.
+    Uses an ``exact_hash`` column when the table already has one."""
+    if HASH_COL in df.columns:
+        h = df.select(F.col(id_col).alias("id"), F.col(HASH_COL).alias("hash"))
+    else:
+        src = df.select(id_col, "tokens") if "tokens" in df.columns else df.select(id_col, text_col)
+        h = with_tokens(src, text_col, tokenizer).select(F.col(id_col).alias("id"),
+                                                        exact_hash(F.col("tokens")).alias("hash"))
     firsts = h.groupBy("hash").agg(F.min("id").alias("first"))   # map-side combined
     return h.join(firsts, on="hash").filter(F.col("id") != F.col("first")).select("id")
 

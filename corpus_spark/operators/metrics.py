@@ -37,7 +37,11 @@ def compute_metrics(df: DataFrame, metrics: Iterable[str], text_col: str = "text
         df = with_tokens(df, text_col, tokenizer)
     t = F.col(text_col)
     k = F.col("tokens") if "tokens" in df.columns else None
-    return df.select("*", *[m.fn(t, k).alias(m.name) for m in ms])
+    # Metrics are generated as one struct behind a Generate: filters on them
+    # (thresholds) cannot be pushed below it, so each metric is evaluated once.
+    packed = F.struct(*[m.fn(t, k).alias(m.name) for m in ms])
+    return (df.select("*", F.explode(F.array(packed)).alias("__metrics"))
+            .select(*df.columns, *[F.col("__metrics")[m.name].alias(m.name) for m in ms]))
 
 
 def drop_metric_columns(df: DataFrame, metrics: Iterable[str], keep_columns: bool = False) -> DataFrame:
