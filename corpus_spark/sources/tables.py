@@ -32,9 +32,8 @@ def bcp47_to_iso3(col: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), col), col)
 
 
-def read_documents(spark: SparkSession, sf_dir: str, with_n_chars: bool = False) -> DataFrame:
-    """The ``documents`` table in the document model."""
-    df = read_table(spark, sf_dir, "documents")
+def documents_model(df: DataFrame, with_n_chars: bool = False) -> DataFrame:
+    """Raw ``documents`` columns -> ``(id, text, language, source)``."""
     cols = [F.col("doc_id").alias("id"), F.col("text"), bcp47_to_iso3(F.col("lang")).alias("language"),
             F.col("source")]
     if with_n_chars:
@@ -42,6 +41,11 @@ def read_documents(spark: SparkSession, sf_dir: str, with_n_chars: bool = False)
     return df.select(*cols)
 
 
+def read_documents(spark: SparkSession, sf_dir: str, with_n_chars: bool = False) -> DataFrame:
+    """The ``documents`` table in the document model."""
+    return documents_model(read_table(spark, sf_dir, "documents"), with_n_chars)
+
+
 def read_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("id"), "text", F.lit("benchmark").alias("source"))
