@@ -249,10 +249,8 @@ def q_dedup_tok(spark, sf):
 
 # --- flagship ----------------------------------------------------------------------
 def flagship(d):
-    d = clean.pre_filter(d, scripts=["Latn"])
-    d = dedup.dedup_exact(d)
-    d = thr.gopher_threshold(d)
-    return part.partition(d, "length_chars", "balanced_chars", quality=True)
+    from ..plans.sieve import flagship as plan
+    return plan(d)
 
 
 FLAGSHIP_SQL = f"""
@@ -274,7 +272,28 @@ def q_flagship(spark, sf):
 def q_flagship_minhash(spark, sf):
     """README chain with MinHash too: script filter, exact + MinHash dedup
     (3-shingles, 0.8), Gopher preset, balanced_chars on length_chars."""
-    d = clean.pre_filter(docs(spark, sf), scripts=["Latn"])
-    d = dedup.deduplicate(d, exact_match=True, min_hash=True, jaccard_threshold=0.8, n_shingles=3)
-    d = thr.gopher_threshold(d)
-    return part.partition(d, "length_chars", "balanced_chars").select("id", "text", "language", "source")
+    from ..plans.sieve import run_config
+    cfg = {"experiment": "flagship", "languages": ["eng", "fra", "deu", "spa"],
+           "pre_filter": {"script_regex": True},
+           "deduplicate": {"exact_match": True, "min_hash": True, "jaccard_threshold": 0.8, "n_shingles": 3},
+           "threshold": {"preset": "gopher"},
+           "partition": {"split_method": "balanced_chars", "metrics": "length_chars", "quality": True}}
+    return run_config(docs(spark, sf), cfg).select("id", "text", "language", "source")
+
+
+@register("run_config")
+def q_run_config(spark, sf):
+    """Config-driven run: pre-filter (per-language scripts + C4), exact dedup,
+    a fixed threshold, mean-cutoff partition on two metrics (intersection),
+    per-language 10 % test split and temperature language sampling."""
+    from ..plans.sieve import run_config
+    cfg = {"experiment": "config", "languages": ["eng", "fra", "deu", "spa"],
+           "pre_filter": {"script_regex": True, "apply_c4_filter": True},
+           "deduplicate": {"exact_match": True},
+           "threshold": {"thresholds": {"length_words": 20}},
+           "partition": {"split_method": "mean_cutoff", "metrics": ["unique_words", "frac_unique_words"],
+                         "join_partitions_by": "union"},
+           "split": {"test_size": 0.1, "seed": 1},
+           "language_sampling": {"sampling_strategy": "temperature", "temperature": 0.5,
+                                 "interleaving_strategy": "first_exhausted"}}
+    return run_config(docs(spark, sf), cfg).select("t", "id", "language", "split")
