@@ -15,7 +15,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import chars, newline_lines, strip, tokenize, word_ngrams
+from .text import PY_WHITESPACE_NO_NL, TOKEN_PATTERN, chars, newline_lines, strip, tokenize, word_ngrams
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour)
@@ -89,6 +89,29 @@ def entropy(arr: Column) -> Column:
     return F.when(F.size(arr) > 0, F.greatest(h, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+def _cls(chars_: str) -> str:
+    """A regex character class matching exactly the given characters."""
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars_) + "]"
+
+
+_H = _cls(PY_WHITESPACE_NO_NL)   # strip()-able characters other than the newline
+
+
+def n_tokens(text: Column) -> Column:
+    """Number of default tokens without building the array."""
+    return F.regexp_count(text, F.lit(TOKEN_PATTERN))
+
+
+def n_nl_lines(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("\n")) + 1
+
+
+def _lines_ending(text: Column, ending_regex: str) -> Column:
+    """Lines (split on \n) whose stripped form ends with ``ending_regex``:
+    the ending, then only strip()-able characters, then \n or the end."""
+    return F.regexp_count(text, F.lit(f"(?:{ending_regex}){_H}*(?:\n|\z)"))
+
+
 def _trigrams(tokens: Column) -> Column:
     return word_ngrams(tokens, 3)
 
@@ -99,43 +122,45 @@ def _lines_stripped(text: Column) -> Column:
 
 _BUILTIN = [
     ("length_chars", lambda t, k: F.length(t).cast("long"), True, False),
-    ("length_words", lambda t, k: F.size(k).cast("long"), True, True),
+    ("length_words", lambda t, k: n_tokens(t).cast("long"), True, False),
     ("unique_words", lambda t, k: F.size(F.array_distinct(k)).cast("long"), True, True),
     ("unique_trigrams", lambda t, k: F.size(F.array_distinct(_trigrams(k))).cast("long"), True, True),
     ("unique_chars", lambda t, k: F.size(F.array_distinct(chars(t))).cast("long"), True, False),
     ("unique_char_trigrams",
      lambda t, k: F.size(F.array_distinct(word_ngrams(chars(t), 3))).cast("long"), True, False),
     ("alpha_chars", lambda t, k: F.regexp_count(t, F.lit(r"\p{L}")).cast("long"), True, False),
-    ("num_lines", lambda t, k: F.size(newline_lines(t)).cast("long"), True, False),
+    ("num_lines", lambda t, k: n_nl_lines(t).cast("long"), True, False),
     ("frac_all_caps_words",
      lambda t, k: _div(_count(k, lambda w: w.rlike(r"\p{IsUppercase}")
                               & ~w.rlike(r"[\p{IsLowercase}\p{Lt}]")), F.size(k)), True, True),
+    # A token starts with a letter/mark iff it is a word run (tokens of one
+    # symbol are never letters) whose first character is L or M, i.e. an L/M
+    # character not preceded by a word character: a native count, no array.
     ("frac_no_script_words",
-     lambda t, k: _div(_count(k, lambda w: w.rlike(r"^[\p{L}\p{M}]")), F.size(k)), True, True),
-    ("doc_mean_word_length", lambda t, k: _div(F.length(t), F.size(k)), True, True),
+     lambda t, k: _div(F.regexp_count(t, F.lit(r"(?U)(?<!\w)[\p{L}\p{M}]")), n_tokens(t)), True, False),
+    ("doc_mean_word_length", lambda t, k: _div(F.length(t), n_tokens(t)), True, False),
     ("frac_unique_words", lambda t, k: _div(F.size(F.array_distinct(k)), F.size(k)), True, True),
     ("frac_unique_trigrams",
      lambda t, k: F.when(F.size(k) >= 3, _div(F.size(F.array_distinct(_trigrams(k))), F.size(k) - 2))
      .otherwise(F.lit(0.0)), True, True),
     ("frac_unique_chars", lambda t, k: _div(F.size(F.array_distinct(chars(t))), F.length(t)), True, False),
     ("frac_lines_end_ellipsis",
-     lambda t, k: _div(_count(_lines_stripped(t),
-                              lambda ln: ln.endswith(ELLIPSIS_ENDINGS[0]) | ln.endswith(ELLIPSIS_ENDINGS[1])),
-                       F.size(newline_lines(t))), False, False),
+     lambda t, k: _div(_lines_ending(t, r"\.\.\.|\x{2026}"), n_nl_lines(t)), False, False),
+    # Symbols are one-character tokens, so "..." is never a token: the count is
+    # the number of '#' and U+2026 characters.
     ("frac_symbol_to_words",
-     lambda t, k: _div(_count(k, lambda w: w.isin(*SYMBOL_TOKENS)), F.size(k)), False, True),
+     lambda t, k: _div(F.regexp_count(t, F.lit(r"[#\x{2026}]")), n_tokens(t)), False, False),
     ("frac_pipes_in_words",
      lambda t, k: _div(_count(k, lambda w: w.contains(PIPE)), F.length(t)), False, True),
     ("unigram_entropy", lambda t, k: entropy(k), True, True),
     ("trigram_entropy", lambda t, k: entropy(_trigrams(k)), True, True),
     ("char_entropy", lambda t, k: entropy(chars(t)), True, False),
     ("lines_end_with_punctuation",
-     lambda t, k: _div(_count(_lines_stripped(t), lambda ln: ln.rlike(r"\p{P}\z")),
-                       F.size(newline_lines(t))), True, False),
+     lambda t, k: _div(_lines_ending(t, r"\p{P}"), n_nl_lines(t)), True, False),
     # Tokens never span a newline, so the per-line token sum equals the
     # document's token count (always with the default tokenizer).
     ("num_words_per_line",
-     lambda t, k: _div(F.size(tokenize(t)), F.size(newline_lines(t))), True, False),
+     lambda t, k: _div(n_tokens(t), n_nl_lines(t)), True, False),
 ]
 
 for _name, _fn, _hib, _nt in _BUILTIN:

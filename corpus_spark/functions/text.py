@@ -41,9 +41,18 @@ def tokenize(text) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(TOKEN_PATTERN), 0)
 
 
+# Characters Python's str.strip() removes (str.isspace()), spelled out so the
+# native btrim can remove them from both ends without a regex scan.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+# The same set minus the newline, for "end of line" tests on \n-separated lines.
+PY_WHITESPACE_NO_NL = PY_WHITESPACE.replace("\n", "")
+
+
 def strip(text) -> Column:
-    """Python ``str.strip()`` on a string column (Spark ``trim`` only removes U+0020)."""
-    return F.regexp_replace(_c(text), STRIP_PATTERN, "")
+    """Python ``str.strip()`` on a string column (Spark ``trim`` only removes
+    U+0020); native ``btrim`` with the fixed white-space set."""
+    return F.btrim(_c(text), F.lit(PY_WHITESPACE))
 
 
 def is_blank(text) -> Column:

@@ -247,23 +247,23 @@ def q_word_freq(spark, sf):
 
 @register("train_bpe")
 def q_train_bpe(spark, sf):
-    """300-piece BPE vocabulary from the corpus' word frequencies."""
-    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 300)
+    """150-piece BPE vocabulary from the corpus' word frequencies."""
+    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 150)
     return v
 
 
 @register("train_wordpiece")
 def q_train_wordpiece(spark, sf):
-    """300-piece WordPiece-style vocabulary (## continuation prefix)."""
-    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 300, continuing_prefix="##")
+    """150-piece WordPiece-style vocabulary (## continuation prefix)."""
+    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 150, continuing_prefix="##")
     return v
 
 
 @register("encode_corpus")
 def q_encode(spark, sf):
-    """Encode every document with a 300-piece BPE trained on the corpus."""
+    """Encode every document with a 150-piece BPE trained on the corpus."""
     d = docs(spark, sf)
-    v, merges = vocab.train_bpe(vocab.word_frequencies(d), 300)
+    v, merges = vocab.train_bpe(vocab.word_frequencies(d), 150)
     e = vocab.encode_corpus(d, merges, v)
     return e.select("id", F.size("input_ids").cast("long").alias("n_ids"),
                     F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
