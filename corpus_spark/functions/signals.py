@@ -97,13 +97,28 @@ def _cls(chars_: str) -> str:
 _H = _cls(PY_WHITESPACE_NO_NL)   # strip()-able characters other than the newline
 
 
+NTOK, NLINES = "__ntok", "__nlines"
+
+
 def n_tokens(text: Column) -> Column:
-    """Number of default tokens without building the array."""
-    return F.regexp_count(text, F.lit(TOKEN_PATTERN))
+    """Token count, computed once per document by ``compute_metrics`` (column
+    ``__ntok``: ``size(tokens)`` when the array exists, else a regex count)."""
+    return F.col(NTOK)
 
 
 def n_nl_lines(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("\n")) + 1
+    """Lines on \\n, computed once per document (column ``__nlines``)."""
+    return F.col(NLINES)
+
+
+def char_count(text: Column, ch: str) -> Column:
+    """Occurrences of one character: native replace + length, no regex."""
+    return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
+
+
+def shared_inputs(text: Column, tokens: Column | None) -> list[Column]:
+    ntok = F.size(tokens) if tokens is not None else F.regexp_count(text, F.lit(TOKEN_PATTERN))
+    return [ntok.alias(NTOK), (char_count(text, "\n") + 1).alias(NLINES)]
 
 
 def _lines_ending(text: Column, ending_regex: str) -> Column:
@@ -149,7 +164,7 @@ _BUILTIN = [
     # Symbols are one-character tokens, so "..." is never a token: the count is
     # the number of '#' and U+2026 characters.
     ("frac_symbol_to_words",
-     lambda t, k: _div(F.regexp_count(t, F.lit(r"[#\x{2026}]")), n_tokens(t)), False, False),
+     lambda t, k: _div(char_count(t, "#") + char_count(t, "\u2026"), n_tokens(t)), False, False),
     ("frac_pipes_in_words",
      lambda t, k: _div(_count(k, lambda w: w.contains(PIPE)), F.length(t)), False, True),
     ("unigram_entropy", lambda t, k: entropy(k), True, True),

@@ -7,7 +7,7 @@ from typing import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.signals import get_metric
+from ..functions.signals import NLINES, NTOK, get_metric, shared_inputs
 from ..functions.text import tokenize
 
 
@@ -37,10 +37,13 @@ def compute_metrics(df: DataFrame, metrics: Iterable[str], text_col: str = "text
         df = with_tokens(df, text_col, tokenizer)
     t = F.col(text_col)
     k = F.col("tokens") if "tokens" in df.columns else None
+    # Inputs several metrics share (token and line counts) are computed once
+    # in a projection below the Generate.
+    base = df.select("*", *shared_inputs(t, k))
     # Metrics are generated as one struct behind a Generate: filters on them
     # (thresholds) cannot be pushed below it, so each metric is evaluated once.
     packed = F.struct(*[m.fn(t, k).alias(m.name) for m in ms])
-    return (df.select("*", F.explode(F.array(packed)).alias("__metrics"))
+    return (base.select("*", F.explode(F.array(packed)).alias("__metrics"))
             .select(*df.columns, *[F.col("__metrics")[m.name].alias(m.name) for m in ms]))
 
 

@@ -19,8 +19,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Spread a table read from fewer files than the cluster has cores.
+
+    A parquet split is at most one row group, so a small table stored as a
+    single file (one row group) is scanned -- and all per-document work
+    fused into that scan runs -- in ONE task.  When the input has fewer files
+    than the default parallelism, rows are redistributed round-robin (a
+    deterministic repartition).  Large inputs have far more files than cores
+    and are left exactly as scanned (no extra shuffle)."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < par:
+        return df.repartition(par)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spread_small_input(spark.read.parquet(table_path(sf_dir, name)))
 
 
 def bcp47_to_iso3(col: Column) -> Column:
