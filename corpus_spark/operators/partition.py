@@ -79,7 +79,7 @@ def high_flag(df: DataFrame, metric: str, split_method: str, id_col: str = "id",
         out = attach_low_flag(df, metric, id_col, cuts, None, "__low")
         return out.withColumn(flag, ~F.col("__low")).drop("__low")
     if split_method == "elbow":
-        from .elbow import elbow_high_flag
+        from .curves import elbow_high_flag
         return elbow_high_flag(df, metric, id_col, flag)
     raise ValueError(f"Partition method not recognized: {split_method}.")
 
@@ -91,6 +91,9 @@ def select_flag(df: DataFrame, metric: str, split_method: str, quality: bool = T
     out = high_flag(df, metric, split_method, id_col, text_col, "__high")
     want_high = (hib and quality) or (not hib and not quality)
     keep = F.col("__high") if want_high else ~F.col("__high")
+    if split_method == "elbow":
+        # no knee: the reference's partition_1 and partition_2 both hold every row
+        keep = F.when(F.col("__high").isNull(), F.lit(True)).otherwise(keep)
     return out.withColumn(flag, F.coalesce(keep, F.lit(False))).drop("__high")
 
 

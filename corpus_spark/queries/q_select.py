@@ -103,6 +103,14 @@ def q_part_bchars(spark, sf):
     return part.partition(docs(spark, sf), "length_chars", "balanced_chars").select("id")
 
 
+@register("partition_elbow")
+def q_part_elbow(spark, sf):
+    """Knee of the descending length_words curve (degree-7 polynomial Kneedle);
+    quality=True on this higher-is-better metric keeps the part after the
+    knee, as the reference does."""
+    return part.partition(docs(spark, sf), "length_words", "elbow").select("id")
+
+
 # lower-is-better metric with quality=True returns the LOW side; quality=False the high side
 @register("partition_low_quality", f"""
 SELECT id FROM (SELECT id, {_m('frac_symbol_to_words')} AS m, avg({_m('frac_symbol_to_words')}) OVER () AS c FROM {TOKD})

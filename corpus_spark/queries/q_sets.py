@@ -182,3 +182,48 @@ SELECT sum(length(text))::BIGINT AS chars,
 FROM documents""")
 def q_vocab_size(spark, sf):
     return stats.predict_vocab_size(docs(spark, sf))
+
+
+# --- distribution statistics and curves ----------------------------------------------
+@register("ks_statistic", f"""
+WITH u AS (SELECT length(text)::DOUBLE AS v, CASE WHEN language = 'eng' THEN 1.0 ELSE 0.0 END AS ca,
+                  CASE WHEN language = 'eng' THEN 0.0 ELSE 1.0 END AS cb FROM {DOCS}),
+per AS (SELECT v, sum(ca) AS ca, sum(cb) AS cb FROM u GROUP BY v),
+c AS (SELECT sum(ca) OVER (ORDER BY v) / sum(ca) OVER () AS fa, sum(cb) OVER (ORDER BY v) / sum(cb) OVER () AS fb
+      FROM per)
+SELECT round(max(abs(fa - fb)), 6) AS ks FROM c""")
+def q_ks(spark, sf):
+    from ..operators.curves import ks_statistic
+    d = docs(spark, sf).withColumn("length_chars", F.length("text"))
+    return ks_statistic(d.filter(F.col("language") == "eng"), d.filter(F.col("language") != "eng"), "length_chars")
+
+
+@register("js_divergence")
+def q_js(spark, sf):
+    """JS divergence of 100-bin length histograms: English vs. the rest."""
+    from ..operators.curves import js_divergence
+    d = docs(spark, sf).withColumn("length_chars", F.length("text"))
+    js = js_divergence(d.filter(F.col("language") == "eng"), d.filter(F.col("language") != "eng"), "length_chars")
+    return spark.createDataFrame([(round(js, 6),)], "js double")
+
+
+@register("find_elbow", """
+WITH c AS (SELECT len(string_split(text, chr(10)))::DOUBLE AS x, count(*)::DOUBLE AS y FROM documents GROUP BY 1),
+s AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, arg_min(y, x) AS yf, arg_max(y, x) AS yl FROM c),
+n AS (SELECT c.x, (c.x - x0) / coalesce(nullif(x1 - x0, 0), 1) AS xn, (c.y - y0) / coalesce(nullif(y1 - y0, 0), 1) AS yn,
+             (yf - y0) / coalesce(nullif(y1 - y0, 0), 1) AS a, (yl - y0) / coalesce(nullif(y1 - y0, 0), 1) AS b FROM c, s)
+SELECT x AS elbow_x FROM n ORDER BY abs((b - a) * xn - yn + a) / sqrt((b - a) * (b - a) + 1) DESC, x LIMIT 1""")
+def q_find_elbow(spark, sf):
+    from ..operators.curves import find_elbow
+    from ..functions.signals import char_count
+    curve = docs(spark, sf).groupBy((char_count(F.col("text"), "\n") + 1).cast("double").alias("x")) \
+        .agg(F.count(F.lit(1)).cast("double").alias("y"))
+    return find_elbow(curve)
+
+
+@register("representative_sample_size")
+def q_rep_size(spark, sf):
+    """Smallest sample whose length distribution is representative (KS elbow)."""
+    from ..operators.curves import representative_sample_size
+    d = docs(spark, sf).withColumn("length_chars", F.length("text"))
+    return representative_sample_size(d, "length_chars", reps=2, n_sizes=8)
