@@ -124,7 +124,7 @@ def shared_inputs(text: Column, tokens: Column | None) -> list[Column]:
 def _lines_ending(text: Column, ending_regex: str) -> Column:
     """Lines (split on \n) whose stripped form ends with ``ending_regex``:
     the ending, then only strip()-able characters, then \n or the end."""
-    return F.regexp_count(text, F.lit(f"(?:{ending_regex}){_H}*(?:\n|\z)"))
+    return F.regexp_count(text, F.lit(rf"(?:{ending_regex}){_H}*(?:\n|\z)"))
 
 
 def _trigrams(tokens: Column) -> Column:
