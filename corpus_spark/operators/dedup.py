@@ -214,6 +214,8 @@ def exact_duplicate_ids(df: DataFrame, id_col: str = "id", text_col: str = "text
         src = df.select(id_col, "tokens") if "tokens" in df.columns else df.select(id_col, text_col)
         h = with_tokens(src, text_col, tokenizer).select(F.col(id_col).alias("id"),
                                                         exact_hash(F.col("tokens")).alias("hash"))
+        # (id, hash) is read twice below; keep it instead of tokenising the corpus twice
+        h = h.persist(StorageLevel.MEMORY_AND_DISK)
     firsts = h.groupBy("hash").agg(F.min("id").alias("first"))   # map-side combined
     return h.join(firsts, on="hash").filter(F.col("id") != F.col("first")).select("id")
 

@@ -65,3 +65,4 @@ def test_hostile_rows(spark):
     # "a b" and "ab" have the same exact hash (tokens joined without separator)
     h = {r.id: r.h for r in dedup.dedup_exact(df).select("id", F.lit(1).alias("h")).collect()}
     assert 3 in h and 10 not in h and 11 not in h   # "a\r\nb", "a b", "ab" share a hash
+
