@@ -18,10 +18,12 @@ smaller than the corpus but still distributed):
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from typing import Iterable, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -286,3 +288,83 @@ def merge_vocabularies(base: DataFrame, extra: DataFrame, specials: Iterable[str
             out = out.unionByName(out.sparkSession.createDataFrame(
                 [(s, nxt + i) for i, s in enumerate(new)], "piece string, id long"))
     return out
+
+
+# --- Unigram language-model vocabulary ------------------------------------------------
+def _viterbi(word: str, logp: dict, max_len: int) -> list[str]:
+    """Most probable segmentation of ``word`` into known pieces (single
+    characters are always known, so a segmentation exists)."""
+    n = len(word)
+    best = [0.0] + [-1e300] * n
+    back = [0] * (n + 1)
+    for end in range(1, n + 1):
+        for start in range(max(0, end - max_len), end):
+            lp = logp.get(word[start:end])
+            if lp is not None and best[start] + lp > best[end]:
+                best[end], back[end] = best[start] + lp, start
+    pieces, end = [], n
+    while end > 0:
+        pieces.append(word[back[end]:end])
+        end = back[end]
+    return pieces[::-1]
+
+
+def train_unigram(freqs: DataFrame, vocab_size: int, specials: dict | None = None, max_piece_len: int = 8,
+                  seed_factor: int = 4, em_rounds: int = 2, shrink: float = 0.75) -> DataFrame:
+    """Unigram-LM vocabulary on a ``(word, count)`` table.
+
+    Seeds: every single character plus the most frequent substrings (up to
+    ``max_piece_len`` characters, counted with explode + groupBy, weighted by
+    word frequency) -- ``seed_factor`` times the target size.  Then rounds of
+    hard EM: each distinct word is segmented with Viterbi under the current
+    piece log-probabilities (Arrow batches, log-probabilities broadcast; their
+    number is bounded by the seed size), piece counts are summed with
+    ``groupBy`` (M-step), and the least used multi-character pieces are pruned
+    by ``shrink`` until the target size is reached.  Returns
+    ``(piece, id, score)`` with the reserved special tokens first."""
+    spark = freqs.sparkSession
+    words = freqs.filter(F.length("word") > 0).select("word", "count").persist(StorageLevel.MEMORY_AND_DISK)
+    specials_df = special_tokens_table(spark, specials)
+    n_special = specials_df.count()
+    target = vocab_size - n_special
+    chars_ = {r[0]: r[1] for r in words.select(F.explode(F.split("word", "")).alias("p"), "count")
+              .groupBy("p").agg(F.sum("count").alias("c")).collect()}
+    n = F.length("word")
+    subs = words.select(F.explode(F.flatten(F.transform(
+        F.sequence(F.lit(2), F.least(n, F.lit(max_piece_len))),
+        lambda L: F.transform(F.sequence(F.lit(1), n - L + 1), lambda i: F.substr(F.col("word"), i, L))))).alias("p"),
+        "count")
+    seeds = (subs.groupBy("p").agg(F.sum("count").alias("c"))
+             .orderBy(F.desc("c"), "p").limit(max(0, seed_factor * target - len(chars_))).collect())
+    counts = dict(chars_)
+    counts.update({r[0]: r[1] for r in seeds})
+    while True:
+        for _ in range(em_rounds):
+            total = float(sum(counts.values()))
+            logp = {p: math.log(c / total) for p, c in counts.items() if c > 0}
+            for ch in chars_:
+                logp.setdefault(ch, math.log(0.5 / total))
+            b = spark.sparkContext.broadcast(logp)
+
+            def seg(batches, b=b):
+                lp = b.value
+                for pdf in batches:
+                    rows = [(p, c) for w, c in zip(pdf["word"], pdf["count"]) for p in _viterbi(w, lp, max_piece_len)]
+                    yield pd.DataFrame(rows, columns=["p", "count"]) if rows else \
+                        pd.DataFrame({"p": pd.Series(dtype=str), "count": pd.Series(dtype="int64")})
+
+            new = words.mapInPandas(seg, "p string, count long").groupBy("p").agg(F.sum("count").alias("c")).collect()
+            counts = {r[0]: r[1] for r in new}
+            for ch in chars_:
+                counts.setdefault(ch, 0)
+        multi = sorted((p for p in counts if len(p) > 1), key=lambda p: (-counts[p], p))
+        if len(chars_) + len(multi) <= target:
+            break
+        keep = max(target - len(chars_), int(len(multi) * shrink))
+        counts = {p: c for p, c in counts.items() if len(p) == 1 or p in set(multi[:keep])}
+    total = float(sum(counts.values())) or 1.0
+    ordered = sorted(counts, key=lambda p: (-counts[p], p))[:target]
+    rows = [(p, n_special + i, math.log(counts[p] / total) if counts[p] > 0 else -1e9) for i, p in enumerate(ordered)]
+    body = spark.createDataFrame(rows, "piece string, id long, score double")
+    words.unpersist()
+    return specials_df.select("piece", "id", F.lit(0.0).alias("score")).unionByName(body)

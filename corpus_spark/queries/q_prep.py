@@ -259,6 +259,12 @@ def q_train_wordpiece(spark, sf):
     return v
 
 
+@register("train_unigram")
+def q_train_unigram(spark, sf):
+    """150-piece unigram-LM vocabulary (substring seeds, Viterbi EM, pruning)."""
+    return vocab.train_unigram(vocab.word_frequencies(docs(spark, sf)), 150)
+
+
 @register("encode_corpus")
 def q_encode(spark, sf):
     """Encode every document with a 150-piece BPE trained on the corpus."""

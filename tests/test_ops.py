@@ -144,3 +144,16 @@ def test_streaming_refuses_global_ops(spark, tmp_path):
         part.partition(sdf, "length_words", "balanced_docs")
     with pytest.raises(ValueError):
         apply_threshold(sdf, {"length_words": "auto"})
+
+
+def test_unigram_vocab(spark):
+    freqs = {"lower": 5, "lowest": 3, "newer": 6, "wider": 2, "low": 7, "new": 4}
+    df = spark.createDataFrame(list(freqs.items()), "word string, count long")
+    v = vocab.train_unigram(df, 4 + 20)
+    rows = v.collect()
+    assert len(rows) == 24
+    pieces = {r.piece for r in rows}
+    assert set("".join(freqs)) <= pieces
+    lp = {r.piece: r.score for r in rows if r.id >= 4}
+    for w in freqs:
+        assert "".join(vocab._viterbi(w, lp, 8)) == w
