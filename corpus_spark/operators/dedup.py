@@ -106,8 +106,9 @@ def minhash_signatures(df: DataFrame, n_shingles: int = 1, id_col: str = "id",
     reference, where an empty MinHash equals every other empty one)."""
     df = with_tokens(df.select(id_col, text_col) if "tokens" not in df.columns
                      else df.select(id_col, "tokens"), text_col, tokenizer)
+    # duplicates do not change a minimum, so shingles are not de-duplicated here
     ex = df.select(F.col(id_col).alias("id"),
-                   F.explode_outer(shingles(F.col("tokens"), n_shingles)).alias("sh"))
+                   F.explode_outer(word_ngrams(F.col("tokens"), n_shingles)).alias("sh"))
     ex = ex.select("id", shingle_hash(F.col("sh")).alias("h"))
     aggs = [F.min((F.lit(a) * F.col("h") + F.lit(b)) % F.lit(PRIME)).alias(f"p{i}")
             for i, (a, b) in enumerate(PERMS)]
