@@ -300,3 +300,18 @@ def q_merge_vocab(spark, sf):
     a = _ranked_words(spark, read_table(spark, sf, "documents"), 50, 4)
     b = _ranked_words(spark, read_table(spark, sf, "benchmark"), 2, 0)
     return vocab.merge_vocabularies(a, b)
+
+
+@register("special_tokens", f"""
+WITH w AS (SELECT word AS piece, (row_number() OVER (ORDER BY c DESC, word) - 1 + 5)::BIGINT AS id
+           FROM {_wf('documents')} WHERE c >= 50)
+SELECT piece, id FROM (VALUES ('<pad>', 0::BIGINT), ('<unk>', 1::BIGINT), ('<s>', 2::BIGINT), ('</s>', 3::BIGINT),
+                              ('<mask>', 4::BIGINT)) AS t(piece, id)
+UNION ALL SELECT piece, id FROM w""")
+def q_special_tokens(spark, sf):
+    """Reserved special-token rows (pad 0, unk 1, bos 2, eos 3, then the
+    user-defined mask token) in front of the corpus' word vocabulary."""
+    sp = vocab.special_tokens_table(spark, {"mask_token": "<mask>"}).select("piece", "id")
+    n = sp.count()
+    words = _ranked_words(spark, read_table(spark, sf, "documents"), 50, n)
+    return sp.unionByName(words)
