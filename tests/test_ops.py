@@ -189,3 +189,14 @@ def test_run_config_and_entry(spark):
     assert rows and {r.language for r in rows} <= {"eng", "fra"} and {r.split for r in rows} == {"train", "test"}
     e = E.entry(spark)
     assert e.columns == ["id", "text", "language", "source"] and e.count() > 0
+
+
+def test_sampling_strategy_sizes(multi):
+    first = sampling.apply_language_sampling(multi, "uniform", interleaving_strategy="first_exhausted").count()
+    every = sampling.apply_language_sampling(multi, "uniform", interleaving_strategy="all_exhausted").count()
+    assert every > first
+    only = splits.remove_language(splits.remove_language(splits.remove_language(multi, "rus"), "ell"), "zho")
+    rows = sampling.apply_language_sampling(only, "uniform").collect()
+    assert {r.language for r in rows} == {"eng"} and len(rows) == 3
+    with pytest.raises(ValueError, match="Invalid strategy"):
+        sampling.apply_language_sampling(multi, "nope")
