@@ -93,3 +93,25 @@ def test_needs_a_method(spark):
     df = spark.createDataFrame([(0, "a")], "id long, text string")
     with pytest.raises(ValueError):
         dedup.deduplicate(df)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lsh_candidates_brute_force(spark, seed):
+    rnd = random.Random(100 + seed)
+    n = 60
+    pairs = set()
+    for i in range(n):
+        for band in range(3):
+            pairs.add((i, band, f"k{rnd.randrange(12)}"))
+    for i in rnd.sample(range(n), n // 3):      # a hot bucket with a third of the documents
+        pairs.add((i, 0, "hot"))
+    df = spark.createDataFrame(sorted(pairs), "id long, band int, bkey string")
+    got = {r.id: (r.first_candidate, r.shared_buckets) for r in dedup.lsh_candidates(df).collect()}
+    members = {}
+    for i, b, k in pairs:
+        members.setdefault((b, k), set()).add(i)
+    for i in range(n):
+        mine = [(b, k) for (j, b, k) in pairs if j == i]
+        others = set().union(*[members[m] - {i} for m in mine])
+        shared = sum(1 for m in mine if len(members[m]) >= 2)
+        assert got[i] == (min(others) if others else None, shared)
