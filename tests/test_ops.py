@@ -200,3 +200,37 @@ def test_sampling_strategy_sizes(multi):
     assert {r.language for r in rows} == {"eng"} and len(rows) == 3
     with pytest.raises(ValueError, match="Invalid strategy"):
         sampling.apply_language_sampling(multi, "nope")
+
+
+def py_spans(tags):
+    spans, start, typ = [], None, None
+    for i, t in enumerate(tags + ["O"]):
+        cont = t.startswith("I-") and typ == t[2:]
+        if start is not None and not cont:
+            spans.append((start, i - 1, typ))
+            start, typ = None, None
+        if t.startswith("B-") or (t.startswith("I-") and not cont):
+            start, typ = i, t[2:]
+    return spans
+
+
+def test_entity_span_f1_matches_python(spark):
+    from corpus_spark.operators import evaluate
+    rows = [(0, ["B-PER", "I-PER", "O", "B-LOC"], ["B-PER", "I-PER", "O", "O"]),
+            (1, ["I-ORG", "I-ORG", "B-ORG", "O"], ["B-ORG", "I-ORG", "B-ORG", "O"]),
+            (2, ["O", "B-PER", "I-LOC", "I-LOC"], ["O", "B-PER", "B-LOC", "I-LOC"])]
+    df = spark.createDataFrame(rows, "id long, gold_tags array<string>, pred_tags array<string>")
+    r = evaluate.entity_span_f1(df).first()
+    g = {(i, *s) for i, gt, _ in rows for s in py_spans(gt)}
+    p = {(i, *s) for i, _, pt in rows for s in py_spans(pt)}
+    tp = len(g & p)
+    prec, rec = tp / len(p), tp / len(g)
+    assert (r.precision, r.recall) == (round(prec, 6), round(rec, 6))
+    assert r.f1 == round(2 * prec * rec / (prec + rec), 6)
+
+
+def test_align_word_labels(spark):
+    from corpus_spark.operators import prep
+    df = spark.createDataFrame([(0, [-1, 0, 0, 1, 2, 2, 2, -1], [5, 6, 7])],
+                               "id long, word_ids array<long>, tags array<int>")
+    assert prep.align_word_labels(df).first().labels == [-100, 5, -100, 6, 7, -100, -100, -100]
