@@ -48,11 +48,40 @@ def median_value(df: DataFrame, metric: str, id_col: str = "id") -> float | None
         keys.unpersist()
 
 
+def _high_flag_by(df: DataFrame, metric: str, split_method: str, by: list[str], id_col: str,
+                  text_col: str, flag: str) -> DataFrame:
+    """Per-group version of :func:`high_flag` (mean and balanced methods)."""
+    m = F.col(metric)
+    if split_method == "mean_cutoff":
+        means = df.groupBy(*by).agg(F.avg(m.cast("double")).alias("__mean"))
+        # one row per group: broadcast is bounded by the number of groups
+        j = df.join(F.broadcast(means), on=by, how="left")
+        return j.withColumn(flag, m >= F.col("__mean")).drop("__mean")
+    if split_method in ("balanced_docs", "balanced_chars"):
+        src, weight = df, None
+        if split_method == "balanced_chars":
+            src, weight = df.withColumn("__len", F.length(F.col(text_col)).cast("long")), "__len"
+        keys = src.select(*by, metric, id_col, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            tot = F.sum(weight) if weight else F.count(F.lit(1))
+            budgets = {tuple(r[g] for g in by): (r["t"] or 0) // 2
+                       for r in keys.groupBy(*by).agg(tot.alias("t")).collect()}
+            cuts = find_cuts(keys, metric, id_col, weight, budgets, by)
+        finally:
+            keys.unpersist()
+        out = attach_low_flag(df, metric, id_col, cuts, by, "__low")
+        return out.withColumn(flag, ~F.col("__low")).drop("__low")
+    raise ValueError("by= supports mean_cutoff, balanced_docs and balanced_chars")
+
+
 def high_flag(df: DataFrame, metric: str, split_method: str, id_col: str = "id",
-              text_col: str = "text", flag: str = "__high") -> DataFrame:
+              text_col: str = "text", flag: str = "__high", by: list[str] | None = None) -> DataFrame:
     """Add a boolean ``flag``: True for partition 2 (the high side), False for
     partition 1.  Rows with an undefined (NULL) metric get NULL for the
-    cutoff methods and sort last for the balanced ones."""
+    cutoff methods and sort last for the balanced ones.  ``by`` splits each
+    group (e.g. language) separately."""
+    if by:
+        return _high_flag_by(df, metric, split_method, list(by), id_col, text_col, flag)
     m = F.col(metric)
     if split_method == "mean_cutoff":
         mean = df.agg(F.avg(m.cast("double"))).first()[0]
@@ -85,10 +114,11 @@ def high_flag(df: DataFrame, metric: str, split_method: str, id_col: str = "id",
 
 
 def select_flag(df: DataFrame, metric: str, split_method: str, quality: bool = True,
-                id_col: str = "id", text_col: str = "text", flag: str = "__keep") -> DataFrame:
+                id_col: str = "id", text_col: str = "text", flag: str = "__keep",
+                by: list[str] | None = None) -> DataFrame:
     """Flag the rows the reference's ``select_indices`` would return."""
     hib = True if metric == "combined_metrics" else get_metric(metric).higher_is_better
-    out = high_flag(df, metric, split_method, id_col, text_col, "__high")
+    out = high_flag(df, metric, split_method, id_col, text_col, "__high", by)
     want_high = (hib and quality) or (not hib and not quality)
     keep = F.col("__high") if want_high else ~F.col("__high")
     if split_method == "elbow":
@@ -119,8 +149,11 @@ def combined_score(df: DataFrame, metrics: Sequence[str], out: str = "combined_m
 def partition(df: DataFrame, metrics: str | Sequence[str], split_method: str, quality: bool = True,
               join_partitions_by: str | None = None, keep_columns: bool = False,
               id_col: str = "id", text_col: str = "text",
-              tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Return the selected half of ``df`` (see module docstring)."""
+              tokenizer: Callable[[Column], Column] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Return the selected half of ``df`` (see module docstring).  ``by``
+    (e.g. ``["language"]``) splits every group separately instead of the
+    combined table (the reference's multilingual behaviour is the combined
+    table, the default)."""
     if df.isStreaming:
         raise ValueError("partitioning needs global statistics; not available on a stream")
     if split_method not in METHODS:
@@ -132,7 +165,7 @@ def partition(df: DataFrame, metrics: str | Sequence[str], split_method: str, qu
             raise ValueError("Invalid join method. Please specify either 'intersection', 'union' or 'scores'.")
         flags = []
         for i, mname in enumerate(metrics):
-            df = select_flag(df, mname, split_method, quality, id_col, text_col, f"__keep{i}")
+            df = select_flag(df, mname, split_method, quality, id_col, text_col, f"__keep{i}", by)
             flags.append(F.col(f"__keep{i}"))
         cond = flags[0]
         for f in flags[1:]:
@@ -140,9 +173,9 @@ def partition(df: DataFrame, metrics: str | Sequence[str], split_method: str, qu
         out = df.filter(cond).drop(*[f"__keep{i}" for i in range(len(metrics))])
     elif len(metrics) > 1:
         df = combined_score(df, metrics)
-        out = select_flag(df, "combined_metrics", split_method, quality, id_col, text_col, "__keep") \
+        out = select_flag(df, "combined_metrics", split_method, quality, id_col, text_col, "__keep", by) \
             .filter("__keep").drop("__keep", "combined_metrics")
     else:
-        out = select_flag(df, metrics[0], split_method, quality, id_col, text_col, "__keep") \
+        out = select_flag(df, metrics[0], split_method, quality, id_col, text_col, "__keep", by) \
             .filter("__keep").drop("__keep")
     return drop_metric_columns(out, metrics, keep_columns)

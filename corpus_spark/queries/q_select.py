@@ -111,6 +111,15 @@ def q_part_elbow(spark, sf):
     return part.partition(docs(spark, sf), "length_words", "elbow").select("id")
 
 
+@register("partition_balanced_chars_by_language", f"""
+SELECT id, language FROM (SELECT id, language,
+  sum(length(text)) OVER (PARTITION BY language ORDER BY {_m('length_words')}, id ROWS UNBOUNDED PRECEDING) AS cum,
+  sum(length(text)) OVER (PARTITION BY language) AS tot FROM {TOKD}) WHERE cum > tot // 2""")
+def q_part_bchars_lang(spark, sf):
+    """balanced_chars on length_words within each language (``by=["language"]``)."""
+    return part.partition(docs(spark, sf), "length_words", "balanced_chars", by=["language"]).select("id", "language")
+
+
 # lower-is-better metric with quality=True returns the LOW side; quality=False the high side
 @register("partition_low_quality", f"""
 SELECT id FROM (SELECT id, {_m('frac_symbol_to_words')} AS m, avg({_m('frac_symbol_to_words')}) OVER () AS c FROM {TOKD})
