@@ -1,9 +1,11 @@
 """Registered queries of this subpackage and their DuckDB oracle SQL."""
 
+from .bpe_codec import op9_byte_bpe
 from .token_blocks import op1_token_blocks
 
 LLM_QUERIES = {
     "op1_token_blocks": op1_token_blocks,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 LLM_ORACLES: dict[str, str] = {}

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +33,19 @@ class ChunkEncoder:
     ``spaces_dropped``: the tokenizer drops white space before anything else
     looks at it, so every blank is a safe cut.  Otherwise (byte-level BPE) a
     cut is safe where visible characters meet a blank or line feed.
+    ``encode_chunks`` turns a list of strings into their lists of ids.
     """
 
-    def __init__(self, path: str, spaces_dropped: bool):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    def __init__(self, encode_chunks: Callable[[list[str]], list[list[int]]], spaces_dropped: bool):
+        self._encode_chunks = encode_chunks
         self._spaces_dropped = spaces_dropped
         self._ids: dict[str, bytes] = {}
 
     def _fill(self, table: dict[str, bytes], chunks: list[str]) -> None:
         for at in range(0, len(chunks), 20_000):
             part = chunks[at:at + 20_000]
-            done = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            ids = [e.ids for e in done]
-            flat = np.fromiter((i for x in ids for i in x), ID_TYPE).tobytes()
+            ids = self._encode_chunks(part)
+            flat = np.fromiter(chain.from_iterable(ids), ID_TYPE).tobytes()
             to = 0
             for chunk, x in zip(part, ids):
                 table[chunk] = flat[to:(to := to + 4 * len(x))]
@@ -85,7 +84,13 @@ def encoder(path: str, spaces_dropped: bool) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file."""
     key = (path, spaces_dropped)
     if key not in _encoders:
-        _encoders[key] = ChunkEncoder(path, spaces_dropped)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        _encoders[key] = ChunkEncoder(
+            lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)],
+            spaces_dropped)
     return _encoders[key]
 
 
