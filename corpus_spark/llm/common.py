@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -181,3 +182,18 @@ def distinct_per_text(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     keep[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
     h, t = h[keep], t[keep]
     return h, np.searchsorted(t, np.arange(len(first)), side="left")
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+               max_rows: int = 200_000, salts: int = 16) -> DataFrame:
+    """Join a materialised table of short rows to a large one whose keys may be
+    hot.  Up to ``max_rows`` rows (counted) it is broadcast; beyond, the large
+    side's keys are salted and the small side is repeated for each salt, so no
+    key stays in one task.  ``how``: inner or left."""
+    if how not in ("inner", "left"):
+        raise ValueError(f"how must be inner or left, not {how!r}")
+    if small.count() <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    every = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(every, [*on, "_salt"], how).drop("_salt")
