@@ -1,12 +1,14 @@
 """Registered queries of this subpackage and their DuckDB oracle SQL."""
 
 from .bpe_codec import op9_byte_bpe
+from .fingerprint import op8_fingerprints
 from .line_quality import op2_line_quality
 from .token_blocks import op1_token_blocks
 
 LLM_QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_line_quality": op2_line_quality,
+    "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
