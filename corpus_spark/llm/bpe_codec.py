@@ -96,13 +96,20 @@ class ByteBpe:
         self._pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self._chunks = ChunkEncoder(self.encode_chunks, spaces_dropped=False)
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        cut = [[p.encode("utf-8", "surrogatepass") for p in self._pieces(c)] for c in chunks]
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids of all strings on end, number of each)``."""
+        cut = [[p.encode() for p in self._pieces(c)] for c in chunks]
         known = self.encode_pieces(list(dict.fromkeys(p for c in cut for p in c)))
-        return [[i for p in c for i in known[p]] for c in cut]
+        ids = np.fromiter((i for c in cut for p in c for i in known[p]), ID_TYPE)
+        return ids, np.array([sum(len(known[p]) for p in c) for c in cut])
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids of all texts on end, offsets)``; a null text is empty."""
+        return self._chunks.encode(texts)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, ID_TYPE) for x in self._chunks.encode(texts)]
+        ids, at = self.encode_array(pa.array(texts, pa.large_string()))
+        return [ids[at[i]:at[i + 1]] for i in range(len(texts))]
 
     def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
         """Ids of distinct pieces; a piece that is a token is that token."""
@@ -208,11 +215,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = codec(path, pattern)
         for batch in batches:
             for part in slices(batch):
-                found = bpe.encode([t or "" for t in part.column(1).to_pylist()])
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+                ids, at = bpe.encode_array(part.column(1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))],
+                    names=["doc_id", "ids"])
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 

@@ -115,7 +115,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray,
-               piece: int = 1 << 20) -> np.ndarray:
+               piece: int = 1 << 16) -> np.ndarray:
     """64-bit hashes of the byte ranges ``[starts, ends)`` of ``buf`` (sorted,
     not overlapping, not empty).  Worked off in pieces of about ``piece``
     bytes, cut between ranges."""
@@ -133,6 +133,14 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     return out
 
 
+def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ranges ``[start, start + length)`` of ``pool`` on end."""
+    ends = np.cumsum(lengths)
+    if not len(ends) or not ends[-1]:
+        return pool[:0]
+    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
+
+
 def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(starts, ends, first)``: byte ranges of all words of all texts, and
     for each text the index of its first word (``len(texts) + 1`` entries)."""

@@ -83,7 +83,9 @@ def pack_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray,
     out = np.zeros(head + int(size.sum()), np.uint8)
     for w in np.unique(width[width > 0]):
         which = np.flatnonzero(width == w)
-        bits = ((diff[which][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+        wide = 2 if w <= 16 else 4
+        raw = diff[which].astype(f"<u{wide}").view(np.uint8).reshape(-1, wide)
+        bits = np.unpackbits(raw, axis=1, count=w, bitorder="little")
         packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
         out[starts[which][:, None] + np.arange(packed.shape[1])] = packed
     if len(row):
@@ -124,11 +126,10 @@ class Segment:
         for w in np.unique(width[width > 0]):
             rows = np.flatnonzero(width == w)
             packed = self._bytes[starts[rows][:, None] + np.arange(w * size // 8)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), size, w)
-            low = np.zeros((len(rows), size), np.uint32)
-            for b in range(w):
-                low |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-            out[rows] = low
+            bits = np.zeros((len(rows) * size, 16 if w <= 16 else 32), np.uint8)
+            bits[:, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(-1, w)
+            low = np.packbits(bits, axis=1, bitorder="little").view("<u2" if w <= 16 else "<u4")
+            out[rows] = low.reshape(len(rows), size)
         total = int(patches.sum())
         if total:
             row = np.repeat(np.arange(len(which)), patches)
@@ -176,13 +177,13 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, segment = TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple[int | None, np.ndarray]] = []
         size = written = 0
 
         def emit() -> pa.RecordBatch:
             nonlocal held, size, segment, written
-            content = pack_segment([d for d, _ in held], [len(x) // 4 for _, x in held],
-                                   np.frombuffer(b"".join(x for _, x in held), ID_TYPE), block_size, percentile)
+            content = pack_segment([d for d, _ in held], [len(x) for _, x in held],
+                                   np.concatenate([x for _, x in held]), block_size, percentile)
             row = pa.RecordBatch.from_pydict(
                 {"shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()),
                  "first_id": pa.array([held[0][0]], pa.int64()), "n_docs": pa.array([len(held)], pa.int32()),
@@ -196,7 +197,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 for doc, ids in zip(part.column(0).to_pylist(),
                                     encode_column(part.column(1), tokenizer, spaces_dropped, end_id)):
                     held.append((doc, ids))
-                    size += len(ids) // 4
+                    size += len(ids)
                     if size >= segment_ids:
                         yield emit()
         if held:

@@ -1,102 +1,233 @@
 """Encoding whole texts with a public tokenizer file inside Spark tasks.
 
 A text is cut where no token can cross (before a blank or line feed that
-follows a visible character), the ``tokenizers`` library encodes each distinct
-chunk once, and the ids of the text are the ids of its chunks on end.  A text
-in which such a cut would not be safe is encoded whole.  The chunk table of a
-worker is emptied when it holds ``MAX_CHUNKS`` chunks, so its memory is
-bounded whatever the corpus holds.
+follows a visible character), each distinct chunk is encoded once, and the ids
+of the text are the ids of its chunks on end.  A text in which such a cut
+would not be safe is encoded whole.  A worker keeps the ids of the chunks it
+has met in numpy arrays under 64-bit hashes of their bytes; they are emptied
+when they are full, so memory is bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
+from .common import gather, hash_spans, text_buffer
+
 ID_TYPE = np.dtype("<u4")
-MAX_CHUNKS = 800_000
-#: Longer chunks are encoded each time they occur and never kept.
-MAX_CHUNK_CHARS = 200
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-_encoders: dict[tuple[str, bool], "ChunkEncoder"] = {}
+#: Chunks and ids that a worker keeps.
+MAX_CHUNKS = 1 << 21
+MAX_IDS = 1 << 24
+
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[[0x20, 0x0A]] = True
+#: Marks that no rule of a tokenizer joins to the letter before them.
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+class _Table:
+    """Open-addressing hash table: 64-bit key -> range of a pool of ids."""
+
+    def __init__(self):
+        self._mask = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = self.used = 0
+        self._pool = np.zeros(1 << 12, ID_TYPE)
+        self._resize(1 << 12)
+
+    def _resize(self, size: int) -> None:
+        old = None if not self.n else (self._key, self._start, self._length)
+        self._mask = size - 1
+        self._key = np.zeros(size, np.uint64)
+        self._start = np.full(size, -1, np.int64)
+        self._length = np.zeros(size, np.int32)
+        if old:
+            full = old[1] >= 0
+            self._place(old[0][full], old[1][full], old[2][full])
+
+    def _place(self, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        slot, left = (keys & np.uint64(self._mask)).astype(np.int64), np.arange(len(keys))
+        while len(left):  # of the keys that want a free slot one gets it, the others step on
+            at = slot[left]
+            free = left[self._start[at] < 0]
+            self._key[slot[free]] = keys[free]
+            self._start[slot[free]] = starts[free]
+            self._length[slot[free]] = lengths[free]
+            left = left[self._key[at] != keys[left]]
+            slot[left] = (slot[left] + 1) & self._mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of keys, -1 where absent."""
+        slot = (keys & np.uint64(self._mask)).astype(np.int64)
+        free = self._start[slot] < 0
+        hit = (self._key[slot] == keys) & ~free
+        out = np.where(hit, slot, -1)
+        todo = np.flatnonzero(~hit & ~free)
+        at = slot[todo]
+        while len(todo):
+            at = (at + 1) & self._mask
+            free = self._start[at] < 0
+            hit = (self._key[at] == keys[todo]) & ~free
+            out[todo[hit]] = at[hit]
+            on = ~hit & ~free
+            todo, at = todo[on], at[on]
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """New distinct keys with the ids of each on end."""
+        while 2 * (self.n + len(keys)) > self._mask + 1:
+            self._resize(2 * (self._mask + 1))
+        if self.used + len(ids) > len(self._pool):
+            self._pool = np.concatenate((self._pool[:self.used], ids, np.zeros(self.used + len(ids), ID_TYPE)))
+        else:
+            self._pool[self.used:self.used + len(ids)] = ids
+        starts = self.used + np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+        self._place(keys, starts, lengths.astype(np.int32))
+        self.n += len(keys)
+        self.used += len(ids)
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids on end, number of each)``; slot -1 has none."""
+        lengths = np.where(slots >= 0, self._length[slots], 0)
+        return gather(self._pool, self._start[slots], lengths), lengths
 
 
 class ChunkEncoder:
-    """``encode(texts)``: per text its ids as little-endian unsigned 32-bit
-    integers on end.
+    """Ids of whole texts from ids of their chunks.
 
     ``spaces_dropped``: the tokenizer drops white space before anything else
     looks at it, so every blank is a safe cut.  Otherwise (byte-level BPE) a
     cut is safe where visible characters meet a blank or line feed.
-    ``encode_chunks`` turns a list of strings into their lists of ids.
+    ``encode_chunks`` turns a list of distinct strings into their ids on end
+    and the number of each.
     """
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[list[int]]], spaces_dropped: bool):
+    def __init__(self, encode_chunks: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaces_dropped: bool):
         self._encode_chunks = encode_chunks
         self._spaces_dropped = spaces_dropped
-        self._ids: dict[str, bytes] = {}
-
-    def _fill(self, table: dict[str, bytes], chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at:at + 20_000]
-            ids = self._encode_chunks(part)
-            flat = np.fromiter(chain.from_iterable(ids), ID_TYPE).tobytes()
-            to = 0
-            for chunk, x in zip(part, ids):
-                table[chunk] = flat[to:(to := to + 4 * len(x))]
-
-    def _cut(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ") if self._spaces_dropped else _CHUNK(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        new = set()
-        for chunks in cut:
-            new.update(chunks)
+        self._table = _Table()
+
+    def _spans(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        separator = _SEPARATOR[buf]
+        begin = ~separator if self._spaces_dropped else separator.copy()
+        begin[1:] &= separator[:-1] if self._spaces_dropped else ~separator[:-1]
+        border = offsets[:-1][np.diff(offsets) > 0]
+        if not self._spaces_dropped:
+            begin[border] = True
+            starts = np.flatnonzero(begin)
+            return starts, np.append(starts[1:], len(buf))
+        begin[border] = ~separator[border]
+        starts = np.flatnonzero(begin)
+        stop = ~separator
+        stop[:-1] &= separator[1:]
+        stop[border[1:] - 1] = ~separator[border[1:] - 1]
+        return starts, np.flatnonzero(stop) + 1
+
+    def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
+        """Encode new chunks (distinct keys, not in the table).  A chunk that
+        ends in white space other than a blank or line feed is left out: the
+        run may go on in the chunk behind it."""
+        raw = buf.tobytes()
+        # a letter and a mark behind it are never in one token: such a chunk has the ids of its two parts
+        tailed = (ends - starts > 1) & _MARK[buf[ends - 1]]
+        tailed[tailed] = _LETTER[buf[ends[tailed] - 2]]
+        s = np.concatenate((starts[~tailed], starts[tailed], ends[tailed] - 1))
+        e = np.concatenate((ends[~tailed], ends[tailed] - 1, ends[tailed]))
+        k = np.concatenate((keys[~tailed], hash_spans(buf, starts[tailed], ends[tailed] - 1),
+                            hash_spans(buf, ends[tailed] - 1, ends[tailed])))
+        new, at = np.unique(k, return_index=True)
+        at = at[self._table.find(new) < 0]
+        strings = [raw[i:j].decode("utf-8") for i, j in zip(s[at].tolist(), e[at].tolist())]
         if not self._spaces_dropped:
-            # a chunk that ends in other white space: the run may go on behind it
-            unsafe = {c for c in new if c[-1].isspace() and c[-1] not in " \n"}
-            if unsafe:
-                cut = [c if unsafe.isdisjoint(c) else [t] for t, c in zip(texts, cut)]
-                new = set()
-                for chunks in cut:
-                    new.update(chunks)
-        table = self._ids
-        missing = [c for c in new if c not in table]
-        if len(table) + len(missing) > MAX_CHUNKS:
-            table.clear()
-            missing = list(new)
-        self._fill(table, [c for c in missing if len(c) <= MAX_CHUNK_CHARS])
-        once: dict[str, bytes] = {}
-        self._fill(once, [c for c in missing if len(c) > MAX_CHUNK_CHARS])
-        if not once:
-            get = table.__getitem__
-            return [b"".join(map(get, c)) for c in cut]
-        return [b"".join([once[c] if c in once else table[c] for c in chunks]) for chunks in cut]
+            safe = [not (c[-1].isspace() and c[-1] not in " \n") for c in strings]
+            strings = [c for c, ok in zip(strings, safe) if ok]
+            at = at[safe]
+        for i in range(0, len(strings), 20_000):
+            self._table.add(k[at[i:i + 20_000]], *self._encode_chunks(strings[i:i + 20_000]))
+        if tailed.any():
+            head, mark = (self._table.find(hash_spans(buf, a, b)) for a, b in
+                          ((starts[tailed], ends[tailed] - 1), (ends[tailed] - 1, ends[tailed])))
+            ids, lengths = self._table.ids(np.stack((head, mark), axis=1).ravel())
+            fresh = keys[tailed]
+            self._table.add(fresh, ids, lengths.reshape(-1, 2).sum(axis=1))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids of all texts on end, offsets)``; a null text is empty."""
+        buf, offsets = text_buffer(texts)
+        starts, ends = self._spans(buf, offsets)
+        keys = hash_spans(buf, starts, ends)
+        slots = self._table.find(keys)
+        if (slots < 0).any():
+            if self._table.n > MAX_CHUNKS or self._table.used > MAX_IDS:
+                self._table.clear()
+                slots[:] = -1
+            lacking = np.flatnonzero(slots < 0)
+            at = lacking[np.sort(np.unique(keys[lacking], return_index=True)[1])]
+            self._learn(buf, starts[at], ends[at], keys[at])
+            slots = self._table.find(keys)
+        ids, lengths = self._table.ids(slots)
+        first = np.searchsorted(starts, offsets)
+        bounds = np.concatenate(([0], np.cumsum(lengths)))[first]
+        if (slots < 0).any():  # texts that cannot be cut are encoded whole
+            whole = np.unique(np.searchsorted(first, np.flatnonzero(slots < 0), side="right") - 1)
+            parts = [ids[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
+            for i in whole.tolist():
+                parts[i] = self._encode_chunks([buf[offsets[i]:offsets[i + 1]].tobytes().decode("utf-8")])[0]
+            bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            ids = np.concatenate(parts)
+        return ids, bounds.astype(np.int64)
+
+
+class _Library:
+    """The ``tokenizers`` library on many short strings: they are joined by a
+    special token of the file, which is cut off before anything else, and the
+    ids are split at it again.  Strings that hold the special token's own text
+    are encoded one by one, as ordinary text."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+        self._plain = Tokenizer.from_file(path)
+        self._plain.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._joined = Tokenizer.from_file(path)
+        special = [t for t in self._joined.get_added_tokens_decoder().items() if t[1].special]
+        self._id, self._mark = (special[-1][0], special[-1][1].content) if special else (None, None)
+
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        mark = self._mark
+        if mark and len(chunks) > 1 and not any(mark in c or len(c) > 1000 for c in chunks):
+            texts = [mark.join(chunks[i:i + 200]) + mark for i in range(0, len(chunks), 200)]
+            done = self._joined.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, ID_TYPE) for e in done])
+            ends = np.flatnonzero(ids == self._id)
+            return ids[ids != self._id], np.diff(ends, prepend=-1) - 1
+        done = [np.array(e.ids, ID_TYPE) for e in self._plain.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.concatenate(done), np.array([len(x) for x in done])
+
+
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 def encoder(path: str, spaces_dropped: bool) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file."""
     key = (path, spaces_dropped)
     if key not in _encoders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _encoders[key] = ChunkEncoder(
-            lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)],
-            spaces_dropped)
+        _encoders[key] = ChunkEncoder(_Library(path), spaces_dropped)
     return _encoders[key]
 
 
-def encode_column(texts: pa.Array, path: str, spaces_dropped: bool, end_id: int) -> list[bytes]:
-    """Ids of each text (null: empty) with ``end_id`` after them, as
-    little-endian unsigned 32-bit integers."""
-    end = np.array([end_id], ID_TYPE).tobytes()
-    found = encoder(path, spaces_dropped).encode([t if t is not None else "" for t in texts.to_pylist()])
-    return [x + end for x in found]
+def encode_column(texts: pa.Array, path: str, spaces_dropped: bool, end_id: int) -> list[np.ndarray]:
+    """Ids of each text (null: empty) with ``end_id`` after them."""
+    ids, offsets = encoder(path, spaces_dropped).encode(texts)
+    whole = np.insert(ids, offsets[1:], ID_TYPE.type(end_id))
+    at = offsets + np.arange(len(offsets))
+    return [whole[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
