@@ -1,15 +1,23 @@
 """Registered queries of this subpackage and their DuckDB oracle SQL."""
 
 from .bpe_codec import op9_byte_bpe
+from .chat_format import OP10_SQL, op10_chat_format
 from .fingerprint import op8_fingerprints
+from .gam import op5_quality_gam
 from .line_quality import op2_line_quality
+from .packing import op6_packing
 from .token_blocks import op1_token_blocks
 
 LLM_QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_line_quality": op2_line_quality,
+    "op5_quality_gam": op5_quality_gam,
+    "op6_packing": op6_packing,
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_chat_format": op10_chat_format,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op10_chat_format": OP10_SQL,
+}
