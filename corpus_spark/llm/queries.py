@@ -5,6 +5,7 @@ from .chat_format import OP10_SQL, op10_chat_format
 from .fingerprint import op8_fingerprints
 from .gam import op5_quality_gam
 from .line_quality import op2_line_quality
+from .near_dup import op7_near_duplicates
 from .packing import op6_packing
 from .token_blocks import op1_token_blocks
 
@@ -13,6 +14,7 @@ LLM_QUERIES = {
     "op2_line_quality": op2_line_quality,
     "op5_quality_gam": op5_quality_gam,
     "op6_packing": op6_packing,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_chat_format": op10_chat_format,
