@@ -205,3 +205,50 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     every = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(every, [*on, "_salt"], how).drop("_salt")
+
+
+class HashIndex:
+    """Numbers distinct 64-bit keys 0, 1, 2, ... in the order in which they are
+    added; open addressing, all operations on arrays."""
+
+    def __init__(self, size: int = 1 << 12):
+        self.n = 0
+        self._mask = size - 1
+        self._key, self._number = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
+
+    def _place(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        slot, left = (keys & np.uint64(self._mask)).astype(np.int64), np.arange(len(keys))
+        while len(left):  # of the keys that want a free slot one gets it, the others step on
+            free = left[self._number[slot[left]] < 0]
+            self._key[slot[free]] = keys[free]
+            self._number[slot[free]] = numbers[free]
+            left = left[self._key[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & self._mask
+
+    def add(self, keys: np.ndarray) -> None:
+        """New distinct keys."""
+        if 2 * (self.n + len(keys)) > self._mask + 1:
+            full = self._number >= 0
+            old = self._key[full], self._number[full]
+            while 2 * (self.n + len(keys)) > self._mask + 1:
+                self._mask = 2 * self._mask + 1
+            self._key, self._number = np.zeros(self._mask + 1, np.uint64), np.full(self._mask + 1, -1, np.int64)
+            self._place(*old)
+        self._place(keys, self.n + np.arange(len(keys)))
+        self.n += len(keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of keys, -1 where absent."""
+        slot = (keys & np.uint64(self._mask)).astype(np.int64)
+        found = self._number[slot]
+        out = np.where(self._key[slot] == keys, found, -1)
+        todo = np.flatnonzero((out < 0) & (found >= 0))
+        at = slot[todo]
+        while len(todo):
+            at = (at + 1) & self._mask
+            found = self._number[at]
+            hit = (self._key[at] == keys[todo]) & (found >= 0)
+            out[todo[hit]] = found[hit]
+            on = ~hit & (found >= 0)
+            todo, at = todo[on], at[on]
+        return out

@@ -4,6 +4,7 @@ from .bpe_codec import op9_byte_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .fingerprint import op8_fingerprints
 from .gam import op5_quality_gam
+from .lattice_lm import op3_lattice_lm
 from .line_quality import op2_line_quality
 from .near_dup import op7_near_duplicates
 from .packing import op6_packing
@@ -12,6 +13,7 @@ from .token_blocks import op1_token_blocks
 LLM_QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_line_quality": op2_line_quality,
+    "op3_lattice_lm": op3_lattice_lm,
     "op5_quality_gam": op5_quality_gam,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
