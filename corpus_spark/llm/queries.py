@@ -8,12 +8,14 @@ from .lattice_lm import op3_lattice_lm
 from .line_quality import op2_line_quality
 from .near_dup import op7_near_duplicates
 from .packing import op6_packing
+from .secret_scan import op4_secret_scan
 from .token_blocks import op1_token_blocks
 
 LLM_QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_line_quality": op2_line_quality,
     "op3_lattice_lm": op3_lattice_lm,
+    "op4_secret_scan": op4_secret_scan,
     "op5_quality_gam": op5_quality_gam,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
