@@ -361,3 +361,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(documents(spark, sf_dir))
+
+
+def drop_near_duplicates(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose document ``verdicts`` (of
+    :func:`near_duplicates` over the same rows) keeps; of rows that repeat a
+    doc_id and its text one stays."""
+    keep = materialize(verdicts.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "near-kept")
+    found = docs.join(keep.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if keep.where("_n > 1").limit(1).count():
+        found = found.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return found
