@@ -49,11 +49,17 @@ def register_metric(name: str, fn: Callable[[Column, Column], Column],
 def get_metric(name: str) -> Metric:
     if name == "combined_metrics":
         return Metric("combined_metrics", lambda t, k: F.col("combined_metrics"), True, False)
+    if name == "perplexity":  # lower is better; a column that operators.lm adds
+        return Metric("perplexity", _no_perplexity, False, False)
     if name not in REGISTRY:
         raise ValueError(f"Unknown metric: {name}")
     return REGISTRY[name]
 
 
+def _no_perplexity(t: Column, k: Column) -> Column:
+    raise ValueError("perplexity needs a language model: add it with operators.lm.perplexity_signal")
+
+
 def _div(num: Column, den: Column) -> Column:
     """num / den as DOUBLE, NULL when den is 0 (the reference raises there)."""
     return F.when(den != 0, num.cast("double") / den.cast("double"))
@@ -181,6 +187,16 @@ _BUILTIN = [
 for _name, _fn, _hib, _nt in _BUILTIN:
     register_metric(_name, _fn, _hib, _nt)
 
+#: The signals above that count default tokens in the text, over the tokens of
+#: another tokenizer.  (num_words_per_line has default tokens always.)
+TOKEN_FORMS: dict[str, Callable[[Column, Column], Column]] = {
+    "length_words": lambda t, k: F.size(k).cast("long"),
+    "doc_mean_word_length": lambda t, k: _div(F.length(t), F.size(k)),
+    "frac_no_script_words": lambda t, k: _div(_count(k, lambda w: w.rlike(r"^[\p{L}\p{M}]")), F.size(k)),
+    "frac_symbol_to_words": lambda t, k: _div(_count(k, lambda w: w.isin(*SYMBOL_TOKENS)), F.size(k)),
+    "num_words_per_line": lambda t, k: _div(F.regexp_count(t, F.lit(TOKEN_PATTERN)), n_nl_lines(t)),
+}
+
 # Gopher quality preset (fixed values).
 GOPHER_THRESHOLDS = {
     "length_words": 50,

@@ -84,29 +84,42 @@ def pre_filter(df: DataFrame, scripts: Sequence[str] | None = None, c4: bool = F
     ``c4``: apply the C4 line rules.  ``urls_to_remove``: a DataFrame with a
     ``url`` column or an iterable of URLs; matching documents are removed
     (left anti join; a Python list is turned into a small DataFrame).
-    ``line_filter``: an extra ``Column -> Column`` predicate on lines, e.g. a
-    language-id model (see :mod:`corpus_spark.operators.langid`).
-    ``warn_fraction``: add ``removed_frac`` and keep it for inspection.
+    ``line_filter``: an extra ``Column -> Column`` predicate on lines.
+    ``warn_fraction``: add ``removed_frac`` and keep all documents, also those
+    left blank, for :func:`flag_removed_chars`; drop blank ones afterwards with
+    :func:`drop_empty_docs`.
     """
     if not (scripts or c4 or line_filter is not None or urls_to_remove is not None):
-        raise ValueError("At least one filter must be specified for pre-filtering.")
+        raise ValueError("pre_filter: no filter is switched on.")
     if urls_to_remove is not None:
-        if url_col not in df.columns:
-            raise ValueError("URLs to remove specified, but the table has no `url` column.")
-        if not isinstance(urls_to_remove, DataFrame):
-            urls = list(urls_to_remove)
-            urls_to_remove = df.sparkSession.createDataFrame([(u,) for u in urls], "url string")
-        # anti join: the URL list is typically small and gets broadcast by AQE;
-        # a large one is shuffled like any other join side.
-        df = df.join(urls_to_remove.select(F.col("url").alias(url_col)).distinct(), on=url_col, how="left_anti")
+        df = remove_urls(df, urls_to_remove, url_col)
     cleaned = clean_lines(F.col(text_col), scripts, c4, line_filter)
     if warn_fraction is not None:
-        before = F.length(F.col(text_col))
-        df = df.withColumn("removed_frac", F.when(before > 0, (before - F.length(cleaned)) / before)
-                           .otherwise(F.lit(0.0)))
+        return _with_removed_frac(df, text_col, cleaned)
     return drop_empty_docs(_materialize(df, text_col, cleaned), text_col)
 
 
+def remove_urls(df: DataFrame, urls_to_remove: DataFrame | Iterable[str], url_col: str = "url") -> DataFrame:
+    """Documents whose URL is not in the list; a table without URLs is an error."""
+    if url_col not in df.columns:
+        raise ValueError(f"urls_to_remove needs a `{url_col}` column in the table.")
+    if not isinstance(urls_to_remove, DataFrame):
+        urls_to_remove = df.sparkSession.createDataFrame([(u,) for u in urls_to_remove], "url string")
+    # anti join: the URL list is typically small and gets broadcast by AQE;
+    # a large one is shuffled like any other join side.
+    return df.join(urls_to_remove.select(F.col("url").alias(url_col)).distinct(), on=url_col, how="left_anti")
+
+
+def _with_removed_frac(df: DataFrame, text_col: str, cleaned: Column) -> DataFrame:
+    """Cleaned text and the share of characters that cleaning removed."""
+    before, after = F.length(F.col(text_col)), F.length("__clean")
+    others = [c for c in df.columns if c != text_col]
+    both = df.select(*others, text_col, F.explode(F.array(cleaned)).alias("__clean"))
+    frac = F.when(before > 0, (before - after) / before).otherwise(F.lit(0.0))
+    return both.withColumn("removed_frac", frac).drop(text_col).withColumnRenamed("__clean", text_col) \
+        .select(*df.columns, "removed_frac")
+
+
 def _materialize(df: DataFrame, col: str, expr: Column) -> DataFrame:
     """Replace ``col`` by ``expr`` behind a Generate.  A later filter on the
     column is then not pushed below the projection with the expression
@@ -120,13 +133,32 @@ def flag_removed_chars(df: DataFrame, warn_fraction: float) -> DataFrame:
     return df.filter(F.col("removed_frac") > F.lit(warn_fraction))
 
 
+def apply_pre_filter(df: DataFrame, lang_scripts: dict[str, Sequence[str]] | None = None, c4: bool = False,
+                     urls_to_remove: DataFrame | Iterable[str] | None = None, profiles: DataFrame | None = None,
+                     id_col: str = "id", language_col: str = "language", text_col: str = "text") -> DataFrame:
+    """All pre-filter steps that are asked for, in their fixed order: URLs,
+    line splitting with the scripts of the document's language, language id
+    (lines in the document's own language by ``profiles``), C4 line rules,
+    blank documents.  Without language id it is one projection."""
+    if urls_to_remove is not None:
+        df = remove_urls(df, urls_to_remove)
+    if profiles is None:
+        return pre_filter_by_language(df, lang_scripts or {}, c4, language_col, text_col, split_lines=True)
+    from .lm import lang_id_filter
+    df = pre_filter_by_language(df, lang_scripts or {}, False, language_col, text_col, split_lines=True)
+    df = lang_id_filter(df, profiles, None, id_col, text_col, language_col)
+    return pre_filter(df, c4=True, text_col=text_col) if c4 else df
+
+
 def drop_empty_docs(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.filter(~is_blank(F.col(text_col)))
 
 
 def pre_filter_by_language(df: DataFrame, lang_scripts: dict[str, Sequence[str]], c4: bool = False,
-                           language_col: str = "language", text_col: str = "text") -> DataFrame:
+                           language_col: str = "language", text_col: str = "text",
+                           split_lines: bool = False) -> DataFrame:
     """Pre-filter a multilingual table with each language's own scripts.
+    ``split_lines``: split and strip the lines of all other documents too.
 
     One literal pattern per distinct *script set* (not per language) inside a
     ``CASE`` so every pattern is compiled once; languages without a script set
@@ -141,6 +173,6 @@ def pre_filter_by_language(df: DataFrame, lang_scripts: dict[str, Sequence[str]]
         branch = clean_lines(text, list(scr), c4)
         cond = F.col(language_col).isin(*langs)
         expr = F.when(cond, branch) if expr is None else expr.when(cond, branch)
-    default = clean_lines(text, None, c4) if c4 else text
+    default = clean_lines(text, None, c4) if c4 or split_lines else text
     expr = default if expr is None else expr.otherwise(default)
     return drop_empty_docs(_materialize(df, text_col, expr), text_col)

@@ -20,7 +20,6 @@ from __future__ import annotations
 import functools
 from typing import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,91 +144,85 @@ def lsh_candidates(buckets: DataFrame) -> DataFrame:
                                F.count_if(F.col("n") >= 2).cast("long").alias("shared_buckets"))
 
 
-def _shared_buckets(buckets: DataFrame) -> DataFrame:
-    """Keep only buckets with at least two documents (the others never matter)."""
-    sizes = buckets.groupBy("band", "bkey").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    return buckets.join(sizes.select("band", "bkey"), on=["band", "bkey"], how="left_semi")
+#: Buckets of more documents are joined by broadcast: there are at most
+#: (rows / HOT_BUCKET) of them, so their number is bounded.
+HOT_BUCKET = 50_000
 
 
-def greedy_keep(buckets: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _shared_buckets(buckets: DataFrame, hot_bucket: int) -> DataFrame:
+    """``(id, bucket, hot)`` of the buckets with at least two documents (the
+    others never matter); ``bucket`` is one 64-bit number for band and key."""
+    rows = buckets.select("id", F.xxhash64("band", "bkey").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    sizes = sizes.select("bucket", (F.col("n") > hot_bucket).alias("hot"))
+    hot = rows.join(F.broadcast(sizes.filter("hot")), "bucket")
+    return rows.join(sizes.filter("not hot"), "bucket").unionByName(hot)
+
+
+def greedy_keep(buckets: DataFrame, max_rounds: int = 10_000, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Ids dropped by the sequential greedy rule, as a DataFrame ``(id)``.
 
-    Fixpoint over edges ``(id, band, bkey, st)`` with st 0 = undecided,
-    1 = kept, 2 = dropped.  Each round, per bucket: smallest non-dropped id and
-    smallest kept id; an undecided document is dropped when some bucket has a
-    smaller kept id, and kept when it is the smallest non-dropped id of all its
-    buckets.  The smallest undecided document is always decided, so the
-    fixpoint terminates; lineage is cut with reliable checkpoints each round.
+    Fixpoint over document states: undecided, kept, dropped.  Each round, per
+    bucket: smallest id that is not dropped, and smallest kept id; an undecided
+    document is dropped when some bucket has a smaller kept id, and kept when
+    it is the smallest remaining id of all its buckets.  The smallest undecided
+    document is always decided, so the fixpoint ends.
+
+    ``(id, bucket)`` is written once, spread by id; a round writes the states.
+    Bucket minima are partial aggregates (one row per bucket and task), and
+    the minima of very large buckets come back by broadcast, so no bucket is
+    ever in one task.
     """
-    spark = buckets.sparkSession
-    ensure_checkpoint_dir(spark)
-    edges = _shared_buckets(buckets).select("id", "band", "bkey", F.lit(0).alias("st"))
-    edges = edges.repartition("band", "bkey").checkpoint(eager=True)
-    dropped_parts = []
+    ensure_checkpoint_dir(buckets.sparkSession)
+    edges = _shared_buckets(buckets, hot_bucket).checkpoint(eager=True)
+    state = edges.select("id").distinct().select("id", F.lit(0).alias("st"))
     for _ in range(max_rounds):
-        live = edges.filter("st != 2")
-        bstats = live.groupBy("band", "bkey").agg(
-            F.min("id").alias("m_nd"),
-            F.min(F.when(F.col("st") == 1, F.col("id"))).alias("m_k"))
-        e2 = live.filter("st = 0").join(bstats, on=["band", "bkey"])
-        dec = e2.groupBy("id").agg(
+        live = edges.join(state.filter("st <> 2"), "id")
+        low = live.groupBy("bucket", "hot").agg(F.min("id").alias("m_nd"),
+                                                F.min(F.when(F.col("st") == 1, F.col("id"))).alias("m_k"))
+        open_ = live.filter("st = 0")
+        met = open_.filter("hot").drop("hot").join(F.broadcast(low.filter("hot").drop("hot")), "bucket") \
+            .unionByName(open_.filter("not hot").drop("hot").join(low.filter("not hot").drop("hot"), "bucket"))
+        decided = met.groupBy("id").agg(
             F.max(F.coalesce(F.col("m_k") < F.col("id"), F.lit(False))).alias("drop"),
             F.min(F.col("m_nd") == F.col("id")).alias("keep"))
-        dec = dec.select("id", F.when(F.col("drop"), F.lit(2)).when(F.col("keep"), F.lit(1))
-                         .otherwise(F.lit(0)).alias("nst")).filter("nst != 0")
-        dec = dec.checkpoint(eager=True)
-        if dec.isEmpty():
-            if edges.filter("st = 0").isEmpty():
-                break
-            raise RuntimeError("greedy dedup made no progress")  # cannot happen
-        dropped_parts.append(dec.filter("nst = 2").select("id"))
-        # update states; edges of dropped documents no longer matter
-        edges = (edges.join(dec, on="id", how="left")
-                 .select("id", "band", "bkey", F.coalesce("nst", "st").alias("st"))
-                 .filter("st != 2"))
-        # buckets without undecided documents can no longer change anything
-        active = edges.groupBy("band", "bkey").agg(F.max(F.col("st") == 0).alias("a")).filter("a")
-        edges = edges.join(active.select("band", "bkey"), on=["band", "bkey"], how="left_semi")
-        edges = edges.checkpoint(eager=True)
-        if edges.filter("st = 0").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"greedy dedup did not converge in {max_rounds} rounds")
-    if not dropped_parts:
-        return spark.createDataFrame([], "id long")
-    out = dropped_parts[0]
-    for p in dropped_parts[1:]:
-        out = out.unionByName(p)
-    return out
+        state = state.join(decided, "id", "left").select(
+            "id", F.when(F.col("st") != 0, F.col("st")).when(F.col("drop"), 2).when(F.col("keep"), 1)
+            .otherwise(0).alias("st")).checkpoint(eager=True)
+        if state.filter("st = 0").isEmpty():
+            return state.filter("st = 2").select("id")
+    raise RuntimeError(f"greedy dedup did not converge in {max_rounds} rounds")
 
 
 HASH_COL = "exact_hash"
 
 
-def exact_duplicate_ids(df: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=None) -> DataFrame:
-    """Ids of documents whose exact hash was already seen at a smaller id.
-    Uses an ``exact_hash`` column when the table already has one."""
+def with_exact_hash(df: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=None) -> DataFrame:
+    """``(id, exact_hash)``, from an ``exact_hash`` column when there is one."""
     if HASH_COL in df.columns:
-        h = df.select(F.col(id_col).alias("id"), F.col(HASH_COL).alias("hash"))
-    else:
-        src = df.select(id_col, "tokens") if "tokens" in df.columns else df.select(id_col, text_col)
-        h = with_tokens(src, text_col, tokenizer).select(F.col(id_col).alias("id"),
-                                                        exact_hash(F.col("tokens")).alias("hash"))
-        # (id, hash) is read twice below; keep it instead of tokenising the corpus twice
-        h = h.persist(StorageLevel.MEMORY_AND_DISK)
-    firsts = h.groupBy("hash").agg(F.min("id").alias("first"))   # map-side combined
-    return h.join(firsts, on="hash").filter(F.col("id") != F.col("first")).select("id")
+        return df.select(id_col, HASH_COL)
+    src = df.select(id_col, "tokens") if "tokens" in df.columns else df.select(id_col, text_col)
+    return with_tokens(src, text_col, tokenizer).select(id_col, exact_hash(F.col("tokens")).alias(HASH_COL))
 
 
-def dedup_exact(df: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=None) -> DataFrame:
-    dups = exact_duplicate_ids(df, id_col, text_col, tokenizer)
-    return df.join(dups.withColumnRenamed("id", id_col), on=id_col, how="left_anti")
+def first_of_each_hash(df: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=None) -> DataFrame:
+    """The rows whose id is the smallest of their exact hash (a row without a
+    hash is a first of its own).  One map-side combined aggregate on the hash,
+    which a very common text does not skew, and one semi join on the id."""
+    h = with_exact_hash(df, id_col, text_col, tokenizer)
+    key = F.coalesce(F.col(HASH_COL), F.concat(F.lit("id "), F.col(id_col).cast("string")))
+    firsts = h.groupBy(key.alias("__hash")).agg(F.min(id_col).alias(id_col))
+    return df.join(firsts.select(id_col), on=id_col, how="left_semi")
+
+
+dedup_exact = first_of_each_hash
 
 
 def near_duplicate_ids(df: DataFrame, jaccard_threshold: float = 0.85, n_shingles: int = 1,
                        id_col: str = "id", text_col: str = "text", tokenizer=None) -> DataFrame:
     sigs = minhash_signatures(df, n_shingles, id_col, text_col, tokenizer)
-    return greedy_keep(lsh_buckets(sigs, jaccard_threshold))
+    ensure_checkpoint_dir(df.sparkSession)
+    return greedy_keep(lsh_buckets(sigs, jaccard_threshold).checkpoint(eager=True))
 
 
 def deduplicate(df: DataFrame, exact_match: bool = False, min_hash: bool = False,
@@ -240,13 +233,11 @@ def deduplicate(df: DataFrame, exact_match: bool = False, min_hash: bool = False
     claims its buckets when nothing earlier collides), and a document survives
     when it passes both tests."""
     if not (exact_match or min_hash):
-        raise ValueError("Either exact_match or min_hash must be specified for deduplication.")
+        raise ValueError("deduplicate: switch exact_match or min_hash on")
     if df.isStreaming:
         raise ValueError("deduplicate() needs the whole table; use streaming.stream_dedup_exact")
-    drop = None
-    if exact_match:
-        drop = exact_duplicate_ids(df, id_col, text_col, tokenizer)
+    out = first_of_each_hash(df, id_col, text_col, tokenizer) if exact_match else df
     if min_hash:
         near = near_duplicate_ids(df, jaccard_threshold, n_shingles, id_col, text_col, tokenizer)
-        drop = near if drop is None else drop.unionByName(near)
-    return df.join(drop.distinct().withColumnRenamed("id", id_col), on=id_col, how="left_anti")
+        out = out.join(near.withColumnRenamed("id", id_col), on=id_col, how="left_anti")
+    return out

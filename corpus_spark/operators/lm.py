@@ -17,12 +17,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import char_ngrams, splitlines, strip, tokenize
+from ..session import ensure_checkpoint_dir
 
 
 def _bigrams(tokens):
@@ -56,10 +56,12 @@ def perplexity_signal(df: DataFrame, train: DataFrame | None = None, k: float =
     from .partition import median_value
     lm = train_bigram_lm(train if train is not None else df, text_col)
     losses = token_losses(df, lm, k, id_col, text_col)
-    scored = df.join(losses, id_col, "left").withColumn("__ppl", F.exp(F.coalesce("loss", F.lit(0.0)))) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(df.sparkSession)
+    # ids and scores are written, the text is read again by the join
+    scored = df.select(id_col).join(losses, id_col, "left") \
+        .select(id_col, F.exp(F.coalesce("loss", F.lit(0.0))).alias("__ppl")).checkpoint()
     med = median_value(scored, "__ppl", id_col)
-    return scored.withColumn("perplexity", F.abs(F.col("__ppl") - F.lit(med))).drop("__ppl", "loss", "n_tokens")
+    return df.join(scored, id_col).withColumn("perplexity", F.abs(F.col("__ppl") - F.lit(med))).drop("__ppl")
 
 
 # --- language identification --------------------------------------------------------
@@ -76,30 +78,50 @@ def train_lang_profiles(df: DataFrame, language_col: str = "language", text_col:
 
 def predict_line_languages(df: DataFrame, profiles: DataFrame, id_col: str = "id", text_col: str = "text",
                            language_col: str = "language", n: int = 3) -> DataFrame:
-    """``(id, line_no, line, pred)``: argmax language per stripped, non-blank line.
-    Unseen n-grams score the language's smoothing floor (its minimum logp)."""
+    """``(id, line_no, line, pred)``: the most likely language of each
+    stripped, non-blank line.  An n-gram that a language's profile lacks scores
+    its smallest logp.  ``pred`` is NULL for lines shorter than an n-gram and
+    for lines none of whose n-grams is in any profile.
+
+    N-grams are counted per line before the join, and the profiles are one row
+    for each n-gram (a map over the languages), so the join has no fan-out."""
     lines = df.select(id_col, F.posexplode(F.filter(F.transform(splitlines(F.col(text_col)), lambda l: strip(l)),
                                                     lambda l: l != "")).alias("line_no", "line"))
-    grams = lines.select(id_col, "line_no", F.explode(char_ngrams(F.lower("line"), n)).alias("gram"))
-    langs = profiles.groupBy(language_col).agg(F.min("logp").alias("floor"))
-    # every (line gram, language): known grams join the profile, the rest get the floor
-    per = (grams.join(profiles, "gram", "left")
-           .groupBy(id_col, "line_no", language_col).agg(F.sum("logp").alias("s"), F.count(F.lit(1)).alias("hits")))
-    n_grams = grams.groupBy(id_col, "line_no").agg(F.count(F.lit(1)).alias("ng"))
-    scored = (per.filter(F.col(language_col).isNotNull()).join(F.broadcast(langs), language_col)
-              .join(n_grams, [id_col, "line_no"])
-              .withColumn("score", F.col("s") + (F.col("ng") - F.col("hits")) * F.col("floor")))
-    best = scored.groupBy(id_col, "line_no").agg(
-        F.max_by(language_col, F.struct("score", F.col(language_col))).alias("pred"))
+    grams = lines.select(id_col, "line_no", F.explode(char_ngrams(F.lower("line"), n)).alias("gram")) \
+        .groupBy(id_col, "line_no", "gram").agg(F.count(F.lit(1)).alias("c"))
+    # one row for each language
+    floors = {r[language_col]: r["floor"] for r in
+              profiles.groupBy(language_col).agg(F.min("logp").alias("floor")).collect()}
+    if not floors:
+        return lines.withColumn("pred", F.lit(None).cast("string"))
+    floor = F.create_map(*[F.lit(x) for pair in sorted(floors.items()) for x in pair])
+    known = profiles.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct(language_col, "logp"))).alias("p"))
+    hits = grams.join(known, "gram").select(id_col, "line_no", "c", F.explode("p").alias(language_col, "logp"))
+    gain = hits.groupBy(id_col, "line_no", language_col).agg(
+        F.sum(F.col("c") * (F.col("logp") - floor[F.col(language_col)])).alias("gain"))
+    sizes = grams.groupBy(id_col, "line_no").agg(F.sum("c").alias("ng"))
+    best = gain.join(sizes, [id_col, "line_no"]) \
+        .withColumn("score", F.col("gain") + F.col("ng") * floor[F.col(language_col)]) \
+        .groupBy(id_col, "line_no").agg(F.max_by(language_col, F.struct("score", F.col(language_col))).alias("pred"))
     return lines.join(best, [id_col, "line_no"], "left")
 
 
-def lang_id_filter(df: DataFrame, profiles: DataFrame, keep: Sequence[str], id_col: str = "id",
-                   text_col: str = "text") -> DataFrame:
-    """Keep only lines predicted to be in ``keep``; documents left without
-    lines are dropped.  Lines are re-assembled in their original order."""
-    pred = predict_line_languages(df.select(id_col, text_col), profiles, id_col, text_col)
-    kept = pred.filter(F.col("pred").isin(*keep))
+def lang_id_filter(df: DataFrame, profiles: DataFrame, keep: Sequence[str] | None = None, id_col: str = "id",
+                   text_col: str = "text", language_col: str = "language", n: int = 3) -> DataFrame:
+    """Keep only lines predicted to be in ``keep`` (by default: in the
+    document's own ``language_col``); documents left without lines are
+    dropped.  Lines shorter than an n-gram cannot be told apart and stay; a
+    line of n-grams that no profile has is in no known language and goes.
+    Lines are put together again in their original order."""
+    columns = [id_col, text_col] + ([language_col] if keep is None else [])
+    src = df.select(*columns)
+    pred = predict_line_languages(src, profiles, id_col, text_col, "language", n)
+    if keep is None:
+        pred = pred.join(src.select(id_col, F.col(language_col).alias("__own")), id_col)
+        ok = F.col("pred") == F.col("__own")
+    else:
+        ok = F.col("pred").isin(*keep)
+    kept = pred.filter(F.coalesce(ok, F.lit(False)) | (F.length("line") < n))
     texts = kept.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls")) \
         .select(id_col, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("__t"))
     return df.join(texts, id_col, "inner").drop(text_col).withColumnRenamed("__t", text_col)

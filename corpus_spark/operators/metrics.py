@@ -7,7 +7,7 @@ from typing import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.signals import NLINES, NTOK, get_metric, shared_inputs
+from ..functions.signals import TOKEN_FORMS, get_metric, shared_inputs
 from ..functions.text import tokenize
 
 
@@ -28,12 +28,15 @@ def with_tokens(df: DataFrame, text_col: str = "text",
 
 def compute_metrics(df: DataFrame, metrics: Iterable[str], text_col: str = "text",
                     tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Add one column per metric name; metrics already present are skipped."""
+    """Add one column per metric name; metrics already present are skipped.
+    With a ``tokenizer``, or a ``tokens`` column in the table, all signals on
+    words count those tokens."""
     todo = [m for m in dict.fromkeys(metrics) if m not in df.columns]
     if not todo:
         return df
     ms = [get_metric(m) for m in todo]
-    if any(m.needs_tokens for m in ms):
+    own = tokenizer is not None or "tokens" in df.columns
+    if any(m.needs_tokens for m in ms) or own:
         df = with_tokens(df, text_col, tokenizer)
     t = F.col(text_col)
     k = F.col("tokens") if "tokens" in df.columns else None
@@ -42,7 +45,8 @@ def compute_metrics(df: DataFrame, metrics: Iterable[str], text_col: str = "text
     base = df.select("*", *shared_inputs(t, k))
     # Metrics are generated as one struct behind a Generate: filters on them
     # (thresholds) cannot be pushed below it, so each metric is evaluated once.
-    packed = F.struct(*[m.fn(t, k).alias(m.name) for m in ms])
+    fns = {m.name: TOKEN_FORMS.get(m.name, m.fn) if own else m.fn for m in ms}
+    packed = F.struct(*[fns[m.name](t, k).alias(m.name) for m in ms])
     return (base.select("*", F.explode(F.array(packed)).alias("__metrics"))
             .select(*df.columns, *[F.col("__metrics")[m.name].alias(m.name) for m in ms]))
 

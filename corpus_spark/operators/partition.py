@@ -48,8 +48,13 @@ def median_value(df: DataFrame, metric: str, id_col: str = "id") -> float | None
         keys.unpersist()
 
 
+def _chars(text_col: str, chars_col: str | None) -> Column:
+    """Characters of a document: a column that has them, or from its text."""
+    return (F.col(chars_col) if chars_col else F.length(F.col(text_col))).cast("long")
+
+
 def _high_flag_by(df: DataFrame, metric: str, split_method: str, by: list[str], id_col: str,
-                  text_col: str, flag: str) -> DataFrame:
+                  text_col: str, flag: str, chars_col: str | None = None) -> DataFrame:
     """Per-group version of :func:`high_flag` (mean and balanced methods)."""
     m = F.col(metric)
     if split_method == "mean_cutoff":
@@ -60,7 +65,7 @@ def _high_flag_by(df: DataFrame, metric: str, split_method: str, by: list[str],
     if split_method in ("balanced_docs", "balanced_chars"):
         src, weight = df, None
         if split_method == "balanced_chars":
-            src, weight = df.withColumn("__len", F.length(F.col(text_col)).cast("long")), "__len"
+            src, weight = df.withColumn("__len", _chars(text_col, chars_col)), "__len"
         keys = src.select(*by, metric, id_col, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             tot = F.sum(weight) if weight else F.count(F.lit(1))
@@ -75,13 +80,14 @@ def _high_flag_by(df: DataFrame, metric: str, split_method: str, by: list[str],
 
 
 def high_flag(df: DataFrame, metric: str, split_method: str, id_col: str = "id",
-              text_col: str = "text", flag: str = "__high", by: list[str] | None = None) -> DataFrame:
+              text_col: str = "text", flag: str = "__high", by: list[str] | None = None,
+              chars_col: str | None = None) -> DataFrame:
     """Add a boolean ``flag``: True for partition 2 (the high side), False for
     partition 1.  Rows with an undefined (NULL) metric get NULL for the
     cutoff methods and sort last for the balanced ones.  ``by`` splits each
     group (e.g. language) separately."""
     if by:
-        return _high_flag_by(df, metric, split_method, list(by), id_col, text_col, flag)
+        return _high_flag_by(df, metric, split_method, list(by), id_col, text_col, flag, chars_col)
     m = F.col(metric)
     if split_method == "mean_cutoff":
         mean = df.agg(F.avg(m.cast("double"))).first()[0]
@@ -93,7 +99,7 @@ def high_flag(df: DataFrame, metric: str, split_method: str, id_col: str = "id",
         weight = None
         src = df
         if split_method == "balanced_chars":
-            src = df.withColumn("__len", F.length(F.col(text_col)).cast("long"))
+            src = df.withColumn("__len", _chars(text_col, chars_col))
             weight = "__len"
         keys = src.select(metric, id_col, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -110,15 +116,15 @@ def high_flag(df: DataFrame, metric: str, split_method: str, id_col: str = "id",
     if split_method == "elbow":
         from .curves import elbow_high_flag
         return elbow_high_flag(df, metric, id_col, flag)
-    raise ValueError(f"Partition method not recognized: {split_method}.")
+    raise ValueError(f"split_method must be one of {', '.join(METHODS)}, not {split_method!r}")
 
 
 def select_flag(df: DataFrame, metric: str, split_method: str, quality: bool = True,
                 id_col: str = "id", text_col: str = "text", flag: str = "__keep",
-                by: list[str] | None = None) -> DataFrame:
-    """Flag the rows the reference's ``select_indices`` would return."""
+                by: list[str] | None = None, chars_col: str | None = None) -> DataFrame:
+    """Flag the rows of the wanted side."""
     hib = True if metric == "combined_metrics" else get_metric(metric).higher_is_better
-    out = high_flag(df, metric, split_method, id_col, text_col, "__high", by)
+    out = high_flag(df, metric, split_method, id_col, text_col, "__high", by, chars_col)
     want_high = (hib and quality) or (not hib and not quality)
     keep = F.col("__high") if want_high else ~F.col("__high")
     if split_method == "elbow":
@@ -149,23 +155,24 @@ def combined_score(df: DataFrame, metrics: Sequence[str], out: str = "combined_m
 def partition(df: DataFrame, metrics: str | Sequence[str], split_method: str, quality: bool = True,
               join_partitions_by: str | None = None, keep_columns: bool = False,
               id_col: str = "id", text_col: str = "text",
-              tokenizer: Callable[[Column], Column] | None = None, by: list[str] | None = None) -> DataFrame:
+              tokenizer: Callable[[Column], Column] | None = None, by: list[str] | None = None,
+              chars_col: str | None = None) -> DataFrame:
     """Return the selected half of ``df`` (see module docstring).  ``by``
     (e.g. ``["language"]``) splits every group separately instead of the
-    combined table (the reference's multilingual behaviour is the combined
-    table, the default)."""
+    combined table.  ``chars_col``: a column with the characters of each
+    document, for tables that do not carry the text."""
     if df.isStreaming:
-        raise ValueError("partitioning needs global statistics; not available on a stream")
+        raise ValueError("partition() needs the whole table; a stream has no halves")
     if split_method not in METHODS:
-        raise ValueError(f"Partition method not recognized: {split_method}.")
+        raise ValueError(f"split_method must be one of {', '.join(METHODS)}, not {split_method!r}")
     metrics = [metrics] if isinstance(metrics, str) else list(metrics)
     df = compute_metrics(df, metrics, text_col, tokenizer)
     if join_partitions_by:
         if join_partitions_by not in ("intersection", "union"):
-            raise ValueError("Invalid join method. Please specify either 'intersection', 'union' or 'scores'.")
+            raise ValueError("join_partitions_by must be None, 'intersection' or 'union'")
         flags = []
         for i, mname in enumerate(metrics):
-            df = select_flag(df, mname, split_method, quality, id_col, text_col, f"__keep{i}", by)
+            df = select_flag(df, mname, split_method, quality, id_col, text_col, f"__keep{i}", by, chars_col)
             flags.append(F.col(f"__keep{i}"))
         cond = flags[0]
         for f in flags[1:]:
@@ -173,9 +180,9 @@ def partition(df: DataFrame, metrics: str | Sequence[str], split_method: str, qu
         out = df.filter(cond).drop(*[f"__keep{i}" for i in range(len(metrics))])
     elif len(metrics) > 1:
         df = combined_score(df, metrics)
-        out = select_flag(df, "combined_metrics", split_method, quality, id_col, text_col, "__keep", by) \
+        out = select_flag(df, "combined_metrics", split_method, quality, id_col, text_col, "__keep", by, chars_col) \
             .filter("__keep").drop("__keep", "combined_metrics")
     else:
-        out = select_flag(df, metrics[0], split_method, quality, id_col, text_col, "__keep", by) \
+        out = select_flag(df, metrics[0], split_method, quality, id_col, text_col, "__keep", by, chars_col) \
             .filter("__keep").drop("__keep")
     return drop_metric_columns(out, metrics, keep_columns)

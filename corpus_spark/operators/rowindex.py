@@ -13,17 +13,21 @@ scheme):
 4. the driver turns the counts into offsets (rows of the same group in
    earlier partitions) and a broadcast join adds them back.
 
-The positioned table is persisted so the aggregate and the final projection
-see the same partitioning; recomputation after an executor loss repeats the
-same deterministic range partitioning and sort.
+The positioned table is written to the checkpoint folder, so the aggregate and
+the final projection see the same partitioning, also after executors are lost.
+Give it keys, not texts, and join the texts by id afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
+
+MAX_BROADCAST_ROWS = 200_000
+
 
 def group_row_index(df: DataFrame, group_cols: list[str] | None, order_cols: list[str],
                     idx_col: str = "row_idx", num_partitions: int | None = None) -> DataFrame:
@@ -31,10 +35,11 @@ def group_row_index(df: DataFrame, group_cols: list[str] | None, order_cols: lis
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = group_cols + list(order_cols)
+    ensure_checkpoint_dir(spark)
     s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("__pos", F.monotonically_increasing_id())
          .withColumn("__pid", F.spark_partition_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))
+         .checkpoint())
     stats = (s.groupBy("__pid", *group_cols)
              .agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
              .collect())
@@ -49,8 +54,8 @@ def group_row_index(df: DataFrame, group_cols: list[str] | None, order_cols: lis
     schema = ", ".join(["__pid int"] + [f"`{g}` {dtypes[g]}" for g in group_cols]
                        + ["__first long", "__off long"])
     offs = spark.createDataFrame(rows, schema)
-    # one row per (partition, group): bounded by partitions + groups
-    j = s.join(F.broadcast(offs), on=["__pid", *group_cols], how="inner")
+    # one row per (partition, group), at most partitions + groups: broadcast while that is small
+    j = s.join(F.broadcast(offs) if len(rows) <= MAX_BROADCAST_ROWS else offs, on=["__pid", *group_cols], how="inner")
     return j.withColumn(idx_col, F.col("__pos") - F.col("__first") + F.col("__off")) \
         .drop("__pos", "__pid", "__first", "__off")
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 from typing import Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +28,28 @@ from .rowindex import group_counts, group_row_index
 from .stats import sampling_probs_list
 
 
+#: Equal slices of [0, 1) by which a draw finds its language.
+SLICES = 4096
+
+
 def _draws(spark, T: int, langs: list[str], probs: list[float], seed: int) -> DataFrame:
-    """Positions 0..T-1 with the language drawn at each (hash of seed and t)."""
+    """Positions 0..T-1 with the language drawn at each (hash of seed and t).
+
+    A language owns the interval of its probability; every interval is listed
+    under the slices it touches (at most ``SLICES`` + languages rows, which are
+    broadcast), and a draw looks only at those of its own slice."""
+    rows, lo = [], 0.0
+    for i, (lang, p) in enumerate(zip(langs, probs)):
+        hi = 2.0 if i == len(langs) - 1 else lo + p
+        first, last = int(lo * SLICES), min(SLICES - 1, int(hi * SLICES))
+        rows += [(s, lang, lo, hi) for s in range(first, last + 1) if hi > lo]
+        lo = hi
+    owners = spark.createDataFrame(rows, "slice int, language string, lo double, hi double")
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"draw{seed}"), F.col("id").cast("string"))), 1, 13),
                 16, 10).cast("double") / F.lit(float(1 << 52)))
-    cum, acc = [], 0.0
-    for p in probs:
-        acc += p
-        cum.append(acc)
-    expr = F.lit(langs[-1])
-    for lang, c in reversed(list(zip(langs[:-1], cum[:-1]))):
-        expr = F.when(u < F.lit(c), F.lit(lang)).otherwise(expr)
-    return spark.range(0, T).select(F.col("id").alias("t"), expr.alias("language"))
+    drawn = spark.range(0, T).select(F.col("id").alias("t"), u.alias("u")) \
+        .withColumn("slice", F.floor(F.col("u") * SLICES).cast("int"))
+    return drawn.join(F.broadcast(owners), "slice").filter("u >= lo and u < hi").select("t", "language")
 
 
 def interleave_by_probability(df: DataFrame, probabilities: Mapping[str, float],
@@ -78,13 +87,13 @@ def interleave_by_probability(df: DataFrame, probabilities: Mapping[str, float],
         if stopping_strategy == "all_exhausted" and all(x is not None for x in reached):
             stop = max(reached)
             break
-        ranked.unpersist()
         T *= 2
     n_df = spark.createDataFrame([(l, counts[l]) for l in langs], "language string, n long")
     wanted = (ranked.filter(F.col("t") <= stop).join(F.broadcast(n_df), "language")
               .select("t", F.col("language").alias(language_col), (F.col("k") % F.col("n")).alias("row_idx")))
-    indexed = group_row_index(df, [language_col], [id_col], "row_idx")
-    return wanted.join(indexed, on=[language_col, "row_idx"], how="inner").drop("row_idx")
+    indexed = group_row_index(df.select(language_col, id_col), [language_col], [id_col], "row_idx")
+    chosen = wanted.join(indexed, on=[language_col, "row_idx"], how="inner").select("t", id_col)
+    return df.join(chosen, id_col)  # the texts are read once, by id
 
 
 def apply_language_sampling(df: DataFrame, sampling_strategy: str = "uniform", temperature: float = 1.0,
@@ -96,7 +105,7 @@ def apply_language_sampling(df: DataFrame, sampling_strategy: str = "uniform", t
     langs = sorted(counts)
     if raw_weights is not None:
         if not all(l in raw_weights for l in langs):
-            raise ValueError("Raw weights must cover all languages in the loader.")
+            raise ValueError(f"raw_weights lack weights of {[l for l in langs if l not in raw_weights]}")
         weights = [raw_weights[l] for l in langs]
     else:
         weights = [counts[l] for l in langs]
@@ -112,15 +121,16 @@ def interleave_round_robin(df: DataFrame, group_col: str = "source", id_col: str
     groups = sorted(counts)
     m = min(counts.values())
     rank = F.create_map(*[x for i, g in enumerate(groups) for x in (F.lit(g), F.lit(i))])
-    idx = group_row_index(df, [group_col], [id_col], "__i")
-    return idx.filter(F.col("__i") < m).withColumn(
-        "t", F.col("__i") * F.lit(len(groups)) + F.element_at(rank, F.col(group_col))).drop("__i")
+    idx = group_row_index(df.select(group_col, id_col), [group_col], [id_col], "__i")
+    place = idx.filter(F.col("__i") < m).select(
+        id_col, (F.col("__i") * F.lit(len(groups)) + F.element_at(rank, F.col(group_col))).alias("t"))
+    return df.join(place, id_col)
 
 
 def text_batches(df: DataFrame, batch_size: int = 10_000, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Consecutive batches of ``batch_size`` texts in id order: ``(batch_id, texts)``.
     Every group holds at most ``batch_size`` rows by construction."""
-    idx = group_row_index(df.select(id_col, text_col), None, [id_col], "__i")
+    idx = df.select(id_col, text_col).join(group_row_index(df.select(id_col), None, [id_col], "__i"), id_col)
     return (idx.withColumn("batch_id", F.floor(F.col("__i") / F.lit(batch_size)).cast("long"))
             .groupBy("batch_id")
             .agg(F.sort_array(F.collect_list(F.struct("__i", text_col))).alias("__b"))

@@ -8,6 +8,7 @@ from typing import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .cutpoint import attach_low_flag, find_cuts
 from .rowindex import group_counts
 
@@ -36,7 +37,10 @@ def train_test_split(df: DataFrame, test_size: float = 0.1, shuffle: bool = True
     by = list(by or [])
     base = df.drop("split") if "split" in df.columns else df
     keyed = base.withColumn("__k", _order_key(id_col, shuffle, seed))
-    counts = group_counts(keyed, by) if by else {(): keyed.count()}
+    ensure_checkpoint_dir(df.sparkSession)
+    # ids and hashes are written once; the search below reads them several times
+    keys = keyed.select(*by, "__k", id_col).checkpoint()
+    counts = group_counts(keys, by) if by else {(): keys.count()}
     n_test = {g: math.ceil(test_size * n) for g, n in counts.items()}
     if shuffle:
         # test = the first n_test rows in (hash, id) order
@@ -44,7 +48,6 @@ def train_test_split(df: DataFrame, test_size: float = 0.1, shuffle: bool = True
     else:
         # test = the last n_test rows by id, so train = the first n - n_test
         budgets, test_side_low = {g: counts[g] - n_test[g] for g in counts}, False
-    keys = keyed.select(*by, "__k", id_col)
     cuts = find_cuts(keys, "__k", id_col, None, budgets if by else budgets[()], by)
     flagged = attach_low_flag(keyed, "__k", id_col, cuts, by, "__low")
     is_test = F.col("__low") if test_side_low else ~F.col("__low")

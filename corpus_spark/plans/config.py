@@ -30,16 +30,30 @@ def _build(cls, data: dict | None, section: str):
     return obj
 
 
+#: A signal that needs a language model counted from a table.
+PERPLEXITY = "perplexity"
+
+
+def _known_metric(name: str) -> None:
+    if name not in REGISTRY and name != PERPLEXITY:
+        raise ValueError(f"Unknown metric: {name}")
+
+
 @dataclass
 class PreFilterConfig:
     script_regex: bool = False
     lang_id: bool = False
     apply_c4_filter: bool = False
     urls_to_remove: list[str] | None = None
+    warn_percent: float = 0.0
 
     def validate(self):
         if not (self.script_regex or self.lang_id or self.apply_c4_filter or self.urls_to_remove):
-            raise ValueError("At least one filter must be specified for pre-filtering.")
+            raise ValueError("`pre_filter` switches no filter on.")
+        if isinstance(self.urls_to_remove, str):
+            raise ValueError("`urls_to_remove` must be a list of URLs.")
+        if not 0.0 <= self.warn_percent <= 1.0:
+            raise ValueError("`warn_percent` must be in [0, 1].")
 
 
 @dataclass
@@ -47,11 +61,12 @@ class DedupConfig:
     exact_match: bool = False
     min_hash: bool = False
     jaccard_threshold: float = 0.85
-    n_shingles: int = 1
+    n_shingles: int = 3
+    tokenizer: str | None = None
 
     def validate(self):
         if not (self.exact_match or self.min_hash):
-            raise ValueError("Either exact_match or min_hash must be specified for deduplication.")
+            raise ValueError("`deduplicate` needs `exact_match` or `min_hash`.")
         if not 0.0 < self.jaccard_threshold < 1.0:
             raise ValueError("jaccard_threshold must be in (0, 1).")
         if self.n_shingles < 1:
@@ -62,7 +77,9 @@ class DedupConfig:
 class ThresholdConfig:
     thresholds: dict = field(default_factory=dict)
     preset: str | None = None
-    keep_columns: bool = False
+    tokenizer: str | None = None
+    model: str | None = None
+    merge_test: bool = False
 
     def validate(self):
         if self.preset not in (None, "gopher"):
@@ -70,8 +87,7 @@ class ThresholdConfig:
         if not self.thresholds and not self.preset:
             raise ValueError("Threshold section needs `thresholds` or `preset`.")
         for k, v in self.thresholds.items():
-            if k not in REGISTRY:
-                raise ValueError(f"Unknown metric: {k}")
+            _known_metric(k)
             if not (v == "auto" or isinstance(v, (int, float))):
                 raise ValueError(f"Threshold for {k} must be a number or 'auto'.")
 
@@ -87,24 +103,27 @@ class PartitionConfig:
     metrics: Any = "length_chars"
     quality: bool = True
     join_partitions_by: str | None = None
-    keep_columns: bool = False
+    tokenizer: str | None = None
+    model: str | None = None
+    merge_test: bool = False
+
+    def metric_list(self) -> list[str]:
+        return [self.metrics] if isinstance(self.metrics, str) else list(self.metrics)
 
     def validate(self):
         if self.split_method not in METHODS:
-            raise ValueError(f"Partition method not recognized: {self.split_method}.")
-        ms = [self.metrics] if isinstance(self.metrics, str) else list(self.metrics)
-        for m in ms:
-            if m not in REGISTRY:
-                raise ValueError(f"Unknown metric: {m}")
+            raise ValueError(f"`split_method` must be one of {', '.join(METHODS)}, not {self.split_method!r}.")
+        for m in self.metric_list():
+            _known_metric(m)
         if self.join_partitions_by not in (None, "intersection", "union"):
-            raise ValueError("Invalid join method. Please specify either 'intersection', 'union' or 'scores'.")
+            raise ValueError("`join_partitions_by` must be absent, 'intersection' or 'union'.")
 
 
 @dataclass
 class SplitConfig:
     test_size: float = 0.1
     shuffle: bool = True
-    seed: int = 42
+    seed: int = 12345
 
     def validate(self):
         if not 0.0 < self.test_size < 1.0:
@@ -116,7 +135,7 @@ class SamplingConfig:
     sampling_strategy: str = "uniform"
     temperature: float = 1.0
     interleaving_strategy: str = "all_exhausted"
-    raw_weights: dict | None = None
+    raw_weights: dict | str | None = None
     seed: int = 42
 
     def validate(self):
@@ -133,6 +152,7 @@ class SieveConfig:
     experiment: str
     languages: list[str]
     sources: list[str] | None = None
+    load_path: str | None = None
     streaming: bool = False
     pre_filter: PreFilterConfig | None = None
     deduplicate: DedupConfig | None = None
@@ -153,11 +173,17 @@ class SieveConfig:
                 raise ValueError(f"Missing required config key: {req}")
         if not d["languages"]:
             raise ValueError("At least one language is required.")
-        from ..sources.langs import lookup
+        from ..sources.langs import KNOWN_SOURCES, lookup
+        if d.get("sources") and d.get("load_path"):
+            raise ValueError("Give `sources` or `load_path`, not both.")
+        for source in d.get("sources") or []:
+            if source not in KNOWN_SOURCES:
+                raise ValueError(f"Unknown source: {source}")
         for lang in d["languages"]:
             lookup(lang)
         return cls(
             experiment=d["experiment"], languages=list(d["languages"]), sources=d.get("sources"),
+            load_path=d.get("load_path"),
             streaming=bool(d.get("streaming", False)),
             pre_filter=_build(PreFilterConfig, d.get("pre_filter"), "pre_filter"),
             deduplicate=_build(DedupConfig, d.get("deduplicate"), "deduplicate"),

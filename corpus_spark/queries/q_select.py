@@ -129,18 +129,10 @@ def q_part_lowq(spark, sf):
 
 
 @register("partition_intersection",
-          f"({_high_sql('length_words', 'mean_cutoff')}) INTERSECT ({_high_sql('unique_words', 'median_cutoff')})")
+          f"({_high_sql('length_words', 'mean_cutoff')}) INTERSECT ({_high_sql('frac_unique_words', 'mean_cutoff')})")
 def q_part_inter(spark, sf):
-    return _inter_union(spark, sf, "intersection")
-
-
-def _inter_union(spark, sf, how):
-    # per-metric methods differ here on purpose: mean for one, median for the other
-    d = compute_metrics(docs(spark, sf), ["length_words", "unique_words"])
-    d = part.select_flag(d, "length_words", "mean_cutoff", True, flag="k1")
-    d = part.select_flag(d, "unique_words", "median_cutoff", True, flag="k2")
-    cond = (F.col("k1") & F.col("k2")) if how == "intersection" else (F.col("k1") | F.col("k2"))
-    return d.filter(cond).select("id")
+    return part.partition(docs(spark, sf), ["length_words", "frac_unique_words"], "mean_cutoff",
+                          join_partitions_by="intersection").select("id")
 
 
 @register("partition_union",
@@ -205,13 +197,13 @@ def q_shingles(spark, sf):
         "id", F.size(sh).cast("long").alias("n_shingles"), F.md5(F.array_join(F.array_sort(sh), "\n")).alias("shingles_md5"))
 
 
-def _sig_sql(n_shingles: int) -> str:
+def _sig_sql(n_shingles: int, tokd: str = TOKD) -> str:
     perms = ", ".join(f"coalesce(min(({a} * h + {b}) % {dedup.PRIME}), {dedup.EMPTY_SENTINEL})"
                       for a, b in dedup.PERMS)
     sh = f"list_distinct({S.ngrams('tokens', n_shingles)})"
     return f"""(SELECT id, [{perms}] AS sig FROM (
   SELECT id, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h FROM (
-    SELECT id, unnest(CASE WHEN len({sh}) = 0 THEN [NULL]::VARCHAR[] ELSE {sh} END) AS s FROM {TOKD}))
+    SELECT id, unnest(CASE WHEN len({sh}) = 0 THEN [NULL]::VARCHAR[] ELSE {sh} END) AS s FROM {tokd}))
   GROUP BY id)"""
 
 
@@ -221,10 +213,10 @@ def q_minhash(spark, sf):
     return s.select("id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
-def _bands_sql(threshold, n_shingles):
+def _bands_sql(threshold, n_shingles, tokd=TOKD):
     b, r = dedup.optimal_bands(threshold)
     keys = ", ".join(f"md5(array_to_string(sig[{j * r + 1}:{j * r + r}], ','))" for j in range(b))
-    return f"(SELECT id, unnest(range({b}))::INTEGER AS band, unnest([{keys}]) AS bkey FROM {_sig_sql(n_shingles)})"
+    return f"(SELECT id, unnest(range({b}))::INTEGER AS band, unnest([{keys}]) AS bkey FROM {_sig_sql(n_shingles, tokd)})"
 
 
 @register("lsh_bands", f"SELECT id, band, bkey FROM {_bands_sql(0.8, 3)}")
@@ -244,20 +236,33 @@ def q_lsh_candidates(spark, sf):
     return dedup.lsh_candidates(dedup.lsh_buckets(dedup.minhash_signatures(docs(spark, sf), n_shingles=3), 0.8))
 
 
-@register("dedup_minhash")
+def _near_sql(threshold, n_shingles, tokd=TOKD):
+    edges = f"SELECT id, band::VARCHAR || bkey AS bucket FROM {_bands_sql(threshold, n_shingles, tokd)}"
+    return f"({S.greedy_sql(edges)})"
+
+
+def _firsts_sql(tokd=TOKD):
+    return f"(SELECT min(id) FROM {tokd} GROUP BY md5(array_to_string(tokens, '')))"
+
+
+@register("dedup_minhash", f"SELECT id FROM {DOCS} WHERE id NOT IN {_near_sql(0.8, 3)}")
 def q_dedup_minhash(spark, sf):
     """Greedy MinHash-LSH dedup (3-shingles, threshold 0.8) over the whole table."""
     return dedup.deduplicate(docs(spark, sf), min_hash=True, jaccard_threshold=0.8, n_shingles=3).select("id")
 
 
-@register("deduplicate")
+@register("deduplicate", f"SELECT id FROM {DOCS} WHERE id IN {_firsts_sql()} AND id NOT IN {_near_sql(0.85, 1)}")
 def q_deduplicate(spark, sf):
-    """Exact + MinHash in one pass with the reference's interaction rule."""
+    """Exact + MinHash: a document stays when it passes both, each over all documents."""
     return dedup.deduplicate(docs(spark, sf), exact_match=True, min_hash=True,
                              jaccard_threshold=0.85, n_shingles=1).select("id")
 
 
-@register("deduplicate_tokenized")
+SPACED = f"(SELECT *, string_split_regex(lower({S.strip('text')}), '[{S.SQL_SPACE}]+') AS tokens FROM {DOCS})"
+
+
+@register("deduplicate_tokenized",
+          f"SELECT id FROM {DOCS} WHERE id IN {_firsts_sql(SPACED)} AND id NOT IN {_near_sql(0.8, 3, SPACED)}")
 def q_dedup_tok(spark, sf):
     """Dedup on the tokens of a supplied tokenizer (lower-cased white-space split)."""
     d = with_tokens(docs(spark, sf), tokenizer=lambda t: F.split(F.lower(clean.strip(t)), r"(?U)\s+"))
@@ -285,7 +290,14 @@ def q_flagship(spark, sf):
     return flagship(docs(spark, sf)).select("id", "text", "language", "source")
 
 
-@register("flagship_sieve_minhash")
+@register("flagship_sieve_minhash", f"""
+WITH pf AS (SELECT id, {S.clean_lines('text', ['Latn'])} AS text, language, source FROM {DOCS}),
+pf2 AS MATERIALIZED (SELECT *, {S.tok('text')} AS tokens FROM pf WHERE {S.strip('text')} <> ''),
+ex AS (SELECT * FROM pf2 WHERE id IN {_firsts_sql('pf2')} AND id NOT IN {_near_sql(0.8, 3, 'pf2')}),
+g AS (SELECT * FROM ex WHERE {sql_pass(GOPHER_THRESHOLDS)}),
+c AS (SELECT *, sum(length(text)) OVER (ORDER BY length(text), id ROWS UNBOUNDED PRECEDING) AS cum,
+             sum(length(text)) OVER () AS tot FROM g)
+SELECT id, text, language, source FROM c WHERE cum > tot // 2""")
 def q_flagship_minhash(spark, sf):
     """README chain with MinHash too: script filter, exact + MinHash dedup
     (3-shingles, 0.8), Gopher preset, balanced_chars on length_chars."""
@@ -298,10 +310,22 @@ def q_flagship_minhash(spark, sf):
     return run_config(docs(spark, sf), cfg).select("id", "text", "language", "source")
 
 
-@register("run_config")
+_RUN = f"""
+SELECT id, language, CASE WHEN rn <= ceil(0.1 * n) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT id, language, count(*) OVER (PARTITION BY language) AS n, row_number() OVER (PARTITION BY language
+    ORDER BY ('0x' || substr(md5('1:' || id::VARCHAR), 1, 13))::BIGINT::DOUBLE, id) AS rn
+  FROM (SELECT *, avg(m1) OVER () AS a1, avg(m2) OVER () AS a2 FROM (
+    SELECT id, language, {_m('unique_words')} AS m1, {_m('frac_unique_words')} AS m2 FROM (
+      SELECT * FROM (SELECT *, {S.tok('text')} AS tokens FROM (
+        SELECT id, language, {S.clean_lines('text', ['Latn'], c4=True)} AS text FROM {DOCS}) WHERE {S.strip('text')} <> '')
+      QUALIFY id = min(id) OVER (PARTITION BY md5(array_to_string(tokens, ''))))
+    WHERE {sql_pass({'length_words': 20})})) WHERE m1 >= a1 OR m2 >= a2)"""
+
+
+@register("run_config", S.sample_sql(_RUN, S.COUNTS, "pow(w, 1.0 / 0.5)", "min", extra=", i.split"))
 def q_run_config(spark, sf):
     """Config-driven run: pre-filter (per-language scripts + C4), exact dedup,
-    a fixed threshold, mean-cutoff partition on two metrics (intersection),
+    a fixed threshold, mean-cutoff partition on two metrics (union),
     per-language 10 % test split and temperature language sampling."""
     from ..plans.sieve import run_config
     cfg = {"experiment": "config", "languages": ["eng", "fra", "deu", "spa"],

@@ -98,21 +98,23 @@ def q_round_robin(spark, sf):
     return sampling.interleave_round_robin(docs(spark, sf), "source").select("id", "source", "t")
 
 
-@register("sample_first_exhausted")
+@register("sample_first_exhausted", S.sample_sql(f"SELECT id, language FROM {DOCS}", S.COUNTS, "pow(w, 1.0 / 0.5)", "min"))
 def q_sample_first(spark, sf):
     """Temperature-0.5 language sampling, stop at the first exhausted language."""
     return sampling.apply_language_sampling(docs(spark, sf), "temperature", 0.5, "first_exhausted") \
         .select("t", "id", "language")
 
 
-@register("sample_all_exhausted")
+@register("sample_all_exhausted", S.sample_sql(f"SELECT id, language FROM {DOCS}", S.COUNTS, "1.0", "max"))
 def q_sample_all(spark, sf):
     """Uniform language sampling until every language was exhausted once."""
     return sampling.apply_language_sampling(docs(spark, sf), "uniform", 1.0, "all_exhausted") \
         .select("t", "id", "language")
 
 
-@register("sample_with_raw_weights")
+@register("sample_with_raw_weights", S.sample_sql(
+    f"SELECT id, language FROM {DOCS}", f"SELECT language, sum(length(text))::DOUBLE AS w FROM {DOCS} GROUP BY language",
+    "1.0 / sqrt(w)", "min"))
 def q_sample_raw(spark, sf):
     """Sampling with user weights (characters per language, computed on Spark)."""
     w = {r["language"]: r["chars"] for r in stats.corpus_stats(docs(spark, sf)).collect()}

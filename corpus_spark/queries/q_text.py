@@ -87,7 +87,7 @@ SELECT id, round(removed_frac, 6) AS removed_frac FROM (
   SELECT id, (length(text) - length({S.clean_lines('text', ['Latn'], c4=True)}))::DOUBLE / length(text) AS removed_frac,
          {S.clean_lines('text', ['Latn'], c4=True)} AS cleaned
   FROM {DOCS} WHERE length(text) > 0)
-WHERE {S.strip('cleaned')} <> '' AND removed_frac > 0.5""")
+WHERE removed_frac > 0.5""")
 def q_flag_removed(spark, sf):
     d = clean.pre_filter(docs(spark, sf), scripts=["Latn"], c4=True, warn_fraction=0.5)
     return clean.flag_removed_chars(d, 0.5).select("id", F.round("removed_frac", 6).alias("removed_frac"))

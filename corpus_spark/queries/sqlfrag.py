@@ -130,3 +130,47 @@ def clean_lines(t: str, scripts=None, c4: bool = False, brackets: bool = True) -
     if c4:
         lines = f"list_filter({lines}, lambda l: {c4_line_ok('l')})"
     return f"array_to_string({lines}, chr(10))"
+
+
+#: Weights of the languages of ``d``: their documents.
+COUNTS = "SELECT language, count(*)::DOUBLE AS w FROM d GROUP BY language"
+
+
+def sample_sql(docs: str, weights: str, raw: str, stop: str, seed: int = 42, extra: str = "") -> str:
+    """Language sampling by probability: draws from md5 of (seed, t), the k-th
+    draw of a language takes its row k mod n, and the output ends at the first
+    (``stop`` = min) or the last (max) language's last row."""
+    return f"""
+WITH d AS ({docs}), w AS ({weights}),
+p AS (SELECT language, ({raw})::DOUBLE / sum(({raw})::DOUBLE) OVER () AS p FROM w),
+iv AS (SELECT language, sum(p) OVER (ORDER BY language) - p AS lo0, sum(p) OVER (ORDER BY language) AS hi0,
+              row_number() OVER (ORDER BY language DESC) AS back FROM p),
+iv2 AS (SELECT language, coalesce(lag(hi0) OVER (ORDER BY language), 0.0) AS lo,
+               CASE WHEN back = 1 THEN 2.0 ELSE hi0 END AS hi FROM iv),
+u AS (SELECT t, ('0x' || substr(md5('draw{seed}:' || t::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u
+      FROM (SELECT unnest(range(0, (SELECT 40 * count(*) FROM d))) AS t)),
+n AS (SELECT language, count(*) AS n FROM d GROUP BY language),
+k AS (SELECT t, language, n, row_number() OVER (PARTITION BY language ORDER BY t) - 1 AS k
+      FROM u JOIN iv2 ON u >= lo AND u < hi JOIN n USING (language)),
+s AS (SELECT {stop}(t) AS stop FROM (SELECT min(t) AS t FROM k WHERE k = n - 1 GROUP BY language)),
+i AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY id) - 1 AS i FROM d)
+SELECT k.t, i.id, i.language{extra} FROM k JOIN s ON k.t <= s.stop
+JOIN i ON i.language = k.language AND i.i = k.k % k.n"""
+
+
+def greedy_sql(edges: str) -> str:
+    """Ids that greedy deduplication drops, from ``(id, bucket)``: rounds over
+    the state of every document (0 open, 1 kept, 2 dropped)."""
+    return f"""
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT id, bucket FROM (SELECT id, bucket, count(*) OVER (PARTITION BY bucket) AS c FROM ({edges})) WHERE c > 1),
+r(n, id, st) AS (
+  SELECT 0, id, 0 FROM (SELECT DISTINCT id FROM e)
+  UNION ALL
+  SELECT n + 1, id, CASE WHEN st <> 0 THEN st WHEN bool_or(coalesce(m_k < id, false)) THEN 2
+                         WHEN bool_and(m_nd = id) THEN 1 ELSE 0 END
+  FROM (SELECT r.n, e.id, r.st, min(CASE WHEN r.st <> 2 THEN e.id END) OVER (PARTITION BY e.bucket) AS m_nd,
+               min(CASE WHEN r.st = 1 THEN e.id END) OVER (PARTITION BY e.bucket) AS m_k,
+               bool_or(r.st = 0) OVER () AS more
+        FROM r JOIN e ON r.id = e.id) WHERE more GROUP BY n, id, st)
+SELECT DISTINCT id FROM r WHERE st = 2"""
