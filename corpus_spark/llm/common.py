@@ -44,6 +44,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 
+def lowest_hashes(keys: DataFrame, limit: int, rows: int | None = None) -> DataFrame:
+    """The ``limit`` rows of ``keys`` (doc_id and other short columns) with the
+    lowest hashes of doc_id.  They are looked for below the hash that twice as
+    many rows are expected to be below, so the task that orders them gets a
+    bounded number of rows.  ``rows``: the number of rows, if known."""
+    rows = keys.count() if rows is None else rows
+    h = F.xxhash64("doc_id")
+    if rows > 2 * limit:
+        keys = keys.where(h < int(-(2**63) + 2**64 * (2 * limit / rows)))
+    return keys.orderBy(h, "doc_id").limit(limit)
+
+
 # --- Arrow texts ---------------------------------------------------------------
 
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ log-likelihood ratio speaks for the random model is a secret too.
 The models are counts of character pairs in labelled samples: values that the
 patterns find are random strings, all other runs are ordinary.  They are
 learned from a bounded number of documents (``sample_docs`` for either label,
-those whose doc_ids have the lowest hashes) and have one entry for each pair of
+those whose doc_ids have the lowest hashes among ``search`` times as many) and have one entry for each pair of
 the alphabet.
 
 Positions come from splitting a text at a pattern: the lengths of the pieces
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, lowest_hashes
 
 #: Fixed patterns of the task; letters of the key words in either case.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,6 +42,7 @@ MIN_RUN = 20
 MIN_RATIO = 0.5
 _RUN = f"(?<!{_CLASS}){_CLASS}" + "{%d,}+"
 SAMPLE_DOCS = 2000
+SEARCH = 100
 #: Pseudo-counts of a pair: strong for random strings, whose alphabets differ.
 PRIOR = {"random": 20.0, "ordinary": 0.5}
 
@@ -74,18 +75,29 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
-def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, search: int = SEARCH) -> DataFrame:
     """Tokens labelled by the patterns, from at most ``sample_docs`` documents
-    that hold a secret and as many of all documents."""
-    some = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    that hold a secret and as many of all documents.  Both are looked for among
+    ``search`` times as many documents; only doc_ids are ordered, and the
+    chosen ones (no more than ``sample_docs``) are broadcast."""
+    some = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    rows = docs.count()
+    pool = some
+    if rows > sample_docs * search:
+        pool = some.where(F.xxhash64("doc_id") < int(-(2**63) + 2**64 * (sample_docs * search / rows)))
+    secret = F.col("text").rlike(f"{ASSIGN}|{LONG_ACCESS}|{LONG_HEX}")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        return some.join(F.broadcast(ids.distinct()), "doc_id")
+
     order = (F.xxhash64("doc_id"), "doc_id")
-    held = some.where(F.col("text").rlike(f"{ASSIGN}|{LONG_ACCESS}|{LONG_HEX}")).orderBy(*order).limit(sample_docs)
+    held = texts(pool.where(secret).select("doc_id").orderBy(*order).limit(sample_docs))
     values = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), 2), F.regexp_extract_all("text", F.lit(LONG_ACCESS), 0),
                       F.regexp_extract_all("text", F.lit(LONG_HEX), 0))
     random = held.select(F.explode(values).alias("token")).where(F.length("token") >= MIN_LENGTH["assign"]) \
         .withColumn("label", F.lit("random"))
     rest = F.regexp_replace("text", f"{ASSIGN}|{LONG_ACCESS}|{LONG_HEX}", " ")
-    ordinary = some.orderBy(*order).limit(sample_docs) \
+    ordinary = texts(lowest_hashes(some.select("doc_id"), sample_docs, rows)) \
         .select(F.explode(F.regexp_extract_all(rest, F.lit(_RUN % 6), F.lit(0))).alias("token")) \
         .withColumn("label", F.lit("ordinary"))
     return random.union(ordinary)
