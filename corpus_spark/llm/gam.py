@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, documents, hash_spans, distinct_per_text, slices, text_buffer
+from .common import IS_SPACE, distinct_per_text, documents, hash_spans, lowest_hashes, slices, text_buffer
 from .line_quality import text_statistics
 
 #: Labelled rows to fit on, at most.
@@ -213,8 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     label or doc_id are left out.  The features of these rows, and nothing
     else, go to the driver."""
     chosen = labels.where(F.col(label).isNotNull() & ~is_held_out()) \
-        .groupBy("doc_id").agg(F.max(label).alias("label")) \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+        .groupBy("doc_id").agg(F.max(label).alias("label"))
+    chosen = lowest_hashes(chosen, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
