@@ -8,11 +8,12 @@ smaller than the corpus but still distributed):
 * :func:`word_frequencies` -- ``(word, count)``, the trainers' input;
 * :func:`train_bpe` -- byte-pair merges: each round counts adjacent symbol
   pairs (weighted by word frequency) with one aggregate, takes the most
-  frequent pair (ties: lexicographically smallest) and rewrites every word
-  with a native ``regexp_replace``; lineage is cut every few rounds;
+  frequent pairs that do not touch each other (ties: lexicographically
+  smallest first) and rewrites every word with native ``regexp_replace``;
+  lineage is cut every few merges;
   ``continuing_prefix="##"`` gives WordPiece-style pieces;
-* :func:`encode_words` / :func:`encode_corpus` -- apply the merges to each
-  distinct word once (Arrow batches, broadcast merge ranks) and join back;
+* :func:`encode_words` -- apply the merges to each distinct word once;
+  :func:`encode_corpus` -- encode documents inside the scan, without a shuffle;
 * :func:`merge_vocabularies`, :func:`special_tokens_table`.
 """
 
@@ -23,13 +24,12 @@ import unicodedata
 from typing import Iterable, Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir
+from .rowindex import group_row_index
 
 SEP = "\u0001"   # symbol separator inside a word (never part of pretokenized text)
 
@@ -48,8 +48,20 @@ PRETOKENIZERS = {
     "punctuation": r"\p{P}|[^\p{P}]+",
     # every digit on its own
     "digits": r"\p{Nd}|[^\p{Nd}]+",
+    # words, numbers and other signs with the blank before them (GPT-2 rule)
+    "byte_level": r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    # white space removed, every punctuation or ASCII sign on its own
+    "bert": r"(?U)[\p{P}!-/:-@\[-`{-~]|[^\s\p{P}!-/:-@\[-`{-~]+",
 }
 
+_SHARED = r"\p{IsCommon}\p{IsInherited}"
+_SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han}\\p{IsHiragana}\\p{IsKatakana", "Hangul", "Arabic", "Hebrew", "Devanagari",
+            "Bengali", "Tamil", "Telugu", "Thai", "Ethiopic", "Georgian", "Armenian")
+# a run of one script (Han with the kana); characters that scripts share go with the run before them
+PRETOKENIZERS["unicode_scripts"] = (
+    f"[{_SHARED}]*(?:" + "|".join(f"[\\p{{Is{x}}}][\\p{{Is{x}}}{_SHARED}]*" for x in _SCRIPTS)
+    + f"|[^{_SHARED}]+)|[{_SHARED}]+")
+
 
 @F.pandas_udf(T.StringType())
 def _unicode_normalize_nfc(s: pd.Series) -> pd.Series:
@@ -108,12 +120,15 @@ def normalize_text(text: Column, steps: Sequence) -> Column:
 def pretokenize(text: Column, steps: Sequence[str] = ("whitespace",)) -> Column:
     """Split text into words with one or more pre-tokenizers applied in turn
     (each splits every piece produced by the previous one).  ``metaspace``
-    replaces spaces by U+2581 and splits before each of them."""
+    replaces spaces by U+2581 and splits before each of them; a step
+    ``("split", pattern)`` takes what lies between matches of a pattern."""
     pieces = F.array(text)
     for st in steps:
         if st == "metaspace":
             pieces = F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(
                 F.regexp_replace(F.concat(F.lit(" "), p), " ", "▁"), F.lit("▁[^▁]*"), 0)))
+        elif isinstance(st, (tuple, list)) and len(st) == 2 and st[0] == "split":
+            pieces = F.filter(F.flatten(F.transform(pieces, lambda p: F.split(p, st[1], -1))), lambda p: p != "")
         elif st in PRETOKENIZERS:
             pat = PRETOKENIZERS[st]
             pieces = F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(pat), 0)))
@@ -156,15 +171,65 @@ def _quote(s: str) -> str:
     return s.replace("\\E", "\\E\\\\E\\Q")
 
 
-def train_bpe(freqs: DataFrame, vocab_size: int, specials: dict | None = None,
-              continuing_prefix: str = "", min_frequency: int = 2, checkpoint_every: int = 10):
+#: Pairs looked at in one round of training.
+BATCH = 64
+
+
+def independent_merges(top: list[tuple[str, str, int]], known: Iterable[str] = (),
+                       joined=lambda a, b: a + b) -> list[tuple[str, str]]:
+    """The merges that training one by one would make next, from the most
+    frequent pairs (a, b, n) in order and the symbols known so far.
+
+    These are the pairs before the first one that shares a symbol with one of
+    them.  Merging changes only counts of pairs that share a symbol, and a pair
+    with a new symbol is no more frequent than the pair it came from, which
+    stands at that first pair or behind it; so only pairs as frequent as that
+    one have to wait, too.  A merge that spells a known symbol ends the list,
+    as it may raise counts of that symbol's pairs."""
+    used: set[str] = set()
+    spelled = set(known)
+    taken: list[tuple[str, str, int]] = []
+    for i, (a, b, n) in enumerate(top):
+        if a in used or b in used:
+            return [(x, y) for j, (x, y, m) in enumerate(taken) if j == 0 or m > n]
+        taken.append((a, b, n))
+        used |= {a, b}
+        if joined(a, b) in spelled:
+            break
+        spelled.add(joined(a, b))
+    # pairs behind the list are no more frequent than its last
+    last = top[-1][2] if len(top) > BATCH else 0
+    return [(x, y) for j, (x, y, m) in enumerate(taken) if j == 0 or m > last]
+
+
+def resolve_vocab_size(vocab_size: int | str, corpus: DataFrame | None, text_col: str = "text") -> int:
+    """A number of pieces; ``"auto"`` predicts it from the corpus' characters."""
+    if vocab_size == "auto":
+        if corpus is None:
+            raise ValueError("vocab_size 'auto' needs the corpus")
+        from .stats import predict_vocab_size
+        return int(predict_vocab_size(corpus, text_col=text_col).first()["vocab_size"])
+    if not isinstance(vocab_size, int) or isinstance(vocab_size, bool) or vocab_size < 1:
+        raise ValueError(f"vocab_size must be a positive number or 'auto', not {vocab_size!r}")
+    return vocab_size
+
+
+def train_bpe(freqs: DataFrame, vocab_size: int | str, specials: dict | None = None,
+              continuing_prefix: str = "", min_frequency: int = 2, checkpoint_every: int = 10,
+              corpus: DataFrame | None = None):
     """Train byte-pair merges on a ``(word, count)`` table.
 
+    A round is one aggregate over the words and makes all next merges that do
+    not touch each other, so the merges are those of training one by one.
+    ``vocab_size`` may be ``"auto"`` (then ``corpus`` has the texts); a size
+    that the characters do not fit in is an error.
+
     Returns ``(vocab DataFrame (piece, id), merges list[(a, b)])``.  The
     alphabet is every character seen; with ``continuing_prefix`` (``##``)
     non-initial pieces carry the prefix (WordPiece style)."""
     spark = freqs.sparkSession
     ensure_checkpoint_dir(spark)
+    vocab_size = resolve_vocab_size(vocab_size, corpus)
     chars = F.split(F.col("word"), "")
     if continuing_prefix:
         first = F.slice(chars, 1, 1)
@@ -177,20 +242,31 @@ def train_bpe(freqs: DataFrame, vocab_size: int, specials: dict | None = None,
     specials_df = special_tokens_table(spark, specials)
     n_special = specials_df.count()
     budget = vocab_size - n_special - len(alphabet)
+    if budget < 0:
+        raise ValueError(f"vocab_size {vocab_size} is too small: {n_special} special tokens and "
+                         f"{len(alphabet)} characters need {n_special + len(alphabet)}")
     merges: list[tuple[str, str]] = []
-    for r in range(max(0, budget)):
-        best = (_pair_counts(words).filter(F.col("n") >= min_frequency)
-                .orderBy(F.desc("n"), "a", "b").limit(1).collect())
-        if not best:
+    since, known = 0, set(alphabet)
+
+    def joined(a, b):
+        return a + (b[len(continuing_prefix):] if continuing_prefix and b.startswith(continuing_prefix) else b)
+
+    while len(merges) < budget:
+        top = (_pair_counts(words).filter(F.col("n") >= min_frequency)
+               .orderBy(F.desc("n"), "a", "b").limit(BATCH + 1).collect())
+        batch = independent_merges([(r["a"], r["b"], r["n"]) for r in top], known, joined)[:budget - len(merges)]
+        known.update(joined(a, b) for a, b in batch)
+        if not batch:
             break
-        a, b = best[0]["a"], best[0]["b"]
-        merged = a + (b[len(continuing_prefix):] if continuing_prefix and b.startswith(continuing_prefix) else b)
-        merges.append((a, b))
-        pat = rf"(^|{SEP})\Q{_quote(a)}\E{SEP}\Q{_quote(b)}\E(?={SEP}|$)"
-        words = words.select(F.regexp_replace("w", pat, "$1" + merged.replace("\\", "\\\\").replace("$", "\\$"))
-                             .alias("w"), "count")
-        if (r + 1) % checkpoint_every == 0:
-            words = words.checkpoint(eager=True)
+        out = F.col("w")
+        for a, b in batch:
+            pat = rf"(^|{SEP})\Q{_quote(a)}\E{SEP}\Q{_quote(b)}\E(?={SEP}|$)"
+            out = F.regexp_replace(out, pat, "$1" + joined(a, b).replace("\\", "\\\\").replace("$", "\\$"))
+        words = words.select(out.alias("w"), "count")
+        merges += batch
+        since += len(batch)
+        if since >= checkpoint_every:
+            words, since = words.checkpoint(eager=True), 0
     pieces = alphabet + [a + (b[len(continuing_prefix):] if continuing_prefix and b.startswith(continuing_prefix)
                               else b) for a, b in merges]
     seen, ordered = set(), []
@@ -256,17 +332,35 @@ def encode_words(words: DataFrame, merges: list, vocab: DataFrame, continuing_pr
 
 
 def encode_corpus(df: DataFrame, merges: list, vocab: DataFrame, id_col: str = "id", text_col: str = "text",
-                  pre: Sequence[str] = ("whitespace",), continuing_prefix: str = "") -> DataFrame:
-    """``(id, input_ids, word_ids)``: pretokenize, encode the distinct words once,
-    join back on the word and restore word order per document."""
-    words = df.select(id_col, F.posexplode(pretokenize(F.col(text_col), pre)).alias("wpos", "word"))
-    enc = encode_words(words, merges, vocab, continuing_prefix)
-    j = words.join(enc, "word")
-    per_doc = j.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("wpos", "ids"))).alias("s"))
-    return per_doc.select(
-        id_col,
-        F.flatten(F.transform("s", lambda x: x["ids"])).alias("input_ids"),
-        F.flatten(F.transform("s", lambda x: F.array_repeat(x["wpos"], F.size(x["ids"])))).alias("word_ids"))
+                  pre: Sequence[str] = ("whitespace",), continuing_prefix: str = "", unk_id: int = 1) -> DataFrame:
+    """``(id, input_ids, word_ids)``, inside the scan: words are cut natively,
+    the distinct words of an Arrow batch are encoded once, nothing is
+    shuffled.  Merges and piece ids are broadcast; both are as many as the
+    vocabulary size that was asked for."""
+    spark = df.sparkSession
+    ranks = {tuple(m): i for i, m in enumerate(merges)}
+    ids = {r["piece"]: r["id"] for r in vocab.select("piece", "id").collect()}
+    shared = spark.sparkContext.broadcast((ranks, ids))
+
+    def enc(batches):
+        r, known = shared.value
+        for pdf in batches:
+            seen: dict[str, list[int]] = {}
+            out_ids, out_words = [], []
+            for words in pdf["words"]:
+                one, at = [], []
+                for i, w in enumerate(words if words is not None else ()):
+                    if w not in seen:
+                        seen[w] = [known.get(p, unk_id) for p in _bpe_encode_word(w, r, continuing_prefix)]
+                    one += seen[w]
+                    at += [i] * len(seen[w])
+                out_ids.append(one)
+                out_words.append(at)
+            yield pd.DataFrame({id_col: pdf[id_col], "input_ids": out_ids, "word_ids": out_words})
+
+    kind = dict(df.dtypes)[id_col]
+    return df.select(id_col, pretokenize(F.col(text_col), pre).alias("words")).mapInPandas(
+        enc, f"`{id_col}` {kind}, input_ids array<long>, word_ids array<int>")
 
 
 def merge_vocabularies(base: DataFrame, extra: DataFrame, specials: Iterable[str] = ()) -> DataFrame:
@@ -275,9 +369,8 @@ def merge_vocabularies(base: DataFrame, extra: DataFrame, specials: Iterable[str
     missing = extra.join(base.select("piece"), "piece", "left_anti")
     top = base.agg(F.max("id")).first()[0]
     top = -1 if top is None else top
-    # the vocabulary is bounded by its training parameter, so one ordered window is fine here
-    idx = missing.select("piece", F.dense_rank().over(Window.orderBy("id", "piece")).alias("r"))
-    added = idx.select("piece", (F.col("r") + F.lit(top)).cast("long").alias("id"))
+    idx = group_row_index(missing.select("id", "piece"), None, ["id", "piece"], "r")
+    added = idx.select("piece", (F.col("r") + F.lit(top + 1)).cast("long").alias("id"))
     out = base.select("piece", "id").unionByName(added)
     sp = [s for s in specials]
     if sp:
@@ -309,8 +402,9 @@ def _viterbi(word: str, logp: dict, max_len: int) -> list[str]:
     return pieces[::-1]
 
 
-def train_unigram(freqs: DataFrame, vocab_size: int, specials: dict | None = None, max_piece_len: int = 8,
-                  seed_factor: int = 4, em_rounds: int = 2, shrink: float = 0.75) -> DataFrame:
+def train_unigram(freqs: DataFrame, vocab_size: int | str, specials: dict | None = None, max_piece_len: int = 16,
+                  seed_factor: int = 4, em_rounds: int = 2, shrink: float = 0.75,
+                  corpus: DataFrame | None = None) -> DataFrame:
     """Unigram-LM vocabulary on a ``(word, count)`` table.
 
     Seeds: every single character plus the most frequent substrings (up to
@@ -321,14 +415,21 @@ def train_unigram(freqs: DataFrame, vocab_size: int, specials: dict | None = Non
     number is bounded by the seed size), piece counts are summed with
     ``groupBy`` (M-step), and the least used multi-character pieces are pruned
     by ``shrink`` until the target size is reached.  Returns
-    ``(piece, id, score)`` with the reserved special tokens first."""
+    ``(piece, id, score)`` with the reserved special tokens first.  A size that
+    the characters do not fit in is an error; ``"auto"`` as in
+    :func:`train_bpe`."""
     spark = freqs.sparkSession
-    words = freqs.filter(F.length("word") > 0).select("word", "count").persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(spark)
+    vocab_size = resolve_vocab_size(vocab_size, corpus)
+    words = freqs.filter(F.length("word") > 0).select("word", "count").checkpoint(eager=True)
     specials_df = special_tokens_table(spark, specials)
     n_special = specials_df.count()
     target = vocab_size - n_special
     chars_ = {r[0]: r[1] for r in words.select(F.explode(F.split("word", "")).alias("p"), "count")
               .groupBy("p").agg(F.sum("count").alias("c")).collect()}
+    if len(chars_) > target:
+        raise ValueError(f"vocab_size {vocab_size} is too small: {n_special} special tokens and "
+                         f"{len(chars_)} characters need {n_special + len(chars_)}")
     n = F.length("word")
     subs = words.select(F.explode(F.flatten(F.transform(
         F.sequence(F.lit(2), F.least(n, F.lit(max_piece_len))),
@@ -361,10 +462,10 @@ def train_unigram(freqs: DataFrame, vocab_size: int, specials: dict | None = Non
         if len(chars_) + len(multi) <= target:
             break
         keep = max(target - len(chars_), int(len(multi) * shrink))
-        counts = {p: c for p, c in counts.items() if len(p) == 1 or p in set(multi[:keep])}
+        kept = set(multi[:keep])
+        counts = {p: c for p, c in counts.items() if len(p) == 1 or p in kept}
     total = float(sum(counts.values())) or 1.0
-    ordered = sorted(counts, key=lambda p: (-counts[p], p))[:target]
+    ordered = sorted(counts, key=lambda p: (-counts[p], p))
     rows = [(p, n_special + i, math.log(counts[p] / total) if counts[p] > 0 else -1e9) for i, p in enumerate(ordered)]
     body = spark.createDataFrame(rows, "piece string, id long, score double")
-    words.unpersist()
     return specials_df.select("piece", "id", F.lit(0.0).alias("score")).unionByName(body)

@@ -247,29 +247,29 @@ def q_word_freq(spark, sf):
 
 @register("train_bpe")
 def q_train_bpe(spark, sf):
-    """150-piece BPE vocabulary from the corpus' word frequencies."""
-    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 150)
+    """500-piece BPE vocabulary from the corpus' word frequencies."""
+    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 500)
     return v
 
 
 @register("train_wordpiece")
 def q_train_wordpiece(spark, sf):
-    """150-piece WordPiece-style vocabulary (## continuation prefix)."""
-    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 150, continuing_prefix="##")
+    """500-piece WordPiece-style vocabulary (## continuation prefix)."""
+    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 500, continuing_prefix="##")
     return v
 
 
 @register("train_unigram")
 def q_train_unigram(spark, sf):
-    """150-piece unigram-LM vocabulary (substring seeds, Viterbi EM, pruning)."""
-    return vocab.train_unigram(vocab.word_frequencies(docs(spark, sf)), 150)
+    """500-piece unigram-LM vocabulary (substring seeds, Viterbi EM, pruning)."""
+    return vocab.train_unigram(vocab.word_frequencies(docs(spark, sf)), 500)
 
 
 @register("encode_corpus")
 def q_encode(spark, sf):
-    """Encode every document with a 150-piece BPE trained on the corpus."""
+    """Encode every document with a 500-piece BPE trained on the corpus."""
     d = docs(spark, sf)
-    v, merges = vocab.train_bpe(vocab.word_frequencies(d), 150)
+    v, merges = vocab.train_bpe(vocab.word_frequencies(d), 500)
     e = vocab.encode_corpus(d, merges, v)
     return e.select("id", F.size("input_ids").cast("long").alias("n_ids"),
                     F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))

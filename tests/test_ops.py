@@ -135,6 +135,58 @@ def test_bpe_matches_python(spark):
     assert all(len(r.ids) == len(r.pieces) for r in enc)
 
 
+def test_bpe_batches_equal_one_by_one(spark):
+    import random
+    rnd = random.Random(7)
+    for seed in range(3):
+        words = {"".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))): rnd.randrange(1, 40) for _ in range(60)}
+        df = spark.createDataFrame(list(words.items()), "word string, count long")
+        n = len(set("".join(words)))
+        _, merges = vocab.train_bpe(df, 4 + n + 40)
+        assert merges == python_bpe(words, 40)
+
+
+def test_vocabulary_sizes(spark):
+    df = spark.createDataFrame([("abcdefghij" * 2, 3), ("klmnopqrst", 2)], "word string, count long")
+    for train in (vocab.train_bpe, vocab.train_unigram):
+        with pytest.raises(ValueError, match="too small"):
+            train(df, 20)
+        with pytest.raises(ValueError, match="auto"):
+            train(df, "auto")
+        with pytest.raises(ValueError):
+            train(df, 0)
+    corpus = spark.createDataFrame([("klmnopqrst abcdefghij " * 3000,)], "text string")
+    size = vocab.resolve_vocab_size("auto", corpus)
+    assert size > 24 and vocab.train_unigram(df, size, corpus=corpus).count() <= size
+
+
+def test_pretokenizers(spark):
+    cases = {
+        "byte_level": ("it's  a 12! \n", ["it", "'s", " ", " a", " 12", "!", " \n"]),
+        "bert": ("a-b  c$d", ["a", "-", "b", "c", "$", "d"]),
+        "unicode_scripts": (" abc где, 漢かな x", [" abc ", "где, ", "漢かな ", "x"]),
+        ("split", "[,;]"): ("a,b;;c", ["a", "b", "c"]),
+    }
+    for step, (text, want) in cases.items():
+        got = spark.createDataFrame([(text,)], "t string").select(vocab.pretokenize(F.col("t"), [step])).first()[0]
+        assert got == want
+
+
+def test_encode_corpus_without_shuffle(spark):
+    freqs = {"lower": 5, "lowest": 3, "newer": 6, "wider": 2, "low": 7, "new": 4}
+    df = spark.createDataFrame(list(freqs.items()), "word string, count long")
+    v, merges = vocab.train_bpe(df, 4 + len(set("".join(freqs))) + 8)
+    docs = spark.createDataFrame([(1, "lower newer zz"), (2, ""), (3, None)], "id long, text string")
+    out = vocab.encode_corpus(docs, merges, v)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = {r.id: r for r in out.collect()}
+    ids = {r["piece"]: r["id"] for r in v.collect()}
+    words = [vocab._bpe_encode_word(w, {m: i for i, m in enumerate(merges)}, "") for w in ("lower", "newer", "zz")]
+    assert rows[1].input_ids == [ids.get(p, 1) for w in words for p in w]
+    assert rows[1].word_ids == [i for i, w in enumerate(words) for _ in w]
+    assert rows[2].input_ids == [] and rows[3].input_ids == []
+
+
 def test_streaming_refuses_global_ops(spark, tmp_path):
     from corpus_spark.operators import partition as part
     from corpus_spark.operators.threshold import apply_threshold
