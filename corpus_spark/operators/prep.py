@@ -115,8 +115,9 @@ def align_dependency_labels(df: DataFrame, max_length: int, word_ids_col: str =
                             heads_col: str = "head", rels_col: str = "deprel_ids") -> DataFrame:
     """Dependency heads/relations on the first sub-token of each word
     (-100 elsewhere) plus the word-start positions, padded with -100 to
-    ``max_length + 1``."""
-    wid = F.col(word_ids_col)
+    ``max_length + 1``.  Sub-tokens behind ``max_length`` are cut off from the
+    sequence, so labels and word starts are those of the same sub-tokens."""
+    wid = F.slice(F.col(word_ids_col), 1, max_length)
     prev = F.concat(F.array(F.lit(-2).cast("long")), F.slice(wid, 1, F.greatest(F.size(wid) - 1, F.lit(0))))
     first = F.zip_with(wid, prev, lambda w, p: (w >= 0) & (w != p))
     heads = F.zip_with(wid, first, lambda w, f: F.when(f, F.element_at(F.col(heads_col), (w + 1).cast("int")))
@@ -124,6 +125,5 @@ def align_dependency_labels(df: DataFrame, max_length: int, word_ids_col: str =
     rels = F.zip_with(wid, first, lambda w, f: F.when(f, F.element_at(F.col(rels_col), (w + 1).cast("int")))
                       .otherwise(F.lit(IGNORE)))
     starts = F.filter(F.transform(first, lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda x: x >= 0)
-    pad = F.greatest(F.lit(max_length + 1) - F.size(starts), F.lit(0))
-    starts = F.slice(F.concat(starts, F.array_repeat(F.lit(IGNORE), pad)), 1, max_length + 1)
+    starts = F.concat(starts, F.array_repeat(F.lit(IGNORE), F.lit(max_length + 1) - F.size(starts)))
     return df.withColumn("labels_head", heads).withColumn("labels_rel", rels).withColumn("word_starts", starts)

@@ -38,23 +38,34 @@ def adapt_parallel_bible(df: DataFrame, lang: str, pivot: str = "eng") -> DataFr
 
 def adapt_translation_pairs(df: DataFrame, lang: str, script: str | None = None) -> DataFrame:
     """Translation pairs ``translation MAP<tag, text>`` (tags like ``hau_Latn``):
-    from every pair containing the language's tag take that side as ``text``.
-    One scan over all pairs (a filter on the map keys), not one read per pair."""
+    from every pair the sides in the language, in any of its scripts (or in
+    ``script``), as ``text``.  One scan over all pairs."""
     info = lookup(lang)
-    tag = f"{info['id']}_{script or info['scripts'][0]}"
-    return (df.filter(F.map_contains_key("translation", F.lit(tag)))
-            .select(F.element_at("translation", F.lit(tag)).alias("text")))
+    tags = [f"{info['id']}_{s}" for s in ([script] if script else info["scripts"])]
+    sides = F.array(*[F.try_element_at("translation", F.lit(t)) for t in tags])
+    return df.select(F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("text"))
+
+
+#: Subset names that do not end in the first script of the language.
+SUBSETS = {"jpn": "jpn_Jpan"}
 
 
 def fineweb_subset(lang: str) -> str:
     """Subset name of a language in the multilingual web crawl: ``iso3_Script``."""
     info = lookup(lang)
-    return f"{info['id']}_{info['scripts'][0]}"
-
-
-def adapt_fineweb(df: DataFrame, lang: str, subset_col: str = "subset") -> DataFrame:
-    """Rows of the language's subset, keeping only ``text``."""
-    return df.filter(F.col(subset_col) == F.lit(fineweb_subset(lang))).select("text")
+    return SUBSETS.get(info["id"], f"{info['id']}_{info['scripts'][0]}")
+
+
+def adapt_fineweb(df: DataFrame, lang: str, subset_col: str = "subset", subsets: DataFrame | None = None) -> DataFrame:
+    """Rows of the language's subset, keeping only ``text``.  ``subsets``: a
+    table (language, subset) to take the names from, one row or several for a
+    language; it is a dimension with as many rows as the crawl has subsets."""
+    if subsets is None:
+        return df.filter(F.col(subset_col) == F.lit(fineweb_subset(lang))).select("text")
+    names = [r["subset"] for r in subsets.filter(F.col("language") == lookup(lang)["id"]).select("subset").distinct().collect()]
+    if not names:
+        raise ValueError(f"The subset table has no row for {lang}")
+    return df.filter(F.col(subset_col).isin(*names)).select("text")
 
 
 ADAPTERS: dict[str, Callable] = {

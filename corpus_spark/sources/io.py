@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import os
 from typing import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .langs import aliases
@@ -21,6 +22,17 @@ def save_corpus(df: DataFrame, path: str, by_language: bool = True, mode: str =
     w.parquet(path)
 
 
+def _partition_values(spark: SparkSession, path: str, column: str) -> set[str] | None:
+    """Values of the first partition column from the folder names, without
+    reading a file; None when the folder is not partitioned by ``column``."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+             if s.isDirectory()]
+    found = {unquote(n.split("=", 1)[1]) for n in names if n.startswith(f"{column}=")}
+    return found or None
+
+
 def load_local(spark: SparkSession, path: str, lang: str | None = None, split: str | None = None) -> DataFrame:
     """Read a saved corpus.  The language may be stored under its iso3 id,
     wiki id or BCP-47 tag; the first alias present is used.  The filter is on
@@ -29,7 +41,9 @@ def load_local(spark: SparkSession, path: str, lang: str | None = None, split: s
     if lang is not None:
         if "language" not in df.columns:
             raise ValueError("Saved corpus is not partitioned by language.")
-        present = {r[0] for r in df.select("language").distinct().collect()}
+        present = _partition_values(spark, path, "language")
+        if present is None:
+            present = {r[0] for r in df.select("language").distinct().collect()}
         chosen = next((a for a in aliases(lang) if a in present), None)
         if chosen is None:
             raise ValueError(f"Language {lang} not found under {path}")
@@ -74,30 +88,44 @@ UPOS_LABELS = ["NOUN", "PUNCT", "ADP", "NUM", "SYM", "SCONJ", "ADJ", "PART", "DE
 def read_conllu(spark: SparkSession, path: str) -> DataFrame:
     """Read ``*train/dev/test.conllu`` files: one row per sentence with
     ``idx, text, tokens, lemmas, upos, xpos, feats, head, deprel, deps, misc``
-    and ``split`` from the file name.  ``sent_id``/``text`` comments are used
-    when present (``idx`` is NULL without a ``sent_id``; Spark's text reader
-    has no line positions), otherwise the text is the tokens joined by spaces."""
+    and ``split`` from the file name (or, for a folder of part files, from the
+    folder's name).  ``sent_id``/``text`` comments are used when present;
+    otherwise ``idx`` is the sentence's number in its file and the text is the
+    tokens joined by spaces.  Lines may end in LF or CRLF.  ``_`` as lemma or
+    xpos is NULL, and so is the head of ranges (``1-2``) and empty nodes
+    (``1.1``), which stay in the token list."""
     raw = (spark.read.option("lineSep", "\n\n").text(path)
-           .select(F.regexp_replace("value", "\r", "").alias("block"), F.col("_metadata.file_path").alias("fname"))
-           .filter(F.trim("block") != ""))
+           .select("value", F.col("_metadata.file_path").alias("fname"),
+                   F.col("_metadata.file_block_start").alias("__block"))
+           .withColumn("__row", F.monotonically_increasing_id()))
+    # in a CRLF file no two LF stand together: its sentences are still in one value
+    blocks = raw.select("fname", "__block", "__row", F.posexplode(F.split("value", r"\r?\n\r?\n")).alias("__nth", "block")) \
+        .withColumn("block", F.regexp_replace("block", "\r", "")).filter(F.trim("block") != "")
     lines = F.filter(F.split("block", "\n"), lambda l: l != "")
     comments = F.filter(lines, lambda l: l.startswith("#"))
     toks = F.transform(F.filter(lines, lambda l: ~l.startswith("#")), lambda l: F.split(l, "\t"))
 
     def field(i):
-        return F.transform(toks, lambda t: F.when(t[i] == "_", F.lit(None)).otherwise(t[i])
-                           if CONLLU_FIELDS[i] in ("lemma", "xpos") else t[i])
+        if CONLLU_FIELDS[i] in ("lemma", "xpos"):
+            return F.transform(toks, lambda t: F.when(t[i] == "_", F.lit(None)).otherwise(t[i]))
+        if CONLLU_FIELDS[i] == "head":
+            return F.transform(toks, lambda t: F.when(t[0].rlike(r"[-.]"), F.lit(None)).otherwise(t[i]))
+        return F.transform(toks, lambda t: t[i])
 
     def comment(key):
         hit = F.filter(comments, lambda c: c.rlike(rf"^#\s*{key}\s*="))
         return F.regexp_replace(F.try_element_at(hit, F.lit(1)), rf"^#\s*{key}\s*=\s*", "")
 
     forms = field(1)
-    split = (F.when(F.col("fname").rlike("train"), "train").when(F.col("fname").rlike("dev"), "validation")
-             .when(F.col("fname").rlike("test"), "test").otherwise("train"))  # from the file path
+    part = F.regexp_extract("fname", r"(train|dev|test)[^/]*$", 1)
+    folder = F.regexp_extract("fname", r"(train|dev|test)/[^/]*$", 1)
+    named = F.when(part != "", part).otherwise(folder)
+    split = F.when(named == "dev", "validation").when(named != "", named).otherwise("train")
     labels = F.array(*[F.lit(x) for x in UPOS_LABELS])
-    out = raw.select(
-        comment("sent_id").alias("idx"),
+    # a window over one file's sentences, in the order of the file
+    number = F.row_number().over(Window.partitionBy("fname").orderBy("__block", "__row", "__nth"))
+    out = blocks.withColumn("__number", number).select(
+        F.coalesce(comment("sent_id"), F.col("__number").cast("string")).alias("idx"),
         F.coalesce(comment("text"), F.array_join(forms, " ")).alias("text"),
         forms.alias("tokens"), field(2).alias("lemmas"), field(3).alias("upos"), field(4).alias("xpos"),
         field(5).alias("feats"), field(6).alias("head"), field(7).alias("deprel"),

@@ -1,9 +1,10 @@
 """Language dimension: ISO 639-3 id, name, BCP-47 tag, Wikipedia id, scripts
 and the corpus sources a language is available in.
 
-The reference reads this from a mapping file that is not part of its
-checkout, so we ship a small table of our own.  It is a dimension: tiny,
-joined with ``broadcast`` (its size is fixed by this file).
+A small built-in table of languages; :func:`use_language_table` adds a table of
+any size that the caller reads.  It is a dimension: one row for each language,
+held by the driver and joined with ``broadcast``.  The built-in rows name all
+sources there is an adapter for, as availability is the caller's matter.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def iso3(code: str) -> str:
 def language_table(spark: SparkSession) -> DataFrame:
     """The registry as a DataFrame, one row per language."""
     return spark.createDataFrame(
-        [list(r) for r in LANGUAGES],
+        [list(r) for r in _BY_ID.values()],
         "id string, language string, bcp_47 string, wiki_id string, scripts array<string>, sources array<string>")
 
 
@@ -75,5 +76,20 @@ def list_languages(spark: SparkSession) -> DataFrame:
     return language_table(spark).orderBy("language")
 
 
+def use_language_table(df: DataFrame) -> int:
+    """Add the languages of a table (id, language, bcp_47, wiki_id, scripts,
+    sources; all but id may be NULL) to the registry, in place of built-in rows
+    with the same id.  Returns the number of languages known."""
+    for r in df.select("id", "language", "bcp_47", "wiki_id", "scripts", "sources").collect():
+        if not r["id"]:
+            raise ValueError("A language needs an id.")
+        row = (r["id"], r["language"] or r["id"], r["bcp_47"] or r["id"], r["wiki_id"] or r["bcp_47"] or r["id"],
+               list(r["scripts"] or ["Latn"]), list(r["sources"] if r["sources"] is not None else KNOWN_SOURCES))
+        _BY_ID[row[0]] = row
+        for alias in (row[0], row[2], row[3]):
+            _BY_ANY[alias] = row
+    return len(_BY_ID)
+
+
 def scripts_for(codes) -> dict[str, list[str]]:
     return {iso3(c): lookup(c)["scripts"] for c in codes}
