@@ -12,12 +12,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cutpoint import find_cuts, low_predicate
+from ..session import ensure_checkpoint_dir
+from .rowindex import group_row_index
 
 
 def running_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
@@ -25,8 +25,8 @@ def running_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
     """Add ``cum_<v>``: inclusive running sums in ``order_cols`` order."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *order_cols).withColumn("__pid", F.spark_partition_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))
+    ensure_checkpoint_dir(spark)
+    s = df.repartitionByRange(n, *order_cols).withColumn("__pid", F.spark_partition_id()).checkpoint()
     tot = s.groupBy("__pid").agg(*[F.sum(v).alias(v) for v in value_cols]).collect()
     tot.sort(key=lambda r: r["__pid"])
     run = {v: 0.0 for v in value_cols}
@@ -71,8 +71,10 @@ def js_divergence(a: DataFrame, b: DataFrame, col: str, bins: int = 100) -> floa
     """Jensen-Shannon divergence of two density histograms (each over its own
     range, as the reference does); histograms are aggregated on Spark, the
     ``bins`` numbers are combined on the driver."""
-    ca, wa, na = _hist(a, col, bins)
-    cb, wb, nb = _hist(b, col, bins)
+    return _js(*_hist(a, col, bins), *_hist(b, col, bins))
+
+
+def _js(ca: np.ndarray, wa: float, na: float, cb: np.ndarray, wb: float, nb: float) -> float:
     pa, pb = ca / (na * wa), cb / (nb * wb)
     m = 0.5 * (pa + pb)
 
@@ -103,88 +105,156 @@ def find_elbow(curve: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def representative_sample_size(df: DataFrame, col: str, id_col: str = "id", reps: int = 5,
-                               n_sizes: int = 25, seed: int = 0) -> DataFrame:
+                               n_sizes: int = 25, seed: int = 0, distance: str = "ks", bins: int = 100) -> DataFrame:
     """Sample sizes log-spaced from 10 to N; for each, ``reps`` seeded samples
-    (smallest hash ranks); mean KS distance of sample vs. full distribution;
-    the elbow of that curve is the representative size.  Samples are defined
-    by exact hash cut-offs, so every KS is computed on Spark."""
+    (smallest hash ranks); mean distance of sample and full distribution
+    (``ks``: Kolmogorov-Smirnov, ``js``: Jensen-Shannon of histograms); the
+    elbow of that curve is the representative size.
+
+    The samples of a repetition are nested, so one ranking by hash and one
+    aggregate over the values give the distances of all its sizes."""
+    if distance not in ("ks", "js"):
+        raise ValueError(f"distance must be ks or js, not {distance!r}")
+    ensure_checkpoint_dir(df.sparkSession)
     base = df.select(F.col(col).cast("double").alias("v"), F.col(id_col).alias("id")) \
-        .filter(F.col("v").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        .filter(F.col("v").isNotNull()).checkpoint()
     N = base.count()
     sizes = sorted(set(int(s) for s in np.logspace(1, math.log10(max(N, 10)), n_sizes)))
     results = []
     for r in range(reps):
         key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"rs{seed}-{r}"), F.col("id").cast("string"))), 1, 13),
                      16, 10).cast("double")
-        keyed = base.withColumn("h", key)
-        for n in sizes:
-            cut = find_cuts(keyed, "h", "id", None, n)[()]
-            sample = keyed.filter(low_predicate("h", "id", cut))
-            ks = ks_statistic(sample, base, "v").first()["ks"]
-            results.append((n, r, ks))
+        ranked = group_row_index(base.select("v", "id", key.alias("h")), None, ["h", "id"], "r")
+        # the first size whose sample has the row
+        first = F.size(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s <= F.col("r")))
+        per = ranked.select("v", first.alias("j")).groupBy("v", "j").agg(F.count(F.lit(1)).alias("c"))
+        dist = _nested_ks(per, sizes, N) if distance == "ks" else _nested_js(per, sizes, bins)
+        results += [(n, r, float(d)) for n, d in zip(sizes, dist)]
     spark = df.sparkSession
-    curve = spark.createDataFrame(results, "x long, rep int, ks double").groupBy("x").agg(F.avg("ks").alias("y"))
+    curve = spark.createDataFrame(results, "x long, rep int, d double").groupBy("x").agg(F.avg("d").alias("y"))
     return find_elbow(curve).select(F.col("elbow_x").alias("sample_size"))
 
 
+def _nested_ks(per: DataFrame, sizes: list[int], n: int) -> list[float]:
+    """KS distances of nested samples, from counts c of a value v in sample j
+    but in no smaller one (j = number of sizes: in none)."""
+    names = [f"s{j}" for j in range(len(sizes))]
+    values = per.groupBy("v").agg(F.sum("c").cast("double").alias("all"), *[
+        F.sum(F.when(F.col("j") <= j, F.col("c")).otherwise(0)).cast("double").alias(x) for j, x in enumerate(names)])
+    cum = running_sums(values, ["v"], ["all", *names])
+    row = cum.agg(*[F.max(F.abs(F.col(f"cum_{x}") / F.lit(float(min(s, n))) - F.col("cum_all") / F.lit(float(n))))
+                    for x, s in zip(names, sizes)]).first()
+    return [round(d, 6) for d in row]
+
+
+def _nested_js(per: DataFrame, sizes: list[int], bins: int) -> list[float]:
+    """The same for the Jensen-Shannon divergence of histograms, each over the
+    range of its own sample."""
+    k = len(sizes)
+    spread = per.select("v", "c", F.explode(F.sequence(F.col("j"), F.lit(k))).alias("j"))  # k: all rows
+    lim = {r["j"]: (r["lo"], r["hi"], r["n"]) for r in per.select("v", "c", F.explode(F.sequence(F.col("j"), F.lit(k))).alias("j"))
+           .groupBy("j").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")).collect()}
+    width = {j: (hi - lo) / bins if hi > lo else 1.0 for j, (lo, hi, _) in lim.items()}
+    low = F.array(*[F.lit(float(lim[j][0]) if j in lim else 0.0) for j in range(k + 1)])
+    step = F.array(*[F.lit(float(width.get(j, 1.0))) for j in range(k + 1)])
+    at = F.least(F.floor((F.col("v") - F.element_at(low, F.col("j") + 1)) / F.element_at(step, F.col("j") + 1)), F.lit(bins - 1))
+    hist = {j: np.zeros(bins) for j in lim}
+    for r in spread.groupBy("j", at.cast("int").alias("b")).agg(F.sum("c").alias("c")).collect():
+        hist[r["j"]][r["b"]] = r["c"]
+    return [_js(hist[j], width[j], float(lim[j][2]), hist[k], width[k], float(lim[k][2])) for j in range(k)]
+
+
 # --- elbow split ---------------------------------------------------------------------
-GRID = 2048
 POLY_DEGREE = 7
 
 
-def _kneedle_convex_decreasing(x: np.ndarray, y: np.ndarray, degree: int = POLY_DEGREE, S: float = 1.0):
-    """Knee of a convex decreasing curve (Kneedle with a polynomial fit):
-    normalise, flip, difference curve, first local maximum whose threshold is
-    crossed.  Returns an index into ``x`` or None."""
-    coef = np.polyfit(x, y, degree)
-    ds = np.polyval(coef, x)
-    xn = (x - x.min()) / (x.max() - x.min())
-    yn = (ds - ds.min()) / ((ds.max() - ds.min()) or 1.0)
-    yn = yn.max() - yn
-    yd = yn - xn
-    n = len(yd)
-    maxima = [i for i in range(n) if (i == 0 or yd[i] >= yd[i - 1]) and (i == n - 1 or yd[i] >= yd[i + 1])]
-    minima = set(i for i in range(n) if (i == 0 or yd[i] <= yd[i - 1]) and (i == n - 1 or yd[i] <= yd[i + 1]))
-    if not maxima:
+def fit_curve(ranked: DataFrame, n: int, degree: int = POLY_DEGREE) -> np.ndarray:
+    """Least-squares polynomial of the curve (r, y), r = 0..n-1, in
+    z = 2 r / (n - 1) - 1, lowest power first.  One aggregate sums the powers
+    over all rows; the normal equations have ``degree + 1`` unknowns."""
+    z = F.col("r") * F.lit(2.0 / (n - 1)) - 1.0
+    powers = [F.sum(F.pow(z, F.lit(float(k)))) for k in range(2 * degree + 1)]
+    moments = [F.sum(F.col("y") * F.pow(z, F.lit(float(k)))) for k in range(degree + 1)]
+    row = ranked.agg(*powers, *moments).first()
+    gram = np.array([[row[i + j] for j in range(degree + 1)] for i in range(degree + 1)])
+    return np.linalg.lstsq(gram, np.array(row[2 * degree + 1:]), rcond=None)[0]
+
+
+def knee_rank(coef: np.ndarray, n: int) -> int | None:
+    """Kneedle's knee of the convex decreasing polynomial curve over the ranks
+    0..n-1 (sensitivity 1), found from its critical points alone: the
+    normalised difference curve is monotone between them, so the rule (the
+    last local maximum whose threshold is crossed before the next one) needs
+    its values only there."""
+    poly = np.polynomial.Polynomial(coef)
+
+    def at(rank):
+        return float(poly(2.0 * rank / (n - 1) - 1.0))
+
+    def ranks_of(p):
+        z = [r.real for r in p.roots() if abs(r.imag) < 1e-9 and -1 < r.real < 1]
+        return [(x + 1) / 2 * (n - 1) for x in z]
+
+    def nearby(values):
+        return {min(max(int(round(v)) + d, 0), n - 1) for v in values for d in (-1, 0, 1)}
+
+    slope = poly.deriv()
+    ends = nearby(ranks_of(slope)) | {0, n - 1}
+    low, high = min(map(at, ends)), max(map(at, ends))
+    span = (high - low) or 1.0
+
+    def diff(rank):
+        return 1.0 - (at(rank) - low) / span - rank / (n - 1)
+
+    if high == low:
+        def diff(rank):  # noqa: F811  a flat curve: the flipped curve is flat at 0
+            return -rank / (n - 1)
+    turning = sorted({max(nearby([r]), key=diff) if curve < 0 else min(nearby([r]), key=diff)
+                      for r in ranks_of(slope + span / 2)
+                      for curve in [-float(slope.deriv()(2 * r / (n - 1) - 1))]} | {0, n - 1})
+    kinds = {}
+    for i, r in enumerate(turning):
+        before, after = diff(turning[i - 1]) if i else None, diff(turning[i + 1]) if i + 1 < len(turning) else None
+        here = diff(r)
+        if (before is None or here >= before) and (after is None or here >= after):
+            kinds[r] = "max"
+        elif (before is None or here <= before) and (after is None or here <= after):
+            kinds[r] = "min"
+    turning = [r for r in turning if r in kinds]
+    start = next((i for i, r in enumerate(turning) if kinds[r] == "max"), None)
+    if start is None:
         return None
-    tmx = {i: yd[i] - S * abs(np.diff(xn).mean()) for i in maxima}
-    mset = set(maxima)
-    threshold, t_idx = 0.0, maxima[0]
-    for i in range(maxima[0], n - 1):
-        if i in mset:
-            threshold, t_idx = tmx[i], i
-        if i in minima:
+    threshold, knee = 0.0, turning[start]
+    for i in range(start, len(turning)):
+        r, end = turning[i], turning[i + 1] if i + 1 < len(turning) else n - 1
+        if kinds[r] == "max":
+            threshold, knee = diff(r) - 1.0 / (n - 1), r
+        else:
             threshold = 0.0
-        if yd[i + 1] < threshold:
-            return t_idx
+        if r < end and min(diff(r + 1), diff(end)) < threshold:
+            return knee
     return None
 
 
 def elbow_high_flag(df: DataFrame, metric: str, id_col: str = "id", flag: str = "__high") -> DataFrame:
-    """Reference rule: sort descending, partition_1 = the first ``knee`` rows
-    (the HIGH values), partition_2 = the rest.  ``flag`` marks partition_2
-    (so, as in the reference, quality=True on a higher-is-better metric keeps
-    the LOW tail).  The descending curve is summarised by ``GRID`` exact-rank
-    quantiles (one aggregate), the knee is found on that grid and mapped back
-    to a rank, and the split itself is the exact cut at that rank."""
-    keys = df.select(F.col(metric).cast("double").alias("m"), F.col(id_col).alias("id")) \
-        .filter(F.col("m").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    n = keys.count()
+    """Sort descending, partition_1 = the first ``knee`` rows (the HIGH values),
+    partition_2 = the rest; ``flag`` marks partition_2, so quality=True on a
+    higher-is-better metric keeps the LOW tail.  The flag is NULL on all rows
+    when there is no knee, False for rows without a metric, and True on all
+    rows when fewer than three have one.
+
+    The curve over all rows is ranked by a distributed sort of (metric, id) and
+    fitted by one aggregate; the split is exact at the knee's row."""
+    keys = df.select((-F.col(metric).cast("double")).alias("nm"), F.col(id_col).alias("id")).filter("nm IS NOT NULL")
+    ranked = group_row_index(keys, None, ["nm", "id"], "r")
+    n = ranked.count()
+    known = F.col(metric).isNotNull()
     if n < 3:
-        return df.withColumn(flag, F.lit(True))
-    g = min(GRID, n)
-    qs = [1.0 - i / (g - 1) for i in range(g)]           # descending curve
-    vals = keys.agg(F.percentile_approx("m", qs, 100000)).first()[0]
-    xs = np.array([i * (n - 1) / (g - 1) for i in range(g)])
-    knee = _kneedle_convex_decreasing(xs, np.array(vals, dtype=float))
+        return df.withColumn(flag, known)
+    knee = knee_rank(fit_curve(ranked.select("r", (-F.col("nm")).alias("y")), n), n)
     if knee is None:
-        # no knee: partition_1 and partition_2 are both everything (NULL flag)
-        keys.unpersist()
-        return df.withColumn(flag, F.lit(None).cast("boolean"))
-    k = int(round(xs[knee]))
-    # partition_1 = top k rows by (metric desc, id): cut on the negated metric
-    neg = keys.select((-F.col("m")).alias("nm"), "id")
-    cut = find_cuts(neg, "nm", "id", None, k)[()]
-    keys.unpersist()
-    in_top = low_predicate("__nm", id_col, cut)
-    return df.withColumn("__nm", -F.col(metric).cast("double")).withColumn(flag, ~in_top).drop("__nm")
+        return df.withColumn(flag, F.when(~known, F.lit(False)))
+    row = ranked.filter(F.col("r") == knee).first()
+    nm = -F.col(metric).cast("double")
+    in_top = (nm < F.lit(row["nm"])) | ((nm == F.lit(row["nm"])) & (F.col(id_col) < F.lit(row["id"])))
+    return df.withColumn(flag, F.coalesce(~in_top, F.lit(False)))

@@ -128,8 +128,8 @@ def select_flag(df: DataFrame, metric: str, split_method: str, quality: bool = T
     want_high = (hib and quality) or (not hib and not quality)
     keep = F.col("__high") if want_high else ~F.col("__high")
     if split_method == "elbow":
-        # no knee: the reference's partition_1 and partition_2 both hold every row
-        keep = F.when(F.col("__high").isNull(), F.lit(True)).otherwise(keep)
+        # no knee: both partitions hold every row; a row without a metric is in neither
+        keep = F.col(metric).isNotNull() & F.coalesce(keep, F.lit(True))
     return out.withColumn(flag, F.coalesce(keep, F.lit(False))).drop("__high")
 
 

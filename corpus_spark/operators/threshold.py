@@ -63,6 +63,9 @@ def threshold_report(df: DataFrame, thresholds: dict, text_col: str = "text") ->
 # Estimated ("auto") thresholds
 # ---------------------------------------------------------------------------
 HIST_BINS = 2048
+#: Points on which the densities are compared, at every size of the corpus;
+#: then as many again between the neighbours of the best one.
+GRID_POINTS = 2048
 
 
 def _kde_on_grid(centers: np.ndarray, counts: np.ndarray, n: int, std: float, grid: np.ndarray) -> np.ndarray:
@@ -82,10 +85,11 @@ def auto_threshold(df: DataFrame, metric: str, id_col: str = "id", seed: int = 4
     point (lower-is-better) form the *tail*; a seeded hash sample of the same
     size is the reference.  Both are summarised on Spark as fixed-size
     histograms (``HIST_BINS`` bins) plus moments; the two Gaussian KDEs are
-    compared on a grid of at most ``HIST_BINS`` points on the driver and the
-    threshold is the grid point where the tail density exceeds the sample
-    density the most (least, for lower-is-better metrics).  Nothing that grows
-    with the corpus reaches the driver.
+    compared on ``GRID_POINTS`` points on the driver, then once more between
+    the neighbours of the best one, and the threshold is the point where the
+    tail density exceeds the sample density the most (least, for
+    lower-is-better metrics).  Nothing that grows with the corpus reaches the
+    driver.
     """
     from .cutpoint import find_cuts
 
@@ -133,10 +137,12 @@ def auto_threshold(df: DataFrame, metric: str, id_col: str = "id", seed: int = 4
 
     tc, tcnt = hist(tail)
     sc, scnt = hist(sample)
-    if hib:
-        grid = np.linspace(t_stats["mn"], s_stats["mx"], min(n, HIST_BINS))
-    else:
-        grid = np.linspace(s_stats["mn"], t_stats["mx"], min(n, HIST_BINS))
-    diff = _kde_on_grid(tc, tcnt, n_tail, t_stats["sd"] or 0.0, grid) - \
-        _kde_on_grid(sc, scnt, n, s_stats["sd"] or 0.0, grid)
-    return float(grid[int(np.argmax(diff))] if hib else grid[int(np.argmin(diff))])
+    grid = np.linspace(t_stats["mn"], s_stats["mx"], GRID_POINTS) if hib else \
+        np.linspace(s_stats["mn"], t_stats["mx"], GRID_POINTS)
+    for _ in range(2):
+        diff = _kde_on_grid(tc, tcnt, n_tail, t_stats["sd"] or 0.0, grid) - \
+            _kde_on_grid(sc, scnt, n, s_stats["sd"] or 0.0, grid)
+        best = int(np.argmax(diff) if hib else np.argmin(diff))
+        found = float(grid[best])
+        grid = np.linspace(grid[max(best - 1, 0)], grid[min(best + 1, GRID_POINTS - 1)], GRID_POINTS)
+    return found

@@ -228,4 +228,4 @@ def q_rep_size(spark, sf):
     """Smallest sample whose length distribution is representative (KS elbow)."""
     from ..operators.curves import representative_sample_size
     d = docs(spark, sf).withColumn("length_chars", F.length("text"))
-    return representative_sample_size(d, "length_chars", reps=2, n_sizes=8)
+    return representative_sample_size(d, "length_chars")
