@@ -12,7 +12,6 @@ def weighted_precision_recall(df: DataFrame, y_true: str = "label", y_pred: str
     """Support-weighted precision and recall over classes (a class with no
     predictions has precision 0); F1 is the harmonic mean of the two weighted
     scores (as the reference computes it, not the weighted mean of F1s)."""
-    classes = df.select(F.col(y_true).alias("c")).union(df.select(F.col(y_pred).alias("c"))).distinct()
     per = (df.select(F.col(y_true).alias("t"), F.col(y_pred).alias("p"))
            .select(F.explode(F.array(
                F.struct(F.col("t").alias("c"), F.lit(1).alias("sup"), F.lit(0).alias("pc"),
@@ -21,7 +20,6 @@ def weighted_precision_recall(df: DataFrame, y_true: str = "label", y_pred: str
                         F.lit(0).alias("tp")))).alias("s"))
            .groupBy(F.col("s.c").alias("c"))
            .agg(F.sum("s.sup").alias("sup"), F.sum("s.pc").alias("pc"), F.sum("s.tp").alias("tp")))
-    per = per.join(classes, "c", "right").fillna(0)
     prec = F.when(F.col("pc") > 0, F.col("tp") / F.col("pc")).otherwise(F.lit(0.0))
     rec = F.when(F.col("sup") > 0, F.col("tp") / F.col("sup")).otherwise(F.lit(0.0))
     agg = per.agg((F.sum(prec * F.col("sup")) / F.sum("sup")).alias("precision"),

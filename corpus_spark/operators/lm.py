@@ -1,9 +1,9 @@
 """Count-based language models on Spark: the perplexity signal and a
 character n-gram language identifier.
 
-Perplexity (re-aimed from a neural LM on one GPU): an add-k smoothed bigram
-model is counted from a training table with ``groupBy``; documents are
-scored by joining their exploded bigrams with the count tables; per-document
+Perplexity (re-aimed from a neural LM on one GPU): a trigram model with
+back-off is counted from a training table with ``groupBy``; documents are
+scored by joining their trigrams with the count tables; per-document
 perplexity is exp(-mean log p); the signal is |ppl - median(ppl)| (lower is
 better), with the exact distributed median.
 
@@ -25,37 +25,54 @@ from ..functions.text import char_ngrams, splitlines, strip, tokenize
 from ..session import ensure_checkpoint_dir
 
 
-def _bigrams(tokens):
-    toks = F.concat(F.array(F.lit("<s>")), tokens)
-    n = F.size(toks)
-    return F.zip_with(F.slice(toks, 1, n - 1), F.slice(toks, 2, n - 1), lambda a, b: F.struct(a.alias("v"), b.alias("w")))
-
-
-def train_bigram_lm(train: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """``(bigram counts (v, w, c), context counts (v, cv), vocabulary size)``."""
-    b = train.select(F.explode(_bigrams(tokenize(text_col))).alias("b")).select("b.v", "b.w")
-    big = b.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c"))
-    ctx = b.groupBy("v").agg(F.count(F.lit(1)).alias("cv"))
-    vocab = b.select("w").distinct().count() + 1
-    return big, ctx, vocab
-
-
-def token_losses(df: DataFrame, lm, k: float = 1.0, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Per-document mean negative log-likelihood (natural log) and token count."""
-    big, ctx, vocab = lm
-    ex = df.select(id_col, F.explode(_bigrams(tokenize(text_col))).alias("b")).select(id_col, "b.v", "b.w")
-    j = ex.join(big, ["v", "w"], "left").join(ctx, "v", "left").fillna(0, subset=["c", "cv"])
-    lp = F.log((F.col("c") + F.lit(k)) / (F.col("cv") + F.lit(k * vocab)))
-    return j.groupBy(id_col).agg((-F.avg(lp)).alias("loss"), F.count(F.lit(1)).alias("n_tokens"))
-
-
-def perplexity_signal(df: DataFrame, train: DataFrame | None = None, k: float = 1.0,
+#: Weight of each step back to a shorter context.
+BACK_OFF = 0.4
+
+
+def _trigrams(df: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    """``(id, u, v, w)``: every token with the two before it."""
+    toks = F.concat(F.array(F.lit("<s>"), F.lit("<s>")), tokenize(text_col))
+    n = F.size(toks) - 2
+    grams = F.arrays_zip(F.slice(toks, 1, n).alias("u"), F.slice(toks, 2, n).alias("v"), F.slice(toks, 3, n).alias("w"))
+    return df.select(*([id_col] if id_col else []), F.explode(grams).alias("g")).select(*([id_col] if id_col else []), "g.*")
+
+
+def train_trigram_lm(train: DataFrame, text_col: str = "text") -> dict:
+    """Relative frequencies of trigrams, bigrams and tokens of a training
+    table, as tables ``tri`` (u, v, w, p3), ``bi`` (v, w, p2), ``uni`` (w, p1,
+    add-one smoothed), and ``floor``, p1 of a token that was never seen."""
+    ensure_checkpoint_dir(train.sparkSession)
+    tri = _trigrams(train, None, text_col).groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")).checkpoint()
+    bi = tri.groupBy("v", "w").agg(F.sum("c").alias("c"))
+    uni = tri.groupBy("w").agg(F.sum("c").alias("c")).checkpoint()
+    tokens, types = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    whole = float(tokens + types + 1)
+    two = tri.groupBy("u", "v").agg(F.sum("c").alias("n"))
+    one = bi.groupBy("v").agg(F.sum("c").alias("n"))
+    return {"tri": tri.join(two, ["u", "v"]).select("u", "v", "w", (F.col("c") / F.col("n")).alias("p3")),
+            "bi": bi.join(one, "v").select("v", "w", (F.col("c") / F.col("n")).alias("p2")),
+            "uni": uni.select("w", ((F.col("c") + 1) / F.lit(whole)).alias("p1")), "floor": 1.0 / whole}
+
+
+def token_losses(df: DataFrame, lm: dict, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Per-document mean negative log-likelihood (natural log) and token count
+    under stupid back-off: the trigram's relative frequency, or ``BACK_OFF``
+    times the bigram's, or ``BACK_OFF`` squared times the token's.  A
+    document's equal trigrams are joined once."""
+    ex = _trigrams(df.select(id_col, text_col), id_col, text_col).groupBy(id_col, "u", "v", "w") \
+        .agg(F.count(F.lit(1)).alias("k"))
+    j = ex.join(lm["tri"], ["u", "v", "w"], "left").join(lm["bi"], ["v", "w"], "left").join(lm["uni"], "w", "left")
+    p = F.coalesce("p3", F.col("p2") * BACK_OFF, F.coalesce("p1", F.lit(lm["floor"])) * BACK_OFF**2)
+    return j.groupBy(id_col).agg((-F.sum(F.log(p) * F.col("k")) / F.sum("k")).alias("loss"), F.sum("k").alias("n_tokens"))
+
+
+def perplexity_signal(df: DataFrame, train: DataFrame | None = None,
                       id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Add ``perplexity`` = |ppl - median(ppl)| (documents without tokens get
     the empty-sequence loss 0, i.e. ppl 1)."""
     from .partition import median_value
-    lm = train_bigram_lm(train if train is not None else df, text_col)
-    losses = token_losses(df, lm, k, id_col, text_col)
+    lm = train_trigram_lm(train if train is not None else df, text_col)
+    losses = token_losses(df, lm, id_col, text_col)
     ensure_checkpoint_dir(df.sparkSession)
     # ids and scores are written, the text is read again by the join
     scored = df.select(id_col).join(losses, id_col, "left") \

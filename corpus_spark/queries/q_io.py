@@ -164,7 +164,10 @@ def q_get_doc_random(spark, sf):
     return io.get_doc(docs(spark, sf), seed=7).select("id", "text")
 
 
-@register("read_conllu")
+@register("read_conllu", f"""
+SELECT id::VARCHAR AS idx, md5(array_to_string(tokens, ' ')) AS text_md5, len(tokens)::BIGINT AS n_tokens,
+       md5(array_to_string(tokens, chr(10))) AS tokens_md5, len(tokens)::BIGINT AS n_null_lemmas,
+       repeat('0', len(tokens)) AS heads, 'train' AS split FROM {TOKD} WHERE len(tokens) > 0""")
 def q_read_conllu(spark, sf):
     """CoNLL-U files written from every document (one sentence per document,
     one token per line), read back into the treebank row format."""
@@ -178,7 +181,11 @@ def q_read_conllu(spark, sf):
     base = _scratch(spark, "ud")
     d.filter(F.size(toks) > 0).select(block.alias("value")).write.mode("overwrite") \
         .option("lineSep", "\n\n").text(os.path.join(base, "xx-ud-train"))
-    return io.read_conllu(spark, os.path.join(base, "*"))
+    t = io.read_conllu(spark, os.path.join(base, "*"))
+    return t.select("idx", F.md5("text").alias("text_md5"), F.size("tokens").cast("long").alias("n_tokens"),
+                    F.md5(F.array_join("tokens", "\n")).alias("tokens_md5"),
+                    F.size(F.filter("lemmas", lambda x: x.isNull())).cast("long").alias("n_null_lemmas"),
+                    F.array_join("head", "").alias("heads"), "split")
 
 
 # --- streaming ----------------------------------------------------------------------

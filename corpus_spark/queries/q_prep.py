@@ -73,20 +73,25 @@ def q_mask(spark, sf):
                     F.md5(F.array_join("input_ids", ",")).alias("inputs_md5"))
 
 
+_P8 = "(ceil(len(ids) / 8.0) * 8)::BIGINT"
+
+
 @register("pad_sequences", f"""
-SELECT id, chunk, (ceil(len(ids) / 8.0) * 8)::BIGINT AS n_ids, len(ids)::BIGINT AS n_attended FROM {CHUNKS_SQL}""")
+SELECT id, chunk, md5(array_to_string(list_resize(ids, {_P8}, 0), ',')) AS ids_md5,
+       md5(array_to_string(list_resize(list_transform(ids, lambda x: 1), {_P8}, 0), ',')) AS mask_md5 FROM {CHUNKS_SQL}""")
 def q_pad(spark, sf):
     p = prep.pad_sequences(prep.chunk_sequences(encoded(spark, sf), L), pad_id=0, multiple_of=8)
-    return p.select("id", F.col("chunk").cast("long").alias("chunk"), F.size("input_ids").cast("long").alias("n_ids"),
-                    F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_attended"))
+    return p.select("id", F.col("chunk").cast("long").alias("chunk"),
+                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
+                    F.md5(F.array_join("attention_mask", ",")).alias("mask_md5"))
 
 
 @register("causal_labels", f"""
-SELECT id, chunk, ((ceil(len(ids) / 8.0) * 8) - len(ids))::BIGINT AS n_ignored FROM {CHUNKS_SQL}""")
+SELECT id, chunk, md5(array_to_string(list_resize(ids, {_P8}, -100), ',')) AS labels_md5 FROM {CHUNKS_SQL}""")
 def q_causal(spark, sf):
     p = prep.causal_labels(prep.pad_sequences(prep.chunk_sequences(encoded(spark, sf), L), 0, multiple_of=8))
     return p.select("id", F.col("chunk").cast("long").alias("chunk"),
-                    F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("n_ignored"))
+                    F.md5(F.array_join("labels", ",")).alias("labels_md5"))
 
 
 @register("special_token_frame", f"""
@@ -124,7 +129,18 @@ def _word_frame(spark, sf):
     return t.select("id", "tokens", wid.alias("word_ids"), tags.alias("tags"))
 
 
-@register("align_word_labels")
+_TAG_SQL = "CASE WHEN regexp_matches(w, '^\\p{L}') THEN 0 WHEN regexp_matches(w, '^\\p{P}') THEN 1 ELSE 2 END"
+
+
+def _spread_sql(value: str) -> str:
+    """A value on the first sub-token of each word, -100 on the others and on
+    the markers at both ends."""
+    return (f"list_concat([-100::BIGINT], flatten(list_transform(tokens, lambda w, i: list_concat([({value})::BIGINT], "
+            f"list_resize([]::BIGINT[], (ceil(length(w) / 4.0) - 1)::BIGINT, -100)))), [-100::BIGINT])")
+
+
+@register("align_word_labels", f"""
+SELECT id, len(tokens)::BIGINT AS n_labelled, md5(array_to_string({_spread_sql(_TAG_SQL)}, ',')) AS labels_md5 FROM {TOKD}""")
 def q_align_words(spark, sf):
     """First sub-token of each word carries the word's tag; others -100."""
     a = prep.align_word_labels(_word_frame(spark, sf))
@@ -132,15 +148,21 @@ def q_align_words(spark, sf):
                     F.md5(F.array_join("labels", ",")).alias("labels_md5"))
 
 
-@register("align_dependency_labels")
+@register("align_dependency_labels", f"""
+SELECT id, md5(array_to_string(h, ',')) AS heads_md5, md5(array_to_string(r, ',')) AS rels_md5,
+  md5(array_to_string(list_resize(list_filter(list_transform(h, lambda x, i: CASE WHEN x <> -100 THEN i - 1 ELSE -1 END),
+                                              lambda x: x >= 0), 129, -100), ',')) AS starts_md5
+FROM (SELECT id, ({_spread_sql('i - 1')})[1:128] AS h, ({_spread_sql(_TAG_SQL)})[1:128] AS r FROM {TOKD})""")
 def q_align_dep(spark, sf):
-    """Heads (previous word) and relation ids on first sub-tokens, word starts padded to 129."""
+    """Heads (previous word), relation ids and word starts of sequences of at
+    most 128 sub-tokens."""
     w = _word_frame(spark, sf)
     w = w.withColumn("head", F.transform("tokens", lambda x, i: i.cast("long"))) \
         .withColumn("deprel_ids", F.col("tags"))
     a = prep.align_dependency_labels(w, 128)
-    return a.select("id", F.size("word_starts").cast("long").alias("n_starts"),
-                    F.md5(F.array_join("labels_head", ",")).alias("heads_md5"))
+    return a.select("id", F.md5(F.array_join("labels_head", ",")).alias("heads_md5"),
+                    F.md5(F.array_join("labels_rel", ",")).alias("rels_md5"),
+                    F.md5(F.array_join("word_starts", ",")).alias("starts_md5"))
 
 
 # --- evaluation ----------------------------------------------------------------------
@@ -165,7 +187,17 @@ def _bio(tokens, min_len):
     return F.zip_with(cap, prev, lambda c, p: F.when(~c, "O").when(p, "I-ENT").otherwise("B-ENT"))
 
 
-@register("entity_span_f1")
+def _spans_sql(min_len: int) -> str:
+    return (f"(SELECT id, min(i) AS a, max(i) AS b FROM (SELECT id, i, i - row_number() OVER (PARTITION BY id ORDER BY i) AS run "
+            f"FROM (SELECT id, unnest(tokens) AS w, unnest(range(len(tokens))) AS i FROM {TOKD}) "
+            f"WHERE regexp_matches(w, '^\\p{{Lu}}') AND length(w) >= {min_len}) GROUP BY id, run)")
+
+
+@register("entity_span_f1", f"""
+WITH g AS {_spans_sql(1)}, p AS {_spans_sql(4)},
+n AS (SELECT (SELECT count(*) FROM g JOIN p USING (id, a, b)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng),
+s AS (SELECT tp / np AS pr, tp / ng AS re FROM n)
+SELECT round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / (pr + re), 6) AS f1 FROM s""")
 def q_span_f1(spark, sf):
     """Gold: runs of capitalised words; prediction: the same with length >= 4."""
     t = with_tokens(docs(spark, sf)).select("id", _bio(F.col("tokens"), 1).alias("gold_tags"),
@@ -190,17 +222,43 @@ def q_attachment(spark, sf):
     return evaluate.attachment_scores(t, "gh", "ph", "gr", "pr")
 
 
-@register("loss_to_perplexity")
+def _loss_sql(train: str) -> str:
+    """Trigram back-off losses of all documents; the model counts ``train``."""
+    grams = ("SELECT id, k[i] AS u, k[i + 1] AS v, k[i + 2] AS w FROM (SELECT id, k, unnest(range(1, len(k) - 1)) AS i FROM "
+             "(SELECT id, list_concat(['<s>', '<s>'], tokens) AS k FROM {}))")
+    return f"""
+g AS ({grams.format(TOKD)}), tg AS ({grams.format(train)}),
+tri AS (SELECT u, v, w, count(*) AS c FROM tg GROUP BY ALL), p3 AS (SELECT u, v, w, c / sum(c) OVER (PARTITION BY u, v) AS p3 FROM tri),
+bi AS (SELECT v, w, sum(c) AS c FROM tri GROUP BY ALL), p2 AS (SELECT v, w, c / sum(c) OVER (PARTITION BY v) AS p2 FROM bi),
+uni AS (SELECT w, sum(c) AS c FROM tri GROUP BY w), z AS (SELECT sum(c) + count(*) + 1 AS z FROM uni),
+p1 AS (SELECT w, (c + 1) / z AS p1 FROM uni, z),
+loss AS (SELECT id, avg(-ln(coalesce(p3, p2 * 0.4, coalesce(p1, 1.0 / z) * 0.4 * 0.4))) AS loss
+         FROM g LEFT JOIN p3 USING (u, v, w) LEFT JOIN p2 USING (v, w) LEFT JOIN p1 USING (w), z GROUP BY id)"""
+
+
+_TRAIN_SQL = f"""(SELECT * FROM {TOKD} WHERE id IN (SELECT id FROM (SELECT id, count(*) OVER () AS n, row_number() OVER
+  (ORDER BY ('0x' || substr(md5('42:' || id::VARCHAR), 1, 13))::BIGINT::DOUBLE, id) AS rn FROM {DOCS}) WHERE rn > ceil(0.5 * n)))"""
+
+
+@register("loss_to_perplexity", f"""
+WITH {_loss_sql(TOKD)} SELECT round(avg(loss), 6) AS loss, round(exp(avg(loss)), 6) AS perplexity FROM loss""")
 def q_loss_ppl(spark, sf):
-    """Mean per-document bigram-LM loss (trained on the corpus) and exp(mean)."""
+    """Mean per-document trigram-LM loss (trained on the corpus) and exp(mean)."""
     d = docs(spark, sf)
-    return evaluate.loss_to_perplexity(lm.token_losses(d, lm.train_bigram_lm(d)))
+    return evaluate.loss_to_perplexity(lm.token_losses(d, lm.train_trigram_lm(d)))
 
 
-@register("perplexity")
+@register("perplexity", f"""
+WITH {_loss_sql(_TRAIN_SQL)},
+ppl AS (SELECT d.id, exp(coalesce(loss, 0.0)) AS p FROM {DOCS} d LEFT JOIN loss USING (id))
+SELECT id, round(abs(p - median(p) OVER ()), 2) AS perplexity FROM ppl""")
 def q_perplexity(spark, sf):
-    """|ppl - median ppl| under an add-1 bigram LM counted on the corpus."""
-    return lm.perplexity_signal(docs(spark, sf)).select("id", F.round("perplexity", 6).alias("perplexity"))
+    """|ppl - median ppl| of all documents under a trigram LM with back-off,
+    counted on the train half of a split."""
+    from ..operators import splits
+    d = docs(spark, sf)
+    train = splits.train_test_split(d, 0.5, seed=42).filter("split = 'train'")
+    return lm.perplexity_signal(d, train).select("id", F.round("perplexity", 2).alias("perplexity"))
 
 
 @register("train_lang_profiles", f"""
@@ -212,7 +270,21 @@ def q_lang_profiles(spark, sf):
     return lm.train_lang_profiles(docs(spark, sf)).select("language", "gram", F.round("logp", 6).alias("logp"))
 
 
-@register("lang_id_filter")
+@register("lang_id_filter", f"""
+WITH pg AS (SELECT language, unnest({S.ngrams(S.chars('lower(text)'), 3)}) AS gram FROM {DOCS}),
+pc AS (SELECT language, gram, count(*) AS c FROM pg GROUP BY ALL),
+pt AS (SELECT language, sum(c) + count(*) + 1 AS z FROM pc GROUP BY language),
+prof AS (SELECT language, gram, ln((c + 1.0) / z) AS logp FROM pc JOIN pt USING (language)),
+fl AS (SELECT language, min(logp) AS floor FROM prof GROUP BY language),
+l AS (SELECT id, i, ls[i] AS line FROM (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (
+  SELECT id, string_split(t, chr(10)) AS ls FROM (SELECT id, {S.clean_lines('text', None)} AS t FROM {DOCS}) WHERE t <> ''))),
+g AS (SELECT id, i, gram, count(*) AS c FROM (SELECT id, i, unnest({S.ngrams(S.chars('lower(line)'), 3)}) AS gram FROM l) GROUP BY ALL),
+n AS (SELECT id, i, sum(c) AS ng FROM g GROUP BY ALL),
+sc AS (SELECT id, i, language, sum(c * (logp - floor)) AS gain, any_value(floor) AS floor
+       FROM g JOIN prof USING (gram) JOIN fl USING (language) GROUP BY ALL),
+best AS (SELECT id, i, arg_max(language, gain + ng * floor) AS pred FROM sc JOIN n USING (id, i) GROUP BY ALL)
+SELECT id, string_agg(line, chr(10) ORDER BY i) AS text FROM l LEFT JOIN best USING (id, i)
+WHERE pred = 'eng' OR length(line) < 3 GROUP BY id""")
 def q_lang_id(spark, sf):
     """Keep English lines only, by char-trigram profiles trained on the corpus."""
     d = docs(spark, sf)

@@ -200,7 +200,16 @@ def q_ks(spark, sf):
     return ks_statistic(d.filter(F.col("language") == "eng"), d.filter(F.col("language") != "eng"), "length_chars")
 
 
-@register("js_divergence")
+@register("js_divergence", f"""
+WITH x AS (SELECT length(text)::DOUBLE AS v, language = 'eng' AS e FROM {DOCS}),
+r AS (SELECT e, min(v) AS lo, max(v) AS hi, count(*) AS n FROM x GROUP BY e),
+w AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / 100 ELSE 1.0 END AS wd FROM r),
+h AS (SELECT e, b, count(*) / any_value(n * wd) AS d FROM (
+  SELECT x.e, least(floor((v - lo) / wd), 99)::INTEGER AS b, n, wd FROM x JOIN w USING (e)) GROUP BY e, b),
+p AS (SELECT b, coalesce(max(d) FILTER (WHERE e), 0.0) AS pa, coalesce(max(d) FILTER (WHERE NOT e), 0.0) AS pb FROM h GROUP BY b),
+q AS (SELECT pa / sum(pa) OVER () AS a, pb / sum(pb) OVER () AS b, (pa + pb) / sum(pa + pb) OVER () AS m FROM p)
+SELECT round(0.5 * (coalesce(sum(a * ln(a / m)) FILTER (WHERE a > 0), 0) + coalesce(sum(b * ln(b / m)) FILTER (WHERE b > 0), 0)), 6) AS js
+FROM q""")
 def q_js(spark, sf):
     """JS divergence of 100-bin length histograms: English vs. the rest."""
     from ..operators.curves import js_divergence
