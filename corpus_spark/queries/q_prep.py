@@ -319,36 +319,36 @@ def q_word_freq(spark, sf):
 
 @register("train_bpe")
 def q_train_bpe(spark, sf):
-    """500-piece BPE vocabulary from the corpus' word frequencies."""
-    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 500)
+    """300-piece BPE vocabulary from the corpus' word frequencies."""
+    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 300)
     return v
 
 
 @register("train_wordpiece")
 def q_train_wordpiece(spark, sf):
-    """500-piece WordPiece-style vocabulary (## continuation prefix)."""
-    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 500, continuing_prefix="##")
+    """300-piece WordPiece-style vocabulary (## continuation prefix)."""
+    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 300, continuing_prefix="##")
     return v
 
 
 @register("train_unigram")
 def q_train_unigram(spark, sf):
-    """500-piece unigram-LM vocabulary (substring seeds, Viterbi EM, pruning)."""
-    return vocab.train_unigram(vocab.word_frequencies(docs(spark, sf)), 500)
+    """300-piece unigram-LM vocabulary (substring seeds, Viterbi EM, pruning)."""
+    return vocab.train_unigram(vocab.word_frequencies(docs(spark, sf)), 300)
 
 
 @register("encode_corpus")
 def q_encode(spark, sf):
-    """Encode every document with a 500-piece BPE trained on the corpus."""
+    """Encode every document with a 300-piece BPE trained on the corpus."""
     d = docs(spark, sf)
-    v, merges = vocab.train_bpe(vocab.word_frequencies(d), 500)
+    v, merges = vocab.train_bpe(vocab.word_frequencies(d), 300)
     e = vocab.encode_corpus(d, merges, v)
     return e.select("id", F.size("input_ids").cast("long").alias("n_ids"),
                     F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 
 
-def _ranked_words(spark, table_df, min_count, offset):
-    wf = vocab.word_frequencies(table_df).filter(F.col("count") >= min_count)
+def _ranked_words(spark, table_df, offset):
+    wf = vocab.word_frequencies(table_df)
     r = group_row_index(wf.withColumn("neg", -F.col("count")), None, ["neg", "word"], "r")
     return r.select(F.col("word").alias("piece"), (F.col("r") + offset).alias("id"))
 
@@ -361,22 +361,22 @@ def _wf(table: str) -> str:
 
 @register("merge_vocabularies", f"""
 WITH a AS (SELECT word AS piece, (row_number() OVER (ORDER BY c DESC, word) - 1 + 4)::BIGINT AS id
-           FROM {_wf('documents')} WHERE c >= 50),
+           FROM {_wf('documents')}),
 b AS (SELECT word AS piece, (row_number() OVER (ORDER BY c DESC, word) - 1)::BIGINT AS id
-      FROM {_wf('benchmark')} WHERE c >= 2),
+      FROM {_wf('benchmark')}),
 m AS (SELECT piece, id FROM b WHERE piece NOT IN (SELECT piece FROM a)),
 top AS (SELECT max(id) AS mx FROM a)
 SELECT piece, id FROM a
 UNION ALL SELECT piece, (dense_rank() OVER (ORDER BY id, piece) + top.mx)::BIGINT AS id FROM m, top""")
 def q_merge_vocab(spark, sf):
-    a = _ranked_words(spark, read_table(spark, sf, "documents"), 50, 4)
-    b = _ranked_words(spark, read_table(spark, sf, "benchmark"), 2, 0)
+    a = _ranked_words(spark, read_table(spark, sf, "documents"), 4)
+    b = _ranked_words(spark, read_table(spark, sf, "benchmark"), 0)
     return vocab.merge_vocabularies(a, b)
 
 
 @register("special_tokens", f"""
 WITH w AS (SELECT word AS piece, (row_number() OVER (ORDER BY c DESC, word) - 1 + 5)::BIGINT AS id
-           FROM {_wf('documents')} WHERE c >= 50)
+           FROM {_wf('documents')})
 SELECT piece, id FROM (VALUES ('<pad>', 0::BIGINT), ('<unk>', 1::BIGINT), ('<s>', 2::BIGINT), ('</s>', 3::BIGINT),
                               ('<mask>', 4::BIGINT)) AS t(piece, id)
 UNION ALL SELECT piece, id FROM w""")
@@ -385,5 +385,5 @@ def q_special_tokens(spark, sf):
     user-defined mask token) in front of the corpus' word vocabulary."""
     sp = vocab.special_tokens_table(spark, {"mask_token": "<mask>"}).select("piece", "id")
     n = sp.count()
-    words = _ranked_words(spark, read_table(spark, sf, "documents"), 50, n)
+    words = _ranked_words(spark, read_table(spark, sf, "documents"), n)
     return sp.unionByName(words)

@@ -84,8 +84,9 @@ def q_remove_language(spark, sf):
 @register("from_corpora", f"SELECT id, text, language FROM {DOCS}")
 def q_from_corpora(spark, sf):
     d = docs(spark, sf)
-    corpora = {lang: d.filter(F.col("language") == lang).select("id", "text")
-               for lang in ("eng", "fra", "deu", "spa")}
+    # one corpus for each language there is
+    corpora = {r["language"]: d.filter(F.col("language").eqNullSafe(r["language"])).select("id", "text")
+               for r in stats.distinct_languages(d).collect()}
     return splits.from_corpora(corpora).select("id", "text", "language")
 
 
