@@ -20,17 +20,15 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread a table read from fewer files than the cluster has cores.
-
-    A parquet split is at most one row group, so a small table stored as a
-    single file (one row group) is scanned -- and all per-document work
-    fused into that scan runs -- in ONE task.  When the input has fewer files
-    than the default parallelism, rows are redistributed round-robin (a
-    deterministic repartition).  Large inputs have far more files than cores
-    and are left exactly as scanned (no extra shuffle)."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < par:
+    """Spread a table whose scan has fewer tasks than there are cores.
+
+    A small table stored as one row group is scanned -- and all per-document
+    work fused into that scan runs -- in ONE task.  Such a table is dealt out
+    round-robin (a deterministic repartition of less than one split a core).
+    Larger inputs, also those in a few huge files, have more splits than cores
+    and are left exactly as scanned."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() < par:
         return df.repartition(par)
     return df
 
