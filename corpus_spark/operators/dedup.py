@@ -134,7 +134,10 @@ def lsh_candidates(buckets: DataFrame) -> DataFrame:
 
     This is what an LSH index query returns for the document, reduced to a
     linear-size answer: per bucket only the two smallest ids are kept, so no
-    pair list is ever built, however large a bucket is."""
+    pair list is ever built, however large a bucket is.  The buckets are
+    written once, as they are read three times."""
+    ensure_checkpoint_dir(buckets.sparkSession)
+    buckets = buckets.checkpoint(eager=True)
     bs = buckets.groupBy("band", "bkey").agg(F.min("id").alias("m1"), F.count(F.lit(1)).alias("n"))
     j = buckets.join(bs, on=["band", "bkey"])
     m2 = j.filter(F.col("id") > F.col("m1")).groupBy("band", "bkey").agg(F.min("id").alias("m2"))

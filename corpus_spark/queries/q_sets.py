@@ -233,7 +233,20 @@ def q_find_elbow(spark, sf):
     return find_elbow(curve)
 
 
-@register("representative_sample_size")
+@register("representative_sample_size", f"""
+WITH d AS (SELECT id, length(text)::DOUBLE AS v FROM {DOCS}), n AS (SELECT count(*) AS n FROM d),
+sz AS (SELECT DISTINCT floor(pow(10.0, 1 + (log10(greatest(n, 10)) - 1) * i / 24.0))::BIGINT AS s
+       FROM n, (SELECT unnest(range(25)) AS i)),
+rk AS (SELECT r, v, row_number() OVER (PARTITION BY r ORDER BY
+         ('0x' || substr(md5('rs0-' || r || ':' || id::VARCHAR), 1, 13))::BIGINT::DOUBLE, id) AS k
+       FROM d, (SELECT unnest(range(5)) AS r)),
+c AS (SELECT r, s, v, count(*) AS a, count(*) FILTER (WHERE k <= s) AS b FROM rk, sz GROUP BY ALL),
+f AS (SELECT r, s, abs(sum(b) OVER w / least(s, n)::DOUBLE - sum(a) OVER w / n::DOUBLE) AS d FROM c, n
+      WINDOW w AS (PARTITION BY r, s ORDER BY v)),
+y AS (SELECT s::DOUBLE AS x, avg(ks) AS y FROM (SELECT r, s, round(max(d), 6) AS ks FROM f GROUP BY r, s) GROUP BY s),
+m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, arg_min(y, x) AS yf, arg_max(y, x) AS yl FROM y),
+e AS (SELECT x, (x - x0) / (x1 - x0) AS xn, (y - y0) / (y1 - y0) AS yn, (yf - y0) / (y1 - y0) AS a, (yl - y0) / (y1 - y0) AS b FROM y, m)
+SELECT x::BIGINT AS sample_size FROM e ORDER BY abs((b - a) * xn - yn + a) DESC, x LIMIT 1""")
 def q_rep_size(spark, sf):
     """Smallest sample whose length distribution is representative (KS elbow)."""
     from ..operators.curves import representative_sample_size
