@@ -24,6 +24,17 @@ DEFAULT_CONF = {
 }
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it
+    (local mode, or a path that all machines share).  On other clusters install
+    it on the workers or ship it with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "corpus_spark", extra_conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -37,6 +48,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    share_package(spark)
     return spark
 
 
