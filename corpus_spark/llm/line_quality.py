@@ -26,7 +26,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 20
 MAX_SHARE = 0.01
 #: A document is depleted when less than this share of its words is left.
-LEAST_LEFT = 0.3
+LEAST_LEFT = 0.5
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
