@@ -147,6 +147,23 @@ def lsh_candidates(buckets: DataFrame) -> DataFrame:
                                F.count_if(F.col("n") >= 2).cast("long").alias("shared_buckets"))
 
 
+def jaccard_verify(df: DataFrame, candidates: DataFrame, n_shingles: int = 1, id_col: str = "id",
+                   text_col: str = "text", tokenizer=None) -> DataFrame:
+    """Exact Jaccard similarity of each document and its first LSH candidate:
+    ``(id, first_candidate, jaccard)`` for the rows of :func:`lsh_candidates`
+    that have one, i.e. at most one pair a document.  Shingles are made for the
+    documents of these pairs only; two empty sets have similarity 1."""
+    pairs = candidates.filter(F.col("first_candidate").isNotNull()).select("id", "first_candidate")
+    wanted = pairs.select("id").union(pairs.select("first_candidate")).distinct()
+    src = df.select(F.col(id_col).alias("id"), "tokens" if "tokens" in df.columns else text_col).join(wanted, "id")
+    sets = with_tokens(src, text_col, tokenizer).select("id", shingles(F.col("tokens"), n_shingles).alias("s"))
+    both = pairs.join(sets.withColumnRenamed("s", "a"), "id").join(
+        sets.select(F.col("id").alias("first_candidate"), F.col("s").alias("b")), "first_candidate")
+    shared = F.size(F.array_intersect("a", "b"))
+    union = F.size("a") + F.size("b") - shared
+    return both.select("id", "first_candidate", F.when(union > 0, shared / union).otherwise(1.0).alias("jaccard"))
+
+
 #: Buckets of more documents are joined by broadcast: there are at most
 #: (rows / HOT_BUCKET) of them, so their number is bounded.
 HOT_BUCKET = 50_000
