@@ -59,8 +59,8 @@ def _high_flag_by(df: DataFrame, metric: str, split_method: str, by: list[str],
     m = F.col(metric)
     if split_method == "mean_cutoff":
         means = df.groupBy(*by).agg(F.avg(m.cast("double")).alias("__mean"))
-        # one row per group: broadcast is bounded by the number of groups
-        j = df.join(F.broadcast(means), on=by, how="left")
+        # one row per group; AQE broadcasts it when it is small
+        j = df.join(means, on=by, how="left")
         return j.withColumn(flag, m >= F.col("__mean")).drop("__mean")
     if split_method in ("balanced_docs", "balanced_chars"):
         src, weight = df, None
