@@ -210,3 +210,32 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "removed_words", F.size("removed").cast("long").alias("removed_lines"))
+
+
+_UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS k FROM documents),
+g AS (SELECT doc_id, i, k[i] || ' ' || k[i + 1] || ' ' || k[i + 2] AS gram
+      FROM (SELECT doc_id, k, unnest(range(1, len(k) - 1)) AS i FROM d)),
+o AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM o, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+raw AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS l FROM d),
+l AS (SELECT doc_id, source, t, l, regexp_extract_all(l, '{_WORD}') AS w FROM raw WHERE regexp_matches(l, '{_WORD}')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l GROUP BY doc_id),
+n AS (SELECT doc_id, source, t, array_to_string(list_transform(w, lambda x: translate(x, '{_UPPER}', '{_LOWERED}')), ' ') AS line,
+             sum(len(w)) AS words FROM l GROUP BY ALL),
+hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
+f AS (SELECT source, line, min(doc_id) AS keeper FROM n JOIN hosts USING (source) GROUP BY source, line
+      HAVING count(DISTINCT t) > {MIN_DOCS} AND count(DISTINCT t) > any_value(docs) * {MAX_SHARE}),
+gone AS (SELECT doc_id, sum(words) AS words, count(*) AS lines FROM n JOIN f USING (source, line) WHERE doc_id <> keeper GROUP BY doc_id),
+b AS (SELECT doc_id, len(k)::BIGINT AS n_words, coalesce(list_sum(list_transform(k, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+             coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.words, 0)::BIGINT AS removed_words,
+             coalesce(gone.lines, 0)::BIGINT AS removed_lines
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_words - removed_words >= {LEAST_LEFT} * n_words AS kept, removed_words, removed_lines FROM v
+"""

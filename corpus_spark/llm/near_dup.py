@@ -372,3 +372,17 @@ def drop_near_duplicates(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     if keep.where("_n > 1").limit(1).count():
         found = found.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
     return found
+
+
+OP7_SQL = f"""
+WITH RECURSIVE k AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS k FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(k[i:i + {WORDS - 1}], ' ')) AS sh
+      FROM (SELECT doc_id, k, unnest(range(1, greatest(len(k) - {WORDS - 2}, 2))) AS i FROM k WHERE len(k) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+r(x, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.comp FROM r JOIN e ON e.x = r.x)
+SELECT x AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(comp) AS component_id, x = min(comp) AS kept
+FROM r LEFT JOIN n ON n.doc_id = x GROUP BY x
+"""

@@ -5,8 +5,8 @@ from .chat_format import OP10_SQL, op10_chat_format
 from .fingerprint import op8_fingerprints
 from .gam import op5_quality_gam
 from .lattice_lm import op3_lattice_lm
-from .line_quality import op2_line_quality
-from .near_dup import op7_near_duplicates
+from .line_quality import OP2_SQL, op2_line_quality
+from .near_dup import OP7_SQL, op7_near_duplicates
 from .packing import op6_packing
 from .secret_scan import op4_secret_scan
 from .token_blocks import op1_token_blocks
@@ -25,5 +25,7 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES: dict[str, str] = {
+    "op2_line_quality": OP2_SQL,
+    "op7_near_duplicates": OP7_SQL,
     "op10_chat_format": OP10_SQL,
 }

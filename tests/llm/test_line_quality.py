@@ -87,3 +87,27 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source").collect()]
     got = op2_line_quality(spark, d).drop("removed_lines")
     assert sorted(map(tuple, got.collect())) == brute(rows, 20, 0.01, 0.5)
+
+
+def test_null_and_repeated_ids(spark):
+    words = " ".join(f"w{i}" for i in range(70))
+    rows = [(None, words + f"\nline {i}\ncommon line", "h") for i in range(4)] + [(None, words, None), (7, words, "h"), (7, words, "h"), (7, None, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    v = quality_rules(df, min_docs=2, max_share=0.0)
+    got = v.collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) + sum(r.base_failed for r in got) <= len(rows)
+    assert [r.n_words for r in got if r.doc_id == 7].count(70) == 2
+    left = remove_lines(df, v)
+    assert left.count() == sum(r.kept for r in got) and left.columns == df.columns
+
+
+def test_oracle_sql_equals_the_query(spark):
+    import duckdb
+
+    from corpus_spark.llm.line_quality import OP2_SQL
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    want = con.sql(OP2_SQL)
+    got = op2_line_quality(spark, d).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

@@ -116,3 +116,15 @@ def test_query(spark):
     d = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op7_near_duplicates(spark, d).collect())) == brute(docs)
+
+
+def test_oracle_sql_equals_the_query(spark):
+    import duckdb
+
+    from corpus_spark.llm.near_dup import OP7_SQL
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    want = con.sql(OP7_SQL)
+    got = op7_near_duplicates(spark, d).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
