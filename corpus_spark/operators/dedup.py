@@ -169,10 +169,17 @@ def jaccard_verify(df: DataFrame, candidates: DataFrame, n_shingles: int = 1, id
 HOT_BUCKET = 50_000
 
 
+def _numbered(buckets: DataFrame) -> DataFrame:
+    """``(id, bucket)`` with one 64-bit number for band and key."""
+    if "bucket" in buckets.columns:
+        return buckets.select("id", "bucket")
+    return buckets.select("id", F.xxhash64("band", "bkey").alias("bucket"))
+
+
 def _shared_buckets(buckets: DataFrame, hot_bucket: int) -> DataFrame:
     """``(id, bucket, hot)`` of the buckets with at least two documents (the
-    others never matter); ``bucket`` is one 64-bit number for band and key."""
-    rows = buckets.select("id", F.xxhash64("band", "bkey").alias("bucket"))
+    others never matter)."""
+    rows = _numbered(buckets)
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     sizes = sizes.select("bucket", (F.col("n") > hot_bucket).alias("hot"))
     hot = rows.join(F.broadcast(sizes.filter("hot")), "bucket")
@@ -242,7 +249,7 @@ def near_duplicate_ids(df: DataFrame, jaccard_threshold: float = 0.85, n_shingle
                        id_col: str = "id", text_col: str = "text", tokenizer=None) -> DataFrame:
     sigs = minhash_signatures(df, n_shingles, id_col, text_col, tokenizer)
     ensure_checkpoint_dir(df.sparkSession)
-    return greedy_keep(lsh_buckets(sigs, jaccard_threshold).checkpoint(eager=True))
+    return greedy_keep(_numbered(lsh_buckets(sigs, jaccard_threshold)).checkpoint(eager=True))
 
 
 def deduplicate(df: DataFrame, exact_match: bool = False, min_hash: bool = False,
