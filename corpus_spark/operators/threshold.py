@@ -92,6 +92,7 @@ def auto_threshold(df: DataFrame, metric: str, id_col: str = "id", seed: int = 4
     driver.
     """
     from .cutpoint import find_cuts
+    from .splits import seeded_key
 
     hib = get_metric(metric).higher_is_better
     base = df.select(F.col(metric).cast("double").alias("v"), F.col(id_col).alias("id")) \
@@ -110,7 +111,7 @@ def auto_threshold(df: DataFrame, metric: str, id_col: str = "id", seed: int = 4
     tail = base.filter(in_low if hib else ~in_low)
     n_tail = n if hib else total - n
     # seeded sample of n rows: smallest n hash ranks
-    hashed = base.select("v", "id", F.xxhash64(F.lit(seed), F.col("id")).cast("double").alias("h"))
+    hashed = base.select("v", "id", seeded_key("id", seed).cast("double").alias("h"))
     scut = find_cuts(hashed, "h", "id", None, n)[()]
     sample = hashed.filter(low_predicate("h", "id", scut)).select("v")
 

@@ -56,7 +56,38 @@ def q_threshold_report(spark, sf):
     return thr.threshold_report(docs(spark, sf), GOPHER_THRESHOLDS)
 
 
-@register("auto_threshold")
+def _auto_sql(metric: str) -> str:
+    """Estimated threshold of a higher-is-better metric: the tail's and the
+    sample's binned densities on a grid of 2048 points, then on as many between
+    the neighbours of the best one."""
+    bins, grid = thr.HIST_BINS, thr.GRID_POINTS
+
+    def best(name: str, lo: str, hi: str, source: str) -> str:
+        def density(part: str) -> str:
+            return (f"(SELECT i, sum(c * exp(-0.5 * pow((x - (s.lo + (b + 0.5) * s.wd)) / {part}_bw, 2))) / any_value(s.n * {part}_bw) "
+                    f"AS d FROM {name}_g, h_{part}, s GROUP BY i)")
+        return (f"{name}_g AS (SELECT i, {lo} + i * (({hi}) - ({lo})) / {grid - 1} AS x FROM {source}, "
+                f"(SELECT unnest(range({grid})) AS i)), "
+                f"{name} AS (SELECT arg_max(i, t.d - u.d) AS i FROM {density('t')} t JOIN {density('u')} u USING (i))")
+
+    return f"""
+WITH m AS (SELECT id, {S.metric_sql(metric)} AS k FROM {TOKD}), z AS (SELECT (count(*) * 0.05)::DOUBLE AS z FROM m),
+v AS (SELECT id, k::DOUBLE AS v, row_number() OVER (ORDER BY k, id) AS rt, row_number() OVER
+        (ORDER BY ('0x' || substr(md5('42:' || id::VARCHAR), 1, 13))::BIGINT::DOUBLE, id) AS ru, floor(z)::BIGINT AS n FROM m, z),
+s0 AS (SELECT any_value(n) AS n, min(v) FILTER (rt <= n) AS tmin, max(v) FILTER (rt <= n) AS tmax, stddev_samp(v) FILTER (rt <= n) AS tsd,
+              min(v) FILTER (ru <= n) AS umin, max(v) FILTER (ru <= n) AS umax, stddev_samp(v) FILTER (ru <= n) AS usd FROM v),
+s AS (SELECT *, least(tmin, umin) AS lo, (greatest(tmax, umax) - least(tmin, umin)) / {bins} AS wd,
+             tsd * pow(n, -0.2) AS t_bw, usd * pow(n, -0.2) AS u_bw FROM s0),
+h_t AS (SELECT least(floor((v - lo) / wd), {bins - 1}) AS b, count(*) AS c FROM v, s WHERE rt <= v.n GROUP BY 1),
+h_u AS (SELECT least(floor((v - lo) / wd), {bins - 1}) AS b, count(*) AS c FROM v, s WHERE ru <= v.n GROUP BY 1),
+{best('g1', 's.tmin', 's.umax', 's')},
+e AS (SELECT min(x) AS a, max(x) AS z FROM g1_g, g1 WHERE abs(g1_g.i - g1.i) <= 1),
+{best('g2', 'e.a', 'e.z', 'e')},
+t AS (SELECT x AS t FROM g2_g JOIN g2 USING (i))
+SELECT id, k AS {metric} FROM m, t WHERE k >= t"""
+
+
+@register("auto_threshold", _auto_sql("unique_words"))
 def q_auto_threshold(spark, sf):
     """Estimated threshold on unique_words (KDE of the 5 % tail vs. a seeded sample)."""
     return thr.apply_threshold(docs(spark, sf), {"unique_words": "auto"}, keep_columns=True) \

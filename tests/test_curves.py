@@ -5,7 +5,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from corpus_spark.operators import curves, partition
 from corpus_spark.operators.threshold import auto_threshold
@@ -109,8 +108,8 @@ def test_auto_threshold_near_the_exact_densities(spark, n):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id long, length_chars double")
     k = int(0.05 * n)
     low = np.sort(vals)[:k]
-    rows = df.select("id", F.xxhash64(F.lit(42), F.col("id")).cast("double").alias("h"), "length_chars").collect()
-    sample = np.array([r.length_chars for r in sorted(rows, key=lambda r: (r.h, r.id))[:k]])
+    order = sorted(range(n), key=lambda i: (int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:13], 16), i))
+    sample = vals[order[:k]]
     grid = np.linspace(low.min(), sample.max(), 4000)
     want = grid[int(np.argmax(exact_kde(low, grid) - exact_kde(sample, grid)))]
     got = auto_threshold(df, "length_chars")
