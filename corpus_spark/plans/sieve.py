@@ -13,6 +13,7 @@ on the id reads the texts again at the end.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,7 @@ from ..sources.langs import iso3, scripts_for
 from .config import PERPLEXITY, SieveConfig
 
 CHARS = "length_chars"
+log = logging.getLogger(__name__)
 
 
 def score_once(df: DataFrame, metrics, with_hash: bool = True, carry: tuple[str, ...] = ("id",),
@@ -164,9 +166,22 @@ def _pre_filter(d: DataFrame, cfg: SieveConfig, multilingual: bool, profiles: Da
             raise ValueError("`lang_id` on one language needs `lang_profiles`.")
         profiles = lm.train_lang_profiles(d).checkpoint()
     columns = d.columns
-    d = clean.apply_pre_filter(d, scripts_for(cfg.languages) if pf.script_regex else None, pf.apply_c4_filter,
-                               pf.urls_to_remove, profiles if pf.lang_id else None).select(*columns)
-    return d if multilingual else d.drop("language")
+    out = clean.apply_pre_filter(d, scripts_for(cfg.languages) if pf.script_regex else None, pf.apply_c4_filter,
+                                 pf.urls_to_remove, profiles if pf.lang_id else None).select(*columns)
+    if pf.warn_percent:
+        n = removed_more_than(d, out, pf.warn_percent).count()
+        if n:
+            log.warning("pre_filter removed more than %g of the characters of %d documents", pf.warn_percent, n)
+    return out if multilingual else out.drop("language")
+
+
+def removed_more_than(before: DataFrame, after: DataFrame, share: float) -> DataFrame:
+    """Ids of documents that lost more than ``share`` of their characters,
+    those that are gone altogether included, with the share they lost."""
+    old = before.select("id", F.length("text").alias("old")).filter("old > 0")
+    new = after.select("id", F.length("text").alias("new"))
+    lost = 1 - F.coalesce("new", F.lit(0)) / F.col("old")
+    return old.join(new, "id", "left").select("id", lost.alias("removed_frac")).filter(F.col("removed_frac") > share)
 
 
 def _survivors(d: DataFrame, cfg: SieveConfig, tokenizers, models) -> DataFrame | None:

@@ -31,6 +31,16 @@ def test_scripts_and_urls_together(docs):
     assert set(run(docs, {"pre_filter": {"urls_to_remove": ["u0", "u2"]}})) == {1, 3}
 
 
+def test_warn_percent(docs, caplog):
+    assert set(run(docs, {"pre_filter": {"script_regex": True, "warn_percent": 0.4}})) == {0, 1, 2, 3}
+    assert "of 1 documents" in caplog.text  # document 1 lost its Russian half
+    caplog.clear()
+    run(docs, {"pre_filter": {"script_regex": True, "warn_percent": 0.9}})
+    assert "pre_filter removed" not in caplog.text
+    with pytest.raises(ValueError):
+        run(docs, {"pre_filter": {"script_regex": True, "warn_percent": 2}})
+
+
 def test_language_id(docs, spark):
     profiles = lm.train_lang_profiles(docs.where("id in (0, 2)"))
     out = run(docs, {"pre_filter": {"lang_id": True}}, lang_profiles=profiles)
