@@ -15,7 +15,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import PY_WHITESPACE_NO_NL, TOKEN_PATTERN, chars, newline_lines, strip, tokenize, word_ngrams
+from .text import PY_WHITESPACE_NO_NL, TOKEN_PATTERN, chars, newline_lines, strip, word_ngrams
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour)

@@ -19,7 +19,6 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import char_ngrams, splitlines, strip, tokenize
 from ..session import ensure_checkpoint_dir

@@ -7,7 +7,6 @@ import os
 from pyspark.sql import functions as F
 
 from ..operators import splits, stats
-from ..session import ensure_checkpoint_dir
 from ..sources import adapters, io
 from ..sources.langs import LANGUAGES, language_table
 from ..sources.tables import documents_model, read_documents, read_table

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
-from typing import Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
