@@ -11,6 +11,7 @@ when they are full, so memory is bounded whatever the corpus holds.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -190,8 +191,9 @@ class ChunkEncoder:
 class _Library:
     """The ``tokenizers`` library on many short strings: they are joined by a
     special token of the file, which is cut off before anything else, and the
-    ids are split at it again.  Strings that hold the special token's own text
-    are encoded one by one, as ordinary text."""
+    ids are split at it again.  Long strings and those that hold the text of
+    any special token are encoded one by one, as ordinary text, whatever
+    stands beside them."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -199,19 +201,38 @@ class _Library:
         self._plain = Tokenizer.from_file(path)
         self._plain.encode_special_tokens = True  # their strings in a text are ordinary text
         self._joined = Tokenizer.from_file(path)
-        special = [t for t in self._joined.get_added_tokens_decoder().items() if t[1].special]
-        self._id, self._mark = (special[-1][0], special[-1][1].content) if special else (None, None)
+        special = [(i, t.content) for i, t in self._joined.get_added_tokens_decoder().items() if t.special]
+        self._id, self._mark = special[-1] if special else (None, None)
+        self._special = np.array([i for i, _ in special], ID_TYPE)
+        self._holds = re.compile("|".join(re.escape(c) for _, c in special)).search
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        mark = self._mark
-        if mark and len(chunks) > 1 and not any(mark in c or len(c) > 1000 for c in chunks):
-            texts = [mark.join(chunks[i:i + 200]) + mark for i in range(0, len(chunks), 200)]
-            done = self._joined.encode_batch_fast(texts, add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, ID_TYPE) for e in done])
+        starts, lengths = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        pool, used = [], 0
+        joined = np.zeros(len(chunks), bool)
+        if self._mark and len(chunks) > 1:
+            joined = np.array([len(c) <= 1000 and not self._holds(c) for c in chunks])
+        at = np.flatnonzero(joined)
+        groups = [at[i:i + 200] for i in range(0, len(at), 200)]
+        texts = [self._mark.join([chunks[i] for i in g.tolist()]) + self._mark for g in groups]
+        for g, e in zip(groups, self._joined.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
+            ids = np.array(e.ids, ID_TYPE)
             ends = np.flatnonzero(ids == self._id)
-            return ids[ids != self._id], np.diff(ends, prepend=-1) - 1
-        done = [np.array(e.ids, ID_TYPE) for e in self._plain.encode_batch_fast(chunks, add_special_tokens=False)]
-        return np.concatenate(done), np.array([len(x) for x in done])
+            if len(ends) != len(g):  # the mark came out of a chunk (as its unknown token, or after normalising)
+                joined[g] = False
+                continue
+            odd = np.flatnonzero(np.isin(ids, self._special) & (ids != self._id))
+            joined[g[np.searchsorted(ends, odd)]] = False
+            lengths[g] = np.diff(ends, prepend=-1) - 1
+            starts[g] = used + ends - lengths[g]
+            pool.append(ids)
+            used += len(ids)
+        alone = np.flatnonzero(~joined)
+        done = [np.array(e.ids, ID_TYPE) for e in self._plain.encode_batch_fast(
+            [chunks[i] for i in alone.tolist()], add_special_tokens=False)] if len(alone) else []
+        lengths[alone] = [len(x) for x in done]
+        starts[alone] = used + np.cumsum(lengths[alone]) - lengths[alone]
+        return gather(np.concatenate([*pool, *done, np.zeros(0, ID_TYPE)]), starts, lengths), lengths
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}

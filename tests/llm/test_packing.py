@@ -2,12 +2,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpus_spark.llm.packing import SEQUENCE, Places, op6_packing, pack_documents, pack_histogram, sequences
+from corpus_spark.llm.tokenization import ChunkEncoder, _Library
 
 from .conftest import HARD_TEXTS
 from .test_token_blocks import whole
@@ -84,6 +86,24 @@ def test_hard_texts_and_sequences(spark):
     assert placed.count() == 0
 
 
+def test_texts_of_special_tokens_are_ordinary_whatever_stands_beside_them():
+    ordinary = [f"plain words {i} here" for i in range(450)]
+    odd = ["a <|startoftext|> b", "<|startoftext|>", "x<|endoftext|>y", "<|STARTOFTEXT|> <|startoftext|", "b" * 1500]
+    for texts in (odd[:2] + ordinary, ordinary[:250] + odd + ordinary[250:], ordinary + odd[2:] + odd[:1]):
+        ids, at = ChunkEncoder(_Library(PATH), False).encode(pa.array(texts, pa.string()))
+        assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == whole(texts, PATH)
+    library, calls = _Library(PATH), []
+    plain = library._plain
+
+    class Counted:
+        def encode_batch_fast(self, chunks, **kw):
+            calls.extend(chunks)
+            return plain.encode_batch_fast(chunks, **kw)
+    library._plain = Counted()
+    library(ordinary + odd)
+    assert calls == [c for c in odd if c != odd[3]]  # not the ordinary ones
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
