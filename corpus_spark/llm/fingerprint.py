@@ -1,9 +1,10 @@
 """Threshold-scaled fingerprints of documents.
 
 A fingerprint holds every distinct shingle hash below a fixed fraction of the
-hash range.  Whether a hash is kept depends on nothing but the hash, so
-fingerprints of parts merge by union, and containment can be estimated
-between documents of very unequal length.
+hash range, so containment can be estimated between documents of very unequal
+length.  A text none of whose hashes is below it (a short one) keeps all its
+hashes, so only texts without a word have an empty fingerprint.  Fingerprints
+of parts merge by union; hashes above the fraction go once there is one below.
 
 Shingles are five consecutive words (maximal runs without the six ASCII white
 space characters), A-Z lower-cased; a text with fewer words is one shingle.
@@ -29,11 +30,14 @@ SCALE = 8
 
 def sketch(buf: np.ndarray, offsets: np.ndarray, scale: int = SCALE,
            words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, first)``: sorted distinct kept hashes of each text."""
+    """``(hashes, first)``: sorted distinct kept hashes of each text, all of
+    them where none is below the fraction."""
     starts, ends, first = word_spans(buf, offsets)
     h, at = shingle_hashes(hash_spans(LOWER[buf], starts, ends), first, words)
     keep = h < np.uint64((1 << 64) // scale) if scale > 1 else np.ones(len(h), bool)
     count = np.concatenate(([0], np.cumsum(keep)))
+    keep |= np.repeat(np.diff(count[at]) == 0, np.diff(at))
+    count = np.concatenate(([0], np.cumsum(keep)))
     return distinct_per_text(h[keep], count[at])
 
 
@@ -49,7 +53,9 @@ def from_string(fingerprint: str) -> np.ndarray:
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated containment of the smaller document in the larger: shared
     hashes by hashes of the smaller fingerprint.  Equal fingerprints have
-    likeness 1; an empty one has likeness 0 with any other."""
+    likeness 1; an empty one (a text without a word) has likeness 0 with any
+    other.  Between two short texts that keep all their hashes it is exact; one
+    of these shares nothing with a text that has hashes below the fraction."""
     if len(a) == len(b) and np.array_equal(a, b):
         return 1.0
     least = min(len(a), len(b))
@@ -58,8 +64,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprints(docs: DataFrame, scale: int = SCALE, words: int = WORDS) -> DataFrame:
     """``docs`` (doc_id, text; more columns are ignored) -> doc_id and hashes
-    (sorted distinct kept hashes as signed longs).  Null and empty texts, and
-    texts none of whose hashes is kept, have none."""
+    (sorted distinct kept hashes as signed longs).  Null texts and texts
+    without a word have none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -70,10 +76,16 @@ def fingerprints(docs: DataFrame, scale: int = SCALE, words: int = WORDS) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>")
 
 
-def merge(fps: DataFrame, *by: str | Column) -> DataFrame:
-    """Fingerprints of the groups ``by``: the union of the members' hashes."""
-    return fps.select(*by, F.explode("hashes").alias("hash")).distinct().groupBy(*by) \
-        .agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+def merge(fps: DataFrame, *by: str | Column, scale: int = SCALE) -> DataFrame:
+    """Fingerprints of the groups ``by``: the union of the members' hashes,
+    without those above the fraction if there are others."""
+    hashes = F.sort_array(F.collect_list("hash"))
+    union = fps.select(*by, F.explode("hashes").alias("hash")).distinct().groupBy(*by).agg(hashes.alias("hashes"))
+    if scale == 1:
+        return union
+    low = F.filter("hashes", lambda h: (h >= 0) & (h <= (1 << 64) // scale - 1))  # signed: the upper half is negative
+    return union.withColumn("_low", low).withColumn("hashes", F.when(F.size("_low") > 0, F.col("_low")).otherwise(
+        F.col("hashes"))).drop("_low")
 
 
 def containment(a: str, b: str) -> Column:

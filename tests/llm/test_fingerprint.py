@@ -49,6 +49,25 @@ def test_fraction_and_merge(spark):
     assert all(r[0] == 1.0 for r in c)
 
 
+def test_short_texts_have_a_fingerprint(spark):
+    texts = [f"short text {i}" for i in range(60)] + [f"one two three four five six seven {i} " * 2 for i in range(60)]
+    got, every = full(texts), full(texts, scale=1)
+    assert all(got) and len(set(map(frozenset, got))) == len(texts)
+    for g, e in zip(got, every):
+        assert g == ({h for h in e if h < 2**64 // 8} or e)
+    assert not any(full(["", None, " \n\t"]))
+    h, at = sketch(*text_buffer(pa.array(texts, pa.string())))
+    parts = [h[at[i]:at[i + 1]] for i in range(60)]
+    assert all(likeness(a, b) == (i == j) for i, a in enumerate(parts) for j, b in enumerate(parts))
+    rows = [(i, t, i // 10) for i, t in enumerate(texts)] + [(900, texts[0], 900), (901, "short words", 900), (902, " ", 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, g long")
+    merged = merge(fingerprints(df).join(df.select("doc_id", "g"), "doc_id"), "g").collect()
+    assert len(merged) == 13
+    for r in merged:
+        union = set().union(*(full([t], scale=1)[0] for _, t, g in rows if g == r.g))
+        assert {h % 2**64 for h in r.hashes} == ({h for h in union if h < 2**64 // 8} or union)
+
+
 def brute(docs):
     order = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     out = {}
