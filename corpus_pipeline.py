@@ -30,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near
     duplicates."""
-    return near_dup.drop_near_duplicates(docs, near_dup.near_duplicates(docs))
+    return near_dup.drop_near_duplicates(docs, near_dup.near_duplicates(docs, content=True))
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Near-duplicate documents by fast similarity sketching.
 
 A document's set are its distinct shingles of four words.  Documents with
-equal sets form a class and go on as one node.  Each node gets a fast
+equal sets form a class and go on as one node, numbered apart from doc_ids,
+which rows may repeat or lack.  Each node gets a fast
 similarity sketch, bands of the sketch name buckets, and nodes that share a
 bucket are candidates; a link is a pair whose full sets are similar enough.
 
@@ -100,10 +101,14 @@ def band_keys(table: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 # --- nodes and buckets ------------------------------------------------------------
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("content"))
+
+
 def set_table(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id (null: the smallest long), n_shingles,
-    set_key (128-bit hash of the set) and bands (a key each; none for an empty
-    set)."""
+    """One row per row of ``docs``: doc_id (null: the smallest long), content
+    (hash of the text), n_shingles, set_key (128-bit hash of the set) and bands
+    (a key each; none for an empty set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -113,13 +118,21 @@ def set_table(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
                 keys = band_keys(sketch(h, np.append(first[:-1][some], first[-1]), bands * rows), rows)
                 to = np.concatenate(([0], np.cumsum(some) * bands)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n.astype(np.int64)),
+                    [part.column(0), part.column(2), pa.array(n.astype(np.int64)),
                      pa.array([hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest()
                                for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(to), pa.array(keys.view(np.int64).ravel()))],
-                    names=["doc_id", "n_shingles", "set_key", "bands"])
-    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+                    names=["doc_id", "content", "n_shingles", "set_key", "bands"])
+    return _keyed(docs).mapInArrow(run, "doc_id long, content long, n_shingles long, set_key binary, bands array<long>")
+
+
+def class_table(base: DataFrame) -> DataFrame:
+    """One row per distinct non-empty set: set_key, bands, doc_id (the least),
+    content (of a row with that doc_id) and node, a number of its own."""
+    classes = base.where("n_shingles > 0").groupBy("set_key").agg(
+        F.min(F.struct("doc_id", "content")).alias("least"), F.first("bands").alias("bands"))
+    return materialize(classes.select("set_key", "bands", "least.*", F.monotonically_increasing_id().alias("node")),
+                       "near-classes")
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
@@ -134,15 +147,15 @@ def bucket_members(classes: DataFrame) -> DataFrame:
 def node_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """The full sets of the nodes that have candidates: node and hashes (the
     sorted shingle hashes, eight bytes each)."""
-    wanted = members.select("node").distinct().join(classes.select("node", "set_key"), "node")
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("node"), "text").join(wanted, "node")
+    wanted = members.select("node").distinct().join(classes.select("node", "set_key", "doc_id", "content"), "node")
+    texts = _keyed(docs).join(wanted, ["doc_id", "content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 h, first = shingle_sets(*text_buffer(part.column(1)), words)
                 raw = [h[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                # another text under the same doc_id is another class
+                # another text with the same hash under the same doc_id is another class
                 same = [hashlib.blake2b(r, digest_size=16).digest() == k for r, k in zip(raw, part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())],
                                                  names=["node", "hashes"]).filter(pa.array(same))
@@ -314,7 +327,7 @@ def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
 # --- the operator --------------------------------------------------------------------
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS,
-                    rows: int = ROWS) -> DataFrame:
+                    rows: int = ROWS, content: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; more columns are ignored):
     doc_id, n_shingles, component_id (the smallest doc_id reachable over
     links, its own included), kept (whether that is its own).
@@ -323,10 +336,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     empty set and are linked with nothing; a text of fewer words than a
     shingle has is one shingle.  Null doc_ids are smaller than all others;
     rows that share a doc_id but not a set are linked each by its own set.
+    ``content`` adds the hash of the text, which with doc_id names the row.
     """
     base = materialize(set_table(docs, words, bands, rows), "near-base")
-    classes = materialize(base.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "near-classes")
+    classes = class_table(base)
     members = bucket_members(classes)
     sets = node_sets(docs, classes, members, words)
     links = confirm(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(),
@@ -349,13 +362,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     more = compare_blocks(_blocks(known, sets), percent)
     if more.limit(1).count():
         comps = components(links.union(more))
-    labels = classes.select("set_key", "node").join(comps, "node", "left") \
-        .select("set_key", F.coalesce("comp", "node").alias("comp"))
+    linked = classes.select("set_key", "node", "doc_id").join(comps, "node", "left") \
+        .withColumn("comp", F.coalesce("comp", "node"))
+    labelled = materialize(linked, "near-linked")
+    # only components of several nodes have another least doc_id than their node
+    heads = materialize(labelled.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+                        .where("n > 1").drop("n"), "near-heads")
+    labels = join_small(labelled, heads, ["comp"], "left").select("set_key", F.coalesce("least", "doc_id").alias("comp"))
     whole = base.drop("bands").join(labels, "set_key", "left")
     own = F.coalesce("comp", "doc_id")
     back = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
     return whole.withColumn("component_id", own).withColumn("kept", F.col("doc_id") == own) \
-        .select(back("doc_id"), "n_shingles", back("component_id"), "kept")
+        .select(back("doc_id"), "n_shingles", back("component_id"), "kept", *["content"] * content)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,14 +382,16 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document ``verdicts`` (of
-    :func:`near_duplicates` over the same rows) keeps; of rows that repeat a
-    doc_id and its text one stays."""
-    keep = materialize(verdicts.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "near-kept")
-    found = docs.join(keep.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The rows of ``docs``, all columns, that ``verdicts`` (of
+    :func:`near_duplicates` with ``content`` over the same rows) keeps by
+    doc_id and text; of rows that repeat both one stays."""
+    keep = materialize(verdicts.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
+                       .agg(F.count("*").alias("_n")), "near-kept")
+    found = docs.withColumn("_text", F.xxhash64("text")).join(
+        keep.drop("_n"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_content")), "left_semi")
     if keep.where("_n > 1").limit(1).count():
-        found = found.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return found
+        found = found.dropDuplicates(["doc_id", "_text"])
+    return found.drop("_text")
 
 
 OP7_SQL = f"""

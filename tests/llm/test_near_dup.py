@@ -7,7 +7,8 @@ import pyarrow as pa
 
 from corpus_spark.llm import near_dup
 from corpus_spark.llm.common import text_buffer
-from corpus_spark.llm.near_dup import block_links, components, near_duplicates, op7_near_duplicates, shingle_sets, sketch
+from corpus_spark.llm.near_dup import (block_links, components, drop_near_duplicates, near_duplicates,
+                                       op7_near_duplicates, shingle_sets, sketch)
 
 from .conftest import HARD_TEXTS
 
@@ -94,6 +95,26 @@ def test_null_and_repeated_ids(spark):
         (None, 2, None, True), (4, 2, None, False), (4, 2, None, False), (5, 0, 5, True), (5, 0, 5, True), (6, 1, 6, True)]))
 
 
+def test_different_sets_under_one_id(spark):
+    rnd = random.Random(8)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(5, a), (5, b), (3, a + " end"), (5, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df, content=True)
+    assert sorted(tuple(r)[:4] for r in got.collect()) == [(3, 58, 3, True), (5, 57, 3, False), (5, 57, 5, True), (5, 57, 5, True)]
+    assert sorted(map(tuple, drop_near_duplicates(df, got).collect())) == [(3, a + " end"), (5, b)]
+    rows = [(None, a), (None, b), (None, c), (None, d), (7, b + " x"), (8, c + " x"), (9, d + " x"), (10, "lone words of its own")]
+    rnd.shuffle(rows)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 57, None, True), (7, 58, None, False), (8, 58, None, False), (9, 58, None, False), (10, 2, 10, True)}
+    # a chain of near copies whose least doc_id is at one end
+    texts = variants(rnd, 30, edits=2)
+    docs = [(40 - i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(df).collect())) == brute(docs)
+
+
 def test_components_and_blocks(spark):
     rnd = random.Random(2)
     links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
