@@ -42,6 +42,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, or a name after it that no column of ``tables`` has (in any
+    case of letters)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def lowest_values(values: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` lowest distinct values of the one column of ``values``,
+    64-bit hashes of rows.  They are looked for below the value that twice as
+    many distinct ones are expected to be below, so the task that orders them
+    gets a bounded number of rows, however often rows are repeated."""
+    (h,) = values.columns
+    apart = values.agg(F.approx_count_distinct(h)).first()[0]
+    if apart > 4 * limit:
+        values = values.where(F.col(h) < int(-(2**63) + 2**64 * (2 * limit / apart)))
+    return values.distinct().orderBy(h).limit(limit)
 
 
 def lowest_hashes(keys: DataFrame, limit: int, rows: int | None = None) -> DataFrame:

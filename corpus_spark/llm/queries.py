@@ -8,8 +8,10 @@ from .lattice_lm import op3_lattice_lm
 from .line_quality import OP2_SQL, op2_line_quality
 from .near_dup import OP7_SQL, op7_near_duplicates
 from .packing import op6_packing
+from .periodic_runs import op12_periodic_runs
 from .secret_scan import op4_secret_scan
 from .token_blocks import op1_token_blocks
+from .toxicity import op11_toxicity
 
 LLM_QUERIES = {
     "op1_token_blocks": op1_token_blocks,
@@ -22,6 +24,8 @@ LLM_QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_chat_format": op10_chat_format,
+    "op11_toxicity": op11_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 LLM_ORACLES: dict[str, str] = {
