@@ -9,6 +9,7 @@ from .line_quality import OP2_SQL, op2_line_quality
 from .near_dup import OP7_SQL, op7_near_duplicates
 from .packing import op6_packing
 from .periodic_runs import op12_periodic_runs
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .secret_scan import op4_secret_scan
 from .token_blocks import op1_token_blocks
 from .toxicity import op11_toxicity
@@ -26,10 +27,12 @@ LLM_QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_toxicity": op11_toxicity,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op2_line_quality": OP2_SQL,
     "op7_near_duplicates": OP7_SQL,
     "op10_chat_format": OP10_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
