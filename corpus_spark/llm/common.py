@@ -51,6 +51,14 @@ def unused(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def shuffle_width(df: DataFrame) -> int | None:
+    """A number of shuffle partitions that follows the input: that of the
+    splits it is read in, where these are more than
+    ``spark.sql.shuffle.partitions``; otherwise None, which leaves it to Spark."""
+    splits = df.rdd.getNumPartitions()
+    return splits if splits > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def lowest_values(values: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` lowest distinct values of the one column of ``values``,
     64-bit hashes of rows.  They are looked for below the value that twice as
@@ -233,9 +241,11 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
         raise ValueError(f"how must be inner or left, not {how!r}")
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
-    spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    every = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(every, [*on, "_salt"], how).drop("_salt")
+    salt = unused("_salt", big, small)
+    # of the row's own values, so that a task that runs again salts alike
+    spread = big.withColumn(salt, F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    every = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(every, [*on, salt], how).drop(salt)
 
 
 class HashIndex:

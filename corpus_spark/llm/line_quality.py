@@ -1,7 +1,7 @@
 """Quality rules on the frequency of lines across documents.
 
 Each line is normalised (A-Z lower-cased, white space between words ignored)
-and hashed; for each host the distinct documents that hold a line are counted;
+and hashed; for each host the documents that hold a line are counted;
 lines above the limit are removed from all documents of the host but the first
 that holds them; documents that lose most of their words are rejected, as are
 documents that fail the base rules on length and repetition.
@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (IS_SPACE, LOWER, distinct_per_text, documents, hash_spans, join_small, materialize, mix64,
-                     shingle_hashes, slices, text_buffer, word_spans, _power_tables)
+                     shingle_hashes, slices, text_buffer, unused, word_spans, _power_tables)
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line may stand in this many documents of a host, or in this share of them
-#: if that is more.
-MIN_DOCS = 20
-MAX_SHARE = 0.01
+#: A line may stand in this many documents of a host, however many it has.
+MAX_DOCS = 20
 #: A document is depleted when less than this share of its words is left.
 LEAST_LEFT = 0.5
 
@@ -124,7 +122,7 @@ def line_statistics(docs: DataFrame, host: str = "source") -> DataFrame:
                             + ", line_keys array<long>, line_words array<long>")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
+def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS,
                   least_left: float = LEAST_LEFT, min_words: int = MIN_WORDS,
                   max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ``host``; more columns are
@@ -132,24 +130,24 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOC
     removed (hashes of the lines to remove), and the hashes host and content
     that with doc_id name the row.
 
-    Documents with equal texts count once for a host; a null host is a host of
-    its own; null texts have no words and fail the base rules.  Of the
-    documents with a line above the limit the first by (doc_id, content) keeps
-    it, so that no line is lost from the corpus.  Only hashes and counts are
-    shuffled, never texts.
+    A line is above the limit when more than ``max_docs`` documents of its host
+    hold it; every row is a document, copies and rows that repeat each other
+    included, and the limit is the same for hosts of any size.  Of the documents
+    with such a line the first by (doc_id, content) keeps it, so that no line is
+    lost from the corpus (rows that repeat that one keep it, too).  A null host
+    is a host of its own; null and empty texts have no words and fail the base
+    rules; null doc_ids come first; an empty table has no verdicts.  Only hashes
+    and counts are shuffled, never texts; a line that a third of all documents
+    hold is counted before the shuffle.
     """
     stats = materialize(line_statistics(docs, host), "line-statistics")
     lines = stats.select("doc_id", "host", "content",
                          F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")) \
         .select("doc_id", "host", "content", F.col("l.line_keys").alias("line"), F.col("l.line_words").alias("words"))
-    # distinct contents of a line: first within (host, line, content), then their number
-    apart = lines.groupBy("host", "line", "content").agg(F.min("doc_id").alias("doc_id"))
-    counts = apart.groupBy("host", "line").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "content")).alias("first")).where(F.col("n") > min_docs)
-    hosts = materialize(stats.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("host_docs")),
-                        "host-sizes")
+    # a document has each of its lines once
     above = materialize(
-        join_small(counts, hosts, ["host"]).where(F.col("n") > F.col("host_docs") * max_share)
+        lines.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "content")).alias("first"))
+        .where(F.col("n") > max_docs)
         .select("host", "line", F.col("first.doc_id").alias("first_id"), F.col("first.content").alias("first_content")),
         "frequent-lines")
     gone = join_small(lines, above, ["host", "line"]) \
@@ -170,17 +168,19 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOC
 
 
 def remove_lines(docs: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
-    """The kept rows of ``docs``, all columns, without the lines that
-    ``verdicts`` (of :func:`quality_rules` over the same rows) removes;
-    n_chars, if there, becomes the new length."""
-    keyed = docs.withColumn("_host", F.xxhash64(host, F.col(host).isNull())) \
-        .withColumn("_content", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keep = verdicts.where("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_h"),
-                                         F.col("content").alias("_c"), F.col("removed").alias("_removed")) \
-        .dropDuplicates(["_id", "_h", "_c"])
-    found = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_host"] == keep["_h"])
-                       & (keyed["_content"] == keep["_c"])).select(*docs.columns, "_removed")
-    text, gone, size = (found.columns.index(c) if c in found.columns else -1 for c in ("text", "_removed", "n_chars"))
+    """The kept rows of ``docs``, all columns (whatever their names), without
+    the lines that ``verdicts`` (of :func:`quality_rules` over the same rows)
+    removes; n_chars, if there, becomes the new length.  Rows that repeat each
+    other are all kept or all rejected."""
+    own_host, content, i, h, c, removed = (unused(x, docs) for x in ("_host", "_content", "_id", "_h", "_c", "_removed"))
+    keyed = docs.withColumn(own_host, F.xxhash64(host, F.col(host).isNull())) \
+        .withColumn(content, F.xxhash64(F.coalesce("text", F.lit(""))))
+    keep = verdicts.where("kept").select(F.col("doc_id").alias(i), F.col("host").alias(h),
+                                         F.col("content").alias(c), F.col("removed").alias(removed)) \
+        .dropDuplicates([i, h, c])
+    found = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep[i]) & (keyed[own_host] == keep[h])
+                       & (keyed[content] == keep[c])).select(*docs.columns, removed)
+    text, gone, size = (found.columns.index(x) if x in found.columns else -1 for x in ("text", removed, "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +200,7 @@ def remove_lines(docs: DataFrame, verdicts: DataFrame, host: str = "source") ->
                 columns[text] = pa.array(texts, pa.string())
                 if size >= 0:
                     columns[size] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays(columns, names=[n for n in part.schema.names if n != "_removed"])
+                yield pa.RecordBatch.from_arrays(columns, names=[n for n in part.schema.names if n != removed])
 
     return found.mapInArrow(run, docs.schema)
 
@@ -226,9 +226,7 @@ l AS (SELECT doc_id, source, t, l, regexp_extract_all(l, '{_WORD}') AS w FROM ra
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l GROUP BY doc_id),
 n AS (SELECT doc_id, source, t, array_to_string(list_transform(w, lambda x: translate(x, '{_UPPER}', '{_LOWERED}')), ' ') AS line,
              sum(len(w)) AS words FROM l GROUP BY ALL),
-hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
-f AS (SELECT source, line, min(doc_id) AS keeper FROM n JOIN hosts USING (source) GROUP BY source, line
-      HAVING count(DISTINCT t) > {MIN_DOCS} AND count(DISTINCT t) > any_value(docs) * {MAX_SHARE}),
+f AS (SELECT source, line, min(doc_id) AS keeper FROM n GROUP BY source, line HAVING count(*) > {MAX_DOCS}),
 gone AS (SELECT doc_id, sum(words) AS words, count(*) AS lines FROM n JOIN f USING (source, line) WHERE doc_id <> keeper GROUP BY doc_id),
 b AS (SELECT doc_id, len(k)::BIGINT AS n_words, coalesce(list_sum(list_transform(k, lambda x: length(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,

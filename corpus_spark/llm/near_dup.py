@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (LOWER, distinct_per_text, documents, hash_spans, join_small, materialize, mix64, shingle_hashes,
-                     slices, text_buffer, word_spans)
+                     slices, text_buffer, unused, word_spans)
 
 WORDS = 4
 #: A link: 100 * shared shingles >= PERCENT * all shingles of the two sets.
@@ -385,13 +385,14 @@ def drop_near_duplicates(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that ``verdicts`` (of
     :func:`near_duplicates` with ``content`` over the same rows) keeps by
     doc_id and text; of rows that repeat both one stays."""
-    keep = materialize(verdicts.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
-                       .agg(F.count("*").alias("_n")), "near-kept")
-    found = docs.withColumn("_text", F.xxhash64("text")).join(
-        keep.drop("_n"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_content")), "left_semi")
-    if keep.where("_n > 1").limit(1).count():
-        found = found.dropDuplicates(["doc_id", "_text"])
-    return found.drop("_text")
+    i, content, n, text = (unused(x, docs) for x in ("_id", "_content", "_n", "_text"))
+    keep = materialize(verdicts.where("kept").groupBy(F.col("doc_id").alias(i), F.col("content").alias(content))
+                       .agg(F.count("*").alias(n)), "near-kept")
+    found = docs.withColumn(text, F.xxhash64("text")).join(
+        keep.drop(n), F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(text) == F.col(content)), "left_semi")
+    if keep.where(F.col(n) > 1).limit(1).count():
+        found = found.dropDuplicates(["doc_id", text])
+    return found.drop(text)
 
 
 OP7_SQL = f"""

@@ -21,9 +21,9 @@ def shingles(text, k=4):
         frozenset([tuple(w)]) if w else frozenset())
 
 
-def brute(docs, percent=80):
+def brute(docs, percent=80, words=4):
     """docs: (doc_id, text), distinct ids"""
-    sets = {d: shingles(t) for d, t in docs}
+    sets = {d: shingles(t, words) for d, t in docs}
     parent = {d: d for d in sets}
 
     def root(x):
