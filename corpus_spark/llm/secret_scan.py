@@ -8,8 +8,8 @@ log-likelihood ratio speaks for the random model is a secret too.
 The models are counts of character pairs in labelled samples: values that the
 patterns find are random strings, all other runs are ordinary.  They are
 learned from a bounded number of documents (``sample_docs`` for either label,
-those whose doc_ids have the lowest hashes among ``search`` times as many) and have one entry for each pair of
-the alphabet.
+those with the lowest hashes of doc_id and text among ``search`` times as many)
+and have one entry for each pair of the alphabet.
 
 Positions come from splitting a text at a pattern: the lengths of the pieces
 between matches and of the matches add up, in a window over the text's
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, lowest_hashes
+from .common import documents, lowest_values, unused
 
 #: Fixed patterns of the task; letters of the key words in either case.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -77,27 +77,29 @@ def train(samples: DataFrame) -> list[float]:
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, search: int = SEARCH) -> DataFrame:
     """Tokens labelled by the patterns, from at most ``sample_docs`` documents
-    that hold a secret and as many of all documents.  Both are looked for among
-    ``search`` times as many documents; only doc_ids are ordered, and the
-    chosen ones (no more than ``sample_docs``) are broadcast."""
-    some = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    rows = docs.count()
+    that hold a secret and as many of all documents.  The former are looked for
+    among about ``search`` times as many documents; only hashes of (doc_id, text)
+    are ordered, and the chosen ones (no more than ``sample_docs``) are
+    broadcast.  Null and repeated doc_ids are told apart by their texts; rows
+    that repeat both are one document; null texts are left out."""
+    some = docs.select(F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("h"), "text").where(F.col("text").isNotNull())
+    apart = some.agg(F.approx_count_distinct("h")).first()[0]
     pool = some
-    if rows > sample_docs * search:
-        pool = some.where(F.xxhash64("doc_id") < int(-(2**63) + 2**64 * (sample_docs * search / rows)))
+    if apart > sample_docs * search:
+        pool = some.where(F.col("h") < int(-(2**63) + 2**64 * (sample_docs * search / apart)))
     secret = F.col("text").rlike(f"{ASSIGN}|{LONG_ACCESS}|{LONG_HEX}")
 
-    def texts(ids: DataFrame) -> DataFrame:
-        return some.join(F.broadcast(ids.distinct()), "doc_id")
+    def texts(chosen: DataFrame) -> DataFrame:
+        return some.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("text").alias("text"))
 
-    order = (F.xxhash64("doc_id"), "doc_id")
-    held = texts(pool.where(secret).select("doc_id").orderBy(*order).limit(sample_docs))
+    # the pool is bounded, so what is ordered here is
+    held = texts(pool.where(secret).select("h").distinct().orderBy("h").limit(sample_docs))
     values = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), 2), F.regexp_extract_all("text", F.lit(LONG_ACCESS), 0),
                       F.regexp_extract_all("text", F.lit(LONG_HEX), 0))
     random = held.select(F.explode(values).alias("token")).where(F.length("token") >= MIN_LENGTH["assign"]) \
         .withColumn("label", F.lit("random"))
     rest = F.regexp_replace("text", f"{ASSIGN}|{LONG_ACCESS}|{LONG_HEX}", " ")
-    ordinary = texts(lowest_hashes(some.select("doc_id"), sample_docs, rows)) \
+    ordinary = texts(lowest_values(some.select("h"), sample_docs)) \
         .select(F.explode(F.regexp_extract_all(rest, F.lit(_RUN % 6), F.lit(0))).alias("token")) \
         .withColumn("label", F.lit("ordinary"))
     return random.union(ordinary)
@@ -135,8 +137,10 @@ def find_secrets(docs: DataFrame, model: list[float], min_run: int = MIN_RUN, mi
     ``KINDS`` and code points, the end exclusive.
 
     Spans of a pattern are its leftmost non-overlapping matches without those
-    that are too short; an assignment's span is the whole match.  Spans of the
-    models never overlap those of the patterns, which always stay.  Only
+    that are too short; an assignment's span is the whole match.  They always
+    stay; of a run that the models call random, the parts that no span of a
+    pattern covers are reported, so no character of it is left out.  Null and
+    repeated doc_ids are rows like others; an empty table has no rows.  Only
     matches are shuffled, never texts.
     """
     every = F.concat(*(_matches(i, p) for i, p in enumerate((ASSIGN, LONG_ACCESS, LONG_HEX, _RUN % min_run))))
@@ -153,13 +157,18 @@ def find_secrets(docs: DataFrame, model: list[float], min_run: int = MIN_RUN, mi
     rows = rows.withColumn("on", F.col("kind").isNotNull() & long)
     fixed = F.col("on") & (F.col("kind") < 3)
     order = Window.partitionBy("row").orderBy("start", "kind")
-    before = F.max(F.when(fixed, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.min(F.when(fixed, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("before", before).withColumn("behind", behind)
-    free = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("behind", F.col("end")) >= F.col("end"))
-    span = F.when(fixed | (F.col("on") & free), F.struct("start", "kind", "end"))
-    return rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("content").alias("content"),
-                                   F.sort_array(F.collect_list(span)).alias("spans")).drop("row")
+    so_far, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("covered", F.max(F.when(fixed, F.col("end"))).over(so_far)) \
+        .withColumn("next", F.min(F.when(fixed, F.col("start"))).over(after)) \
+        .withColumn("run", F.max(F.when(F.col("on") & (F.col("kind") == 3), F.col("end"))).over(so_far))
+    # what is left of a run behind its beginning, or behind a span of a pattern in it, up to the next one
+    begin = F.greatest("start", F.coalesce("covered", "start"))
+    end = F.least("run", F.coalesce("next", "run"))
+    span = F.when(fixed, F.struct("start", "kind", "end"))
+    part = F.when(F.col("on") & F.col("run").isNotNull() & (begin < end), F.struct(begin.alias("start"), F.lit(3).alias("kind"), end.alias("end")))
+    return rows.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("content").alias("content"),
+        F.sort_array(F.flatten(F.collect_list(F.array_compact(F.array(span, part))))).alias("spans")).drop("row")
 
 
 def span_text(spans: Column) -> Column:
@@ -170,22 +179,26 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, found: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs``, all rows and columns, with ``mask`` for each secret that
-    ``found`` (of :func:`find_secrets` over the same rows) has; overlapping
-    spans become one.  n_chars, if there, becomes the new length."""
-    marks = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"),
-                                                    F.col("spans").alias("_spans")).dropDuplicates(["_id", "_content"])
-    both = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_content")), "left")
+    """``docs``, all rows and columns (whatever their names), with ``mask`` for
+    each secret that ``found`` (of :func:`find_secrets` over the same rows) has;
+    spans that overlap or touch become one.  Null texts stay null; rows that
+    repeat each other are masked alike.  n_chars, if there, becomes the new
+    length."""
+    i, content, spans = (unused(x, docs) for x in ("_id", "_content", "_spans"))
+    marks = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("content").alias(content),
+                                                    F.col("spans").alias(spans)).dropDuplicates([i, content])
+    both = docs.join(marks, F.col("doc_id").eqNullSafe(F.col(i)) & (
+        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(content)), "left")
 
     def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(
+        apart = (s["start"] > acc["at"]) | ((s["start"] == 0) & (acc["at"] == 0))
+        gap = F.when(apart, F.concat(
             F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = both.withColumn("text", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text")))
+    done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    out = both.withColumn("text", F.when(F.col(spans).isNotNull(), done).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
