@@ -97,15 +97,14 @@ def log_count_ratios(with_one: np.ndarray, with_zero: np.ndarray, ones: float, z
     return np.log((with_one + smoothing) / (ones + 2 * smoothing)) - np.log((with_zero + smoothing) / (zeros + 2 * smoothing))
 
 
-def likelihood_ratio(with_one: np.ndarray, with_zero: np.ndarray, ones: float, zeros: float) -> np.ndarray:
+def likelihood_ratio(with_one: Column, with_zero: Column, ones: int, zeros: int) -> Column:
     """Statistic of the independence of presence and label."""
     total, held = ones + zeros, with_one + with_zero
-    out = np.zeros(len(held))
+    out = F.lit(0.0)
     for seen, row, label in ((with_one, held, ones), (with_zero, held, zeros),
                              (ones - with_one, total - held, ones), (zeros - with_zero, total - held, zeros)):
-        expected = row * label / max(total, 1)
-        safe = (seen > 0) & (expected > 0)
-        out[safe] += 2 * seen[safe] * np.log(seen[safe] / expected[safe])
+        expected = row * (label / max(total, 1))
+        out = out + F.when((seen > 0) & (expected > 0), 2 * seen * F.ln(seen / expected)).otherwise(0.0)
     return out
 
 
@@ -221,16 +220,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 
     sizes = {r["label"]: r["n"] for r in texts.groupBy((F.col("label") > 0).alias("label")).agg(F.count("*").alias("n")).collect()}
     ones, zeros = sizes.get(True, 0), sizes.get(False, 0)
-    # a bucket that fewer than three labelled texts hold tells nothing; at most one row for each bucket comes back
+    # a bucket that fewer than three labelled texts hold tells nothing
     counted = texts.mapInArrow(count, "bucket int, zero long, one long").groupBy("bucket") \
-        .agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).where(F.col("zero") + F.col("one") > 2).toPandas()
-    counted = counted.sort_values("bucket")
-    zero, one = counted["zero"].to_numpy(float), counted["one"].to_numpy(float)
-    told = likelihood_ratio(one, zero, ones, zeros)
-    best = np.sort(np.argsort(-told, kind="stable")[:features])
+        .agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).where(F.col("zero") + F.col("one") > 2)
+    told = F.round(likelihood_ratio(F.col("one"), F.col("zero"), ones, zeros), 6)
+    best = counted.orderBy(told.desc(), "bucket").limit(features).toPandas().sort_values("bucket")
     number = np.full(1 << bits, -1, np.int32)
-    number[counted["bucket"].to_numpy()[best]] = np.arange(len(best))
-    ratio = log_count_ratios(one[best], zero[best], ones, zeros)
+    number[best["bucket"].to_numpy()] = np.arange(len(best))
+    ratio = log_count_ratios(best["one"].to_numpy(float), best["zero"].to_numpy(float), ones, zeros)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

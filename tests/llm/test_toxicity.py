@@ -46,10 +46,11 @@ def test_score_equals_plain_loops(texts):
     assert [set(bucket[text == i].tolist()) for i in range(len(texts))] == [buckets_of(t or "", orders, bits) for t in texts]
 
 
-def test_ratios_and_statistic():
+def test_ratios_and_statistic(spark):
     one, zero = np.array([9.0, 0, 5]), np.array([1.0, 4, 5])
     assert np.allclose(log_count_ratios(one, zero, 10, 10), [math.log(10 / 2), math.log(1 / 5), 0])
-    told = likelihood_ratio(one, zero, 10, 10)
+    df = spark.createDataFrame([(9, 1), (0, 4), (5, 5)], "one long, zero long").coalesce(1)
+    told = [r[0] for r in df.select(likelihood_ratio(df["one"], df["zero"], 10, 10)).collect()]
     want = 2 * (9 * math.log(9 / 5) + math.log(1 / 5) + math.log(1 / 5) + 9 * math.log(9 / 5))
     assert math.isclose(told[0], want) and told[2] == 0 and told[0] > told[1] > 0
 
