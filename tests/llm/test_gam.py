@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from corpus_spark.llm.common import text_buffer
-from corpus_spark.llm.gam import FEATURES, features, fit, keep_good, op5_quality_gam, score_documents, train
+from corpus_spark.llm.gam import FEATURES, _grid, _tree, features, fit, keep_good, op5_quality_gam, score_documents, train
 
 from .conftest import HARD_TEXTS
 
@@ -57,3 +57,61 @@ def test_query_on_held_out_rows(spark):
     hits = [rows[r.doc_id].predicted == r.quality for r in labels]
     print(len(hits), np.mean(hits), np.mean([r.quality for r in labels]))
     assert np.mean(hits) > 0.95
+
+
+def loss_of(parts, g, h, ridge):
+    """What a tree gains whose leaves are ``parts`` (sets of cells)."""
+    return sum(sum(g[c] for c in p) ** 2 / (sum(h[c] for c in p) + ridge) for p in parts if p)
+
+
+def test_trees_equal_plain_loops():
+    rnd = np.random.default_rng(5)
+    for _ in range(30):
+        n = int(rnd.integers(1, 9))
+        g, h = rnd.normal(size=n), rnd.random(n) + 0.1
+        # greedy: the best first cut, then the best cut of either half
+        leaves = [list(range(n))]
+        for _ in range(2):
+            best = (1e-9, None)
+            for leaf in leaves:
+                for k in range(1, len(leaf)):
+                    gain = loss_of([leaf[:k], leaf[k:]], g, h, 1.0) - loss_of([leaf], g, h, 1.0)
+                    if gain > best[0]:
+                        best = (gain, (leaf, k))
+            if best[1] is None:
+                break
+            leaf, k = best[1]
+            leaves = [x for x in leaves if x is not leaf] + [leaf[:k], leaf[k:]]
+        want = np.zeros(n)
+        for leaf in leaves:
+            want[leaf] = g[leaf].sum() / (h[leaf].sum() + 1.0)
+        assert np.allclose(_tree(g, h, 1.0), want)
+
+
+def test_grid_equals_plain_loops():
+    rnd = np.random.default_rng(6)
+    for _ in range(20):
+        n = int(rnd.integers(2, 5))
+        g, h = rnd.normal(size=(n, n)), rnd.random((n, n)) + 0.1
+        cells = [[(i, j) for j in range(n)] for i in range(n)]
+        best = 0.0
+        for at in range(1, n):
+            total = -loss_of([sum(cells, [])], g, h, 1.0)
+            for side in (cells[:at], cells[at:]):
+                total += max(loss_of([[c for r in side for c in r if c[1] < k], [c for r in side for c in r if c[1] >= k]], g, h, 1.0)
+                             for k in range(1, n + 1))
+            best = max(best, total)
+        # a cut of one side only counts where it gains something, so the two agree up to the penalty of an empty leaf
+        assert abs(_grid(g, h, 1.0)[0] - best) < 1e-9
+
+
+def test_score_equals_plain_loops():
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(500, 3))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    m = fit(x, y, rounds=20, pair_rounds=10, n_pairs=2)
+    for row, got in zip(x[:40], m.score(x[:40])):
+        b = [sum(row[j] >= e for e in m.edges[j]) for j in range(3)]
+        total = m.intercept + sum(m.tables[j][b[j]] for j in range(3))
+        total += sum(t[b[i] // m.coarse][b[j] // m.coarse] for i, j, t in m.pairs)
+        assert np.isclose(got, 1 / (1 + np.exp(-total)))
