@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices
+from .common import scratch_path, shuffle_width, slices
 from .tokenization import ID_TYPE, encode_column
 
 MAGIC = b"PFR1"
@@ -173,7 +173,8 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     that brings it to ``segment_ids`` ids.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
-    ordered = keyed.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash")
+    width = shuffle_width(docs)
+    ordered = keyed.repartitionByRange(*[width] * bool(width), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, segment = TaskContext.get().partitionId(), 0

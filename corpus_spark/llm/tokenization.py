@@ -4,8 +4,9 @@ A text is cut where no token can cross (before a blank or line feed that
 follows a visible character), each distinct chunk is encoded once, and the ids
 of the text are the ids of its chunks on end.  A text in which such a cut
 would not be safe is encoded whole.  A worker keeps the ids of the chunks it
-has met in numpy arrays under 64-bit hashes of their bytes; they are emptied
-when they are full, so memory is bounded whatever the corpus holds.
+has met in numpy arrays of a fixed size under 64-bit hashes of their bytes.
+Chunks are looked up in windows, and the arrays are emptied before a window
+could overfill them, so memory is bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from .common import gather, hash_spans, text_buffer
 ID_TYPE = np.dtype("<u4")
 #: Chunks and ids that a worker keeps.
 MAX_CHUNKS = 1 << 21
-MAX_IDS = 1 << 24
+MAX_IDS = 1 << 23
+#: Strings encoded at a time.
+STRINGS = 4000
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x0A]] = True
@@ -34,26 +37,21 @@ _LETTER[65:91] = _LETTER[97:123] = True
 
 
 class _Table:
-    """Open-addressing hash table: 64-bit key -> range of a pool of ids."""
-
-    def __init__(self):
-        self._mask = 0
+    """Open-addressing hash table of a fixed size: 64-bit key -> range of a
+    pool of ids.  At most half of its slots are used."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._mask = (1 << (2 * most - 1).bit_length()) - 1
+        self._key = np.zeros(self._mask + 1, np.uint64)
+        self._start = np.zeros(self._mask + 1, np.int32)
+        self._length = np.zeros(self._mask + 1, np.int32)
         self.clear()
 
     def clear(self) -> None:
         self.n = self.used = 0
         self._pool = np.zeros(1 << 12, ID_TYPE)
-        self._resize(1 << 12)
-
-    def _resize(self, size: int) -> None:
-        old = None if not self.n else (self._key, self._start, self._length)
-        self._mask = size - 1
-        self._key = np.zeros(size, np.uint64)
-        self._start = np.full(size, -1, np.int64)
-        self._length = np.zeros(size, np.int32)
-        if old:
-            full = old[1] >= 0
-            self._place(old[0][full], old[1][full], old[2][full])
+        self._start.fill(-1)
 
     def _place(self, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         slot, left = (keys & np.uint64(self._mask)).astype(np.int64), np.arange(len(keys))
@@ -84,22 +82,22 @@ class _Table:
         return out
 
     def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """New distinct keys with the ids of each on end."""
-        while 2 * (self.n + len(keys)) > self._mask + 1:
-            self._resize(2 * (self._mask + 1))
+        """New distinct keys with the ids of each on end; no more than there is room for."""
+        if self.n + len(keys) > self.most:
+            raise ValueError(f"{self.n + len(keys)} chunks in a table of {self.most}")
         if self.used + len(ids) > len(self._pool):
             self._pool = np.concatenate((self._pool[:self.used], ids, np.zeros(self.used + len(ids), ID_TYPE)))
         else:
             self._pool[self.used:self.used + len(ids)] = ids
-        starts = self.used + np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-        self._place(keys, starts, lengths.astype(np.int32))
+        starts = self.used + np.cumsum(lengths) - lengths
+        self._place(keys, starts.astype(np.int32), lengths.astype(np.int32))
         self.n += len(keys)
         self.used += len(ids)
 
     def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids on end, number of each)``; slot -1 has none."""
         lengths = np.where(slots >= 0, self._length[slots], 0)
-        return gather(self._pool, self._start[slots], lengths), lengths
+        return gather(self._pool, self._start[slots].astype(np.int64), lengths), lengths
 
 
 class ChunkEncoder:
@@ -115,7 +113,7 @@ class ChunkEncoder:
     def __init__(self, encode_chunks: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaces_dropped: bool):
         self._encode_chunks = encode_chunks
         self._spaces_dropped = spaces_dropped
-        self._table = _Table()
+        self._table = _Table(MAX_CHUNKS)
 
     def _spans(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         separator = _SEPARATOR[buf]
@@ -152,8 +150,8 @@ class ChunkEncoder:
             safe = [not (c[-1].isspace() and c[-1] not in " \n") for c in strings]
             strings = [c for c, ok in zip(strings, safe) if ok]
             at = at[safe]
-        for i in range(0, len(strings), 20_000):
-            self._table.add(k[at[i:i + 20_000]], *self._encode_chunks(strings[i:i + 20_000]))
+        for i in range(0, len(strings), STRINGS):
+            self._table.add(k[at[i:i + STRINGS]], *self._encode_chunks(strings[i:i + STRINGS]))
         if tailed.any():
             head, mark = (self._table.find(hash_spans(buf, a, b)) for a, b in
                           ((starts[tailed], ends[tailed] - 1), (ends[tailed] - 1, ends[tailed])))
@@ -161,25 +159,35 @@ class ChunkEncoder:
             fresh = keys[tailed]
             self._table.add(fresh, ids, lengths.reshape(-1, 2).sum(axis=1))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids of all texts on end, offsets)``; a null text is empty."""
-        buf, offsets = text_buffer(texts)
-        starts, ends = self._spans(buf, offsets)
+    def _window(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids on end, number of each, whether it is known)`` of chunks."""
         keys = hash_spans(buf, starts, ends)
         slots = self._table.find(keys)
-        if (slots < 0).any():
-            if self._table.n > MAX_CHUNKS or self._table.used > MAX_IDS:
+        lacking = np.flatnonzero(slots < 0)
+        if len(lacking):
+            new, at = np.unique(keys[lacking], return_index=True)
+            if self._table.n + 3 * len(new) > self._table.most or self._table.used > MAX_IDS:
                 self._table.clear()
-                slots[:] = -1
-            lacking = np.flatnonzero(slots < 0)
-            at = lacking[np.sort(np.unique(keys[lacking], return_index=True)[1])]
+                lacking = np.arange(len(keys))
+                new, at = np.unique(keys, return_index=True)
+            at = lacking[np.sort(at)]
             self._learn(buf, starts[at], ends[at], keys[at])
             slots = self._table.find(keys)
-        ids, lengths = self._table.ids(slots)
+        return *self._table.ids(slots), slots >= 0
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids of all texts on end, offsets)``; a null text is empty."""
+        buf, offsets = text_buffer(texts)
+        starts, ends = self._spans(buf, offsets)
+        if not len(starts):
+            return np.zeros(0, ID_TYPE), np.zeros(len(offsets), np.int64)
+        step = max(1, self._table.most // 4)  # a new chunk adds three at most: itself and its two parts
+        parts = [self._window(buf, starts[i:i + step], ends[i:i + step]) for i in range(0, len(starts), step)]
+        ids, lengths, known = (np.concatenate(x) for x in zip(*parts))
         first = np.searchsorted(starts, offsets)
         bounds = np.concatenate(([0], np.cumsum(lengths)))[first]
-        if (slots < 0).any():  # texts that cannot be cut are encoded whole
-            whole = np.unique(np.searchsorted(first, np.flatnonzero(slots < 0), side="right") - 1)
+        if not known.all():  # texts that cannot be cut are encoded whole
+            whole = np.unique(np.searchsorted(first, np.flatnonzero(~known), side="right") - 1)
             parts = [ids[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
             for i in whole.tolist():
                 parts[i] = self._encode_chunks([buf[offsets[i]:offsets[i + 1]].tobytes().decode("utf-8")])[0]
