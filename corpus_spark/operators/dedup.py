@@ -18,10 +18,14 @@ duplicate ids is sized by AQE at run time).
 from __future__ import annotations
 
 import functools
-from typing import Callable
+from typing import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import word_ngrams
 from ..session import ensure_checkpoint_dir
@@ -98,22 +102,65 @@ def optimal_bands(threshold: float, num_perm: int = NUM_PERM,
 
 def minhash_signatures(df: DataFrame, n_shingles: int = 1, id_col: str = "id",
                        text_col: str = "text", tokenizer=None) -> DataFrame:
-    """``(id, sig ARRAY<BIGINT>[64])``.  Shingles are exploded next to the id only
-    (never next to the text); the 64 minima are partial aggregates, so the
-    shuffle carries 64 longs per document.  Documents without a shingle get
-    the all-sentinel signature, so they all collide with each other (as in the
-    reference, where an empty MinHash equals every other empty one)."""
+    """``(id, sig ARRAY<BIGINT>[64])``, inside the scan: a row's shingle hashes
+    are an array of longs (native), whose minima under all permutations numpy
+    takes over a whole Arrow batch at a time; nothing is shuffled.  Documents
+    without a shingle get the all-sentinel signature, so they all collide with
+    each other (as in the reference, where an empty MinHash equals every other
+    empty one)."""
     df = with_tokens(df.select(id_col, text_col) if "tokens" not in df.columns
                      else df.select(id_col, "tokens"), text_col, tokenizer)
     # duplicates do not change a minimum, so shingles are not de-duplicated here
-    ex = df.select(F.col(id_col).alias("id"),
-                   F.explode_outer(word_ngrams(F.col("tokens"), n_shingles)).alias("sh"))
-    ex = ex.select("id", shingle_hash(F.col("sh")).alias("h"))
-    aggs = [F.min((F.lit(a) * F.col("h") + F.lit(b)) % F.lit(PRIME)).alias(f"p{i}")
-            for i, (a, b) in enumerate(PERMS)]
-    sig = ex.groupBy("id").agg(*aggs)
-    return sig.select("id", F.array(*[F.coalesce(F.col(f"p{i}"), F.lit(EMPTY_SENTINEL))
-                                      for i in range(NUM_PERM)]).alias("sig"))
+    hashed = df.select(F.col(id_col).alias("id"),
+                       F.transform(word_ngrams(F.col("tokens"), n_shingles), shingle_hash).alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in _batch_pieces(batch.column(1)):
+                lists = batch.column(1).slice(at, to - at)
+                hashes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                sig = permutation_minima(hashes, lengths)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, NUM_PERM, dtype=np.int32)),
+                                                pa.array(sig.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), rows], names=["id", "sig"])
+
+    return hashed.mapInArrow(run, T.StructType([T.StructField("id", hashed.schema["id"].dataType),
+                                                T.StructField("sig", T.ArrayType(T.LongType()))]))
+
+
+#: Shingle hashes worked off at a time.
+PIECE_HASHES = 1 << 18
+
+
+def _batch_pieces(lists: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows ``[at, to)`` with about ``PIECE_HASHES`` hashes together (or one longer row)."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(lists):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + PIECE_HASHES, side="right")))
+        yield at, to
+        at = to
+
+
+def permutation_minima(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each row (``lengths``: its number of 32-bit ``hashes``, which stand
+    on end) the minimum of ``(a * h + b) % PRIME`` for every permutation; the
+    sentinel for a row without a hash."""
+    out = np.full((len(lengths), NUM_PERM), EMPTY_SENTINEL, np.int64)
+    some = np.flatnonzero(lengths)
+    if not len(some):
+        return out
+    starts = (np.cumsum(lengths) - lengths)[some]
+    low, shift = np.uint64(PRIME), np.uint64(31)
+    for i, (a, b) in enumerate(PERMS):
+        x = hashes * np.uint64(a) + np.uint64(b)  # below 2**63
+        x = (x & low) + (x >> shift)  # 2**31 is 1 modulo the prime
+        x = (x & low) + (x >> shift)
+        x[x >= low] -= low
+        out[some, i] = np.minimum.reduceat(x, starts)
+    return out
 
 
 def band_keys(sig: Column, bands: int, rows: int) -> Column:

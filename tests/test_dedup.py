@@ -115,3 +115,26 @@ def test_lsh_candidates_brute_force(spark, seed):
         others = set().union(*[members[m] - {i} for m in mine])
         shared = sum(1 for m in mine if len(members[m]) >= 2)
         assert got[i] == (min(others) if others else None, shared)
+
+
+def test_signatures_equal_plain_loops_and_stay_in_the_scan(spark):
+    import hashlib
+    texts = ["one two three two three four", "", "a", None, "one two three " * 50, "x y z", "x y z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for n in (1, 3):
+        sigs = dedup.minhash_signatures(df, n)
+        assert "Exchange" not in sigs._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: r.sig for r in sigs.collect()}
+        for i, t in enumerate(texts):
+            w = (t or "").split()
+            grams = [" ".join(w[j:j + n]) for j in range(len(w) - n + 1)]
+            hs = [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) for g in grams]
+            assert got[i] == [min(((a * h + b) % dedup.PRIME for h in hs), default=dedup.EMPTY_SENTINEL)
+                              for a, b in dedup.PERMS]
+
+
+def test_permutation_minima_in_small_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"w{i * j % 7}" for j in range(i))) for i in range(40)], "id long, text string")
+    want = sorted(map(tuple, dedup.minhash_signatures(df, 2).collect()))
+    monkeypatch.setattr(dedup, "PIECE_HASHES", 3)
+    assert sorted(map(tuple, dedup.minhash_signatures(df, 2).collect())) == want
