@@ -233,7 +233,79 @@ def _shared_buckets(buckets: DataFrame, hot_bucket: int) -> DataFrame:
     return rows.join(sizes.filter("not hot"), "bucket").unionByName(hot)
 
 
-def greedy_keep(buckets: DataFrame, max_rounds: int = 10_000, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def _bucket_join(rows: DataFrame, per_bucket: DataFrame) -> DataFrame:
+    """``rows`` (bucket, hot, ...) with what ``per_bucket`` has for the bucket;
+    of very large buckets it comes by broadcast, so their rows stay where they are."""
+    return rows.filter("hot").drop("hot").join(F.broadcast(per_bucket.filter("hot").drop("hot")), "bucket") \
+        .unionByName(rows.filter("not hot").drop("hot").join(per_bucket.filter("not hot").drop("hot"), "bucket"))
+
+
+def bucket_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """``(id, comp)``: the smallest id that each one of ``edges`` (id, bucket,
+    hot) reaches over shared buckets.  Each round takes the least label of all
+    buckets and then that id's own label, so a chain takes as many rounds as
+    its length has binary digits, or a few more."""
+    labels = edges.select("id").distinct().withColumn("comp", F.col("id")).checkpoint(eager=True)
+    for _ in range(max_rounds):
+        low = edges.join(labels, "id").groupBy("bucket", "hot").agg(F.min("comp").alias("low"))
+        near = _bucket_join(edges, low).groupBy("id").agg(F.min("low").alias("near"))
+        far = near.join(near.select(F.col("id").alias("near"), F.col("near").alias("far")), "near")
+        new = labels.join(far, "id").select("id", F.col("far").alias("comp"), (F.col("far") < F.col("comp")).alias("moved")) \
+            .checkpoint(eager=True)
+        labels = new.select("id", "comp")
+        if new.filter("moved").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+
+
+def _walk_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greedy rule on rows (comp, id, st, bucket) sorted by comp and id:
+    the decisions (id, now) on undecided documents.  A component's claimed
+    buckets are all that is held."""
+    comp = doc = None
+    claimed: set[int] = set()
+    own: list[int] = []
+    state = 0
+    out: list[tuple[int, int]] = []
+
+    def decide() -> None:
+        drop = state == 0 and not claimed.isdisjoint(own)
+        if not drop:
+            claimed.update(own)
+        if state == 0:
+            out.append((doc, 2 if drop else 1))
+
+    def emit(kind: pa.DataType) -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], kind), pa.array([n for _, n in out], pa.int32())],
+                                          names=["id", "now"])
+        out.clear()
+        return rows
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("id").type
+        for c, i, st, bucket in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if c != comp or i != doc:
+                if doc is not None:
+                    decide()
+                if c != comp:
+                    claimed.clear()
+                comp, doc, state, own = c, i, st, []
+            own.append(bucket)
+        yield emit(kind)
+    if doc is not None:
+        decide()
+        yield emit(kind)
+
+
+#: Rounds before what is left is looked at by component, and rows (document
+#: and bucket) of a component that is walked through within one task.
+FAST_ROUNDS = 4
+LOCAL_ROWS = 200_000
+
+
+def greedy_keep(buckets: DataFrame, max_rounds: int = 10_000, hot_bucket: int = HOT_BUCKET, fast_rounds: int = FAST_ROUNDS,
+                local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Ids dropped by the sequential greedy rule, as a DataFrame ``(id)``.
 
     Fixpoint over document states: undecided, kept, dropped.  Each round, per
@@ -242,6 +314,12 @@ def greedy_keep(buckets: DataFrame, max_rounds: int = 10_000, hot_bucket: int =
     it is the smallest remaining id of all its buckets.  The smallest undecided
     document is always decided, so the fixpoint ends.
 
+    A round decides one link of a chain.  Most documents are decided in
+    ``fast_rounds``; then the components of those that are not are found in
+    logarithmically many rounds, and each component of at most ``local_rows``
+    rows is walked through in id order within a task, however long its chains.
+    Only larger components take more rounds.
+
     ``(id, bucket)`` is written once, spread by id; a round writes the states.
     Bucket minima are partial aggregates (one row per bucket and task), and
     the minima of very large buckets come back by broadcast, so no bucket is
@@ -250,13 +328,11 @@ def greedy_keep(buckets: DataFrame, max_rounds: int = 10_000, hot_bucket: int =
     ensure_checkpoint_dir(buckets.sparkSession)
     edges = _shared_buckets(buckets, hot_bucket).checkpoint(eager=True)
     state = edges.select("id").distinct().select("id", F.lit(0).alias("st"))
-    for _ in range(max_rounds):
+    for done in range(1, max_rounds + 1):
         live = edges.join(state.filter("st <> 2"), "id")
         low = live.groupBy("bucket", "hot").agg(F.min("id").alias("m_nd"),
                                                 F.min(F.when(F.col("st") == 1, F.col("id"))).alias("m_k"))
-        open_ = live.filter("st = 0")
-        met = open_.filter("hot").drop("hot").join(F.broadcast(low.filter("hot").drop("hot")), "bucket") \
-            .unionByName(open_.filter("not hot").drop("hot").join(low.filter("not hot").drop("hot"), "bucket"))
+        met = _bucket_join(live.filter("st = 0"), low)
         decided = met.groupBy("id").agg(
             F.max(F.coalesce(F.col("m_k") < F.col("id"), F.lit(False))).alias("drop"),
             F.min(F.col("m_nd") == F.col("id")).alias("keep"))
@@ -265,9 +341,30 @@ def greedy_keep(buckets: DataFrame, max_rounds: int = 10_000, hot_bucket: int =
             .otherwise(0).alias("st")).checkpoint(eager=True)
         if state.filter("st = 0").isEmpty():
             return state.filter("st = 2").select("id")
+        if done == fast_rounds:
+            state = _decide_locally(edges, state, local_rows)
+            if state.filter("st = 0").isEmpty():
+                return state.filter("st = 2").select("id")
     raise RuntimeError(f"greedy dedup did not converge in {max_rounds} rounds")
 
 
+def _decide_locally(edges: DataFrame, state: DataFrame, local_rows: int) -> DataFrame:
+    """``state`` with the documents of all components of at most
+    ``local_rows`` rows decided.  Components are those of the undecided
+    documents; kept ones that share a bucket with them are kept ones of the
+    bucket's component (no undecided document comes before them)."""
+    live = edges.join(state.filter("st <> 2"), "id")
+    open_ = live.filter("st = 0").select("id", "bucket", "hot").checkpoint(eager=True)
+    comps = bucket_components(open_)
+    of_bucket = open_.join(comps, "id").groupBy("bucket", "hot").agg(F.min("comp").alias("comp"))
+    rows = _bucket_join(live, of_bucket).select("comp", "id", "st", "bucket").checkpoint(eager=True)
+    small = rows.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= local_rows).select("comp")
+    sorted_ = rows.join(small, "comp").repartition("comp").sortWithinPartitions("comp", "id")
+    decided = sorted_.mapInArrow(_walk_components, T.StructType([
+        T.StructField("id", rows.schema["id"].dataType), T.StructField("now", T.IntegerType())]))
+    return state.join(decided, "id", "left").select("id", F.coalesce("now", "st").alias("st")).checkpoint(eager=True)
+
+
 HASH_COL = "exact_hash"
 
 

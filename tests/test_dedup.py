@@ -50,6 +50,46 @@ def test_random_bucket_graphs(spark, seed):
     assert run_greedy(spark, pairs) == sequential_greedy(pairs)
 
 
+@pytest.mark.parametrize("local_rows", [0, 6, 10**6])
+def test_components_are_walked_or_go_on_in_rounds(spark, local_rows):
+    """Chains, stars and a hot bucket, with few fast rounds, so that small components are walked and others are not."""
+    rnd = random.Random(local_rows)
+    pairs = set()
+    for c in range(25):
+        n = rnd.randint(2, 9)
+        ids = rnd.sample(range(c * 100, c * 100 + 99), n)
+        for i, (a, b) in enumerate(zip(ids, ids[1:])):
+            pairs |= {(a, f"c{c}.{i}"), (b, f"c{c}.{i}")}
+    pairs |= {(i, "hot") for i in rnd.sample(range(2500), 60)}
+    df = spark.createDataFrame([(i, 0, b) for i, b in pairs], "id long, band int, bkey string")
+    got = {r.id for r in dedup.greedy_keep(df, hot_bucket=40, fast_rounds=1, local_rows=local_rows).collect()}
+    assert got == sequential_greedy(sorted(pairs))
+
+
+def test_components(spark):
+    edges = [(1, 10), (2, 10), (2, 11), (3, 11), (7, 12), (9, 12), (9, 13), (8, 13)] + [(100 + i, 50 + i // 2) for i in range(64)]
+    edges += [(100 + i, 50 + (i - 1) // 2) for i in range(2, 64, 2)]
+    df = spark.createDataFrame([(i, b, b == 12) for i, b in edges], "id long, bucket long, hot boolean")
+    got = {r.id: r.comp for r in dedup.bucket_components(df).collect()}
+    assert {i: got[i] for i in (1, 2, 3, 7, 8, 9)} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7}
+    assert {got[100 + i] for i in range(64)} == {100}
+
+
+def test_chain_of_ten_thousand(spark):
+    """Jobs grow with the digits of the chain's length, not with its length."""
+    n = 10_000
+    links = spark.range(n)
+    pairs = links.selectExpr("id", "0 AS band", "string(id) AS bkey").union(links.selectExpr("id + 1 AS id", "0", "string(id)"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        dropped = {r.id for r in dedup.greedy_keep(pairs).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    print("jobs", jobs)
+    assert dropped == set(range(1, n + 1, 2)) and jobs < 600
+
+
 def test_long_chain(spark):
     pairs = []
     for i in range(12):
