@@ -166,12 +166,18 @@ class Lattice:
         score = np.append(self.scores[piece], np.full(int(lack.sum()), self.unknown))
         return start, end, np.append(piece, np.full(int(lack.sum()), -1)), score
 
-    def best_paths(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def best_paths(self, buf: np.ndarray, off: np.ndarray,
+                   whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``(word, piece, scores of words, back)`` along the best path of
         every word, in order; of equal paths the one whose last piece is
-        longest, and so on towards the front."""
+        longest, and so on towards the front.  Without ``whole`` no piece
+        spans a word of several characters."""
         start, end, piece, score = self.edges(buf, off)
         word = np.searchsorted(off, start, side="right") - 1
+        if not whole:
+            chars = np.diff(np.append(0, np.cumsum((buf & 0xC0) != 0x80))[off])
+            part = (end - start < np.diff(off)[word]) | (chars[word] == 1)
+            start, end, piece, score, word = start[part], end[part], piece[part], score[part], word[part]
         inside = end - off[word]
         order = np.lexsort((start, end, inside))  # by end within the word, then the longest first
         start, end, piece, score = start[order], end[order], piece[order], score[order]

@@ -9,8 +9,8 @@ smaller than the corpus but still distributed):
 * :func:`train_bpe` -- byte-pair merges: each round counts adjacent symbol
   pairs (weighted by word frequency) with one aggregate, takes the most
   frequent pairs that do not touch each other (ties: lexicographically
-  smallest first) and rewrites every word with native ``regexp_replace``;
-  lineage is cut every few merges;
+  smallest first) and merges them in all words of an Arrow batch at once;
+  the table is written anew every few merges;
   ``continuing_prefix="##"`` gives WordPiece-style pieces;
 * :func:`encode_words` -- apply the merges to each distinct word once;
   :func:`encode_corpus` -- encode documents inside the scan, without a shuffle;
@@ -23,7 +23,9 @@ import math
 import unicodedata
 from typing import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,11 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir
 from .rowindex import group_row_index
 
-SEP = "\u0001"   # symbol separator inside a word (never part of pretokenized text)
+# ---------------------------------------------------------------------------
+# What the ``nmt`` normalizer drops, and what it makes a blank
+# ---------------------------------------------------------------------------
+NMT_DROPPED = r"[\x{1}-\x{8}\x{B}\x{E}-\x{1F}\x{7F}\x{8F}\x{9F}]"
+NMT_BLANK = r"[\x{9}\x{A}\x{C}\x{D}\x{1680}\x{200B}-\x{200F}\x{2028}\x{2029}\x{2581}\x{FEFF}\x{FFFD}]"
 
 # ---------------------------------------------------------------------------
 # Special tokens and their reserved ids
@@ -89,7 +95,7 @@ _UNICODE_FORMS = {"nfc": _unicode_normalize_nfc, "nfkc": _unicode_normalize_nfkc
 
 def normalize_text(text: Column, steps: Sequence) -> Column:
     """Apply normalisation steps in order.  A step is a name
-    (``nfc nfd nfkc nfkd lowercase strip bert``) or a tuple
+    (``nfc nfd nfkc nfkd lowercase strip nmt bert``) or a tuple
     (``("replace", pattern, content)``, ``("prepend", s)``).  Unicode forms
     run in an Arrow ``pandas_udf`` (the JVM has no NFC function); every other
     step is a native expression."""
@@ -102,6 +108,8 @@ def normalize_text(text: Column, steps: Sequence) -> Column:
             out = F.lower(out)
         elif name == "strip":
             out = F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+        elif name == "nmt":
+            out = F.regexp_replace(F.regexp_replace(out, NMT_DROPPED, ""), NMT_BLANK, " ")
         elif name == "replace":
             out = F.regexp_replace(out, st[1], st[2])
         elif name == "prepend":
@@ -158,17 +166,66 @@ def special_tokens_table(spark, specials: dict | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id long, role string")
 
 
-def _pair_counts(words: DataFrame) -> DataFrame:
-    sym = F.split(F.col("w"), SEP)
-    n = F.size(sym)
-    pairs = F.zip_with(F.slice(sym, 1, F.greatest(n - 1, F.lit(0))), F.slice(sym, 2, F.greatest(n - 1, F.lit(0))),
-                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return (words.select(F.explode(pairs).alias("p"), "count")
-            .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("count").alias("n")))
-
-
-def _quote(s: str) -> str:
-    return s.replace("\\E", "\\E\\\\E\\Q")
+def merge_pairs(flat: np.ndarray, offsets: np.ndarray, merges: Sequence[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Apply merges (a, b, new), one after the other, to the symbols of all
+    words at once (``offsets``: where each word begins); of overlapping places
+    (``a`` equal to ``b``) the left one wins."""
+    word = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    for a, b, new in merges:
+        hit = np.flatnonzero((flat[:-1] == a) & (flat[1:] == b) & (word[:-1] == word[1:]))
+        if not len(hit):
+            continue
+        if a == b:
+            start = np.ones(len(hit), bool)
+            start[1:] = np.diff(hit) > 1
+            at = np.arange(len(hit))
+            hit = hit[(at - np.maximum.accumulate(np.where(start, at, 0))) % 2 == 0]
+        flat = flat.copy()
+        flat[hit] = new
+        keep = np.ones(len(flat), bool)
+        keep[hit + 1] = False
+        flat, word = flat[keep], word[keep]
+    return flat, np.searchsorted(word, np.arange(len(offsets)))
+
+
+def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    lists = batch.column(0)
+    off = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[off[0]:off[-1]], off - off[0]
+
+
+def _merged(words: DataFrame, merges: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """``words`` (w: symbol numbers, count) after the merges, without words of
+    one symbol, which no merge touches any more."""
+    def run(batches):
+        for batch in batches:
+            flat, off = merge_pairs(*_symbols(batch), merges)
+            out = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat)),
+                                              batch.column(1)], names=["w", "count"])
+            yield out.filter(pa.array(np.diff(off) > 1))
+    return words.mapInArrow(run, "w array<int>, count long")
+
+
+def _pair_counts(words: DataFrame, merges: Sequence[tuple[int, int, int]], names: Sequence[str]) -> DataFrame:
+    """``(a, b, n)`` of the adjacent symbols of ``words`` after the merges;
+    every task counts its own words first."""
+    def run(batches):
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            flat, off = merge_pairs(*_symbols(batch), merges)
+            word = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            pair = word[:-1] == word[1:]
+            here = flat[:-1][pair].astype(np.int64) << 32 | flat[1:][pair]
+            keys = np.append(keys, here)
+            counts = np.append(counts, batch.column(1).to_numpy()[word[:-1][pair]])
+            keys, back = np.unique(keys, return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, back, counts)
+            counts = total
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([names[k >> 32] for k in keys.tolist()], pa.string()),
+             pa.array([names[k & 0xFFFFFFFF] for k in keys.tolist()], pa.string()), pa.array(counts)], names=["a", "b", "n"])
+    return words.mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 #: Pairs looked at in one round of training.
@@ -215,12 +272,15 @@ def resolve_vocab_size(vocab_size: int | str, corpus: DataFrame | None, text_col
 
 
 def train_bpe(freqs: DataFrame, vocab_size: int | str, specials: dict | None = None,
-              continuing_prefix: str = "", min_frequency: int = 2, checkpoint_every: int = 10,
+              continuing_prefix: str = "", min_frequency: int = 2, checkpoint_every: int = 50,
               corpus: DataFrame | None = None):
     """Train byte-pair merges on a ``(word, count)`` table.
 
-    A round is one aggregate over the words and makes all next merges that do
-    not touch each other, so the merges are those of training one by one.
+    Words are arrays of symbol numbers in a written table.  A round is one
+    aggregate over them and makes all next merges that do not touch each other,
+    so the merges are those of training one by one.  Merges are applied to all
+    words of an Arrow batch at once; after ``checkpoint_every`` of them the table
+    is written anew, without the words that have become one symbol.
     ``vocab_size`` may be ``"auto"`` (then ``corpus`` has the texts); a size
     that the characters do not fit in is an error.
 
@@ -236,37 +296,50 @@ def train_bpe(freqs: DataFrame, vocab_size: int | str, specials: dict | None = N
         rest = F.transform(F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))),
                            lambda c: F.concat(F.lit(continuing_prefix), c))
         chars = F.concat(first, rest)
-    words = freqs.filter(F.length("word") > 0).select(F.array_join(chars, SEP).alias("w"), "count") \
-        .checkpoint(eager=True)
-    alphabet = sorted(r[0] for r in words.select(F.explode(F.split("w", SEP)).alias("s")).distinct().collect())
+    split = freqs.filter(F.length("word") > 0).select(chars.alias("s"), F.col("count").cast("long").alias("count"))
+    alphabet = sorted(r[0] for r in split.select(F.explode("s").alias("s")).distinct().collect())
     specials_df = special_tokens_table(spark, specials)
     n_special = specials_df.count()
     budget = vocab_size - n_special - len(alphabet)
     if budget < 0:
         raise ValueError(f"vocab_size {vocab_size} is too small: {n_special} special tokens and "
                          f"{len(alphabet)} characters need {n_special + len(alphabet)}")
+    names = list(alphabet)
+    number = {c: i for i, c in enumerate(names)}
+    shared = spark.sparkContext.broadcast(number)  # the alphabet
+
+    def to_numbers(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            coded = lists.flatten().dictionary_encode()
+            code = np.array([shared.value[c] for c in coded.dictionary.to_pylist()], np.int32)
+            flat = code[coded.indices.to_numpy()] if len(code) else np.zeros(0, np.int32)
+            off = lists.offsets.to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array((off - off[0]).astype(np.int32)), pa.array(flat)),
+                                              batch.column(1)], names=["w", "count"])
+
+    words = split.mapInArrow(to_numbers, "w array<int>, count long").checkpoint(eager=True)
     merges: list[tuple[str, str]] = []
-    since, known = 0, set(alphabet)
+    waiting: list[tuple[int, int, int]] = []  # made since the table was written
 
     def joined(a, b):
         return a + (b[len(continuing_prefix):] if continuing_prefix and b.startswith(continuing_prefix) else b)
 
     while len(merges) < budget:
-        top = (_pair_counts(words).filter(F.col("n") >= min_frequency)
+        top = (_pair_counts(words, tuple(waiting), tuple(names)).filter(F.col("n") >= min_frequency)
                .orderBy(F.desc("n"), "a", "b").limit(BATCH + 1).collect())
-        batch = independent_merges([(r["a"], r["b"], r["n"]) for r in top], known, joined)[:budget - len(merges)]
-        known.update(joined(a, b) for a, b in batch)
+        batch = independent_merges([(r["a"], r["b"], r["n"]) for r in top], number, joined)[:budget - len(merges)]
         if not batch:
             break
-        out = F.col("w")
         for a, b in batch:
-            pat = rf"(^|{SEP})\Q{_quote(a)}\E{SEP}\Q{_quote(b)}\E(?={SEP}|$)"
-            out = F.regexp_replace(out, pat, "$1" + joined(a, b).replace("\\", "\\\\").replace("$", "\\$"))
-        words = words.select(out.alias("w"), "count")
+            new = joined(a, b)
+            if new not in number:
+                number[new] = len(names)
+                names.append(new)
+            waiting.append((number[a], number[b], number[new]))
         merges += batch
-        since += len(batch)
-        if since >= checkpoint_every:
-            words, since = words.checkpoint(eager=True), 0
+        if len(waiting) >= checkpoint_every:
+            words, waiting = _merged(words, tuple(waiting)).checkpoint(eager=True), []
     pieces = alphabet + [a + (b[len(continuing_prefix):] if continuing_prefix and b.startswith(continuing_prefix)
                               else b) for a, b in merges]
     seen, ordered = set(), []
@@ -381,91 +454,3 @@ def merge_vocabularies(base: DataFrame, extra: DataFrame, specials: Iterable[str
             out = out.unionByName(out.sparkSession.createDataFrame(
                 [(s, nxt + i) for i, s in enumerate(new)], "piece string, id long"))
     return out
-
-
-# --- Unigram language-model vocabulary ------------------------------------------------
-def _viterbi(word: str, logp: dict, max_len: int) -> list[str]:
-    """Most probable segmentation of ``word`` into known pieces (single
-    characters are always known, so a segmentation exists)."""
-    n = len(word)
-    best = [0.0] + [-1e300] * n
-    back = [0] * (n + 1)
-    for end in range(1, n + 1):
-        for start in range(max(0, end - max_len), end):
-            lp = logp.get(word[start:end])
-            if lp is not None and best[start] + lp > best[end]:
-                best[end], back[end] = best[start] + lp, start
-    pieces, end = [], n
-    while end > 0:
-        pieces.append(word[back[end]:end])
-        end = back[end]
-    return pieces[::-1]
-
-
-def train_unigram(freqs: DataFrame, vocab_size: int | str, specials: dict | None = None, max_piece_len: int = 16,
-                  seed_factor: int = 4, em_rounds: int = 2, shrink: float = 0.75,
-                  corpus: DataFrame | None = None) -> DataFrame:
-    """Unigram-LM vocabulary on a ``(word, count)`` table.
-
-    Seeds: every single character plus the most frequent substrings (up to
-    ``max_piece_len`` characters, counted with explode + groupBy, weighted by
-    word frequency) -- ``seed_factor`` times the target size.  Then rounds of
-    hard EM: each distinct word is segmented with Viterbi under the current
-    piece log-probabilities (Arrow batches, log-probabilities broadcast; their
-    number is bounded by the seed size), piece counts are summed with
-    ``groupBy`` (M-step), and the least used multi-character pieces are pruned
-    by ``shrink`` until the target size is reached.  Returns
-    ``(piece, id, score)`` with the reserved special tokens first.  A size that
-    the characters do not fit in is an error; ``"auto"`` as in
-    :func:`train_bpe`."""
-    spark = freqs.sparkSession
-    ensure_checkpoint_dir(spark)
-    vocab_size = resolve_vocab_size(vocab_size, corpus)
-    words = freqs.filter(F.length("word") > 0).select("word", "count").checkpoint(eager=True)
-    specials_df = special_tokens_table(spark, specials)
-    n_special = specials_df.count()
-    target = vocab_size - n_special
-    chars_ = {r[0]: r[1] for r in words.select(F.explode(F.split("word", "")).alias("p"), "count")
-              .groupBy("p").agg(F.sum("count").alias("c")).collect()}
-    if len(chars_) > target:
-        raise ValueError(f"vocab_size {vocab_size} is too small: {n_special} special tokens and "
-                         f"{len(chars_)} characters need {n_special + len(chars_)}")
-    n = F.length("word")
-    subs = words.select(F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(2), F.least(n, F.lit(max_piece_len))),
-        lambda L: F.transform(F.sequence(F.lit(1), n - L + 1), lambda i: F.substr(F.col("word"), i, L))))).alias("p"),
-        "count")
-    seeds = (subs.groupBy("p").agg(F.sum("count").alias("c"))
-             .orderBy(F.desc("c"), "p").limit(max(0, seed_factor * target - len(chars_))).collect())
-    counts = dict(chars_)
-    counts.update({r[0]: r[1] for r in seeds})
-    while True:
-        for _ in range(em_rounds):
-            total = float(sum(counts.values()))
-            logp = {p: math.log(c / total) for p, c in counts.items() if c > 0}
-            for ch in chars_:
-                logp.setdefault(ch, math.log(0.5 / total))
-            b = spark.sparkContext.broadcast(logp)
-
-            def seg(batches, b=b):
-                lp = b.value
-                for pdf in batches:
-                    rows = [(p, c) for w, c in zip(pdf["word"], pdf["count"]) for p in _viterbi(w, lp, max_piece_len)]
-                    yield pd.DataFrame(rows, columns=["p", "count"]) if rows else \
-                        pd.DataFrame({"p": pd.Series(dtype=str), "count": pd.Series(dtype="int64")})
-
-            new = words.mapInPandas(seg, "p string, count long").groupBy("p").agg(F.sum("count").alias("c")).collect()
-            counts = {r[0]: r[1] for r in new}
-            for ch in chars_:
-                counts.setdefault(ch, 0)
-        multi = sorted((p for p in counts if len(p) > 1), key=lambda p: (-counts[p], p))
-        if len(chars_) + len(multi) <= target:
-            break
-        keep = max(target - len(chars_), int(len(multi) * shrink))
-        kept = set(multi[:keep])
-        counts = {p: c for p, c in counts.items() if len(p) == 1 or p in kept}
-    total = float(sum(counts.values())) or 1.0
-    ordered = sorted(counts, key=lambda p: (-counts[p], p))
-    rows = [(p, n_special + i, math.log(counts[p] / total) if counts[p] > 0 else -1e9) for i, p in enumerate(ordered)]
-    body = spark.createDataFrame(rows, "piece string, id long, score double")
-    return specials_df.select("piece", "id", F.lit(0.0).alias("score")).unionByName(body)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..operators import evaluate, lm, prep, vocab
+from ..operators import encoders, evaluate, lm, prep, unigram, vocab
 from ..operators.metrics import with_tokens
 from ..operators.rowindex import group_row_index
 from ..sources.tables import read_documents, read_table
@@ -317,34 +317,68 @@ def q_word_freq(spark, sf):
     return vocab.word_frequencies(docs(spark, sf), pre=["whitespace", "digits"])
 
 
+#: Sizes of the registered vocabularies: merges beyond the characters (a round of them is one Spark job, see
+#: README), and pieces.
+MERGES = 1_000
+UNIGRAM_PIECES = 8_000
+SPECIALS = list(vocab.DEFAULT_SPECIALS.values())
+
+
+def _trained(d, prefix=""):
+    """A vocabulary of the characters of ``d`` and ``MERGES`` merges."""
+    words = vocab.word_frequencies(d).checkpoint()
+    first = F.substring("word", 1, 1)
+    rest = F.transform(F.split(F.substr("word", F.lit(2)), ""), lambda c: F.concat(F.lit(prefix), c))
+    symbols = words.select(F.explode(F.concat(F.array(first), F.filter(rest, lambda c: c != prefix))).alias("s"))
+    size = len(SPECIALS) + symbols.distinct().count() + MERGES
+    return vocab.train_bpe(words, size, continuing_prefix=prefix)
+
+
 @register("train_bpe")
 def q_train_bpe(spark, sf):
-    """300-piece BPE vocabulary from the corpus' word frequencies."""
-    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 300)
-    return v
+    """BPE vocabulary of 1 000 merges from the corpus' word frequencies."""
+    return _trained(docs(spark, sf))[0]
 
 
 @register("train_wordpiece")
 def q_train_wordpiece(spark, sf):
-    """300-piece WordPiece-style vocabulary (## continuation prefix)."""
-    v, _ = vocab.train_bpe(vocab.word_frequencies(docs(spark, sf)), 300, continuing_prefix="##")
-    return v
+    """WordPiece-style vocabulary (## continuation prefix) of 1 000 merges."""
+    return _trained(docs(spark, sf), "##")[0]
 
 
 @register("train_unigram")
 def q_train_unigram(spark, sf):
-    """300-piece unigram-LM vocabulary (substring seeds, Viterbi EM, pruning)."""
-    return vocab.train_unigram(vocab.word_frequencies(docs(spark, sf)), 300)
+    """Unigram-LM vocabulary of 8 000 pieces (all frequent substrings, soft EM, pruning by loss)."""
+    return unigram.train_unigram(vocab.word_frequencies(docs(spark, sf)), UNIGRAM_PIECES)
+
+
+def _ids(encoded):
+    return encoded.select("id", F.size("input_ids").cast("long").alias("n_ids"),
+                          F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+@register("encode_unigram")
+def q_encode_unigram(spark, sf):
+    """Encode every document with the most probable pieces of a unigram vocabulary trained on the corpus."""
+    d = docs(spark, sf)
+    v = unigram.train_unigram(vocab.word_frequencies(d), UNIGRAM_PIECES)
+    return _ids(encoders.encode_unigram(d, v, specials=SPECIALS))
+
+
+@register("encode_wordpiece")
+def q_encode_wordpiece(spark, sf):
+    """Encode every document by longest match with a WordPiece vocabulary trained on the corpus."""
+    d = docs(spark, sf)
+    v, _ = _trained(d, "##")
+    return _ids(encoders.encode_wordpiece(d, v, specials=SPECIALS))
 
 
 @register("encode_corpus")
 def q_encode(spark, sf):
-    """Encode every document with a 300-piece BPE trained on the corpus."""
+    """Encode every document with a BPE vocabulary trained on the corpus."""
     d = docs(spark, sf)
-    v, merges = vocab.train_bpe(vocab.word_frequencies(d), 300)
-    e = vocab.encode_corpus(d, merges, v)
-    return e.select("id", F.size("input_ids").cast("long").alias("n_ids"),
-                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+    v, merges = _trained(d)
+    return _ids(vocab.encode_corpus(d, merges, v))
 
 
 def _ranked_words(spark, table_df, offset):

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corpus_spark.operators import sampling, splits, stats, vocab
+from corpus_spark.operators import sampling, splits, stats, unigram, vocab
 from corpus_spark.plans.config import SieveConfig
 from corpus_spark.sources import langs
 
@@ -148,7 +148,7 @@ def test_bpe_batches_equal_one_by_one(spark):
 
 def test_vocabulary_sizes(spark):
     df = spark.createDataFrame([("abcdefghij" * 2, 3), ("klmnopqrst", 2)], "word string, count long")
-    for train in (vocab.train_bpe, vocab.train_unigram):
+    for train in (vocab.train_bpe, unigram.train_unigram):
         with pytest.raises(ValueError, match="too small"):
             train(df, 20)
         with pytest.raises(ValueError, match="auto"):
@@ -157,7 +157,20 @@ def test_vocabulary_sizes(spark):
             train(df, 0)
     corpus = spark.createDataFrame([("klmnopqrst abcdefghij " * 3000,)], "text string")
     size = vocab.resolve_vocab_size("auto", corpus)
-    assert size > 24 and vocab.train_unigram(df, size, corpus=corpus).count() <= size
+    assert size > 24 and unigram.train_unigram(df, size, corpus=corpus).count() <= size
+
+
+def test_nmt_normalizer(spark):
+    text = "a\x01b\x7f\u200bc\t\u2581d\ufffde\x0bf \u00a0\x8fg"
+    got = spark.createDataFrame([(text,)], "t string").select(vocab.normalize_text(F.col("t"), ["nmt"])).first()[0]
+    assert got == "ab c  d ef \u00a0g"
+
+
+def test_merges_of_overlapping_pairs():
+    import numpy as np
+    flat, off = np.array([1, 1, 1, 2, 1, 1, 1, 1, 2], np.int32), np.array([0, 4, 4, 9])
+    out, to = vocab.merge_pairs(flat, off, [(1, 1, 3), (3, 2, 4)])
+    assert out.tolist() == [3, 1, 2, 3, 4] and to.tolist() == [0, 3, 3, 5]
 
 
 def test_pretokenizers(spark):
@@ -201,15 +214,16 @@ def test_streaming_refuses_global_ops(spark, tmp_path):
 def test_unigram_vocab(spark):
     freqs = {"lower": 5, "lowest": 3, "newer": 6, "wider": 2, "low": 7, "new": 4}
     df = spark.createDataFrame(list(freqs.items()), "word string, count long")
-    v = vocab.train_unigram(df, 4 + 20)
+    v = unigram.train_unigram(df, 4 + 20)
     rows = v.collect()
-    # never larger than asked for; hard EM keeps only pieces some best segmentation uses
-    assert 4 + len(set("".join(freqs))) <= len(rows) <= 24
+    assert len(rows) == 24
     pieces = {r.piece for r in rows}
     assert set("".join(freqs)) <= pieces
-    lp = {r.piece: r.score for r in rows if r.id >= 4}
-    for w in freqs:
-        assert "".join(vocab._viterbi(w, lp, 8)) == w
+    from corpus_spark.operators.encoders import encode_unigram
+    names = {r.id: r.piece for r in rows}
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(freqs)], "id long, text string")
+    got = {r.id: r.input_ids for r in encode_unigram(docs, v, specials=["<pad>", "<unk>", "<s>", "</s>"]).collect()}
+    assert ["".join(names[i] for i in got[k]) for k in range(len(freqs))] == list(freqs)
 
 
 def test_auto_threshold_small_and_large(spark, mono):
