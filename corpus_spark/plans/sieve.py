@@ -5,10 +5,12 @@ better half by characters.  ``run_config`` executes a validated config in the
 fixed order load, pre-filter, deduplicate, threshold, partition, split,
 language sampling, save; every option is carried out or refused.
 
-Texts are neither cached nor shuffled by the steps: the per-document work is
-projected to ids, scalars and the exact hash, that table is written to the
-checkpoint folder, the steps decide on it which ids survive, and one semi join
-on the id reads the texts again at the end.
+Texts are neither cached nor shuffled by the steps.  Documents are cleaned
+once and written to the checkpoint folder, as they are read again for the
+signals, for near duplicates and at the end (reading them costs a small part of
+cleaning them).  The per-document work is projected to ids, scalars and the
+exact hash, that table is written as well, the steps decide on it which ids
+survive, and one semi join on the id reads the texts again at the end.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from ..functions.text import tokenize
 from ..operators import clean, dedup, lm, partition as part, sampling, splits
 from ..operators.metrics import compute_metrics
 from ..operators.threshold import apply_threshold, threshold_predicate
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from ..sources.langs import iso3, scripts_for
 from .config import PERPLEXITY, SieveConfig
 
@@ -45,8 +47,7 @@ def score_once(df: DataFrame, metrics, with_hash: bool = True, carry: tuple[str,
 
 
 def flagship(docs: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(docs.sparkSession)
-    cleaned = clean.pre_filter(docs, scripts=["Latn"])
+    cleaned = written(clean.pre_filter(docs, scripts=["Latn"]), "cleaned")
     d = score_once(cleaned, [*GOPHER_THRESHOLDS, CHARS]).checkpoint()
     d = dedup.first_of_each_hash(d).filter(threshold_predicate(GOPHER_THRESHOLDS))
     out = part.partition(d, CHARS, "balanced_chars", quality=True, keep_columns=True, chars_col=CHARS)
@@ -130,6 +131,8 @@ def run_config(df: DataFrame | None, config: dict | SieveConfig, *, spark: Spark
     multilingual = "language" in d.columns
     if cfg.pre_filter:
         d = _pre_filter(d, cfg, multilingual, lang_profiles)
+        if cfg.deduplicate or cfg.threshold or cfg.partition:
+            d = written(d, "cleaned")
     for section in (cfg.threshold, cfg.partition):
         if section and section.merge_test:
             if "split" not in d.columns:
