@@ -181,17 +181,20 @@ def lsh_candidates(buckets: DataFrame) -> DataFrame:
 
     This is what an LSH index query returns for the document, reduced to a
     linear-size answer: per bucket only the two smallest ids are kept, so no
-    pair list is ever built, however large a bucket is.  The buckets are
-    written once, as they are read three times."""
+    pair list is ever built, however large a bucket is.  Buckets of one document
+    are left out before anything is joined back, and what is known of very large
+    ones comes back by broadcast, so their rows stay spread by id."""
     ensure_checkpoint_dir(buckets.sparkSession)
-    buckets = buckets.checkpoint(eager=True)
-    bs = buckets.groupBy("band", "bkey").agg(F.min("id").alias("m1"), F.count(F.lit(1)).alias("n"))
-    j = buckets.join(bs, on=["band", "bkey"])
-    m2 = j.filter(F.col("id") > F.col("m1")).groupBy("band", "bkey").agg(F.min("id").alias("m2"))
-    j = j.join(m2, on=["band", "bkey"], how="left")
+    rows = _numbered(buckets).checkpoint(eager=True)
+    shared = _shared_buckets(rows, HOT_BUCKET).checkpoint(eager=True)
+    least = shared.groupBy("bucket", "hot").agg(F.min("id").alias("m1"))
+    first = _bucket_join(shared, least.withColumn("h", F.col("hot"))).withColumnRenamed("h", "hot").checkpoint(eager=True)
+    second = first.filter(F.col("id") > F.col("m1")).groupBy("bucket", "hot").agg(F.min("id").alias("m2"))
     other = F.when(F.col("id") == F.col("m1"), F.col("m2")).otherwise(F.col("m1"))
-    return j.groupBy("id").agg(F.min(other).alias("first_candidate"),
-                               F.count_if(F.col("n") >= 2).cast("long").alias("shared_buckets"))
+    met = _bucket_join(first, second).groupBy("id").agg(F.min(other).alias("first_candidate"),
+                                                        F.count(F.lit(1)).alias("shared_buckets"))
+    return rows.select("id").distinct().join(met, "id", "left").select(
+        "id", "first_candidate", F.coalesce("shared_buckets", F.lit(0)).cast("long").alias("shared_buckets"))
 
 
 def jaccard_verify(df: DataFrame, candidates: DataFrame, n_shingles: int = 1, id_col: str = "id",
