@@ -6,11 +6,9 @@ smaller than the corpus but still distributed):
 
 * :func:`normalize_text` / :func:`pretokenize` -- text to words;
 * :func:`word_frequencies` -- ``(word, count)``, the trainers' input;
-* :func:`train_bpe` -- byte-pair merges: each round counts adjacent symbol
-  pairs (weighted by word frequency) with one aggregate, takes the most
-  frequent pairs that do not touch each other (ties: lexicographically
-  smallest first) and merges them in all words of an Arrow batch at once;
-  the table is written anew every few merges;
+* :func:`train_bpe` -- byte-pair merges: the most frequent adjacent pair
+  (weighted by word frequency; ties: lexicographically smallest first) becomes
+  a symbol; words are found by an inverted index of pairs (:mod:`.pair_index`);
   ``continuing_prefix="##"`` gives WordPiece-style pieces;
 * :func:`encode_words` -- apply the merges to each distinct word once;
   :func:`encode_corpus` -- encode documents inside the scan, without a shuffle;
@@ -30,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
+from .pair_index import EPOCH, TOP_PAIRS, MergeLoop, merge_pairs  # noqa: F401  (part of this module's interface)
 from .rowindex import group_row_index
 
 # ---------------------------------------------------------------------------
@@ -166,99 +165,6 @@ def special_tokens_table(spark, specials: dict | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id long, role string")
 
 
-def merge_pairs(flat: np.ndarray, offsets: np.ndarray, merges: Sequence[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Apply merges (a, b, new), one after the other, to the symbols of all
-    words at once (``offsets``: where each word begins); of overlapping places
-    (``a`` equal to ``b``) the left one wins."""
-    word = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    for a, b, new in merges:
-        hit = np.flatnonzero((flat[:-1] == a) & (flat[1:] == b) & (word[:-1] == word[1:]))
-        if not len(hit):
-            continue
-        if a == b:
-            start = np.ones(len(hit), bool)
-            start[1:] = np.diff(hit) > 1
-            at = np.arange(len(hit))
-            hit = hit[(at - np.maximum.accumulate(np.where(start, at, 0))) % 2 == 0]
-        flat = flat.copy()
-        flat[hit] = new
-        keep = np.ones(len(flat), bool)
-        keep[hit + 1] = False
-        flat, word = flat[keep], word[keep]
-    return flat, np.searchsorted(word, np.arange(len(offsets)))
-
-
-def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    lists = batch.column(0)
-    off = lists.offsets.to_numpy()
-    return lists.values.to_numpy()[off[0]:off[-1]], off - off[0]
-
-
-def _merged(words: DataFrame, merges: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """``words`` (w: symbol numbers, count) after the merges, without words of
-    one symbol, which no merge touches any more."""
-    def run(batches):
-        for batch in batches:
-            flat, off = merge_pairs(*_symbols(batch), merges)
-            out = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat)),
-                                              batch.column(1)], names=["w", "count"])
-            yield out.filter(pa.array(np.diff(off) > 1))
-    return words.mapInArrow(run, "w array<int>, count long")
-
-
-def _pair_counts(words: DataFrame, merges: Sequence[tuple[int, int, int]], names: Sequence[str]) -> DataFrame:
-    """``(a, b, n)`` of the adjacent symbols of ``words`` after the merges;
-    every task counts its own words first."""
-    def run(batches):
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            flat, off = merge_pairs(*_symbols(batch), merges)
-            word = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            pair = word[:-1] == word[1:]
-            here = flat[:-1][pair].astype(np.int64) << 32 | flat[1:][pair]
-            keys = np.append(keys, here)
-            counts = np.append(counts, batch.column(1).to_numpy()[word[:-1][pair]])
-            keys, back = np.unique(keys, return_inverse=True)
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, back, counts)
-            counts = total
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([names[k >> 32] for k in keys.tolist()], pa.string()),
-             pa.array([names[k & 0xFFFFFFFF] for k in keys.tolist()], pa.string()), pa.array(counts)], names=["a", "b", "n"])
-    return words.mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-#: Pairs looked at in one round of training.
-BATCH = 64
-
-
-def independent_merges(top: list[tuple[str, str, int]], known: Iterable[str] = (),
-                       joined=lambda a, b: a + b) -> list[tuple[str, str]]:
-    """The merges that training one by one would make next, from the most
-    frequent pairs (a, b, n) in order and the symbols known so far.
-
-    These are the pairs before the first one that shares a symbol with one of
-    them.  Merging changes only counts of pairs that share a symbol, and a pair
-    with a new symbol is no more frequent than the pair it came from, which
-    stands at that first pair or behind it; so only pairs as frequent as that
-    one have to wait, too.  A merge that spells a known symbol ends the list,
-    as it may raise counts of that symbol's pairs."""
-    used: set[str] = set()
-    spelled = set(known)
-    taken: list[tuple[str, str, int]] = []
-    for i, (a, b, n) in enumerate(top):
-        if a in used or b in used:
-            return [(x, y) for j, (x, y, m) in enumerate(taken) if j == 0 or m > n]
-        taken.append((a, b, n))
-        used |= {a, b}
-        if joined(a, b) in spelled:
-            break
-        spelled.add(joined(a, b))
-    # pairs behind the list are no more frequent than its last
-    last = top[-1][2] if len(top) > BATCH else 0
-    return [(x, y) for j, (x, y, m) in enumerate(taken) if j == 0 or m > last]
-
-
 def resolve_vocab_size(vocab_size: int | str, corpus: DataFrame | None, text_col: str = "text") -> int:
     """A number of pieces; ``"auto"`` predicts it from the corpus' characters."""
     if vocab_size == "auto":
@@ -272,15 +178,15 @@ def resolve_vocab_size(vocab_size: int | str, corpus: DataFrame | None, text_col
 
 
 def train_bpe(freqs: DataFrame, vocab_size: int | str, specials: dict | None = None,
-              continuing_prefix: str = "", min_frequency: int = 2, checkpoint_every: int = 50,
-              corpus: DataFrame | None = None):
+              continuing_prefix: str = "", min_frequency: int = 2, corpus: DataFrame | None = None,
+              top_pairs: int = TOP_PAIRS, epoch: int = EPOCH):
     """Train byte-pair merges on a ``(word, count)`` table.
 
-    Words are arrays of symbol numbers in a written table.  A round is one
-    aggregate over them and makes all next merges that do not touch each other,
-    so the merges are those of training one by one.  Merges are applied to all
-    words of an Arrow batch at once; after ``checkpoint_every`` of them the table
-    is written anew, without the words that have become one symbol.
+    Words are arrays of symbol numbers.  All pairs are counted once for each
+    ``epoch`` merges; between, a round reads from an inverted index only the
+    words that hold the pairs it merges (:mod:`.pair_index`).  The merges are
+    those of training one by one; ``top_pairs`` and ``epoch`` only change how
+    often the index is written.
     ``vocab_size`` may be ``"auto"`` (then ``corpus`` has the texts); a size
     that the characters do not fit in is an error.
 
@@ -288,7 +194,6 @@ def train_bpe(freqs: DataFrame, vocab_size: int | str, specials: dict | None = N
     alphabet is every character seen; with ``continuing_prefix`` (``##``)
     non-initial pieces carry the prefix (WordPiece style)."""
     spark = freqs.sparkSession
-    ensure_checkpoint_dir(spark)
     vocab_size = resolve_vocab_size(vocab_size, corpus)
     chars = F.split(F.col("word"), "")
     if continuing_prefix:
@@ -305,8 +210,7 @@ def train_bpe(freqs: DataFrame, vocab_size: int | str, specials: dict | None = N
         raise ValueError(f"vocab_size {vocab_size} is too small: {n_special} special tokens and "
                          f"{len(alphabet)} characters need {n_special + len(alphabet)}")
     names = list(alphabet)
-    number = {c: i for i, c in enumerate(names)}
-    shared = spark.sparkContext.broadcast(number)  # the alphabet
+    shared = spark.sparkContext.broadcast({c: i for i, c in enumerate(names)})  # the alphabet
 
     def to_numbers(batches):
         for batch in batches:
@@ -318,30 +222,13 @@ def train_bpe(freqs: DataFrame, vocab_size: int | str, specials: dict | None = N
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array((off - off[0]).astype(np.int32)), pa.array(flat)),
                                               batch.column(1)], names=["w", "count"])
 
-    words = split.mapInArrow(to_numbers, "w array<int>, count long").checkpoint(eager=True)
-    merges: list[tuple[str, str]] = []
-    waiting: list[tuple[int, int, int]] = []  # made since the table was written
+    words = written(split.mapInArrow(to_numbers, "w array<int>, count long").filter(F.size("w") > 1), "bpe-words")
 
     def joined(a, b):
         return a + (b[len(continuing_prefix):] if continuing_prefix and b.startswith(continuing_prefix) else b)
 
-    while len(merges) < budget:
-        top = (_pair_counts(words, tuple(waiting), tuple(names)).filter(F.col("n") >= min_frequency)
-               .orderBy(F.desc("n"), "a", "b").limit(BATCH + 1).collect())
-        batch = independent_merges([(r["a"], r["b"], r["n"]) for r in top], number, joined)[:budget - len(merges)]
-        if not batch:
-            break
-        for a, b in batch:
-            new = joined(a, b)
-            if new not in number:
-                number[new] = len(names)
-                names.append(new)
-            waiting.append((number[a], number[b], number[new]))
-        merges += batch
-        if len(waiting) >= checkpoint_every:
-            words, waiting = _merged(words, tuple(waiting)).checkpoint(eager=True), []
-    pieces = alphabet + [a + (b[len(continuing_prefix):] if continuing_prefix and b.startswith(continuing_prefix)
-                              else b) for a, b in merges]
+    merges = MergeLoop(words, names, joined, min_frequency, top_pairs, epoch).run(budget)
+    pieces = alphabet + [joined(a, b) for a, b in merges]
     seen, ordered = set(), []
     for p in pieces:
         if p not in seen:
