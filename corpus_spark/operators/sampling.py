@@ -10,10 +10,14 @@ row) until every language has emitted its last row at least once.
 
 Spark formulation: the draw for position t is a seeded hash of t compared
 with the cumulative probabilities (a pure function, so no sequential RNG);
-the k-th draw of language L takes L's row k mod n_L.  "k-th draw" and "row
-k" are exact per-group row indices (:mod:`.rowindex`), and the stop position
-is read from the index of each language's n_L-th draw.  Output rows are
-produced by an equi-join on ``(language, row index)``.
+the k-th draw of language L takes L's row k mod n_L.  As a draw depends on t
+alone, draws are never sorted, shuffled or stored: positions are cut into at
+most ``BLOCKS`` blocks, draws are counted per block and language, the counts of
+the blocks before are added up, and a task numbers the draws of its block as they
+come.  The stop position is that of a language's n_L-th draw, looked up in the one
+block that holds it.  "Row k" is an exact per-group row index
+(:mod:`.rowindex`); output rows come from an equi-join on ``(language, row
+index)``.
 """
 
 from __future__ import annotations
@@ -21,35 +25,66 @@ from __future__ import annotations
 import math
 from typing import Mapping
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rowindex import group_counts, group_row_index
+from ..session import written
+from .rowindex import MAX_BROADCAST_ROWS, group_counts, group_row_index
 from .stats import sampling_probs_list
 
 
 #: Equal slices of [0, 1) by which a draw finds its language.
 SLICES = 4096
+#: Most blocks of positions, and the least positions of a block.
+BLOCKS = 4096
+BLOCK = 1 << 16
 
 
-def _draws(spark, T: int, langs: list[str], probs: list[float], seed: int) -> DataFrame:
-    """Positions 0..T-1 with the language drawn at each (hash of seed and t).
+def _draws(spark, end: int, langs: list[str], probs: list[float], seed: int, first: int = 0,
+           block: int | None = None) -> DataFrame:
+    """Positions ``first`` to ``end`` (in whole blocks, one for each task) with
+    the language drawn at each (hash of seed and t) and its number.
 
     A language owns the interval of its probability; every interval is listed
     under the slices it touches (at most ``SLICES`` + languages rows, which are
     broadcast), and a draw looks only at those of its own slice."""
+    block = block or end - first
     rows, lo = [], 0.0
-    for i, (lang, p) in enumerate(zip(langs, probs)):
-        hi = 2.0 if i == len(langs) - 1 else lo + p
-        first, last = int(lo * SLICES), min(SLICES - 1, int(hi * SLICES))
-        rows += [(s, lang, lo, hi) for s in range(first, last + 1) if hi > lo]
+    for i, p in enumerate(probs):
+        hi = 2.0 if i == len(probs) - 1 else lo + p
+        low, last = int(lo * SLICES), min(SLICES - 1, int(hi * SLICES))
+        rows += [(s, i, langs[i], lo, hi) for s in range(low, last + 1) if hi > lo]
         lo = hi
-    owners = spark.createDataFrame(rows, "slice int, language string, lo double, hi double")
+    owners = spark.createDataFrame(rows, "slice int, lang int, language string, lo double, hi double")
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"draw{seed}"), F.col("id").cast("string"))), 1, 13),
                 16, 10).cast("double") / F.lit(float(1 << 52)))
-    drawn = spark.range(0, T).select(F.col("id").alias("t"), u.alias("u")) \
+    drawn = spark.range(first, end, 1, (end - first) // block).select(F.col("id").alias("t"), u.alias("u")) \
         .withColumn("slice", F.floor(F.col("u") * SLICES).cast("int"))
-    return drawn.join(F.broadcast(owners), "slice").filter("u >= lo and u < hi").select("t", "language")
+    return drawn.join(F.broadcast(owners), "slice").filter("u >= lo and u < hi") \
+        .select("t", F.floor(F.col("t") / block).cast("int").alias("block"), "lang", "language")
+
+
+def _numbered(draws: DataFrame, n_langs: int) -> DataFrame:
+    """``(t, block, lang, k)``: the how-manieth draw of its language in its
+    block each is.  A task gets the positions of whole blocks in order."""
+    def run(batches):
+        at, seen = -1, np.zeros(n_langs, np.int64)
+        for batch in batches:
+            block, lang = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            k = np.zeros(len(lang), np.int64)
+            for b in np.unique(block).tolist():
+                if b != at:
+                    at, seen = b, np.zeros(n_langs, np.int64)
+                here = np.flatnonzero(block == b)
+                order = here[np.argsort(lang[here], kind="stable")]
+                size = np.bincount(lang[order], minlength=n_langs)
+                begins = np.cumsum(size) - size
+                k[order] = np.arange(len(order)) - begins[lang[order]] + seen[lang[order]]
+                seen = seen + size
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k)], names=["t", "block", "lang", "k"])
+    return draws.select("t", "block", "lang").mapInArrow(run, "t long, block int, lang int, k long")
 
 
 def interleave_by_probability(df: DataFrame, probabilities: Mapping[str, float],
@@ -72,25 +107,32 @@ def interleave_by_probability(df: DataFrame, probabilities: Mapping[str, float],
     # expected draws until every (or the first) language is exhausted, doubled until enough
     need = [counts[l] / probabilities[l] for l in live]
     T = int(math.ceil((max(need) if stopping_strategy == "all_exhausted" else min(need)) * 1.2)) + 64
+    rows = spark.createDataFrame([(i, l, counts[l]) for i, l in enumerate(langs)], "lang int, language string, n long")
+    first_only = stopping_strategy == "first_exhausted"
     while True:
-        draws = _draws(spark, T, langs, probs, seed)
-        ranked = group_row_index(draws, ["language"], ["t"], "k")
-        last = (ranked.join(F.broadcast(spark.createDataFrame([(l, counts[l]) for l in langs],
-                                                              "language string, n long")), "language")
-                .filter(F.col("k") == F.col("n") - 1)
-                .groupBy("language").agg(F.min("t").alias("t_last")).collect())
-        t_last = {r["language"]: r["t_last"] for r in last}
-        reached = [t_last.get(l) for l in live]
-        if stopping_strategy == "first_exhausted" and any(x is not None for x in reached):
-            stop = min(x for x in reached if x is not None)
-            break
-        if stopping_strategy == "all_exhausted" and all(x is not None for x in reached):
-            stop = max(reached)
+        blocks = max(1, min(BLOCKS, math.ceil(T / BLOCK)))
+        block = math.ceil(T / blocks)
+        # one row for each block and language: draws of the blocks before, and of this one
+        per_block = written(
+            _draws(spark, blocks * block, langs, probs, seed, block=block).groupBy("block", "lang").agg(F.count(F.lit(1)).alias("c"))
+            .withColumn("before", F.sum("c").over(Window.partitionBy("lang").orderBy("block")) - F.col("c")), "draw-counts")
+        last = {langs[r["lang"]]: r for r in per_block.join(F.broadcast(rows), "lang")
+                .filter("before < n and n <= before + c").select("lang", "block", (F.col("n") - 1 - F.col("before")).alias("k"))
+                .collect()}
+        if (first_only and any(l in last for l in live)) or all(l in last for l in live):
             break
         T *= 2
-    n_df = spark.createDataFrame([(l, counts[l]) for l in langs], "language string, n long")
-    wanted = (ranked.filter(F.col("t") <= stop).join(F.broadcast(n_df), "language")
-              .select("t", F.col("language").alias(language_col), (F.col("k") % F.col("n")).alias("row_idx")))
+    # the first or last block in which a language ends; the place is looked up there
+    pick = min if first_only else max
+    b = pick(last[l]["block"] for l in live if l in last)
+    ends = spark.createDataFrame([(r["lang"], r["k"]) for r in last.values() if r["block"] == b], "lang int, k long")
+    stop = pick(r["t"] for r in _numbered(_draws(spark, (b + 1) * block, langs, probs, seed, b * block, block), len(langs))
+                .join(F.broadcast(ends), ["lang", "k"]).select("t").collect())
+    offsets = per_block.filter(F.col("block") <= b).select("block", "lang", "before")
+    small = (b + 1) * len(langs) <= MAX_BROADCAST_ROWS
+    wanted = (_numbered(_draws(spark, (b + 1) * block, langs, probs, seed, block=block).filter(F.col("t") <= stop), len(langs))
+              .join(F.broadcast(offsets) if small else offsets, ["block", "lang"]).join(F.broadcast(rows), "lang")
+              .select("t", F.col("language").alias(language_col), ((F.col("k") + F.col("before")) % F.col("n")).alias("row_idx")))
     indexed = group_row_index(df.select(language_col, id_col), [language_col], [id_col], "row_idx")
     chosen = wanted.join(indexed, on=[language_col, "row_idx"], how="inner").select("t", id_col)
     return df.join(chosen, id_col)  # the texts are read once, by id

@@ -300,3 +300,22 @@ def test_align_word_labels(spark):
     df = spark.createDataFrame([(0, [-1, 0, 0, 1, 2, 2, 2, -1], [5, 6, 7])],
                                "id long, word_ids array<long>, tags array<int>")
     assert prep.align_word_labels(df).first().labels == [-100, 5, -100, 6, 7, -100, -100, -100]
+
+
+@pytest.mark.parametrize("strategy", ["first_exhausted", "all_exhausted"])
+def test_interleave_over_many_blocks(spark, monkeypatch, strategy):
+    # blocks of 16 positions: ranks run on from block to block
+    monkeypatch.setattr(sampling, "BLOCK", 16)
+    sizes = {"aa": 40, "bb": 7, "cc": 90}
+    rows = [(i, lang, f"t{i}") for i, lang in enumerate(l for l, n in sizes.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "id long, language string, text string")
+    probs = {"aa": 0.5, "bb": 0.2, "cc": 0.3}
+    out = sampling.interleave_by_probability(df, probs, strategy, seed=3)
+    assert "rangepartitioning(t" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.orderBy("t").collect()
+    draws = sampling._draws(spark, len(got) + 500, sorted(sizes), [probs[l] for l in sorted(sizes)], 3).orderBy("t").collect()
+    exp = sequential_interleave(sizes, probs, [r.language for r in draws], strategy)
+    assert len(got) == len(exp) and [r.t for r in got] == list(range(len(got)))
+    assert [r.language for r in got] == [e[0] for e in exp]
+    ids = {lang: [r[0] for r in rows if r[1] == lang] for lang in sizes}
+    assert [r.id for r in got] == [ids[l][k] for l, k in exp]
