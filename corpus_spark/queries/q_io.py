@@ -215,6 +215,13 @@ def q_stream_dedup(spark, sf):
     return out.select("exact_hash")
 
 
+@register("stream_dedup_table", f"SELECT DISTINCT md5(array_to_string(tokens, '')) AS exact_hash FROM {TOKD}")
+def q_stream_dedup_table(spark, sf):
+    """Exact dedup of a stream without streaming state."""
+    return stream.dedup_exact_to_table(_doc_stream(spark, sf), stream.scratch_path(spark, "stream_dedup_table")) \
+        .select("exact_hash")
+
+
 @register("to_stream_to_table", f"SELECT id, text, language, source FROM {DOCS}")
 def q_to_stream(spark, sf):
     return stream.to_table(stream.to_stream(docs(spark, sf)), "roundtrip")

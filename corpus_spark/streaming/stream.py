@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import clean, threshold as thr
 from ..operators.dedup import exact_hash
@@ -68,13 +69,44 @@ def stream_threshold(sdf: DataFrame, thresholds: dict, keep_columns: bool = Fals
 def stream_dedup_exact(sdf: DataFrame, event_time: str | None = None, watermark: str = "1 day") -> DataFrame:
     """First document per exact hash.  With an event-time column the state is
     bounded by the watermark (``dropDuplicatesWithinWatermark``); without one
-    the hash set grows with the stream, as any exact dedup must."""
+    the hash set grows with the stream.  :func:`dedup_exact_to_table` needs no
+    state and no event time."""
     h = with_tokens(sdf).withColumn("exact_hash", exact_hash(F.col("tokens"))).drop("tokens")
     if event_time:
         return h.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["exact_hash"])
     return h.dropDuplicates(["exact_hash"])
 
 
+def dedup_exact_to_table(sdf: DataFrame, path: str) -> DataFrame:
+    """Append the first document of each exact hash to the table in ``path``
+    and return the table (with its column ``exact_hash``).
+
+    There is no streaming state: a micro-batch is joined against the hashes
+    already in the table, of which only that column is read, and both sides are
+    spread by the hash.  What a batch adds is a partition of its own that is
+    overwritten when the batch is replayed, and a batch looks only at batches
+    before it, so a restart neither loses nor repeats a document.  The query's
+    checkpoint is kept beside the table: called again with the same path and a
+    stream over the same source, it goes on where it stopped.
+
+    Documents are equal if their tokens put together are; null texts are equal
+    to each other only.  Of equal ones in one batch any one is kept, of batches
+    the first.  An input without rows gives an empty table."""
+    spark = sdf.sparkSession
+    hashed = with_tokens(sdf).withColumn("exact_hash", exact_hash(F.col("tokens"))).drop("tokens")
+    schema = T.StructType([*hashed.schema.fields, T.StructField("__batch", T.LongType())])
+    spark.createDataFrame([], hashed.schema).write.mode("ignore").parquet(f"{path}/__batch=-1")
+
+    def sink(batch: DataFrame, epoch: int):
+        known = batch.sparkSession.read.schema(schema).parquet(path).filter(F.col("__batch") < epoch).select("exact_hash")
+        (batch.join(known, batch["exact_hash"].eqNullSafe(known["exact_hash"]), "left_anti").dropDuplicates(["exact_hash"]).select(*hashed.columns)
+         .write.mode("overwrite").parquet(f"{path}/__batch={epoch}"))
+
+    hashed.writeStream.option("checkpointLocation", f"{path}-ckpt").trigger(availableNow=True) \
+        .foreachBatch(sink).start().awaitTermination()
+    return spark.read.schema(schema).parquet(path).drop("__batch")
+
+
 def stream_corpus_stats(sdf: DataFrame, language_col: str = "language") -> DataFrame:
     """Running documents and characters per language (complete output mode)."""
     return sdf.groupBy(language_col).agg(F.count(F.lit(1)).cast("long").alias("docs"),
