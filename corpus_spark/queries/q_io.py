@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import splits, stats
 from ..sources import adapters, io
 from ..sources.langs import LANGUAGES, language_table
-from ..sources.tables import documents_model, read_documents, read_table
+from ..sources.tables import documents_model, read_documents, read_table, table_path
 from ..streaming import stream
 from . import sqlfrag as S
 from .registry import register
@@ -190,7 +190,7 @@ def q_read_conllu(spark, sf):
 # --- streaming ----------------------------------------------------------------------
 def _doc_stream(spark, sf):
     schema = read_table(spark, sf, "documents").schema
-    return documents_model(stream.read_stream(spark, sf, "documents.parquet", schema))
+    return documents_model(stream.read_table_stream(spark, table_path(sf, "documents"), schema))
 
 
 @register("stream_pre_filter", f"""

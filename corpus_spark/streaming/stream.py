@@ -32,6 +32,16 @@ def read_stream(spark: SparkSession, directory: str, file_glob: str, schema,
     return r.parquet(directory)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The Parquet table ``path``, one file or a folder of files, as a stream.
+    Spark takes a single file as the source of a stream only by a pattern, so
+    the path's last letter is given as one."""
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")

@@ -42,3 +42,15 @@ def test_an_empty_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     files(spark, src, [[]])
     assert stream.dedup_exact_to_table(read(spark, src), str(tmp_path / "out")).count() == 0
+
+
+def test_tables_of_one_file_and_of_a_folder(spark, tmp_path):
+    import glob
+    import shutil
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
+    df.write.parquet(str(tmp_path / "many.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "x"))
+    shutil.copy(glob.glob(str(tmp_path / "x" / "*.parquet"))[0], tmp_path / "one.parquet")
+    for name in ("many", "one"):
+        s = stream.read_table_stream(spark, str(tmp_path / f"{name}.parquet"), df.schema, 1)
+        assert sorted(r.id for r in stream.to_table(s).collect()) == [1, 2]
