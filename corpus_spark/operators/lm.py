@@ -9,8 +9,8 @@ better), with the exact distributed median.
 
 Language id (the reference's line-level model filter): per-language
 character-trigram log-probabilities are counted on Spark; a line's language
-is the argmax of its summed log-probabilities, computed by a join of the
-line's trigrams with the profile table.
+is the argmax of its summed log-probabilities, computed inside the scan by the
+profile table, or by a join where that is too large to go to every task.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import char_ngrams, splitlines, strip, tokenize
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
+from . import chargrams
 
 
 #: Weight of each step back to a shorter context.
@@ -84,44 +87,99 @@ def perplexity_signal(df: DataFrame, train: DataFrame | None = None,
 def train_lang_profiles(df: DataFrame, language_col: str = "language", text_col: str = "text",
                         n: int = 3, k: float = 1.0) -> DataFrame:
     """``(language, gram, logp)``: add-k smoothed log-probability of every
-    character n-gram seen in a language's documents."""
-    ex = df.select(language_col, F.explode(char_ngrams(F.lower(F.col(text_col)), n)).alias("gram"))
-    cnt = ex.groupBy(language_col, "gram").agg(F.count(F.lit(1)).alias("c"))
+    character n-gram seen in a language's documents.  N-grams of up to
+    ``chargrams.MAX_N`` characters are counted inside the scan."""
+    src = df.select(language_col, F.lower(F.col(text_col)).alias("text")).filter(F.col(language_col).isNotNull())
+    if n <= chargrams.MAX_N:
+        out = T.StructType([T.StructField(language_col, df.schema[language_col].dataType),
+                            T.StructField("gram", T.StringType()), T.StructField("c", T.LongType())])
+        ex = src.mapInArrow(chargrams.counter(n, to_arrow_schema(out)), out)
+    else:
+        ex = src.select(language_col, F.explode(char_ngrams("text", n)).alias("gram"), F.lit(1).alias("c"))
+    cnt = ex.groupBy(language_col, "gram").agg(F.sum("c").alias("c"))
     tot = cnt.groupBy(language_col).agg(F.sum("c").alias("tot"), F.count(F.lit(1)).alias("types"))
     return cnt.join(F.broadcast(tot), language_col).select(
         language_col, "gram", F.log((F.col("c") + k) / (F.col("tot") + k * (F.col("types") + 1))).alias("logp"))
 
 
-def predict_line_languages(df: DataFrame, profiles: DataFrame, id_col: str = "id", text_col: str = "text",
-                           language_col: str = "language", n: int = 3) -> DataFrame:
-    """``(id, line_no, line, pred)``: the most likely language of each
-    stripped, non-blank line.  An n-gram that a language's profile lacks scores
-    its smallest logp.  ``pred`` is NULL for lines shorter than an n-gram and
-    for lines none of whose n-grams is in any profile.
+#: (Language, n-gram) pairs of the profiles that go to every task.  Lines with n-grams that these leave out are
+#: scored by a join.
+PROFILE_CELLS = 1 << 21
 
-    N-grams are counted per line before the join, and the profiles are one row
-    for each n-gram (a map over the languages), so the join has no fan-out."""
-    lines = df.select(id_col, F.posexplode(F.filter(F.transform(splitlines(F.col(text_col)), lambda l: strip(l)),
-                                                    lambda l: l != "")).alias("line_no", "line"))
+
+def _head(profiles: DataFrame, floors: dict, n: int) -> chargrams.Profiles:
+    """The likeliest n-grams of ``profiles``, with all their languages: all of
+    them where they are at most ``PROFILE_CELLS`` pairs."""
+    most = max(PROFILE_CELLS // len(floors), 1)
+    grams = profiles.groupBy("gram").agg(F.max("logp").alias("top"))
+    whole = profiles.count() <= most or grams.count() <= most
+    if not whole:
+        profiles = profiles.join(grams.orderBy(F.desc("top"), "gram").limit(most), "gram", "left_semi")
+    return chargrams.Profiles(profiles.select("language", "gram", "logp").toArrow(), floors, n, whole)
+
+
+def _predict_by_join(lines: DataFrame, profiles: DataFrame, floors: dict, id_col: str, n: int) -> DataFrame:
+    """``(id, line_no, line, pred)`` of ``(id, line_no, line)``: n-grams are
+    counted per line before the join, and the profiles are one row for each
+    n-gram (a map over the languages), so the join has no fan-out."""
     grams = lines.select(id_col, "line_no", F.explode(char_ngrams(F.lower("line"), n)).alias("gram")) \
         .groupBy(id_col, "line_no", "gram").agg(F.count(F.lit(1)).alias("c"))
-    # one row for each language
-    floors = {r[language_col]: r["floor"] for r in
-              profiles.groupBy(language_col).agg(F.min("logp").alias("floor")).collect()}
-    if not floors:
-        return lines.withColumn("pred", F.lit(None).cast("string"))
     floor = F.create_map(*[F.lit(x) for pair in sorted(floors.items()) for x in pair])
-    known = profiles.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct(language_col, "logp"))).alias("p"))
-    hits = grams.join(known, "gram").select(id_col, "line_no", "c", F.explode("p").alias(language_col, "logp"))
-    gain = hits.groupBy(id_col, "line_no", language_col).agg(
-        F.sum(F.col("c") * (F.col("logp") - floor[F.col(language_col)])).alias("gain"))
+    known = profiles.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("language", "logp"))).alias("p"))
+    hits = grams.join(known, "gram").select(id_col, "line_no", "c", F.explode("p").alias("language", "logp"))
+    gain = hits.groupBy(id_col, "line_no", "language").agg(
+        F.sum(F.col("c") * (F.col("logp") - floor[F.col("language")])).alias("gain"))
     sizes = grams.groupBy(id_col, "line_no").agg(F.sum("c").alias("ng"))
     best = gain.join(sizes, [id_col, "line_no"]) \
-        .withColumn("score", F.col("gain") + F.col("ng") * floor[F.col(language_col)]) \
-        .groupBy(id_col, "line_no").agg(F.max_by(language_col, F.struct("score", F.col(language_col))).alias("pred"))
+        .withColumn("score", F.col("gain") + F.col("ng") * floor[F.col("language")]) \
+        .groupBy(id_col, "line_no").agg(F.max_by("language", F.struct("score", F.col("language"))).alias("pred"))
     return lines.join(best, [id_col, "line_no"], "left")
 
 
+def predict_line_languages(df: DataFrame, profiles: DataFrame, id_col: str = "id", text_col: str = "text",
+                           language_col: str = "language", n: int = 3) -> DataFrame:
+    """``(id, line_no, line, pred)``: the most likely language of each
+    stripped, non-blank line.  An n-gram that a language's profile lacks scores
+    its smallest logp.  ``pred`` is NULL for lines shorter than an n-gram, for
+    lines none of whose n-grams is in any profile, and without an id.
+
+    Lines are scored inside the scan, by profiles of bounded size that every
+    task has.  By a join go the lines of ids that several documents share
+    (lines of one number count as one), lines with an n-gram beyond that size,
+    and all lines where n is above ``chargrams.MAX_N``."""
+    spark = df.sparkSession
+    profiles = written(profiles.select(F.col(language_col).alias("language"), "gram", "logp"), "lang-profiles")
+    # one row for each language
+    floors = {r["language"]: r["floor"] for r in profiles.groupBy("language").agg(F.min("logp").alias("floor")).collect()}
+    text_lines = F.filter(F.transform(splitlines(F.col(text_col)), lambda l: strip(l)), lambda l: l != "")
+    exploded = lambda d: d.select(id_col, F.posexplode(text_lines).alias("line_no", "line"))
+    if not floors:
+        return exploded(df).withColumn("pred", F.lit(None).cast("string"))
+    if n > chargrams.MAX_N:
+        return _predict_by_join(exploded(df), profiles, floors, id_col, n)
+    shared = written(df.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
+                     .filter("__n > 1").select(id_col), "shared-ids")
+    some_shared = not shared.isEmpty()
+    single = df.join(shared, id_col, "left_anti") if some_shared else df
+    head = _head(profiles, floors, n)
+    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("line", T.ArrayType(T.StringType())),
+                        T.StructField("pred", T.ArrayType(T.StringType())),
+                        T.StructField("settled", T.ArrayType(T.BooleanType()))])
+    scan = single.select(id_col, F.coalesce(text_lines, F.array().cast("array<string>")).alias("line"))
+    rows = scan.select(id_col, "line", F.transform("line", lambda l: F.lower(l)).alias("low")) \
+        .mapInArrow(chargrams.line_scorer(spark.sparkContext.broadcast(head), to_arrow_schema(out)), out) \
+        .select(id_col, F.posexplode(F.arrays_zip("line", "pred", "settled")).alias("line_no", "l"))
+    pred = F.when(F.col(id_col).isNotNull(), F.col("l.pred")).alias("pred")
+    done = rows if head.whole else rows.filter("l.settled")
+    result = done.select(id_col, "line_no", "l.line", pred)
+    if not head.whole:
+        rest = rows.filter("NOT l.settled").select(id_col, "line_no", "l.line")
+        result = result.unionByName(_predict_by_join(rest, profiles, floors, id_col, n))
+    if some_shared:
+        result = result.unionByName(_predict_by_join(exploded(df.join(shared, id_col, "left_semi")), profiles, floors, id_col, n))
+    return result
+
+
 def lang_id_filter(df: DataFrame, profiles: DataFrame, keep: Sequence[str] | None = None, id_col: str = "id",
                    text_col: str = "text", language_col: str = "language", n: int = 3) -> DataFrame:
     """Keep only lines predicted to be in ``keep`` (by default: in the
