@@ -15,6 +15,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .counts import char_entropy, token_entropy
 from .text import PY_WHITESPACE_NO_NL, TOKEN_PATTERN, chars, newline_lines, strip, word_ngrams
 
 # ---------------------------------------------------------------------------
@@ -173,9 +174,9 @@ _BUILTIN = [
      lambda t, k: _div(char_count(t, "#") + char_count(t, "\u2026"), n_tokens(t)), False, False),
     ("frac_pipes_in_words",
      lambda t, k: _div(_count(k, lambda w: w.contains(PIPE)), F.length(t)), False, True),
-    ("unigram_entropy", lambda t, k: entropy(k), True, True),
-    ("trigram_entropy", lambda t, k: entropy(_trigrams(k)), True, True),
-    ("char_entropy", lambda t, k: entropy(chars(t)), True, False),
+    ("unigram_entropy", lambda t, k: token_entropy(k), True, True),
+    ("trigram_entropy", lambda t, k: token_entropy(k, 3), True, True),
+    ("char_entropy", lambda t, k: char_entropy(t), True, False),
     ("lines_end_with_punctuation",
      lambda t, k: _div(_lines_ending(t, r"\p{P}"), n_nl_lines(t)), True, False),
     # Tokens never span a newline, so the per-line token sum equals the
