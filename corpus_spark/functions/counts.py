@@ -49,20 +49,46 @@ def _entropy(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     return np.maximum(h, 0.0)
 
 
-def _joined(parts: list[np.ndarray]) -> pa.Array:
-    return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+def _distinct(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """How many different values each row has."""
+    return np.bincount(_counts(row, value)[0], minlength=rows)
+
+
+def _grams(value: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of rows of ``size`` values on end: the row and a number of
+    each.  Numbered anew at each step: a number stays below the values here."""
+    per = np.maximum(size - (n - 1), 0)
+    row = _rows(per)
+    first = np.arange(len(row)) + ((np.cumsum(size) - size) - (np.cumsum(per) - per))[row]
+    gram = value[first]
+    for j in range(1, n):
+        gram = np.unique((gram << 31) | value[first + j], return_inverse=True)[1]
+    return row, gram
+
+
+def _of_chars(texts: pa.Array, n: int, measure, kind) -> pa.Array:
+    texts = pc.fill_null(texts, "")
+    sizes, out = _sizes(pc.utf8_length(texts)), [np.zeros(0)]
+    for a, b in _slices(sizes):
+        codes = np.frombuffer("".join(texts[a:b].to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+        out.append(measure(*_grams(codes, sizes[a:b], n), b - a))
+    return pa.array(np.concatenate(out).astype(kind))
+
+
+def _of_tokens(lists: pa.Array, n: int, measure, kind) -> pa.Array:
+    sizes, out = _sizes(pc.list_value_length(lists)), [np.zeros(0)]
+    for a, b in _slices(sizes):
+        words = lists[a:b].flatten().dictionary_encode(null_encoding="encode").indices
+        words = words.to_numpy(zero_copy_only=False).astype(np.int64)
+        out.append(measure(*_grams(words, sizes[a:b], n), b - a))
+    return pa.array(np.concatenate(out).astype(kind))
 
 
 def char_entropy(text: Column) -> Column:
     """Entropy of the characters (code points) of a text; 0.0 without any."""
     @arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        texts = pc.fill_null(texts, "")
-        sizes, out = _sizes(pc.utf8_length(texts)), []
-        for a, b in _slices(sizes):
-            codes = np.frombuffer("".join(texts[a:b].to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
-            out.append(_entropy(_rows(sizes[a:b]), codes, b - a))
-        return _joined(out)
+        return _of_chars(texts, 1, _entropy, np.float64)
     return run(text)
 
 
@@ -70,16 +96,21 @@ def token_entropy(tokens: Column, n: int = 1) -> Column:
     """Entropy of the n-grams of consecutive tokens; 0.0 without any."""
     @arrow_udf("double")
     def run(lists: pa.Array) -> pa.Array:
-        sizes, out = _sizes(pc.list_value_length(lists)), []
-        for a, b in _slices(sizes):
-            words = lists[a:b].flatten().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            size = sizes[a:b]
-            per = np.maximum(size - (n - 1), 0)
-            row = _rows(per)
-            first = np.arange(len(row)) + ((np.cumsum(size) - size) - (np.cumsum(per) - per))[row]
-            gram = words[first]
-            for j in range(1, n):  # numbered anew at each step: a number stays below the tokens of the slice
-                gram = np.unique((gram << 31) | words[first + j], return_inverse=True)[1]
-            out.append(_entropy(row, gram, b - a))
-        return _joined(out)
+        return _of_tokens(lists, n, _entropy, np.float64)
+    return run(tokens)
+
+
+def distinct_char_ngrams(text: Column, n: int) -> Column:
+    """Different n-grams of characters (code points) of a text."""
+    @arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        return _of_chars(texts, n, _distinct, np.int64)
+    return run(text)
+
+
+def distinct_token_ngrams(tokens: Column, n: int) -> Column:
+    """Different n-grams of consecutive tokens."""
+    @arrow_udf("long")
+    def run(lists: pa.Array) -> pa.Array:
+        return _of_tokens(lists, n, _distinct, np.int64)
     return run(tokens)

@@ -15,8 +15,8 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .counts import char_entropy, token_entropy
-from .text import PY_WHITESPACE_NO_NL, TOKEN_PATTERN, chars, newline_lines, strip, word_ngrams
+from .counts import char_entropy, distinct_char_ngrams, distinct_token_ngrams, token_entropy
+from .text import PY_WHITESPACE_NO_NL, TOKEN_PATTERN, chars, newline_lines, strip
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour)
@@ -134,10 +134,6 @@ def _lines_ending(text: Column, ending_regex: str) -> Column:
     return F.regexp_count(text, F.lit(rf"(?:{ending_regex}){_H}*(?:\n|\z)"))
 
 
-def _trigrams(tokens: Column) -> Column:
-    return word_ngrams(tokens, 3)
-
-
 def _lines_stripped(text: Column) -> Column:
     return F.transform(newline_lines(text), lambda ln: strip(ln))
 
@@ -146,10 +142,10 @@ _BUILTIN = [
     ("length_chars", lambda t, k: F.length(t).cast("long"), True, False),
     ("length_words", lambda t, k: n_tokens(t).cast("long"), True, False),
     ("unique_words", lambda t, k: F.size(F.array_distinct(k)).cast("long"), True, True),
-    ("unique_trigrams", lambda t, k: F.size(F.array_distinct(_trigrams(k))).cast("long"), True, True),
+    ("unique_trigrams", lambda t, k: distinct_token_ngrams(k, 3), True, True),
     ("unique_chars", lambda t, k: F.size(F.array_distinct(chars(t))).cast("long"), True, False),
     ("unique_char_trigrams",
-     lambda t, k: F.size(F.array_distinct(word_ngrams(chars(t), 3))).cast("long"), True, False),
+     lambda t, k: distinct_char_ngrams(t, 3), True, False),
     ("alpha_chars", lambda t, k: F.regexp_count(t, F.lit(r"\p{L}")).cast("long"), True, False),
     ("num_lines", lambda t, k: n_nl_lines(t).cast("long"), True, False),
     ("frac_all_caps_words",
@@ -163,7 +159,7 @@ _BUILTIN = [
     ("doc_mean_word_length", lambda t, k: _div(F.length(t), n_tokens(t)), True, False),
     ("frac_unique_words", lambda t, k: _div(F.size(F.array_distinct(k)), F.size(k)), True, True),
     ("frac_unique_trigrams",
-     lambda t, k: F.when(F.size(k) >= 3, _div(F.size(F.array_distinct(_trigrams(k))), F.size(k) - 2))
+     lambda t, k: F.when(F.size(k) >= 3, _div(distinct_token_ngrams(k, 3), F.size(k) - 2))
      .otherwise(F.lit(0.0)), True, True),
     ("frac_unique_chars", lambda t, k: _div(F.size(F.array_distinct(chars(t))), F.length(t)), True, False),
     ("frac_lines_end_ellipsis",

@@ -33,6 +33,21 @@ def test_entropies(spark, monkeypatch):
         assert abs(got[r.id].trigram_entropy - plain(list(zip(words, words[1:], words[2:])))) < 1e-9
 
 
+def test_distinct_ngrams(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+    names = ["unique_char_trigrams", "unique_trigrams", "frac_unique_trigrams"]
+    got = compute_metrics(df, names).select("*").collect()
+    plans = compute_metrics(df, names)._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plans  # n-grams as strings, one lambda call each, before
+    k, size = tokenize("text"), lambda g: F.size(F.array_distinct(g))
+    want = {r.id: r for r in df.select("id", size(word_ngrams(chars(F.col("text")), 3)).alias("c"),
+                                       size(word_ngrams(k, 3)).alias("t"), F.size(k).alias("n")).collect()}
+    for r in got:
+        w = want[r.id]
+        assert (r.unique_char_trigrams, r.unique_trigrams) == (w.c, w.t)
+        assert r.frac_unique_trigrams == (w.t / (w.n - 2) if (w.n or 0) >= 3 else 0.0)
+
+
 def test_no_interpreted_fold(spark):
     """The metrics are one Arrow step; a fold by lambdas took seconds per million characters."""
     df = spark.createDataFrame([(1, "a b c")], "id long, text string")
