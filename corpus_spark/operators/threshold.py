@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signals import GOPHER_THRESHOLDS, get_metric
+from ..session import written
 from .metrics import compute_metrics, drop_metric_columns
 
 
@@ -95,7 +96,8 @@ def auto_threshold(df: DataFrame, metric: str, id_col: str = "id", seed: int = 4
     from .splits import seeded_key
 
     hib = get_metric(metric).higher_is_better
-    base = df.select(F.col(metric).cast("double").alias("v"), F.col(id_col).alias("id")) \
+    # values are written once: every step below reads them again, and texts are measured once only
+    base = written(df.select(F.col(metric).cast("double").alias("v"), F.col(id_col).alias("id")), "auto-threshold") \
         .filter(F.col("v").isNotNull())
     total = base.count()
     n = int(total * 0.05)

@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpus_spark.operators import cutpoint
 
 
@@ -52,3 +54,17 @@ def test_grouped(spark, monkeypatch):
     for g in "abc":
         exp |= brute([(r[1], r[2], r[3]) for r in rows if r[0] == g], budgets[(g,)])
     assert got == exp
+
+
+def test_auto_threshold_measures_every_text_once(spark):
+    from corpus_spark.operators.threshold import auto_threshold
+    measured = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def measure(i):
+        measured.add(1)
+        return float(i % 97)
+
+    df = spark.range(400).select("id", measure("id").alias("length_chars"))
+    auto_threshold(df, "length_chars")
+    assert measured.value == 400
