@@ -94,8 +94,15 @@ def chars(text) -> Column:
 
 def char_ngrams(text, n: int) -> Column:
     """Character n-grams (code points, joined by a space) of a string, empty
-    when shorter than n."""
-    return word_ngrams(chars(text), n)
+    when shorter than n.
+
+    The characters, with a space between them, are one string, of which each
+    match looks at one n-gram and takes one character and its space: no lambda
+    runs for every character."""
+    if n == 1:
+        return chars(text)
+    spaced = F.array_join(F.split(F.coalesce(_c(text), F.lit("")), ""), " ")
+    return F.regexp_extract_all(spaced, F.lit(f"(?s)(?=({' '.join('.' * n)})). "), 1)
 
 
 def sql_tokenize(text_sql: str) -> str:

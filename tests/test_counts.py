@@ -60,3 +60,15 @@ def test_slices_do_not_show():
     import numpy as np
     sizes = np.array([3, 0, counts.SLICE + 5, 1, 2])
     assert list(counts._slices(sizes)) == [(0, 2), (2, 3), (3, 5)]
+
+
+def test_char_ngrams_without_a_lambda_for_each_character(spark):
+    from corpus_spark.functions.text import char_ngrams
+    texts = ["", "a", "ab", "abc", "a b  c", "    ", "\n\r\n\u2028x", "日本語 テキスト", "a\U0001F600b\U0001F601", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    out = df.select("id", *[char_ngrams("text", n).alias(f"g{n}") for n in (1, 2, 3, 4)])
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        t = texts[r.id] or ""
+        for n in (1, 2, 3, 4):
+            assert r[f"g{n}"] == [" ".join(t[i:i + n]) for i in range(len(t) - n + 1)]
