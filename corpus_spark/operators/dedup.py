@@ -63,9 +63,14 @@ def permutations(num_perm: int = NUM_PERM, seed: int = PERM_SEED) -> list[tuple[
 PERMS = permutations()
 
 
-def shingle_hash(shingle: Column) -> Column:
+def shingle_hex(shingle: Column) -> Column:
     """32-bit hash of a shingle: the first 8 hex digits of its md5."""
-    return F.conv(F.substring(F.md5(shingle), 1, 8), 16, 10).cast("long")
+    return F.substring(F.md5(shingle), 1, 8)
+
+
+def shingle_hash(shingle: Column) -> Column:
+    """:func:`shingle_hex` as a number."""
+    return F.conv(shingle_hex(shingle), 16, 10).cast("long")
 
 
 def exact_hash(tokens: Column) -> Column:
@@ -103,24 +108,23 @@ def optimal_bands(threshold: float, num_perm: int = NUM_PERM,
 def minhash_signatures(df: DataFrame, n_shingles: int = 1, id_col: str = "id",
                        text_col: str = "text", tokenizer=None) -> DataFrame:
     """``(id, sig ARRAY<BIGINT>[64])``, inside the scan: a row's shingle hashes
-    are an array of longs (native), whose minima under all permutations numpy
-    takes over a whole Arrow batch at a time; nothing is shuffled.  Documents
+    are one binary value, four bytes each (native), whose minima under all
+    permutations numpy takes, a slice of a batch at a time; nothing is shuffled.  Documents
     without a shingle get the all-sentinel signature, so they all collide with
     each other (as in the reference, where an empty MinHash equals every other
     empty one)."""
     df = with_tokens(df.select(id_col, text_col) if "tokens" not in df.columns
                      else df.select(id_col, "tokens"), text_col, tokenizer)
     # duplicates do not change a minimum, so shingles are not de-duplicated here
-    hashed = df.select(F.col(id_col).alias("id"),
-                       F.transform(word_ngrams(F.col("tokens"), n_shingles), shingle_hash).alias("h"))
+    hashes = F.transform(word_ngrams(F.col("tokens"), n_shingles), shingle_hex)
+    hashed = df.select(F.col(id_col).alias("id"), F.unhex(F.array_join(hashes, "")).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in _batch_pieces(batch.column(1)):
-                lists = batch.column(1).slice(at, to - at)
-                hashes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                sig = permutation_minima(hashes, lengths)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+            for at, to in _batch_pieces(sizes):
+                raw = b"".join(x for x in batch.column(1).slice(at, to - at).to_pylist() if x is not None)
+                sig = permutation_minima(np.frombuffer(raw, ">u4").astype(np.uint64), sizes[at:to])
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, NUM_PERM, dtype=np.int32)),
                                                 pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), rows], names=["id", "sig"])
@@ -129,15 +133,15 @@ def minhash_signatures(df: DataFrame, n_shingles: int = 1, id_col: str = "id",
                                                 T.StructField("sig", T.ArrayType(T.LongType()))]))
 
 
-#: Shingle hashes worked off at a time.
-PIECE_HASHES = 1 << 18
+#: Shingle hashes worked off at a time: few enough to stay in a core's cache.
+PIECE_HASHES = 1 << 14
 
 
-def _batch_pieces(lists: pa.Array) -> Iterator[tuple[int, int]]:
+def _batch_pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Rows ``[at, to)`` with about ``PIECE_HASHES`` hashes together (or one longer row)."""
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(sizes)
     at = 0
-    while at < len(lists):
+    while at < len(sizes):
         before = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + PIECE_HASHES, side="right")))
         yield at, to
@@ -154,11 +158,16 @@ def permutation_minima(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return out
     starts = (np.cumsum(lengths) - lengths)[some]
     low, shift = np.uint64(PRIME), np.uint64(31)
+    x, high = np.empty_like(hashes), np.empty_like(hashes)
     for i, (a, b) in enumerate(PERMS):
-        x = hashes * np.uint64(a) + np.uint64(b)  # below 2**63
-        x = (x & low) + (x >> shift)  # 2**31 is 1 modulo the prime
-        x = (x & low) + (x >> shift)
-        x[x >= low] -= low
+        np.multiply(hashes, np.uint64(a), out=x)
+        x += np.uint64(b)  # below 2**63
+        for _ in range(2):  # 2**31 is 1 modulo the prime
+            np.right_shift(x, shift, out=high)
+            x &= low
+            x += high
+        np.subtract(x, low, out=high)  # a very large number where x is below the prime
+        np.minimum(x, high, out=x)
         out[some, i] = np.minimum.reduceat(x, starts)
     return out
 

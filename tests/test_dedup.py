@@ -178,3 +178,20 @@ def test_permutation_minima_in_small_pieces(spark, monkeypatch):
     want = sorted(map(tuple, dedup.minhash_signatures(df, 2).collect()))
     monkeypatch.setattr(dedup, "PIECE_HASHES", 3)
     assert sorted(map(tuple, dedup.minhash_signatures(df, 2).collect())) == want
+
+
+def test_signatures_from_packed_hashes(spark):
+    import hashlib
+
+    import numpy as np
+    texts = ["a b c d e", "a b c d e", "x y", "", None, "é ü ß 日本 b c d"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    sigs = dedup.minhash_signatures(df, 3)
+    assert "conv(" not in sigs._jdf.queryExecution().optimizedPlan().toString()  # hashes leave the JVM as four bytes each
+    for r in sigs.collect():
+        words = (texts[r.id] or "").split()
+        h = [int(hashlib.md5(" ".join(words[i:i + 3]).encode()).hexdigest()[:8], 16) for i in range(len(words) - 2)]
+        assert r.sig == [min(((a * x + b) % dedup.PRIME for x in h), default=dedup.EMPTY_SENTINEL) for a, b in dedup.PERMS]
+    edge = [0, 1, dedup.PRIME - 1, dedup.PRIME, dedup.PRIME + 1, (1 << 32) - 1, (1 << 32) - 2]
+    got = dedup.permutation_minima(np.array(edge, np.uint64), np.ones(len(edge), np.int64))
+    assert got.tolist() == [[(a * x + b) % dedup.PRIME for a, b in dedup.PERMS] for x in edge]
