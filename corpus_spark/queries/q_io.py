@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..operators import splits, stats
+from ..operators.metrics import with_tokens
 from ..sources import adapters, io
 from ..sources.langs import LANGUAGES, language_table
 from ..sources.tables import documents_model, read_documents, read_table, table_path
@@ -170,15 +171,12 @@ SELECT id::VARCHAR AS idx, md5(array_to_string(tokens, ' ')) AS text_md5, len(to
 def q_read_conllu(spark, sf):
     """CoNLL-U files written from every document (one sentence per document,
     one token per line), read back into the treebank row format."""
-    from ..functions.text import tokenize
-    d = docs(spark, sf)
-    toks = tokenize("text")
-    body = F.array_join(F.transform(toks, lambda t, i: F.concat_ws(
-        "\t", (i + 1).cast("string"), t, F.lit("_"), F.lit("X"), F.lit("_"), F.lit("_"),
-        F.lit("0"), F.lit("dep"), F.lit("_"), F.lit("_"))), "\n")
+    d = with_tokens(docs(spark, sf).select("id", "text")).select("id", "tokens")
+    body = F.array_join(F.transform("tokens", lambda t, i: F.concat(
+        (i + 1).cast("string"), F.lit("\t"), t, F.lit("\t_\tX\t_\t_\t0\tdep\t_\t_"))), "\n")
     block = F.concat(F.lit("# sent_id = "), F.col("id").cast("string"), F.lit("\n"), body)
     base = _scratch(spark, "ud")
-    d.filter(F.size(toks) > 0).select(block.alias("value")).write.mode("overwrite") \
+    d.filter(F.size("tokens") > 0).select(block.alias("value")).write.mode("overwrite") \
         .option("lineSep", "\n\n").text(os.path.join(base, "xx-ud-train"))
     t = io.read_conllu(spark, os.path.join(base, "*"))
     return t.select("idx", F.md5("text").alias("text_md5"), F.size("tokens").cast("long").alias("n_tokens"),

@@ -96,21 +96,32 @@ def read_conllu(spark: SparkSession, path: str) -> DataFrame:
                    F.col("_metadata.file_block_start").alias("__block"))
            .withColumn("__row", F.monotonically_increasing_id()))
     # in a CRLF file no two LF stand together: its sentences are still in one value
-    blocks = raw.select("fname", "__block", "__row", F.posexplode(F.split("value", r"\r?\n\r?\n")).alias("__nth", "block")) \
-        .withColumn("block", F.regexp_replace("block", "\r", "")).filter(F.trim("block") != "")
+    parts = F.when(F.contains("value", F.lit("\r")), F.split("value", r"\r?\n\r?\n")).otherwise(F.array("value"))
+    blocks = raw.select("fname", "__block", "__row", F.posexplode(parts).alias("__nth", "block")) \
+        .withColumn("block", F.replace("block", F.lit("\r"), F.lit(""))).filter(F.trim("block") != "")
     lines = F.filter(F.split("block", "\n"), lambda l: l != "")
-    comments = F.filter(lines, lambda l: l.startswith("#"))
-    toks = F.transform(F.filter(lines, lambda l: ~l.startswith("#")), lambda l: F.split(l, "\t"))
+    is_comment = lambda l: l.startswith("#")
+    # behind a Generate: lines are cut once, not once for each column that is made of them
+    cut = blocks.select("fname", "__block", "__row", "__nth", F.explode(F.array(lines)).alias("__lines")).select(
+        "fname", "__block", "__row", "__nth", F.filter("__lines", is_comment).alias("__comments"),
+        F.explode(F.array(F.filter("__lines", lambda l: ~is_comment(l)))).alias("__toks"))
+
+    def value(l, i):
+        # without an array of all fields for each line; a line that has no such field fails as the array does
+        here = F.substring_index(F.substring_index(l, "\t", i + 1), "\t", -1)
+        return F.when(F.substring_index(l, "\t", i) == l, F.split(l, "\t")[i]).otherwise(here) if i else here
 
     def field(i):
         if CONLLU_FIELDS[i] in ("lemma", "xpos"):
-            return F.transform(toks, lambda t: F.when(t[i] == "_", F.lit(None)).otherwise(t[i]))
+            return F.transform("__toks", lambda l: F.nullif(value(l, i), F.lit("_")))
         if CONLLU_FIELDS[i] == "head":
-            return F.transform(toks, lambda t: F.when(t[0].rlike(r"[-.]"), F.lit(None)).otherwise(t[i]))
-        return F.transform(toks, lambda t: t[i])
+            number = lambda l: value(l, 0)
+            return F.transform("__toks", lambda l: F.when(number(l).contains("-") | number(l).contains("."), F.lit(None))
+                               .otherwise(value(l, i)))
+        return F.transform("__toks", lambda l: value(l, i))
 
     def comment(key):
-        hit = F.filter(comments, lambda c: c.rlike(rf"^#\s*{key}\s*="))
+        hit = F.filter("__comments", lambda c: c.rlike(rf"^#\s*{key}\s*="))
         return F.regexp_replace(F.try_element_at(hit, F.lit(1)), rf"^#\s*{key}\s*=\s*", "")
 
     forms = field(1)
@@ -119,14 +130,25 @@ def read_conllu(spark: SparkSession, path: str) -> DataFrame:
     named = F.when(part != "", part).otherwise(folder)
     split = F.when(named == "dev", "validation").when(named != "", named).otherwise("train")
     labels = F.array(*[F.lit(x) for x in UPOS_LABELS])
-    # a window over one file's sentences, in the order of the file
-    number = F.row_number().over(Window.partitionBy("fname").orderBy("__block", "__row", "__nth"))
-    out = blocks.withColumn("__number", number).select(
-        F.coalesce(comment("sent_id"), F.col("__number").cast("string")).alias("idx"),
+    place = ["fname", "__block", "__row", "__nth"]
+    read = cut.select(
+        *place, comment("sent_id").alias("idx"),
         F.coalesce(comment("text"), F.array_join(forms, " ")).alias("text"),
         forms.alias("tokens"), field(2).alias("lemmas"), field(3).alias("upos"), field(4).alias("xpos"),
         field(5).alias("feats"), field(6).alias("head"), field(7).alias("deprel"),
-        field(8).alias("deps"), field(9).alias("misc"), split.alias("split"), F.col("fname"))
+        field(8).alias("deps"), field(9).alias("misc"), split.alias("split"))
+    # Only sentences without an id need their number: places (never texts) are counted, by a window over one file's
+    # in the order of the file, and joined to those sentences.
+    has_id = F.col("block").rlike(r"(?:^|\n)#[^\S\n]*sent_id[^\S\n]*=")
+    places = blocks.select(*place, has_id.alias("__has_id"))
+    if places.filter("NOT __has_id").isEmpty():
+        out = read
+    else:
+        number = F.row_number().over(Window.partitionBy("fname").orderBy("__block", "__row", "__nth")).cast("string")
+        numbers = places.withColumn("__number", number).filter("NOT __has_id").select(*place, "__number")
+        out = read.filter("idx IS NOT NULL").unionByName(
+            read.filter("idx IS NULL").drop("idx").join(numbers, place).withColumnRenamed("__number", "idx"))
+    out = out.select("idx", *[c for c in read.columns if c not in (*place, "idx")], "fname")
     # class-label ids of the universal POS tags (-1 for a tag outside the label set)
     return out.withColumn("upos_ids", F.transform("upos", lambda u: F.array_position(labels, u).cast("int") - 1))
 

@@ -30,6 +30,23 @@ def test_split_from_the_folder_of_part_files(spark, tmp_path):
     assert {r.split for r in io.read_conllu(spark, str(tmp_path / "*")).collect()} == {"validation"}
 
 
+def test_only_sentences_without_an_id_are_numbered(spark, tmp_path):
+    word = "1\t{}\t_\tX\t_\t_\t0\tdep\t_\t_\n\n"
+    with_ids = tmp_path / "a-train.conllu"
+    with_ids.write_text("# sent_id = s1\n" + word.format("a") + "# sent_id =\n" + word.format("b"))
+    read = io.read_conllu(spark, str(with_ids))
+    # nothing is numbered, so no text is shuffled
+    assert "Window" not in read._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.idx for r in read.collect()) == ["", "s1"]
+    mixed = tmp_path / "b-dev.conllu"
+    mixed.write_text(word.format("a") + "# sent_id = s2\n" + word.format("b") + "#\n# text = c d\n" + word.format("c")
+                     + "\n\n" + "1\t\u2028# sent_id = x\t_\tX\t_\t_\t0\tdep\t_\t_\n\n")
+    rows = io.read_conllu(spark, str(tmp_path / "*")).filter("split = 'validation'").collect()
+    assert {r.idx: (r.text, r.tokens, r.upos_ids) for r in rows} == {
+        "1": ("a", ["a"], [12]), "s2": ("b", ["b"], [12]), "3": ("c d", ["c"], [12]),
+        "4": ("\u2028# sent_id = x", ["\u2028# sent_id = x"], [12])}
+
+
 def test_translation_pairs_in_all_scripts(spark):
     langs.use_language_table(spark.createDataFrame(
         [("tst", "Test", None, None, ["Latn", "Cyrl"], ["nllb"])],
