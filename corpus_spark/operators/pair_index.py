@@ -8,18 +8,24 @@ merges (a filter on the sorted key, pushed down to the scan), replays on them
 the merges made since the index was written, and returns the changes of counts.
 Nothing else of the words is touched.
 
+The first merges are of pairs that a large part of the words holds.  As long as
+that is so, :class:`WordScan` reads the words themselves in every round: the
+index would have a row for each pair of a word, and most would be read.
+
 :class:`MergeLoop` holds the ``TOP_PAIRS`` most frequent pairs on the driver
 and the boundary behind them: no other pair can come before it, since counts of
 pairs of old symbols only fall, and every pair of a new symbol is reported
 complete by the round that makes the symbol.  A round guesses the next merges
-and asks for the changes merge by merge; merges are accepted as long as the
+(by making them on the most frequent words, which it holds for this alone) and
+asks for the changes merge by merge; merges are accepted as long as the
 guess is what training one by one would choose, so the result is the same.
 """
 
 from __future__ import annotations
 
 import heapq
-from typing import Callable, Iterable, Sequence
+from copy import copy
+from typing import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,8 +41,16 @@ TOP_PAIRS = 20_000
 EPOCH = 512
 #: Most merges guessed in one round.
 GUESSES = 48
+#: Words that the driver holds to guess by.
+GUESS_WORDS = 50_000
 #: Words of more symbols are one row of the index (key -1), not one for each pair.
 LONG_WORD = 64
+#: An index is written once the pairs of a round have less than one in so many places.
+INDEX_SHARE = 64
+#: Merges after which words that are read without an index are written anew.
+SCAN_EPOCH = 256
+#: Symbols of words that hold wanted pairs, worked off at a time.
+CHUNK_SYMBOLS = 1 << 20
 #: Wanted pairs up to which the scan's filter names each of them.
 NAMED_KEYS = 200
 
@@ -140,6 +154,91 @@ def key_of(a: int, b: int) -> int:
     return a << 32 | b
 
 
+class LinkedWords:
+    """Symbols of words that occur ``count`` times, as linked lists, and the
+    places of the symbols that ``merges`` begin with.  A merge looks at the
+    places of its left symbol only."""
+
+    def __init__(self, flat: np.ndarray, off: np.ndarray, count: np.ndarray, merges: Sequence[Merge]):
+        size = np.diff(off)
+        self.symbol = flat.astype(np.int64)
+        self.after, self.before = np.arange(1, len(flat) + 1), np.arange(-1, len(flat) - 1)
+        self.after[off[1:][size > 0] - 1] = -1
+        self.before[off[:-1][size > 0]] = -1
+        self.weight = np.repeat(count, size)
+        begins = np.unique(np.array([a for a, _, _ in merges], np.int64))
+        wanted = np.zeros(max(self.symbol.max(initial=0), begins.max(initial=0)) + 1, bool)
+        wanted[begins] = True
+        at = np.flatnonzero(wanted[self.symbol])
+        at = at[np.argsort(self.symbol[at], kind="stable")]
+        bounds = np.searchsorted(self.symbol[at], np.append(begins, len(wanted)))
+        self.places = {a: at[x:y] for a, x, y in zip(begins.tolist(), bounds[:-1].tolist(), bounds[1:].tolist())}
+        self.marked = np.zeros(len(flat), bool)
+
+    def copy(self) -> "LinkedWords":
+        out = copy(self)
+        out.symbol, out.after, out.before, out.places = self.symbol.copy(), self.after.copy(), self.before.copy(), dict(self.places)
+        return out
+
+    def _pairs(self, ahead: np.ndarray, *places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that begin at ``places``, and at those ``ahead`` that are not among them."""
+        for p in places:
+            self.marked[p] = True
+        at = np.concatenate([ahead[(ahead >= 0) & ~self.marked[ahead]], *places])
+        for p in places:
+            self.marked[p] = False
+        return self.symbol[at] << 32 | self.symbol[self.after[at]], self.weight[at]
+
+    def merge(self, a: int, b: int, new: int, counted: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+        """Make a merge, of overlapping places the left one; what it takes from
+        and adds to the counts of pairs: ``(keys, changes)``."""
+        at = self.places.get(a, np.zeros(0, np.int64))
+        at = self.places[a] = at[self.symbol[at] == a]
+        to = self.after[at]
+        hit = (to >= 0) & (self.symbol[to] == b)
+        at, to = at[hit], to[hit]
+        if not len(at):
+            return None
+        if a == b:
+            start = np.ones(len(at), bool)
+            start[1:] = to[:-1] != at[1:]
+            nth = np.arange(len(at))
+            left = (nth - np.maximum.accumulate(np.where(start, nth, 0))) % 2 == 0
+            at, to = at[left], to[left]
+        behind = self.after[to]
+        inner = behind >= 0
+        if counted:
+            lost, less = self._pairs(self.before[at], at, to[inner])
+        self.symbol[at], self.symbol[to] = new, -1
+        self.after[at] = behind
+        self.before[behind[inner]] = at[inner]
+        known = self.places.get(new, ())
+        self.places[new] = np.union1d(known, at) if len(known) else at
+        if not counted:
+            return None
+        won, more = self._pairs(self.before[at], at[inner])
+        return np.concatenate([lost, won]), np.concatenate([-less, more])
+
+
+def _chunks(parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+    """Words ``(flat, offsets, count)`` of several batches put together."""
+    held: list = []
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+        if sum(len(f) for f, _, _ in held) >= CHUNK_SYMBOLS:
+            yield _together(held)
+            held = []
+    if held:
+        yield _together(held)
+
+
+def _together(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.concatenate([np.diff(off) for _, off, _ in parts])
+    return (np.concatenate([f for f, _, _ in parts]), np.concatenate([[0], np.cumsum(sizes)]),
+            np.concatenate([c for _, _, c in parts]))
+
+
 class PairIndex:
     """The inverted index of a table ``words`` (w: symbol numbers, count)."""
 
@@ -174,7 +273,7 @@ class PairIndex:
         wanted pair in it (or in its only row)."""
         flat, off = _symbols(batch.column(1))
         key, word = _pairs(flat, off)
-        hit = np.isin(key, wanted)
+        hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
         first, at = np.unique(word[hit], return_index=True)
         row = batch.column(0).to_numpy()[first]
         chosen = np.zeros(len(off) - 1, bool)
@@ -192,23 +291,18 @@ class PairIndex:
         before, steps = tuple(before), tuple(steps)
 
         def run(batches):
-            for batch in batches:
-                flat, off, count = PairIndex._held(batch, wanted)
-                flat, off = replay(flat, off, before)
+            for flat, off, count in _chunks(PairIndex._held(batch, wanted) for batch in batches):
+                words = LinkedWords(flat, off, count, before + steps)
+                for step in before:
+                    words.merge(*step, counted=False)
                 found = []
                 for i, step in enumerate(steps):
-                    key, word = _pairs(flat, off)
-                    chosen = np.zeros(len(off) - 1, bool)
-                    chosen[word[key == key_of(step[0], step[1])]] = True
-                    if not chosen.any():
-                        continue
-                    part, weight = _some_words(flat, off, chosen), count[chosen]
-                    for sign, (f, o) in ((-1, part), (1, merge_pairs(*part, [step]))):
-                        key, word = _pairs(f, o)
-                        found.append(pd.DataFrame({"step": i, "key": key, "d": weight[word] * sign}))
-                    flat, off = merge_pairs(flat, off, [step])
+                    made = words.merge(*step)
+                    if made:
+                        found.append(pd.DataFrame({"key": made[0], "d": made[1]}).groupby("key", as_index=False)["d"].sum()
+                                     .assign(step=i))
                 if found:
-                    d = pd.concat(found).groupby(["step", "key"], as_index=False)["d"].sum()
+                    d = pd.concat(found)[["step", "key", "d"]]
                     yield pa.RecordBatch.from_pandas(d[d["d"] != 0].astype("int64"), preserve_index=False)
 
         # numbers only: at most six pairs for each symbol and step
@@ -232,6 +326,16 @@ class PairIndex:
                 table.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
 
 
+class WordScan(PairIndex):
+    """The same from the table ``words`` itself, all of which every round reads."""
+
+    def __init__(self, words: DataFrame):
+        self.table = words.select(F.lit(-1).cast("long").alias("key"), "w", "count")
+
+    def _rows(self, keys: Iterable[int]) -> tuple[DataFrame, np.ndarray]:
+        return self.table, np.unique(np.fromiter(keys, np.int64))
+
+
 def _merged(words: DataFrame, merges: Sequence[Merge]) -> DataFrame:
     """``words`` after the merges, without words of one symbol, which no merge
     touches any more."""
@@ -245,8 +349,9 @@ def _merged(words: DataFrame, merges: Sequence[Merge]) -> DataFrame:
     return words.mapInArrow(run, "w array<int>, count long")
 
 
-def _top_pairs(words: DataFrame, names: Sequence[str], least: int, limit: int) -> list[tuple[int, int]]:
-    """The ``limit`` most frequent pairs ``(key, n)``; of equals, the first by
+def _top_pairs(words: DataFrame, names: Sequence[str], least: int, limit: int) -> list[tuple[int, int, int]]:
+    """The ``limit`` most frequent pairs ``(key, n, places)``, ``places`` being
+    how often they stand in different words; of equals, the first by
     the names of their symbols.  Keys are counted with symbols numbered in the
     order of their names, so Spark orders them by number."""
     order = sorted(range(len(names)), key=names.__getitem__)
@@ -257,12 +362,13 @@ def _top_pairs(words: DataFrame, names: Sequence[str], least: int, limit: int) -
         for batch in batches:
             key, word = _pairs(*_symbols(batch.column(0)))
             d = pd.DataFrame({"key": place[key >> 32] << 32 | place[key & 0xFFFFFFFF],
-                              "n": batch.column(1).to_numpy()[word]}).groupby("key", as_index=False)["n"].sum()
+                              "n": batch.column(1).to_numpy()[word], "places": 1}).groupby("key", as_index=False).sum()
             yield pa.RecordBatch.from_pandas(d.astype("int64"), preserve_index=False)
 
-    top = (words.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = (words.mapInArrow(run, "key long, n long, places long").groupBy("key")
+           .agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
            .filter(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(limit).collect())
-    return [(key_of(order[r["key"] >> 32], order[r["key"] & 0xFFFFFFFF]), r["n"]) for r in top]
+    return [(key_of(order[r["key"] >> 32], order[r["key"] & 0xFFFFFFFF]), r["n"], r["places"]) for r in top]
 
 
 class MergeLoop:
@@ -305,21 +411,27 @@ class MergeLoop:
         return [key for _, key in taken]
 
     def _start_epoch(self) -> bool:
-        """Count all pairs and write the index; whether there is a pair."""
+        """Count all pairs and write the index, if one is worth it; whether there is a pair."""
         if self.waiting:
             self.words, self.waiting = written(_merged(self.words, self.waiting), "bpe-words"), []
         top = _top_pairs(self.words, self.names, self.least, self.top_pairs + 1)
         self.boundary = (1 - self.least,)
         self.whole = len(top) <= self.top_pairs
         if not self.whole:
-            self.boundary = self._rank(*top.pop())
+            self.boundary = self._rank(*top.pop()[:2])
         self.held, self.heap = {}, []
-        for key, n in top:
+        for key, n, _ in top:
             self._set(key, n)
         self.first = {i: {i} for i in range(len(self.names))}
         self.last = {i: {i} for i in range(len(self.names))}
         if top:
-            self.index = PairIndex(self.words)
+            places = [p for _, _, p in top]
+            scan = INDEX_SHARE * sum(places[:GUESSES]) > sum(places)
+            self.index = (WordScan if scan else PairIndex)(self.words)
+            some = self.words.orderBy(F.desc("count")).limit(GUESS_WORDS).toArrow().combine_chunks().to_batches()
+            flat, off = _symbols(some[0].column(0))
+            self.frequent = LinkedWords(flat, off, some[0].column(1).to_numpy(), [(i, 0, 0) for i in range(len(self.names))])
+            self.most = min(self.epoch, SCAN_EPOCH) if scan else self.epoch
         return bool(top)
 
     def _keys(self, pairs: Iterable[int]) -> set[int]:
@@ -328,42 +440,53 @@ class MergeLoop:
 
     # -- a round -----------------------------------------------------------------
     def _guess(self, k: int) -> list[int]:
-        """The next merges, if a merge takes from the pairs next to it as much
-        as if symbols stood next to each other by chance."""
+        """The next merges, if they change the counts as on the words that the
+        driver holds.  Symbols that they make have the next numbers."""
         likely = {key: float(self.held[key]) for key in self._best(4 * k)}
-        ahead: dict[int, int] = {}
-        behind: dict[int, int] = {}
-        for key, n in self.held.items():
-            ahead[key >> 32] = ahead.get(key >> 32, 0) + n
-            behind[key & 0xFFFFFFFF] = behind.get(key & 0xFFFFFFFF, 0) + n
-        out = []
+        words, spelled, names = self.frequent.copy(), set(self.number), list(self.names)
+        out: list[int] = []
         while likely and len(out) < k:
-            best = max(likely, key=likely.__getitem__)  # of equals the first, as they are in order
-            n, a, b = self.held[best], best >> 32, best & 0xFFFFFFFF
-            out.append(best)
-            del likely[best]
-            for key in likely:
-                if key >> 32 == b:
-                    likely[key] *= max(0.0, 1 - n / behind[b])
-                if key & 0xFFFFFFFF == a:
-                    likely[key] *= max(0.0, 1 - n / ahead[a])
+            key = max(likely, key=likely.__getitem__)  # of equals the first, as they are in order
+            n, a, b = likely.pop(key), key >> 32, key & 0xFFFFFFFF
+            name = self.joined(names[a], names[b])
+            out.append(key)
+            if n < self.least or name in spelled:
+                break
+            made = words.merge(a, b, len(names))
+            spelled.add(name)
+            names.append(name)
+            if not made:
+                continue
+            keys, at = np.unique(made[0], return_inverse=True)
+            change = np.zeros(len(keys), np.int64)
+            np.add.at(change, at, made[1])
+            share = n / -min(change[np.searchsorted(keys, key)], -1)
+            for other, d in zip(keys.tolist(), (change * share).tolist()):
+                if other in likely:
+                    likely[other] += d
+                elif d > 0 and other != key:
+                    likely[other] = d
         return out
 
     def _round(self, guess: Sequence[int]) -> int:
         """Make the merges of ``guess`` up to the first that is not the next one."""
         steps, spelled, again = [], dict(self.number), []
-        known = len(self.names)
+        names = list(self.names)
+        first, last = dict(self.first), dict(self.last)
         for i, key in enumerate(guess):
             a, b = key >> 32, key & 0xFFFFFFFF
-            name = self.joined(self.names[a], self.names[b])
+            name = self.joined(names[a], names[b])
             if name in spelled:
                 again.append(i)
-            new = spelled.setdefault(name, known)
-            known += new == known
+            new = spelled.setdefault(name, len(names))
+            if new == len(names):
+                names.append(name)
+            first[new], last[new] = first.get(new, set()) | first[a], last.get(new, set()) | last[b]
             steps.append((a, b, new))
+        keys = {key_of(x, y) for p in guess for x in last[p >> 32] for y in first[p & 0xFFFFFFFF]}
         least = max(self.least, -self.boundary[0])
         found: dict[int, list] = {}
-        for r in self.index.changes(self._keys(guess), self.waiting, steps, least, again):
+        for r in self.index.changes(keys, self.waiting, steps, least, again):
             found.setdefault(r["step"], []).append((r["key"], r["d"]))
         self.rounds += 1
         for i, (key, (a, b, new)) in enumerate(zip(guess, steps)):
@@ -377,6 +500,7 @@ class MergeLoop:
             self.last[new] |= self.last[b]
             self.merges.append((self.names[a], self.names[b]))
             self.waiting.append((a, b, new))
+            self.frequent.merge(a, b, new, counted=False)
             unknown = []
             for k, d in found.get(i, ()):
                 if k in self.held:
@@ -398,11 +522,11 @@ class MergeLoop:
         size = 8
         fresh = budget > 0 and self._start_epoch()
         while fresh and len(self.merges) < budget:
-            if not self._best(1) or len(self.waiting) >= self.epoch:
+            if not self._best(1) or len(self.waiting) >= self.most:
                 if self.whole and not self._best(1):
                     break
                 fresh = self._start_epoch()
                 continue
-            made = self._round(self._guess(min(size, budget - len(self.merges), self.epoch - len(self.waiting))))
+            made = self._round(self._guess(min(size, budget - len(self.merges), self.most - len(self.waiting))))
             size = max(4, min(GUESSES, 2 * made))
         return self.merges

@@ -24,6 +24,7 @@ from typing import Iterable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,6 +178,30 @@ def resolve_vocab_size(vocab_size: int | str, corpus: DataFrame | None, text_col
     return vocab_size
 
 
+def _characters(words: pa.Array, marked: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of words, as twice the code point (``marked``: one more
+    for those that do not begin a word), and where each word begins."""
+    off = np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    codes = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64) * 2
+    if marked:
+        codes += 1
+        codes[off[:-1][np.diff(off) > 0]] -= 1
+    return codes, off
+
+
+def word_characters(freqs: DataFrame, continuing_prefix: str = "") -> dict[str, int]:
+    """The alphabet of ``freqs`` (word, ...), in order: names of characters
+    (``continuing_prefix`` before those that do not begin a word) and their
+    numbers in :func:`_characters`.  Characters are collected inside the scan."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_characters(batch.column(0), bool(continuing_prefix))[0]))],
+                                             names=["c"])
+
+    found = freqs.filter(F.length("word") > 0).select("word").mapInArrow(run, "c long").distinct().collect()
+    return dict(sorted((continuing_prefix * (r["c"] & 1) + chr(r["c"] >> 1), r["c"]) for r in found))
+
+
 def train_bpe(freqs: DataFrame, vocab_size: int | str, specials: dict | None = None,
               continuing_prefix: str = "", min_frequency: int = 2, corpus: DataFrame | None = None,
               top_pairs: int = TOP_PAIRS, epoch: int = EPOCH):
@@ -195,14 +220,9 @@ def train_bpe(freqs: DataFrame, vocab_size: int | str, specials: dict | None = N
     non-initial pieces carry the prefix (WordPiece style)."""
     spark = freqs.sparkSession
     vocab_size = resolve_vocab_size(vocab_size, corpus)
-    chars = F.split(F.col("word"), "")
-    if continuing_prefix:
-        first = F.slice(chars, 1, 1)
-        rest = F.transform(F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))),
-                           lambda c: F.concat(F.lit(continuing_prefix), c))
-        chars = F.concat(first, rest)
-    split = freqs.filter(F.length("word") > 0).select(chars.alias("s"), F.col("count").cast("long").alias("count"))
-    alphabet = sorted(r[0] for r in split.select(F.explode("s").alias("s")).distinct().collect())
+    split = freqs.filter(F.length("word") > 0).select("word", F.col("count").cast("long").alias("count"))
+    characters = word_characters(freqs, continuing_prefix)
+    alphabet = list(characters)
     specials_df = special_tokens_table(spark, specials)
     n_special = specials_df.count()
     budget = vocab_size - n_special - len(alphabet)
@@ -210,16 +230,15 @@ def train_bpe(freqs: DataFrame, vocab_size: int | str, specials: dict | None = N
         raise ValueError(f"vocab_size {vocab_size} is too small: {n_special} special tokens and "
                          f"{len(alphabet)} characters need {n_special + len(alphabet)}")
     names = list(alphabet)
-    shared = spark.sparkContext.broadcast({c: i for i, c in enumerate(names)})  # the alphabet
+    known = np.array(list(characters.values()), np.int64)
+    order = np.argsort(known)
+    shared = spark.sparkContext.broadcast((known[order], order.astype(np.int32)))  # the alphabet
 
     def to_numbers(batches):
         for batch in batches:
-            lists = batch.column(0)
-            coded = lists.flatten().dictionary_encode()
-            code = np.array([shared.value[c] for c in coded.dictionary.to_pylist()], np.int32)
-            flat = code[coded.indices.to_numpy()] if len(code) else np.zeros(0, np.int32)
-            off = lists.offsets.to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array((off - off[0]).astype(np.int32)), pa.array(flat)),
+            codes, off = _characters(batch.column(0), bool(continuing_prefix))
+            flat = shared.value[1][np.searchsorted(shared.value[0], codes)]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat)),
                                               batch.column(1)], names=["w", "count"])
 
     words = written(split.mapInArrow(to_numbers, "w array<int>, count long").filter(F.size("w") > 1), "bpe-words")

@@ -327,10 +327,7 @@ SPECIALS = list(vocab.DEFAULT_SPECIALS.values())
 def _trained(d, prefix=""):
     """A vocabulary of the characters of ``d`` and ``MERGES`` merges."""
     words = vocab.word_frequencies(d).checkpoint()
-    first = F.substring("word", 1, 1)
-    rest = F.transform(F.split(F.substr("word", F.lit(2)), ""), lambda c: F.concat(F.lit(prefix), c))
-    symbols = words.select(F.explode(F.concat(F.array(first), F.filter(rest, lambda c: c != prefix))).alias("s"))
-    size = len(SPECIALS) + symbols.distinct().count() + MERGES
+    size = len(SPECIALS) + len(vocab.word_characters(words, prefix)) + MERGES
     return vocab.train_bpe(words, size, continuing_prefix=prefix)
 
 

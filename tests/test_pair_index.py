@@ -78,3 +78,50 @@ def test_round_reads_only_words_of_its_pairs(spark):
            for r in index.changes([pair_index.key_of(3, 53)], [], [(3, 53, 9999)], 1, [])}
     held = [i for i in range(4000) if i % 50 == 3 and i % 7 == 3]
     assert got == {(3, 53): -len(held)} | {(53, 100 + i): -1 for i in held} | {(9999, 100 + i): 1 for i in held}
+
+
+def test_linked_words_equal_merged_words():
+    rnd = np.random.default_rng(1)
+    for _ in range(200):
+        off = np.concatenate([[0], np.cumsum(rnd.integers(0, 14, rnd.integers(1, 12)))]).astype(np.int64)
+        flat, count = rnd.integers(0, 3, off[-1]).astype(np.int32), rnd.integers(1, 9, len(off) - 1)
+        merges = [(int(rnd.integers(0, 3 + i)), int(rnd.integers(0, 3 + i)), int(rnd.choice([3 + i, rnd.integers(0, 3 + i)])))
+                  for i in range(8)]
+        words = pair_index.LinkedWords(flat, off, count, merges)
+        for merge in merges:
+            before, made = totals(flat, off, count), words.merge(*merge)
+            flat, off = pair_index.merge_pairs(flat, off, [merge])
+            for key, d in zip(*(x.tolist() for x in made or (np.zeros(0), np.zeros(0)))):
+                before[key] = before.get(key, 0) + d
+            assert {k: n for k, n in before.items() if n} == totals(flat, off, count)
+
+
+def totals(flat, off, count):
+    out = {}
+    for key, word in zip(*(x.tolist() for x in pair_index._pairs(flat, off))):
+        out[key] = out.get(key, 0) + int(count[word])
+    return out
+
+
+def test_hot_pairs_need_no_index_and_few_rounds(spark, monkeypatch):
+    """While most words hold the pairs that are merged, no index is written; a
+    round makes merges of symbols that it has itself made."""
+    words = {f"{a}{b}ing{c}": i + 2 for i, (a, b, c) in enumerate((a, b, c) for a in "klm" for b in "aou" for c in "stz")}
+    names = sorted(set("".join(words)))
+    df = spark.createDataFrame([([names.index(x) for x in w], c) for w, c in words.items()], "w array<int>, count long")
+    loop = pair_index.MergeLoop(df, names, lambda a, b: a + b)
+    assert loop.run(20) == python_bpe(words, 20)
+    assert isinstance(loop.index, pair_index.WordScan) and loop.rounds <= 4
+    monkeypatch.setattr(pair_index, "INDEX_SHARE", 0)
+    loop = pair_index.MergeLoop(df, names, lambda a, b: a + b)
+    assert loop.run(20) == python_bpe(words, 20)
+    assert type(loop.index) is pair_index.PairIndex
+
+
+@pytest.mark.parametrize("prefix", ["", "##"])
+def test_alphabet_is_collected_in_the_scan(spark, prefix):
+    df = spark.createDataFrame([("añb😀", 3), ("😀a", 1), ("", 2), ("b", 1), (None, 4)], "word string, count long")
+    want = {w[0] for w in ("añb😀", "😀a", "b")} | {prefix + c for w in ("añb😀", "😀a", "b") for c in w[1:]}
+    assert list(vocab.word_characters(df, prefix)) == sorted(want)
+    pieces = {r.piece for r in vocab.train_bpe(df, 4 + len(want) + 1, continuing_prefix=prefix)[0].collect()}
+    assert want < pieces
