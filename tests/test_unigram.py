@@ -5,7 +5,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
+from corpus_spark.operators import unigram
 from corpus_spark.operators.encoders import Lattice, _words
 from corpus_spark.operators.unigram import expected_counts, frequent_substrings, losses, train_unigram
 
@@ -86,3 +88,29 @@ def test_seeds_are_bounded_by_a_higher_count(spark):
     few = train_unigram(table(spark, words), 60, max_seeds=80).collect()
     assert len(few) == 60
     assert train_unigram(table(spark, {"": 3}), 10).count() == 4
+
+
+def test_long_words_of_small_chances():
+    """Chances too small for a float are summed by logarithms, others as they are; both give the same."""
+    scores = {"a": -30.0, "b": -2.0, "ab": -31.0, "ba": -60.0}
+    words = ["ab" * 40, "aab", "b", "", "ba" * 3]
+    got, ll = expected_counts(Lattice(scores), *_words(pa.array(words)), np.array([1.0, 2.0, 3.0, 4.0, 5.0]))
+    cells, at, size = unigram.lattice_cells(Lattice(scores), 2, *_words(pa.array(words)))
+    want, likelihood = np.zeros(4), 0.0
+    for i, c in ((0, 1.0), (1, 2.0), (2, 3.0), (4, 5.0)):
+        cell = cells[at[i]:at[i + 1]].reshape(-1, 1)
+        share, log_p = unigram._by_logs(cell, int(size[i]), min(int(size[i]), 2), unigram._weights(np.array(list(scores.values()))))
+        np.add.at(want, cell[cell >= 0], share[cell >= 0] * c)
+        likelihood += c * float(log_p[0])
+    assert np.allclose(got, want) and math.isclose(ll, likelihood) and ll < -1000
+
+
+def test_substrings_are_counted_by_one_shuffle(spark, monkeypatch):
+    """No join and no table for each length, and words' lattices are looked up once for all rounds."""
+    calls = []
+    monkeypatch.setattr(unigram, "word_lattices", lambda *a, f=unigram.word_lattices: calls.append(1) or f(*a))
+    monkeypatch.setattr(DataFrame, "join", None)
+    words, trace = some_words(4, 400), []
+    got = frequent_substrings(table(spark, words), 2, 16)
+    assert got.count() and len(train_unigram(table(spark, words), 60, trace=trace).collect()) == 60
+    assert len(calls) == 1 and len(trace) > 2
