@@ -242,6 +242,13 @@ def losses(spark, lattice: Lattice, counts: np.ndarray) -> np.ndarray:
     return counts * (lattice.scores - best)
 
 
+def _steady(values: np.ndarray) -> np.ndarray:
+    """Values without their last digits, which depend on the order of sums:
+    what is equal but for those is ordered by its piece."""
+    part, power = np.frexp(values)
+    return np.ldexp(np.round(part, 10), power)
+
+
 def train_unigram(freqs: DataFrame, vocab_size: int | str, specials: dict | None = None, max_piece_len: int = 16,
                   min_count: int = 2, max_seeds: int = 1_000_000, em_rounds: int = 2, shrink: float = 0.6,
                   corpus: DataFrame | None = None, trace: list | None = None) -> DataFrame:
@@ -288,11 +295,11 @@ def train_unigram(freqs: DataFrame, vocab_size: int | str, specials: dict | None
         lattice = Lattice(dict(zip(pieces, np.log(seen / seen.sum()))))
         loss = np.where(multi, losses(spark, lattice, seen), np.inf)
         keep = max(target, int(len(chars) + multi.sum() * shrink))
-        stay = np.sort(np.lexsort((np.array(pieces), -loss))[:keep])
+        stay = np.sort(np.lexsort((np.array(pieces), -_steady(loss)))[:keep])
         pieces, seen, left = [pieces[i] for i in stay.tolist()], seen[stay], left[stay]
     seen = np.maximum(seen, 1e-9)
     score = np.log(seen / seen.sum()) if len(pieces) else seen
-    order = np.lexsort((np.array(pieces), -score)) if len(pieces) else []
+    order = np.lexsort((np.array(pieces), -_steady(score))) if len(pieces) else []
     body = spark.createDataFrame([(pieces[i], n_special + k, float(score[i])) for k, i in enumerate(order)],
                                  "piece string, id long, score double")
     return reserved.select("piece", "id", F.lit(0.0).alias("score")).unionByName(body)

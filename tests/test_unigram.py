@@ -114,3 +114,9 @@ def test_substrings_are_counted_by_one_shuffle(spark, monkeypatch):
     got = frequent_substrings(table(spark, words), 2, 16)
     assert got.count() and len(train_unigram(table(spark, words), 60, trace=trace).collect()) == 60
     assert len(calls) == 1 and len(trace) > 2
+
+
+def test_equal_scores_are_ordered_by_piece():
+    values = np.array([-10.3796, -10.3796 * (1 + 1e-14), np.inf, 3e6, 3e6 * (1 + 1e-14), 3e6 * (1 + 1e-8), 0.0])
+    got = unigram._steady(values)
+    assert got[0] == got[1] and got[3] == got[4] < got[5] and got[2] == np.inf and got[6] == 0
