@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import word_ngrams
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
+from .candidate_pairs import bucket_places, pair_similarities
 from .metrics import with_tokens
 
 # ---------------------------------------------------------------------------
@@ -206,21 +207,26 @@ def lsh_candidates(buckets: DataFrame) -> DataFrame:
         "id", "first_candidate", F.coalesce("shared_buckets", F.lit(0)).cast("long").alias("shared_buckets"))
 
 
-def jaccard_verify(df: DataFrame, candidates: DataFrame, n_shingles: int = 1, id_col: str = "id",
-                   text_col: str = "text", tokenizer=None) -> DataFrame:
-    """Exact Jaccard similarity of each document and its first LSH candidate:
-    ``(id, first_candidate, jaccard)`` for the rows of :func:`lsh_candidates`
-    that have one, i.e. at most one pair a document.  Shingles are made for the
-    documents of these pairs only; two empty sets have similarity 1."""
-    pairs = candidates.filter(F.col("first_candidate").isNotNull()).select("id", "first_candidate")
-    wanted = pairs.select("id").union(pairs.select("first_candidate")).distinct()
-    src = df.select(F.col(id_col).alias("id"), "tokens" if "tokens" in df.columns else text_col).join(wanted, "id")
-    sets = with_tokens(src, text_col, tokenizer).select("id", shingles(F.col("tokens"), n_shingles).alias("s"))
-    both = pairs.join(sets.withColumnRenamed("s", "a"), "id").join(
-        sets.select(F.col("id").alias("first_candidate"), F.col("s").alias("b")), "first_candidate")
-    shared = F.size(F.array_intersect("a", "b"))
-    union = F.size("a") + F.size("b") - shared
-    return both.select("id", "first_candidate", F.when(union > 0, shared / union).otherwise(1.0).alias("jaccard"))
+def jaccard_verify(df: DataFrame, buckets: DataFrame, n_shingles: int = 1, id_col: str = "id", text_col: str = "text",
+                   tokenizer=None) -> DataFrame:
+    """Exact Jaccard similarity of all pairs of documents that share a band
+    bucket: ``(id, candidate, jaccard)``, ``id < candidate``, each pair once.
+
+    :func:`lsh_candidates` tells which documents have a partner at all; shingles
+    (64-bit hashes) are made for these only.  Two empty sets have similarity 1.
+    Rows that share an id are candidates together, and compared each by its own
+    text; rows without an id have no partner."""
+    buckets = written(_numbered(buckets), "lsh-buckets")
+    met = lsh_candidates(buckets).filter(F.col("first_candidate").isNotNull()).select("id")
+    own = buckets.join(met, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+    src = df.select(F.col(id_col).alias("id"), "tokens" if "tokens" in df.columns else text_col)
+    chars = F.size("tokens") if "tokens" in df.columns else F.length(text_col)
+    members = src.select("id", F.coalesce(chars, F.lit(0)).alias("chars")).join(own, "id")
+    places = written(bucket_places(written(members, "candidate-members")), "candidate-places")
+    hashes = F.array_distinct(F.transform(word_ngrams(F.col("tokens"), n_shingles), lambda x: F.xxhash64(x)))
+    sets = with_tokens(src.join(places, "id"), text_col, tokenizer).select(
+        "id", "buckets", "places", F.coalesce(hashes, F.array().cast("array<bigint>")).alias("hashes"))
+    return pair_similarities(sets)
 
 
 #: Buckets of more documents are joined by broadcast: there are at most

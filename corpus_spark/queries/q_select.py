@@ -269,19 +269,16 @@ def q_lsh_candidates(spark, sf):
 
 @register("jaccard_verify", f"""
 WITH b AS {_bands_sql(0.8, 3)},
-bs AS (SELECT band, bkey, min(id) AS m1 FROM b GROUP BY band, bkey),
-b2 AS (SELECT b.band, b.bkey, min(b.id) AS m2 FROM b JOIN bs USING (band, bkey) WHERE b.id > bs.m1 GROUP BY b.band, b.bkey),
-c AS (SELECT b.id, min(CASE WHEN b.id = bs.m1 THEN b2.m2 ELSE bs.m1 END) AS first_candidate
-      FROM b JOIN bs USING (band, bkey) LEFT JOIN b2 USING (band, bkey) GROUP BY b.id),
+c AS (SELECT DISTINCT x.id, y.id AS candidate FROM b x JOIN b y USING (band, bkey) WHERE x.id < y.id),
 s AS (SELECT id, {SH3} AS s FROM {TOKD}),
-j AS (SELECT c.id, first_candidate, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS n
-      FROM c JOIN s x ON x.id = c.id JOIN s y ON y.id = first_candidate)
-SELECT id, first_candidate, round(CASE WHEN n > 0 THEN i / (n - i) ELSE 1.0 END, 6) AS jaccard FROM j""")
+j AS (SELECT c.id, candidate, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS n
+      FROM c JOIN s x ON x.id = c.id JOIN s y ON y.id = candidate)
+SELECT id, candidate, round(CASE WHEN n > 0 THEN i / (n - i) ELSE 1.0 END, 6) AS jaccard FROM j""")
 def q_jaccard_verify(spark, sf):
-    """Exact similarity of every document with an LSH candidate to its first one."""
+    """Exact similarity of all pairs of documents that are LSH candidates."""
     d = docs(spark, sf)
-    c = dedup.lsh_candidates(dedup.lsh_buckets(dedup.minhash_signatures(d, n_shingles=3), 0.8))
-    return dedup.jaccard_verify(d, c, 3).select("id", "first_candidate", F.round("jaccard", 6).alias("jaccard"))
+    pairs = dedup.jaccard_verify(d, dedup.lsh_buckets(dedup.minhash_signatures(d, n_shingles=3), 0.8), 3)
+    return pairs.select("id", "candidate", F.round("jaccard", 6).alias("jaccard"))
 
 
 def _near_sql(threshold, n_shingles, tokd=TOKD):

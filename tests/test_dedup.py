@@ -195,3 +195,39 @@ def test_signatures_from_packed_hashes(spark):
     edge = [0, 1, dedup.PRIME - 1, dedup.PRIME, dedup.PRIME + 1, (1 << 32) - 1, (1 << 32) - 2]
     got = dedup.permutation_minima(np.array(edge, np.uint64), np.ones(len(edge), np.int64))
     assert got.tolist() == [[(a * x + b) % dedup.PRIME for a, b in dedup.PERMS] for x in edge]
+
+
+@pytest.mark.parametrize("block_rows", [500, 3])
+def test_jaccard_of_all_candidate_pairs(spark, monkeypatch, block_rows):
+    """Every pair of documents that share a bucket, once, whatever blocks a bucket is cut into: exact and near copies,
+    texts without a shingle, ids that repeat, and none for rows without an id."""
+    from corpus_spark.operators import candidate_pairs
+    monkeypatch.setattr(candidate_pairs, "BLOCK_ROWS", block_rows)
+    rnd = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 4 + [" ".join(base[:k] + ["zz"] + base[k + 1:]) for k in range(0, 60, 6)]
+    texts += ["one two", "", None, "x"] + [" ".join(rnd.choice("abcdefgh") for _ in range(30)) for _ in range(8)]
+    rows = list(enumerate(texts)) + [(2, " ".join(base[:50])), (None, texts[0]), (None, texts[0]), (99, texts[0])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    buckets = dedup.lsh_buckets(dedup.minhash_signatures(df, 3), 0.8)
+    members, sets = {}, {}
+    for r in buckets.collect():
+        if r.id is not None:
+            members.setdefault((r.band, r.bkey), set()).add(r.id)
+    for i, t in rows:
+        w = (t or "").split()
+        sets.setdefault(i, []).append({tuple(w[j:j + 3]) for j in range(len(w) - 2)})
+    pairs = {(a, b) for m in members.values() for a in m for b in m if a < b}
+    want = sorted((a, b, len(x & y) / len(x | y) if x | y else 1.0) for a, b in pairs for x in sets[a] for y in sets[b])
+    got = sorted(map(tuple, dedup.jaccard_verify(df, buckets, 3).collect()))
+    assert len(want) > 50 and (0, 1, 1.0) in want and (14, 17, 1.0) in want
+    assert got == want
+
+
+def test_jaccard_verify_query_names_every_pair_of_copies(spark, tmp_path):
+    from corpus_spark.queries import QUERIES
+    text = "seven small cats sat on mats now"
+    spark.createDataFrame([(i, text, "en", "s") for i in range(4)], "doc_id long, text string, lang string, source string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r[0], r[1], r.jaccard) for r in QUERIES["jaccard_verify"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b, 1.0) for a in range(4) for b in range(a + 1, 4)}
