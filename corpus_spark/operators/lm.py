@@ -2,8 +2,8 @@
 character n-gram language identifier.
 
 Perplexity (re-aimed from a neural LM on one GPU): a trigram model with
-back-off is counted from a training table with ``groupBy``; documents are
-scored by joining their trigrams with the count tables; per-document
+back-off is counted from a training table; documents are scored by looking
+their trigrams up in shards of the counts (``ngram_blocks``); per-document
 perplexity is exp(-mean log p); the signal is |ppl - median(ppl)| (lower is
 better), with the exact distributed median.
 
@@ -15,57 +15,86 @@ profile table, or by a join where that is too large to go to every task.
 
 from __future__ import annotations
 
+import functools
+import math
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import char_ngrams, splitlines, strip, tokenize
+from ..functions.text import char_ngrams, splitlines, strip
 from ..session import ensure_checkpoint_dir, written
-from . import chargrams
+from . import chargrams, ngram_blocks as blocks
 
 
 #: Weight of each step back to a shorter context.
 BACK_OFF = 0.4
 
 
-def _trigrams(df: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
-    """``(id, u, v, w)``: every token with the two before it."""
-    toks = F.concat(F.array(F.lit("<s>"), F.lit("<s>")), tokenize(text_col))
-    n = F.size(toks) - 2
-    grams = F.arrays_zip(F.slice(toks, 1, n).alias("u"), F.slice(toks, 2, n).alias("v"), F.slice(toks, 3, n).alias("w"))
-    return df.select(*([id_col] if id_col else []), F.explode(grams).alias("g")).select(*([id_col] if id_col else []), "g.*")
+def _numbered(df: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    """``(number, text)``: rows of one id (null is one) have one number."""
+    return df.select((F.xxhash64(id_col) if id_col else F.lit(0).cast("long")).alias("number"), F.col(text_col).alias("text"))
+
+
+def _characters(df: DataFrame) -> int:
+    return df.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
 
 
 def train_trigram_lm(train: DataFrame, text_col: str = "text") -> dict:
-    """Relative frequencies of trigrams, bigrams and tokens of a training
-    table, as tables ``tri`` (u, v, w, p3), ``bi`` (v, w, p2), ``uni`` (w, p1,
-    add-one smoothed), and ``floor``, p1 of a token that was never seen."""
-    ensure_checkpoint_dir(train.sparkSession)
-    tri = _trigrams(train, None, text_col).groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")).checkpoint()
-    bi = tri.groupBy("v", "w").agg(F.sum("c").alias("c"))
-    uni = tri.groupBy("w").agg(F.sum("c").alias("c")).checkpoint()
-    tokens, types = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    whole = float(tokens + types + 1)
-    two = tri.groupBy("u", "v").agg(F.sum("c").alias("n"))
-    one = bi.groupBy("v").agg(F.sum("c").alias("n"))
-    return {"tri": tri.join(two, ["u", "v"]).select("u", "v", "w", (F.col("c") / F.col("n")).alias("p3")),
-            "bi": bi.join(one, "v").select("v", "w", (F.col("c") / F.col("n")).alias("p2")),
-            "uni": uni.select("w", ((F.col("c") + 1) / F.lit(whole)).alias("p1")), "floor": 1.0 / whole}
+    """A trigram model of a training table: ``texts``, whose trigrams and
+    bigrams :func:`token_losses` counts a part at a time; ``words``, the counts
+    of all tokens in blocks of ``shards`` shards; ``tokens`` and ``types``, the
+    numbers of all and of distinct tokens; ``chars``, of characters."""
+    spark, texts = train.sparkSession, _numbered(train, None, text_col)
+    classes = spark.sparkContext.broadcast(blocks.token_classes(spark))
+    chars = _characters(texts)
+    shards = max(spark.sparkContext.defaultParallelism, math.ceil(chars / blocks.SHARD_CHARS / 4))
+    words = blocks.Scratch(spark).write(blocks.count_words(texts, classes, shards), "lm-words")
+    types = F.coalesce(F.sum(F.length("item") / 8), F.lit(0)).cast("long")
+    count = F.udf(lambda n: int(np.frombuffer(n, np.int64).sum()), "long")
+    tokens, types = words.agg(F.coalesce(F.sum(count("n")), F.lit(0)), types).first()
+    return {"texts": texts, "words": words, "shards": shards, "tokens": tokens, "types": types, "chars": chars}
 
 
 def token_losses(df: DataFrame, lm: dict, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Per-document mean negative log-likelihood (natural log) and token count
     under stupid back-off: the trigram's relative frequency, or ``BACK_OFF``
-    times the bigram's, or ``BACK_OFF`` squared times the token's.  A
-    document's equal trigrams are joined once."""
-    ex = _trigrams(df.select(id_col, text_col), id_col, text_col).groupBy(id_col, "u", "v", "w") \
-        .agg(F.count(F.lit(1)).alias("k"))
-    j = ex.join(lm["tri"], ["u", "v", "w"], "left").join(lm["bi"], ["v", "w"], "left").join(lm["uni"], "w", "left")
-    p = F.coalesce("p3", F.col("p2") * BACK_OFF, F.coalesce("p1", F.lit(lm["floor"])) * BACK_OFF**2)
-    return j.groupBy(id_col).agg((-F.sum(F.log(p) * F.col("k")) / F.sum("k")).alias("loss"), F.sum("k").alias("n_tokens"))
+    times the bigram's, or ``BACK_OFF`` squared times the token's (add-one
+    smoothed, also for a token that was never seen).
+
+    Trigrams are worked off in rounds (:mod:`ngram_blocks`): counted and looked
+    up by 64-bit hashes in shards, without a row for each token."""
+    spark, texts = df.sparkSession, _numbered(df, id_col, text_col)
+    scratch = blocks.Scratch(spark)
+    classes = spark.sparkContext.broadcast(blocks.token_classes(spark))
+    chars = _characters(texts) + lm["chars"]
+    rounds = min(blocks.ROUNDS, math.ceil(chars / blocks.ROUND_CHARS) or 1)
+    shards = max(spark.sparkContext.defaultParallelism, math.ceil(chars / blocks.SHARD_CHARS / rounds))
+    back, words = math.log(BACK_OFF), (1, math.log(lm["tokens"] + lm["types"] + 1))
+    sums, unknown = [], []
+    for turn in range(rounds):
+        part = (shards, rounds, turn)
+        tri = blocks.scan(lm["texts"], classes, "tri", blocks.TRAIN, *part) \
+            .unionByName(blocks.scan(texts, classes, "tri", blocks.ASKED, *part))
+        found = scratch.write(blocks.look_up(tri, "tri", shards, rounds, shards, 0.0, words), "lm-tri")
+        sums.append(scratch.write(blocks.document_sums(found), "lm-sums"))
+        asked = found.filter(F.col("kind") == blocks.ASKED)
+        if not asked.isEmpty():
+            bi = blocks.scan(lm["texts"], classes, "bi", blocks.TRAIN, *part).unionByName(asked)
+            less = scratch.write(blocks.look_up(bi, "bi", shards, rounds, lm["shards"], back, words), "lm-bi")
+            sums.append(scratch.write(blocks.document_sums(less), "lm-sums"))
+            unknown.append(scratch.write(less.filter(F.col("kind") == blocks.ASKED), "lm-words-asked"))
+            scratch.drop(less)
+        scratch.drop(found)
+    for asked in unknown:
+        word = blocks.look_up(lm["words"].unionByName(asked), "word", lm["shards"], 1, 1, 2 * back, words)
+        sums.append(scratch.write(blocks.document_sums(word), "lm-sums"))
+    losses = functools.reduce(DataFrame.unionByName, sums).groupBy("number").agg(F.sum("lp").alias("lp"), F.sum("n").alias("n"))
+    ids = df.select(id_col).distinct().withColumn("number", F.xxhash64(id_col))
+    return ids.join(losses, "number").select(id_col, (-F.col("lp") / F.col("n")).alias("loss"), F.col("n").alias("n_tokens"))
 
 
 def perplexity_signal(df: DataFrame, train: DataFrame | None = None,
